@@ -8,7 +8,9 @@ into one binary value per (chunk, bucket) and dealt to the bucket's owner; the
 owner's answer, one value per question, returns to the chunk by a join.
 
 Keys are unique within a question, so a key that a third of all texts share
-reaches its owner once per chunk, never once per text.
+reaches its owner once per chunk, never once per text. Buckets grow in number with
+the input, so an owner's memory does not; a chunk never sends more rows than it has
+keys, so the exchange stays linear in the input.
 """
 
 from __future__ import annotations
@@ -53,6 +55,24 @@ def unpack(body: bytes, *kinds: str) -> list[np.ndarray]:
     return out
 
 
+def pack_sorted(keys: np.ndarray) -> bytes:
+    """Rising unsigned keys as differences, byte plane by byte plane: dense keys need few bytes each."""
+    steps = np.diff(keys.astype(np.uint64), prepend=np.uint64(0))
+    planes = steps.astype("<u8").view(np.uint8).reshape(-1, 8).T
+    width = 8
+    while width > 1 and not planes[width - 1].any():
+        width -= 1
+    return bytes([width]) + zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes[:width]).tobytes())
+
+
+def unpack_sorted(body: bytes) -> np.ndarray:
+    width = body[0]
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(body[1:]), np.uint8).reshape(width, -1)
+    steps = np.zeros((planes.shape[1], 8), np.uint8)
+    steps[:, :width] = planes.T
+    return np.cumsum(steps.view("<u8").ravel(), dtype=np.uint64)
+
+
 class Chunk:
     """The texts of a chunk: ``data`` holds them end to end; ``starts`` has one more entry than texts."""
 
@@ -161,11 +181,13 @@ def by_bucket(unique: np.ndarray, buckets: np.ndarray) -> Iterator[tuple[int, sl
 # --- which keys occur in more than one place ---------------------------------------------
 
 
-def repeat_questions(chunk: Chunk, keys: np.ndarray, places: np.ndarray, buckets: int):
-    """One question per bucket: is a key in more than one place? ``places`` doesn't fall within equal keys' order."""
+def repeat_questions(chunk: int, keys: np.ndarray, places: np.ndarray, buckets: int):
+    """One question per bucket: is a key in more than one place?"""
     unique, bucket, _, many = repeat_keys(keys, places, buckets)
     for b, at in by_bucket(unique, bucket):
-        yield b, chunk.number, pack(unique[at].astype(np.uint32), np.packbits(many[at]))
+        bits = np.packbits(many[at])
+        keys_ = pack_sorted(unique[at] & np.uint64(0xFFFFFFFF))
+        yield b, chunk, len(keys_).to_bytes(8, "little") + keys_ + zstandard.ZstdCompressor(level=1).compress(bits.tobytes())
 
 
 def repeat_keys(keys: np.ndarray, places: np.ndarray, buckets: int):
@@ -183,7 +205,9 @@ def repeat_answers(bodies: list[bytes]) -> list[bytes]:
     """A bit per key: it is in another chunk, or in another place of its own."""
     parts = []
     for body in bodies:
-        keys, many = unpack(body, "u4", "u1")
+        cut = 8 + int.from_bytes(body[:8], "little")
+        keys = unpack_sorted(body[8:cut]).astype(np.uint32)
+        many = np.frombuffer(zstandard.ZstdDecompressor().decompress(body[cut:]), np.uint8)
         parts.append((keys, np.unpackbits(many, count=len(keys)).astype(bool)))
     everything = np.sort(np.concatenate([k for k, _ in parts]))
     shared = np.unique(everything[1:][everything[1:] == everything[:-1]])

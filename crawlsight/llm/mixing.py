@@ -172,18 +172,27 @@ def mix(
     )
 
 
+#: Most rows whose number of copies is broadcast (24 bytes each); beyond it the texts are shuffled.
+BROADCAST_ROWS = 1_000_000
+
+
 def mixed_documents(documents: DataFrame, **options) -> DataFrame:
-    """``documents`` with one row for each time the mix takes any of its words.
+    """``documents`` with each row as often as the mix takes its words, rounded.
 
-    A document of which the mix takes t of s words is returned ceil(t / s)
-    times. Documents that the mix does not touch are gone.
+    Only the first and last document of a shard's run are taken in part, so the
+    sources come near their targets. Documents that the mix doesn't take are gone.
     """
     columns = documents.columns
-    taken = mix(documents, **options).where("taken > 0")
-    times = F.ceil(F.col("taken") / F.col("size")).cast("int")
+    times = F.round(F.col("taken") / F.col("size")).cast("int")
     copies = (
-        taken.groupBy(F.col("doc_id").alias("_id"))
+        mix(documents, **options)
+        .where("taken > 0")
+        .groupBy(F.col("doc_id").alias("_id"))
         .agg(F.max(times).alias("_times"))
-        .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times"))))
+        .where("_times > 0")
     )
-    return documents.join(copies, F.col("doc_id").eqNullSafe(F.col("_id"))).select(*columns)
+    copies = Workspace(documents.sparkSession, "mixed").write(copies, "copies")
+    if copies.count() <= BROADCAST_ROWS:
+        copies = F.broadcast(copies)
+    joined = documents.join(copies, F.col("doc_id").eqNullSafe(F.col("_id")))
+    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*columns)

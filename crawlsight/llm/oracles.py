@@ -32,6 +32,31 @@ WITH norm AS (
 SELECT doc_id, min(doc_id) OVER w AS keep_id, (count(*) OVER w)::BIGINT AS group_size,
   doc_id = min(doc_id) OVER w AS kept, sha256(norm) AS text_sha256
 FROM norm WINDOW w AS (PARTITION BY norm)
+""",
+    "op9_lm_scoring": r"""
+WITH words AS (
+  SELECT d.n, d.doc_id, u.w, u.i
+  FROM (SELECT row_number() OVER () AS n, doc_id,
+          regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\x20\x09-\x0D]+') AS ws FROM documents) d,
+    LATERAL (SELECT unnest(d.ws) AS w, generate_subscripts(d.ws, 1) AS i) u
+), grams AS (
+  SELECT n, doc_id, i, w AS c, lag(w) OVER t AS b, lag(w, 2) OVER t AS a FROM words WINDOW t AS (PARTITION BY n ORDER BY i)
+), one AS (SELECT c, count(*) AS n1 FROM grams GROUP BY c),
+two AS (SELECT b, c, count(*) AS n2 FROM grams WHERE b IS NOT NULL GROUP BY b, c),
+three AS (SELECT a, b, c, count(*) AS n3 FROM grams WHERE a IS NOT NULL GROUP BY a, b, c),
+total AS (SELECT sum(n1)::DOUBLE AS words FROM one),
+scored AS (
+  SELECT g.n, CASE
+    WHEN g.a IS NOT NULL AND n3 >= 2 THEN ln(n3 / p.n2)
+    WHEN g.b IS NOT NULL AND q.n2 >= 2 THEN ln(CASE WHEN g.a IS NULL THEN 1 ELSE 0.4::DOUBLE END * q.n2 / o.n1)
+    ELSE ln(CASE WHEN g.b IS NULL THEN 1 WHEN g.a IS NULL THEN 0.4::DOUBLE ELSE 0.16::DOUBLE END * u.n1 / words) END AS s
+  FROM grams g JOIN one u ON u.c = g.c CROSS JOIN total
+    LEFT JOIN one o ON o.c = g.b LEFT JOIN two q ON q.b = g.b AND q.c = g.c
+    LEFT JOIN two p ON p.b = g.a AND p.c = g.b LEFT JOIN three t ON t.a = g.a AND t.b = g.b AND t.c = g.c
+), summed AS (SELECT n, count(*) AS k, sum(s) AS s FROM scored GROUP BY n)
+SELECT d.doc_id, coalesce(k, 0)::BIGINT AS n_words, round(coalesce(s, 0), 4) AS log_score
+FROM (SELECT row_number() OVER () AS n, doc_id FROM documents) d LEFT JOIN summed USING (n)
 """,
     "op10_top_k": """
 WITH usable AS (

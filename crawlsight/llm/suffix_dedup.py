@@ -202,7 +202,7 @@ def removals(documents: DataFrame) -> DataFrame:
 
     def ask_sample(chunk: C.Chunk, row):
         _, keys, places, n = _sample_keys(chunk, buckets)
-        yield from C.repeat_questions(chunk, keys, places, n)
+        yield from C.repeat_questions(chunk.number, keys, places, n)
 
     ranks = space.write(C.answered(C.asked(table, ask_sample), C.repeat_answers), "ranks", "none")
 
