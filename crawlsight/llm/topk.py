@@ -36,6 +36,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Depths of the lists that are looked at for a stop.
+DEPTHS = 64
+#: Rows whose score is resolved in each round, those with the best lower bounds.
+RESOLVED = 128
+#: Reading starts anew, at one such part of the depth that the bounds ask for, until it is within that factor.
+DEEPER = 8
 #: Largest scaled component for which float64 sums are exact up to 2 ** 5 * 2 ** 48.
 LARGEST = 2.0**24
 HIT = "query_id long, vec_id long, score long"
@@ -52,65 +58,65 @@ def scaled(embeddings: DataFrame) -> DataFrame:
     )
 
 
+class Lists:
+    """One sorted list per component over a block of rows."""
+
+    def __init__(self, rows: np.ndarray):
+        self.rows, self.n = rows, len(rows)
+        order = np.argsort(rows, axis=0, kind="stable")
+        self.value = np.ascontiguousarray(np.take_along_axis(rows, order, axis=0).T)
+        self.row = np.ascontiguousarray(order.T)
+
+    def frontier(self, query: np.ndarray, depth: int | np.ndarray) -> np.ndarray:
+        """The last contribution that each list gives when read to a depth."""
+        up, down = self.value[:, self.n - depth], self.value[:, depth - 1]
+        shape = (-1,) + (1,) * (up.ndim - 1)
+        return np.where((query > 0).reshape(shape), up, down) * query.reshape(shape)
+
+    def read(self, query: np.ndarray, depth: int, base: np.ndarray) -> np.ndarray:
+        """Per row, the sum of what its entries up to a depth exceed ``base`` by."""
+        out = np.zeros(self.n)
+        for some, at in ((query > 0, slice(self.n - depth, self.n)), (query < 0, slice(0, depth))):
+            if some.any():
+                gave = self.value[some, at] * query[some, None] - base[some, None]
+                out += np.bincount(self.row[some, at].ravel(), gave.ravel(), self.n)
+        return out
+
+
 def nra_block(
     ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int
 ) -> Iterator[tuple[int, int, int]]:
     """The k best (query_id, vec_id, score) of one block of rows for each query."""
-    n, lists = rows.shape
-    order = np.argsort(rows, axis=0, kind="stable").T.astype(np.int32)
-    values = np.ascontiguousarray(np.take_along_axis(rows, order.T.astype(np.int64), axis=0).T)
-    floor = np.float64(-np.inf)
+    lists = Lists(rows)
+    n, whole = len(rows), rows.astype(np.int64)
     for query_id, query in zip(query_ids, queries):
-        up = query > 0
-        final = np.where(up, values[:, 0], values[:, -1]) * query  # the least each list can give
-        own = np.flatnonzero(ids == query_id)
-        need = min(k, n - len(own))
-        if need <= 0:
+        other = ids != query_id
+        need = min(k, int(other.sum()))
+        if not need:
             continue
-        upper, lower, met = np.zeros(n), np.zeros(n), np.zeros(n, bool)
-        depth, step, kth = 0, max(16, n // 64), floor
-        live = np.flatnonzero(query)
+        final = lists.frontier(query, n)
+        depth, kth = max(1, n // DEPTHS), -np.inf
         while True:
-            until = min(n, depth + step)
-            met[own] = True
-            ends = np.where(up, values[:, n - until], values[:, until - 1]) * query  # the frontier
-            for i in live:
-                at = slice(n - until, n - depth) if up[i] else slice(depth, until)
-                row, gave = order[i, at], values[i, at] * query[i]
-                upper[row] += gave
-                lower[row] += gave - final[i]
-                met[row] = True
-            depth = until
-            low = lower + final.sum()
-            low[own] = floor
-            kth = np.partition(low, n - need)[n - need]
-            seen = np.flatnonzero(met & (low > floor))
-            if len(seen) >= need:
-                # The k rows with the best lower bounds are resolved at once: a sharper k-th bound.
-                top = seen[np.argpartition(low[seen], len(seen) - need)[len(seen) - need :]]
-                kth = max(kth, (rows[top] @ query).min())
-                if depth == n or ends.sum() < kth:
-                    break
-            if depth == n:
+            # Lower bounds up to this depth; the best ones are resolved, which gives the k-th best so far.
+            lower = np.where(other, lists.read(query, depth, final), -np.inf)
+            best = min(n - int((~other).sum()), max(need, RESOLVED))
+            top = np.argpartition(lower, n - best)[n - best :]
+            kth = max(kth, np.partition(rows[top] @ query, best - need)[best - need])
+            deeper = np.unique(np.linspace(depth, n, DEPTHS, dtype=np.int64))
+            enough = np.flatnonzero(lists.frontier(query, deeper).sum(axis=0) < kth)
+            until = int(deeper[enough[0]]) if len(enough) else n
+            if until <= DEEPER * depth or until == n:
                 break
-            step *= 2
-        counts = _read_counts(order, up, live, depth, n, ends)
-        bound = upper + counts  # what unread lists can still give
-        left = np.flatnonzero(met & (bound >= kth) & (low > floor))
-        score = (rows[left].astype(np.int64) * query.astype(np.int64)).sum(axis=1)
-        best = np.lexsort((ids[left], -score))[:k]
-        for j in best:
+            depth = max(depth + 1, until // DEEPER)
+        # No outsider reaches the k-th best; upper bounds of the others.
+        ends = lists.frontier(query, until)
+        upper = ends.sum() + lists.read(query, until, ends)
+        left = np.flatnonzero(other & ((upper >= kth) | (until == n)))
+        score = whole[left] @ query.astype(np.int64)
+        for j in np.lexsort((ids[left], -score))[:k]:
             yield int(query_id), int(ids[left[j]]), int(score[j])
 
 
-def _read_counts(order, up, live, depth: int, n: int, ends: np.ndarray) -> np.ndarray:
-    """Per row, the frontier's sum over the lists in which the row was not read."""
-    out = np.full(n, ends.sum())
-    for i in live:
-        out[order[i, n - depth :] if up[i] else order[i, :depth]] -= ends[i]
-    return out
-
-
 def top_k(
     embeddings: DataFrame, queries: DataFrame, k: int = 5, block_rows: int = 8192, query_rows: int = 2048
 ) -> DataFrame:
