@@ -28,11 +28,13 @@ from pyspark.sql import functions as F
 from .workspace import Workspace
 
 #: Bytes of text per chunk, unless a single text is longer.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 #: Texts per chunk at most.
 CHUNK_TEXTS = 1 << 16
 #: Bytes of text per bucket: the memory of an owner doesn't grow with the input.
 BUCKET_BYTES = 8 << 20
+#: Bytes of answers that are broadcast at most.
+BROADCAST_BYTES = 32 << 20
 #: Stands for a missing doc_id; such rows sort after all others.
 NO_ID = np.iinfo(np.int64).max
 CHUNK = "chunk long, ids binary, sizes binary, body binary"
@@ -91,34 +93,24 @@ def chunked(documents: DataFrame, space: Workspace) -> DataFrame:
     """``documents`` (doc_id, text) as a written table of chunks; null texts are empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids: list[int] = []
-        texts: list[bytes] = []
-        held, made, part = 0, 0, TaskContext.get().partitionId()
-
-        def flush() -> pa.RecordBatch:
-            body = zstandard.ZstdCompressor(level=3).compress(b"".join(texts))
-            row = [
-                [(part << 32) + made],
-                [np.array(ids, np.int64).tobytes()],
-                [np.array([len(t) for t in texts], np.int64).tobytes()],
-                [body],
-            ]
-            kinds = [pa.int64(), pa.binary(), pa.binary(), pa.binary()]
-            names = ["chunk", "ids", "sizes", "body"]
-            return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds)], names)
-
+        made, part = 0, TaskContext.get().partitionId()
         for batch in batches:
-            numbers = batch.column("doc_id").fill_null(int(NO_ID)).to_pylist()
-            for number, text in zip(numbers, batch.column("text")):
-                text = (text.as_py() or "").encode()
-                if texts and (held + len(text) > CHUNK_BYTES or len(texts) == CHUNK_TEXTS):
-                    yield flush()
-                    ids, texts, held, made = [], [], 0, made + 1
-                ids.append(number)
-                texts.append(text)
-                held += len(text)
-        if texts:
-            yield flush()
+            ids = batch.column("doc_id").fill_null(int(NO_ID)).to_numpy(zero_copy_only=False)
+            texts = batch.column("text").cast(pa.large_binary()).fill_null(b"")
+            ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+            data = memoryview(texts.buffers()[2] or b"")
+            at = 0
+            while at < len(ids):
+                until = int(np.searchsorted(ends, ends[at] + CHUNK_BYTES, "right")) - 1
+                until = min(max(at + 1, until), at + CHUNK_TEXTS, len(ids))
+                body = zstandard.ZstdCompressor(level=1).compress(data[ends[at] : ends[until]])
+                row = [(part << 32) + made, ids[at:until].tobytes(), np.diff(ends[at : until + 1]).tobytes(), body]
+                kinds = (pa.int64(), pa.binary(), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([v], k) for v, k in zip(row, kinds)], ["chunk", "ids", "sizes", "body"]
+                )
+                made += 1
+                at = until
 
     plain = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return space.write(plain.mapInArrow(run, CHUNK), "chunks", "none")
@@ -164,9 +156,15 @@ def answered(questions: DataFrame, answer: Callable) -> DataFrame:
 
 
 def returned(chunks: DataFrame, answers: DataFrame, name: str) -> DataFrame:
-    """``chunks`` with the array ``name`` of (bucket, body), in order of bucket; null without answers."""
+    """``chunks`` with the array ``name`` of (bucket, body), in order of bucket; null without answers.
+
+    The chunks stay where they are if all answers together have at most
+    ``BROADCAST_BYTES``, and are shuffled otherwise.
+    """
+    total = answers.agg(F.sum(F.length("body") + 32)).first()[0] or 0
     parts = F.array_sort(F.collect_list(F.struct("bucket", "body"))).alias(name)
-    return chunks.join(answers.groupBy("chunk").agg(parts), "chunk", "left")
+    gathered = answers.groupBy("chunk").agg(parts)
+    return chunks.join(F.broadcast(gathered) if total <= BROADCAST_BYTES else gathered, "chunk", "left")
 
 
 def by_bucket(unique: np.ndarray, buckets: np.ndarray) -> Iterator[tuple[int, slice]]:

@@ -13,14 +13,16 @@ that they can't have. A text's score is the sum of the logarithms.
 
 The plan is a join of n-grams with hash-partitioned count tables: each chunk counts
 its n-grams, deals the distinct ones by hash to the tables' owners, which add the
-counts up, and gets the totals of just its own n-grams back. N-grams that all texts
-share are pre-aggregated per chunk; nothing is collected or broadcast, so what moves
-grows with the corpus and no faster.
+counts up, and gets the totals of just its own n-grams back. Most word triples occur
+once, which the model treats like never, so a packed exchange first tells which ones
+occur again and only those are counted. N-grams that all texts share are
+pre-aggregated per chunk; nothing is collected or broadcast, so what moves grows with
+the corpus and no faster.
 
-N-grams are identified by 62 bits of a hash. Edge cases: null and empty texts have no
+N-grams are identified by 54 bits of a hash. Edge cases: null and empty texts have no
 words and the score 0; repeated rows count as often as they occur; rows without
 doc_id are scored like others; an empty table gives an empty result; extra columns
-are ignored.
+are ignored; with ``min_count`` below 2 triples that occur once are counted too.
 """
 
 from __future__ import annotations
@@ -44,6 +46,10 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 _SUMS = -1
 
 
+#: Bits that a key leaves out of its hash.
+_CUT = np.uint64(8)
+
+
 def _grams(chunk: C.Chunk) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     """(text of each word, its place in the text, keys per order); a key's low bits hold its order."""
     word, begin = words(chunk.data, chunk.starts)
@@ -55,31 +61,36 @@ def _grams(chunk: C.Chunk) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
         if order > 1:
             before = np.concatenate((np.zeros(min(len(word), order - 1), np.uint64), word[: max(0, len(word) - order + 1)]))
             running = mixed(running * _MIX + before)
-        keys.append((mixed(running + np.uint64(order)) & ~np.uint64(3)) | np.uint64(order))
+        keys.append((mixed(running + np.uint64(order)) >> _CUT & ~np.uint64(3)) | np.uint64(order))
     return text, place, keys
 
 
-def _unique(place: np.ndarray, keys: list[np.ndarray]):
-    """Distinct keys with counts, and each word's index per order (garbage where the order doesn't fit)."""
+def _ask_again(chunk: C.Chunk, buckets: int):
+    """Which of the chunk's triples occur in more than one place?"""
+    _, place, keys = _grams(chunk)
+    at = np.flatnonzero(place >= 2)
+    yield from C.repeat_questions(chunk.number, keys[2][at] << _CUT, at, buckets)
+
+
+def _counted(chunk: C.Chunk, row, buckets: int, all_triples: bool):
+    """(text, place, distinct keys, their counts, each word's index per order; -1 where there is none)."""
+    text, place, keys = _grams(chunk)
     fits = [place >= order for order in range(3)]
+    if not all_triples:
+        at = np.flatnonzero(fits[2])
+        unique, bucket, index, _ = C.repeat_keys(keys[2][at] << _CUT, at, buckets)
+        fits[2] = fits[2].copy()
+        fits[2][at] = C.repeat_flags(row.again, unique, bucket)[index]
     unique, index, count = np.unique(
         np.concatenate([k[f] for k, f in zip(keys, fits)]), return_inverse=True, return_counts=True
     )
     out, at = [], 0
     for f in fits:
-        own = np.zeros(len(place), np.int64)
+        own = np.full(len(place), -1)
         own[f] = index[at : at + int(f.sum())]
         at += int(f.sum())
         out.append(own)
-    return unique, count, out
-
-
-def _ask(chunk: C.Chunk, buckets: int):
-    _, place, keys = _grams(chunk)
-    unique, count, _ = _unique(place, keys)
-    for b, at in C.by_bucket(unique, C.bucket_of(unique, buckets)):
-        body = C.pack_sorted(unique[at])
-        yield b, chunk.number, len(body).to_bytes(8, "little") + body + C.pack(count[at].astype(np.uint32))
+    return text, place, unique, count, out
 
 
 def _answer(bodies: list[bytes]) -> tuple[list[bytes], int]:
@@ -102,23 +113,33 @@ def scores(documents: DataFrame, min_count: int = 2) -> DataFrame:
     buckets = C.bucket_count(documents)
     table = C.chunked(documents, space)
 
+    every = min_count < 2
+    if not every:
+        asked = C.asked(table, lambda chunk, row: _ask_again(chunk, buckets))
+        again = space.write(C.answered(asked, C.repeat_answers), "again", "none")
+        table = C.returned(table, again, "again")
+
+    def ask(chunk: C.Chunk, row):
+        _, _, unique, count, _ = _counted(chunk, row, buckets, every)
+        for b, at in C.by_bucket(unique, C.bucket_of(unique << _CUT, buckets)):
+            body = C.pack_sorted(unique[at])
+            yield b, chunk.number, len(body).to_bytes(8, "little") + body + C.pack(count[at].astype(np.uint32))
+
     def own(group: pd.DataFrame) -> pd.DataFrame:
         bodies, total = _answer(group["body"].tolist())
         return pd.DataFrame(
             {"chunk": [*group["chunk"], _SUMS], "bucket": [*group["bucket"], total], "body": [*bodies, b""]}
         )
 
-    questions = C.asked(table, lambda chunk, row: _ask(chunk, buckets))
-    answers = questions.groupBy("bucket").applyInPandas(own, "chunk long, bucket long, body binary")
+    answers = C.asked(table, ask).groupBy("bucket").applyInPandas(own, "chunk long, bucket long, body binary")
     answers = space.write(answers, "answers", "none")
     total = answers.where(F.col("chunk") == _SUMS).agg(F.sum("bucket")).first()[0] or 1
 
     def score(chunk: C.Chunk, row) -> pd.DataFrame:
-        text, place, keys = _grams(chunk)
+        text, place, _, _, index = _counted(chunk, row, buckets, every)
         logs = np.zeros(0)
         if len(text):
-            _, _, index = _unique(place, keys)
-            counts = np.concatenate([C.unpack(a["body"], "i8")[0] for a in row.answers])
+            counts = np.concatenate([*(C.unpack(a["body"], "i8")[0] for a in row.answers), np.zeros(1, np.int64)])
             one, two, three = (counts[i].astype(float) for i in index)
             before, pair = np.roll(one, 1), np.roll(two, 1)
             use3 = (place >= 2) & (three >= min_count)
