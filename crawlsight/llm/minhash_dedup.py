@@ -13,8 +13,10 @@
 4. Candidates are confirmed on the full sets, in two rounds. In the first each
    bucket's members are compared with its smallest one, and the confirmed links give
    components. In the second, only members of a bucket that lie in different
-   components are compared: a link within a component changes nothing. So a group
-   of n near copies takes about n comparisons, and no link between components is lost.
+   components are compared: a link within a component changes nothing. Sets whose
+   own shingles rule out any link are left out of it, and pairs by what they can
+   share at most. So a group of n near copies takes about n comparisons, and no link
+   between components is lost.
 
 Edge cases: null texts, empty texts and texts of white space have an empty set and
 link with nothing; texts with fewer than five words have one shingle, the whole
@@ -31,11 +33,13 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import chunks as C
 from .components import components
+from .packed_sets import BUCKET_KEYS, supports
 from .shingles import batches, mixed, text_shingles
 from .workspace import Workspace
 
@@ -43,8 +47,6 @@ BITS, BLOCKS, WIDTH, ERRORS = 16, 10, 6, 1
 COORDINATES = BLOCKS * WIDTH
 #: Signatures per row of the signature table.
 ROWS = 2048
-#: Keys per bucket of the packed exchange.
-BUCKET_KEYS = 1 << 20
 #: Most doc_ids that are broadcast (8 MB); beyond it the texts are shuffled.
 BROADCAST_IDS = 1_000_000
 
@@ -72,7 +74,7 @@ def index_keys(signature: np.ndarray) -> np.ndarray:
     salted = mixed(blocks + (np.arange(BLOCKS * WIDTH, dtype=np.uint64).reshape(BLOCKS, WIDTH) << np.uint64(BITS)) + np.uint64(1))
     total = salted.sum(axis=2, keepdims=True, dtype=np.uint64)
     out = np.arange(BLOCKS * WIDTH, dtype=np.uint64).reshape(BLOCKS, WIDTH)
-    return mixed((total - salted) ^ (out << np.uint64(48))).reshape(len(signature), -1)
+    return mixed((total - salted) ^ (out << np.uint64(48))).reshape(len(signature), COORDINATES)
 
 
 def _digest(values: np.ndarray) -> bytes:
@@ -86,8 +88,6 @@ def _sets(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 def signed(documents: DataFrame) -> DataFrame:
     """(chunk, body): doc_ids, set sizes, set digests and signatures, packed by the thousand."""
-    from pyspark import TaskContext
-
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made, part = 0, TaskContext.get().partitionId()
         for batch in parts:
@@ -148,12 +148,13 @@ def _similar(a: Column, b: Column, percent: int) -> Column:
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of digests whose sets are similar enough."""
+    """The links (doc_id a, doc_id b) of pairs (a, b, doc_a, doc_b) of digests whose sets are similar enough."""
     left = sets.select(F.col("digest").alias("a"), F.col("shingles").alias("set_a"))
     right = sets.select(F.col("digest").alias("b"), F.col("shingles").alias("set_b"))
     shared = F.size(F.array_intersect("set_a", "set_b"))
     union = F.size("set_a") + F.size("set_b") - shared
-    return pairs.join(left, "a").join(right, "b").where(100 * shared >= percent * union).select("a", "b")
+    similar = pairs.join(left, "a").join(right, "b").where(100 * shared >= percent * union)
+    return similar.select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b"))
 
 
 def near_groups(documents: DataFrame, percent: int = 85) -> DataFrame:
@@ -205,44 +206,43 @@ def near_groups(documents: DataFrame, percent: int = 85) -> DataFrame:
     pivots = space.write(pivots.select("key", "p"), "pivots")
     filed = space.write(postings.join(pivots, "key"), "filed")
     space.drop("postings")
+    space.release()
     tested = (
         filed.where(F.col("digest") != F.col("p.digest"))
         .where(_similar(F.col("n"), F.col("p.n"), percent))
-        .select(F.col("digest").alias("a"), F.col("p.digest").alias("b"))
+        .select(F.col("digest").alias("a"), F.col("first").alias("doc_a"), F.col("p.digest").alias("b"), F.col("p.first").alias("doc_b"))
         .distinct()
     )
     tested = space.write(tested, "tested")
     wanted = filed.select("digest", "first").distinct()
     sets = space.write(_full_sets(documents, wanted), "sets")
-    named = classes.select("digest", "first")
-
-    def as_links(pairs: DataFrame) -> DataFrame:
-        return (
-            pairs.join(named.select(F.col("digest").alias("a"), F.col("first").alias("doc_a")), "a")
-            .join(named.select(F.col("digest").alias("b"), F.col("first").alias("doc_b")), "b")
-            .select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b"))
-        )
-
     copies = _copies(members)
-    links = space.write(as_links(_confirmed(tested, sets, percent)).union(copies), "links")
+    links = space.write(_confirmed(tested, sets, percent).union(copies), "links")
+    space.release()
     labels = components(links, space, "round1")
     placed = filed.join(labels, filed["first"] == labels["node"], "left").select(
-        "key", "digest", "n", F.coalesce("component", "first").alias("component"), F.col("p.digest").alias("pivot")
+        "key", "digest", "first", "n", F.coalesce("component", "first").alias("component")
     )
     split = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
     open_ = space.write(placed.join(split.select("key"), "key", "left_semi"), "open")
-    other = open_.select("key", *[F.col(c).alias(f"{c}_b") for c in ("digest", "n", "component")])
+    held = supports(sets.join(open_.select("digest").distinct(), "digest", "left_semi"), space)
+    able = held.where(100 * F.col("support") >= percent * F.col("n")).select("digest", "support")
+    # A set has at most as many keys as the index gives it.
+    able = open_.groupBy("digest", "first", "n", "component").agg(F.collect_set("key").alias("keys")).join(able, "digest")
+    able = space.write(able, "able")
+    space.release()
+    one = able.withColumn("key", F.explode("keys"))
+    other = one.select("key", *[F.col(c).alias(f"{c}_b") for c in able.columns])
+    most = F.least("support", "support_b")
     crossing = (
-        open_.join(other, "key")
+        one.join(other, "key")
         .where((F.col("digest") < F.col("digest_b")) & (F.col("component") != F.col("component_b")))
         .where(_similar(F.col("n"), F.col("n_b"), percent))
-        .select(F.col("digest").alias("a"), F.col("digest_b").alias("b"))
-        .distinct()
-    )
-    crossing = crossing.join(tested, ["a", "b"], "left_anti").join(
-        tested.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti"
+        .where(100 * most >= percent * (F.col("n") + F.col("n_b") - most))
+        .where(F.array_min(F.array_intersect("keys", "keys_b")) == F.col("key"))  # a pair comes from one bucket only
+        .select(F.col("digest").alias("a"), F.col("first").alias("doc_a"), F.col("digest_b").alias("b"), F.col("first_b").alias("doc_b"))
     )
-    found = space.write(as_links(_confirmed(crossing, sets, percent)), "found")
+    found = space.write(_confirmed(crossing, sets, percent), "found")
     if not found.isEmpty():
         labels = components(links.union(found), space, "round2")
     return (

@@ -30,6 +30,23 @@ SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
 
 
+_KEPT: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the hash's base and of its inverse; kept for texts of ordinary length."""
+    kept = _KEPT.get("powers")
+    if kept is None or len(kept[0]) <= size:
+        wide = max(size, 1 << 20) + 1
+        kept = tuple(
+            np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(wide, base, np.uint64))), dtype=np.uint64)
+            for base in (_PRIME, pow(_PRIME, -1, 1 << 64))
+        )
+        if wide <= 1 << 22:
+            _KEPT["powers"] = kept
+    return kept
+
+
 def words(data: np.ndarray, starts: np.ndarray, extra: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(hash, begin) of each word of texts that lie end to end; no word crosses a start.
 
@@ -47,21 +64,15 @@ def words(data: np.ndarray, starts: np.ndarray, extra: np.ndarray | None = None)
     shuts[:-1] &= ~solid[1:]
     shuts[inner - 1] = solid[inner - 1]
     begin, end = np.flatnonzero(opens), np.flatnonzero(shuts) + 1
-    powers = np.cumprod(np.concatenate(([1], np.full(size, _PRIME, np.uint64))).astype(np.uint64), dtype=np.uint64)
-    back = np.full(size, pow(_PRIME, -1, 1 << 64), np.uint64)
-    inverse = np.cumprod(np.concatenate((np.ones(1, np.uint64), back)), dtype=np.uint64)
+    powers, inverse = _powers(size)
     codes = (LOWER[data].astype(np.uint64) + np.uint64(1)) * powers[:size]
     total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(codes, dtype=np.uint64)))
     value = (total[end] - total[begin]) * inverse[begin]
     return mixed(value ^ ((end - begin).astype(np.uint64) * _MIX)), begin
 
 
-def shingle_sets(word: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct shingle hashes of each text, sorted, end to end, and their number per text.
-
-    ``counts`` holds the words per text. A text with fewer words than a shingle
-    has one shingle, the whole sequence; a text without words has none.
-    """
+def shingles(word: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, text) of all shingles in order of their texts; ``counts`` holds the words per text."""
     texts = len(counts)
     first = np.concatenate(([0], np.cumsum(counts)))
     made = np.where(counts >= SHINGLE, counts - SHINGLE + 1, np.minimum(counts, 1))
@@ -75,7 +86,18 @@ def shingle_sets(word: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.n
         more ^= more >> np.uint64(29)
         value = np.where(i < size, more, value)
     value = mixed(value)
-    order = np.lexsort((value, owner))
+    return value, owner
+
+
+def shingle_sets(word: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct shingle hashes of each text, sorted, end to end, and their number per text.
+
+    ``counts`` holds the words per text. A text with fewer words than a shingle
+    has one shingle, the whole sequence; a text without words has none.
+    """
+    value, owner, texts = *shingles(word, counts), len(counts)
+    # One key of the text and the hash's leading 44 bits sorts much faster than two keys.
+    order = np.argsort((owner.astype(np.uint64) << np.uint64(44)) | (value >> np.uint64(20)))
     value, owner = value[order], owner[order]
     new = np.ones(len(value), bool)
     new[1:] = (value[1:] != value[:-1]) | (owner[1:] != owner[:-1])

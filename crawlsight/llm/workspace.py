@@ -8,6 +8,7 @@ only a session without that setting (a test) gets a temporary folder of its own.
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -42,9 +43,24 @@ class Workspace:
         frame.write.mode("overwrite").option("compression", compression).parquet(path)
         return self.spark.read.schema(frame.schema).parquet(path)
 
+    def write_split(self, frame: DataFrame, name: str, by: str) -> DataFrame:
+        """As ``write``, in one folder per value of a column, so that a part can be dropped by itself."""
+        path = f"{self.root}/{name}"
+        frame.write.mode("overwrite").option("compression", "none").partitionBy(by).parquet(path)
+        return self.spark.read.schema(frame.schema).parquet(path)
+
     def drop(self, name: str) -> None:
         self._remove(f"{self.root}/{name}")
 
+    def release(self) -> None:
+        """Let Spark delete the shuffle files of finished steps now.
+
+        Spark deletes them when the driver's garbage collector finds their step
+        unused, which may be long after the step.
+        """
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def _remove(self, path: str) -> None:
         context = self.spark.sparkContext
         if context._jsc is None or context._jsc.sc().isStopped():
