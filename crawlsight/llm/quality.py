@@ -146,7 +146,7 @@ class Model:
             index, count = np.unique(bucket, return_counts=True)
             found.append(index)
             shares.append(count / max(1, len(bucket)) / len(FAMILIES))
-        return np.concatenate(found), np.concatenate(shares)
+        return np.concatenate(found).astype(np.int32), np.concatenate(shares).astype(np.float32)
 
     def fit(self, texts: list[bytes], labels: np.ndarray, epochs: int = 4, rate: float = 4.0, seed: int = 7) -> Model:
         rng = np.random.default_rng(seed)
@@ -187,7 +187,7 @@ def score_texts(texts: list[bytes], table: np.ndarray, bias: float) -> np.ndarra
     return 1 / (1 + np.exp(-np.clip(out, -50, 50)))
 
 
-def train(documents: DataFrame, labels: DataFrame, max_train_docs: int = 5000) -> tuple[np.ndarray, float]:
+def train(documents: DataFrame, labels: DataFrame, max_train_docs: int = 3000) -> tuple[np.ndarray, float]:
     """Fit on at most ``max_train_docs`` rows of ``labels`` (doc_id, quality), with whole texts."""
     chosen = (
         labels.where("doc_id IS NOT NULL AND quality IS NOT NULL")
