@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .workspace import Workspace
 
 #: Bytes of text per chunk, unless a single text is longer.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 2 << 20
 #: Texts per chunk at most.
 CHUNK_TEXTS = 1 << 16
 #: Bytes of text per bucket: the memory of an owner doesn't grow with the input.
@@ -37,7 +37,9 @@ BUCKET_BYTES = 8 << 20
 BROADCAST_BYTES = 32 << 20
 #: Stands for a missing doc_id; such rows sort after all others.
 NO_ID = np.iinfo(np.int64).max
-CHUNK = "chunk long, ids binary, sizes binary, body binary"
+#: Number of the question that is a note of the chunk to itself.
+NOTE = -1
+CHUNK = "chunk long, ids binary, sizes binary, body binary, bucket long, question binary"
 
 
 def pack(*arrays: np.ndarray) -> bytes:
@@ -84,13 +86,28 @@ class Chunk:
         self.starts = np.concatenate(([0], np.cumsum(np.frombuffer(row.sizes, np.int64))))
         self.data = np.frombuffer(zstandard.ZstdDecompressor().decompress(row.body), np.uint8)
 
+    @classmethod
+    def of(cls, number: int, ids: np.ndarray, sizes: np.ndarray, text) -> Chunk:
+        """A chunk that is just being made."""
+        out = cls.__new__(cls)
+        out.number, out.ids = number, ids
+        out.starts = np.concatenate(([0], np.cumsum(sizes)))
+        out.data = np.frombuffer(text, np.uint8)
+        return out
+
     def owners(self) -> np.ndarray:
         """The index of the text that each byte belongs to."""
         return np.repeat(np.arange(len(self.ids), dtype=np.int32), np.diff(self.starts))
 
 
-def chunked(documents: DataFrame, space: Workspace) -> DataFrame:
-    """``documents`` (doc_id, text) as a written table of chunks; null texts are empty."""
+def chunked(documents: DataFrame, space: Workspace, ask: Callable | None = None) -> tuple[DataFrame, DataFrame]:
+    """``documents`` (doc_id, text) as chunks, and the first questions of each; null texts are empty.
+
+    ``ask(chunk)`` yields (bucket, chunk's number, question). A question to the
+    bucket ``NOTE`` stays with the chunk, as its column ``note``. Both come from one
+    pass over the texts and one written table, which suits questions that are small
+    beside the texts.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made, part = 0, TaskContext.get().partitionId()
@@ -103,17 +120,26 @@ def chunked(documents: DataFrame, space: Workspace) -> DataFrame:
             while at < len(ids):
                 until = int(np.searchsorted(ends, ends[at] + CHUNK_BYTES, "right")) - 1
                 until = min(max(at + 1, until), at + CHUNK_TEXTS, len(ids))
-                body = zstandard.ZstdCompressor(level=1).compress(data[ends[at] : ends[until]])
-                row = [(part << 32) + made, ids[at:until].tobytes(), np.diff(ends[at : until + 1]).tobytes(), body]
-                kinds = (pa.int64(), pa.binary(), pa.binary(), pa.binary())
+                text = data[ends[at] : ends[until]]
+                chunk = Chunk.of((part << 32) + made, ids[at:until], np.diff(ends[at : until + 1]), text)
+                asked = list(ask(chunk)) if ask else []
+                note = next((q for b, _, q in asked if b == NOTE), None)
+                body = zstandard.ZstdCompressor(level=3).compress(text)
+                sizes = np.diff(chunk.starts).tobytes()
+                rows = [(chunk.number, chunk.ids.tobytes(), sizes, body, None, note)]
+                rows += [(chunk.number, None, None, None, b, q) for b, _, q in asked if b != NOTE]
+                kinds = (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([v], k) for v, k in zip(row, kinds)], ["chunk", "ids", "sizes", "body"]
+                    [pa.array(c, k) for c, k in zip(zip(*rows), kinds)],
+                    ["chunk", "ids", "sizes", "body", "bucket", "question"],
                 )
                 made += 1
                 at = until
 
     plain = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return space.write(plain.mapInArrow(run, CHUNK), "chunks", "none")
+    both = space.write(plain.mapInArrow(run, CHUNK), "chunks", "none")
+    own = both.where("bucket IS NULL").select("chunk", "ids", "sizes", "body", F.col("question").alias("note"))
+    return own, both.where("bucket IS NOT NULL").select("bucket", "chunk", F.col("question").alias("body"))
 
 
 def bucket_count(documents: DataFrame) -> int:
@@ -178,20 +204,24 @@ def by_bucket(unique: np.ndarray, buckets: np.ndarray) -> Iterator[tuple[int, sl
 
 # --- which keys occur in more than one place ---------------------------------------------
 
+#: Bits of a key beside its bucket. With a bucket of a few million keys about one key in a
+#: thousand meets a stranger; answers are a screen, so that costs work and no result.
+KEY_BITS = 30
+
 
-def repeat_questions(chunk: int, keys: np.ndarray, places: np.ndarray, buckets: int):
+def repeat_questions(chunk: int, keys: np.ndarray, places: np.ndarray, buckets: int, bits: int = KEY_BITS):
     """One question per bucket: is a key in more than one place?"""
-    unique, bucket, _, many = repeat_keys(keys, places, buckets)
+    unique, bucket, _, many = repeat_keys(keys, places, buckets, bits)
     for b, at in by_bucket(unique, bucket):
         bits = np.packbits(many[at])
         keys_ = pack_sorted(unique[at] & np.uint64(0xFFFFFFFF))
         yield b, chunk, len(keys_).to_bytes(8, "little") + keys_ + zstandard.ZstdCompressor(level=1).compress(bits.tobytes())
 
 
-def repeat_keys(keys: np.ndarray, places: np.ndarray, buckets: int):
-    """Unique keys cut to (bucket, 32 bits), their buckets, each key's index, and whether a chunk has it in two places."""
+def repeat_keys(keys: np.ndarray, places: np.ndarray, buckets: int, bits: int = KEY_BITS):
+    """Unique keys cut to (bucket, some bits), their buckets, each key's index, and whether a chunk has it in two places."""
     bucket = bucket_of(keys, buckets)
-    short = (bucket.astype(np.uint64) << np.uint64(32)) | (keys & np.uint64(0xFFFFFFFF))
+    short = (bucket.astype(np.uint64) << np.uint64(32)) | (keys & np.uint64((1 << bits) - 1))
     unique, index = np.unique(short, return_inverse=True)
     least, most = np.full(len(unique), NO_ID), np.full(len(unique), -1, np.int64)
     np.minimum.at(least, index, places)

@@ -12,16 +12,19 @@ those that may be tied with a suffix of another document.
    bytes. The sample's suffixes are dealt to buckets and ranked there into
    "unique" and "tied": one bit each is the precomputed cover rank.
 2. Suffixes without a tied sample in their first ``PERIOD`` positions can't repeat
-   and go no further. The others are grouped by the least hash among their
-   ``SAMPLE``-byte substrings (equal suffixes choose the same one), and the suffixes
+   and go no further. The hashes of the others' ``WIDTH`` bytes are screened in the
+   same way, which leaves the suffixes that do repeat, and no text around them.
+3. The suffixes that are left are grouped by the least hash among their
+   ``ANCHOR``-byte substrings (equal suffixes choose the same one), and neighbours
    that share an occurrence of it travel as one context of at most
-   ``WIDTH + PERIOD - 1`` bytes. Equal contexts of a chunk travel once, with the
+   ``CONTEXT`` bytes. Equal contexts of a chunk travel once, with the
    smallest doc_id.
-3. The owner of a bucket sorts its suffixes by their bytes, and answers for each
-   context which of its suffixes start in a document with a smaller doc_id.
-4. Each chunk marks the covered bytes.
+4. The owner of a bucket sorts its suffixes by their bytes, those with the anchor at
+   one offset at a time, and answers for each context which of its suffixes start in
+   a document with a smaller doc_id.
+5. Each chunk marks the covered bytes.
 
-The strings themselves are compared in step 3, so hashes decide nothing alone.
+The strings themselves are compared in step 4, so hashes decide nothing alone.
 A passage that a third of all documents share costs one context per chunk.
 
 Edge cases: null texts are empty; texts shorter than ``WIDTH`` bytes lose nothing;
@@ -45,11 +48,16 @@ from . import chunks as C
 from .workspace import Workspace
 
 WIDTH = 50
-PERIOD = 31
-#: A perfect difference set modulo 31: every residue but 0 is one difference of two members.
-COVER = (1, 5, 11, 24, 25, 27)
+PERIOD = 21
+#: A perfect difference set modulo 21: every residue but 0 is one difference of two members.
+COVER = (3, 6, 7, 12, 14)
 SAMPLE = WIDTH - PERIOD + 1
-CONTEXT = WIDTH + PERIOD - 1
+#: Bytes of an anchor, and how many anchors a string of WIDTH bytes may choose from.
+ANCHOR = 20
+CHOICES = WIDTH - ANCHOR + 1
+CONTEXT = WIDTH + CHOICES - 1
+#: Bits beside the bucket that screen whole windows: one in a hundred that doesn't repeat passes.
+WINDOW_BITS = 27
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,length:long>>"
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -57,11 +65,11 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 _PLACE_BITS = np.uint64(28)
 
 
-def _hashes(data: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the SAMPLE bytes from each position."""
+def _hashes(data: np.ndarray, at: np.ndarray, width: int = SAMPLE) -> np.ndarray:
+    """64-bit hashes of ``width`` bytes from each position."""
     words = np.lib.stride_tricks.sliding_window_view(data, 8)
     out = np.zeros(len(at), np.uint64)
-    for shift in (0, 8, SAMPLE - 8):
+    for shift in (*range(0, width - 8, 8), width - 8):
         word = np.ascontiguousarray(words[at + shift]).view(np.uint64).ravel()
         out = (out ^ word) * _MIX
         out ^= out >> np.uint64(31)
@@ -73,11 +81,13 @@ def _sample(chunk: C.Chunk) -> tuple[np.ndarray, np.ndarray]:
     """Sampled positions of a chunk and the text of each."""
     wanted = np.zeros(PERIOD, bool)
     wanted[list(COVER)] = True
-    owner = chunk.owners()
-    place = np.arange(len(chunk.data)) - chunk.starts[owner]
-    fits = place + SAMPLE <= np.diff(chunk.starts)[owner]
-    at = np.flatnonzero(wanted[place % PERIOD] & fits)
-    return at, owner[at]
+    sizes = np.diff(chunk.starts)
+    # The pattern of the longest text's sampled places serves all texts.
+    places = np.flatnonzero(wanted[np.arange(max(0, int(sizes.max(initial=0)) - SAMPLE + 1)) % PERIOD])
+    made = np.searchsorted(places, sizes - SAMPLE, "right")
+    owner = np.repeat(np.arange(len(sizes)), made)
+    at = chunk.starts[owner] + places[np.arange(len(owner)) - np.repeat(np.cumsum(made) - made, made)]
+    return at, owner
 
 
 def _sample_keys(chunk: C.Chunk, buckets: int):
@@ -87,43 +97,58 @@ def _sample_keys(chunk: C.Chunk, buckets: int):
 
 
 def _least(values: np.ndarray) -> np.ndarray:
-    """Minima of each PERIOD neighbours, by doubling."""
+    """Minima of each CHOICES neighbours, by doubling."""
     width = 1
-    while 2 * width <= PERIOD:
+    while 2 * width <= CHOICES:
         values = np.minimum(values[:-width], values[width:])
         width *= 2
-    rest = PERIOD - width
+    rest = CHOICES - width
     return np.minimum(values[: len(values) - rest], values[rest:]) if rest else values
 
 
-def _contexts(chunk: C.Chunk, tied: np.ndarray):
-    """(start, suffixes, anchor's offset, anchor's hash) of the contexts of all suffixes with a tied sample."""
+def _candidates(chunk: C.Chunk, row, buckets: int) -> np.ndarray:
+    """The suffixes with a tied sample among their first positions."""
+    at, keys, places, _ = _sample_keys(chunk, buckets)
+    unique, bucket, index, _ = C.repeat_keys(keys, places, buckets)
+    tied = at[C.repeat_flags(row.ranks, unique, bucket)[index]]
     size = len(chunk.data)
-    none = [np.zeros(0, np.int64)] * 3 + [np.zeros(0, np.uint64)]
     if size < WIDTH or not len(tied):
-        return none
-    owner = chunk.owners()
-    begin, end = chunk.starts[owner[tied]], chunk.starts[owner[tied] + 1]
-    first, last = np.maximum(begin, tied - PERIOD + 1), np.minimum(tied, end - WIDTH)
+        return np.zeros(0, np.int64)
+    owner = np.searchsorted(chunk.starts, tied, "right") - 1
+    first = np.maximum(chunk.starts[owner], tied - PERIOD + 1)
+    last = np.minimum(tied, chunk.starts[owner + 1] - WIDTH)
     some = first <= last
     step = np.bincount(first[some], minlength=size + 1) - np.bincount(last[some] + 1, minlength=size + 1)
-    suffix = np.flatnonzero(np.cumsum(step[:size]) > 0)
+    return np.flatnonzero(np.cumsum(step[:size]) > 0)
+
+
+def _window_keys(chunk: C.Chunk, suffix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of the whole window, doc_id) of each suffix."""
+    owner = np.searchsorted(chunk.starts, suffix, "right") - 1
+    return (_hashes(chunk.data, suffix, WIDTH) if len(suffix) else np.zeros(0, np.uint64)), chunk.ids[owner]
+
+
+def _contexts(chunk: C.Chunk, suffix: np.ndarray):
+    """(start, suffixes, anchor's offset, anchor's hash) of the contexts of these suffixes."""
+    size = len(chunk.data)
     if not len(suffix):
-        return none
+        return [np.zeros(0, np.int64)] * 3 + [np.zeros(0, np.uint64)]
+    owner = np.searchsorted(chunk.starts, suffix, "right") - 1
     # Only the bytes below some suffix are hashed: they are packed, stretch by stretch.
     step = np.bincount(suffix, minlength=size + 1)
     step[: size + 1] -= np.bincount(np.minimum(suffix + WIDTH, size), minlength=size + 1)[: size + 1]
     used = np.flatnonzero(np.cumsum(step[:size]) > 0)
     packed = np.searchsorted(used, suffix)
-    grams = np.concatenate((_hashes(chunk.data[used], np.arange(len(used) - SAMPLE + 1)), np.zeros(0, np.uint64)))
+    grams = _hashes(chunk.data[used], np.arange(len(used) - ANCHOR + 1), ANCHOR)
     tagged = (grams >> _PLACE_BITS << _PLACE_BITS) | np.arange(len(grams), dtype=np.uint64)
     least = _least(tagged)[packed]
     anchor = used[(least & ((np.uint64(1) << _PLACE_BITS) - np.uint64(1))).astype(np.int64)]
     new = np.ones(len(suffix), bool)
-    new[1:] = (np.diff(suffix) != 1) | (np.diff(anchor) != 0) | (np.diff(owner[suffix]) != 0)
+    new[1:] = (np.diff(suffix) != 1) | (np.diff(anchor) != 0) | (np.diff(owner) != 0)
     at = np.flatnonzero(new)
     count = np.diff(np.concatenate((at, [len(suffix)])))
-    return suffix[at], count, anchor[at] - suffix[at], least[at] >> _PLACE_BITS << _PLACE_BITS
+    # The least of many hashes is small: it is mixed again, so that buckets fill evenly.
+    return suffix[at], count, anchor[at] - suffix[at], (least[at] >> _PLACE_BITS) * _MIX
 
 
 def _records(chunk: C.Chunk, start: np.ndarray, count: np.ndarray, offset: np.ndarray) -> np.ndarray:
@@ -131,10 +156,10 @@ def _records(chunk: C.Chunk, start: np.ndarray, count: np.ndarray, offset: np.nd
 
     The last byte is never 0, so that comparing them as strings compares all bytes.
     """
-    column = np.arange(CONTEXT)
-    index = np.minimum(start[:, None] + column, len(chunk.data) - 1)
-    out = np.zeros((len(start), CONTEXT + 2), np.uint8)
-    out[:, :CONTEXT] = np.where(column < (count + WIDTH - 1)[:, None], chunk.data[index], 0)
+    padded = np.concatenate((chunk.data, np.zeros(CONTEXT, np.uint8)))
+    out = np.empty((len(start), CONTEXT + 2), np.uint8)
+    out[:, :CONTEXT] = np.lib.stride_tricks.sliding_window_view(padded, CONTEXT)[start]
+    out[:, :CONTEXT][np.arange(CONTEXT) >= (count + WIDTH - 1)[:, None]] = 0
     out[:, CONTEXT], out[:, CONTEXT + 1] = offset + 1, count
     return out
 
@@ -143,6 +168,27 @@ def _strings(rows: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(rows).view(f"S{rows.shape[1]}").ravel()
 
 
+def _sort_suffixes(distinct: np.ndarray, first: np.ndarray, best: np.ndarray, contexts: np.ndarray) -> None:
+    """Sort the contexts' suffixes and set the smallest doc_id of each equal run in ``best``.
+
+    Equal suffixes have their anchor at the same offset, so each offset is sorted by itself.
+    """
+    flat = np.lib.stride_tricks.sliding_window_view(distinct.ravel(), WIDTH)
+    offset, count = distinct[contexts, CONTEXT].astype(np.int64) - 1, distinct[contexts, CONTEXT + 1].astype(np.int64)
+    for ahead in range(CHOICES):
+        step = offset - ahead
+        fits = np.flatnonzero((step >= 0) & (step < count))
+        if not len(fits):
+            continue
+        index, step = contexts[fits], step[fits]
+        suffixes = _strings(flat[index * distinct.shape[1] + step])
+        order = np.argsort(suffixes, kind="stable")
+        suffixes = suffixes[order]
+        head = np.concatenate(([True], suffixes[1:] != suffixes[:-1]))
+        least = np.minimum.reduceat(first[index][order], np.flatnonzero(head))
+        best[index[order], step[order]] = least[np.cumsum(head) - 1]
+
+
 def _suffix_answers(bodies: list[bytes]) -> list[bytes]:
     """For each context a bit per suffix: it starts in a document with a smaller doc_id."""
     parts = [C.unpack(b, "u1", "i8") for b in bodies]
@@ -153,27 +199,19 @@ def _suffix_answers(bodies: list[bytes]) -> list[bytes]:
     first = np.full(len(distinct), C.NO_ID)
     np.minimum.at(first, context, ids)
     # A suffix occurs in one context only if its anchor's string has one context only.
-    index, step = np.nonzero(np.arange(PERIOD) < distinct[:, CONTEXT + 1, None])
-    best = np.full((len(distinct), PERIOD), C.NO_ID)
+    index, step = np.nonzero(np.arange(CHOICES) < distinct[:, CONTEXT + 1, None])
+    best = np.full((len(distinct), CHOICES), C.NO_ID)
     best[index, step] = first[index]
     anchors = _strings(
         np.concatenate(
-            (distinct[np.arange(len(distinct))[:, None], (distinct[:, CONTEXT] - 1)[:, None] + np.arange(SAMPLE)],
+            (distinct[np.arange(len(distinct))[:, None], (distinct[:, CONTEXT] - 1)[:, None] + np.arange(ANCHOR)],
              np.ones((len(distinct), 1), np.uint8)),
             axis=1,
         )
     )
     _, anchor, contexts = np.unique(anchors, return_inverse=True, return_counts=True)
-    several = contexts[anchor][index] > 1
-    index, step = index[several], step[several]
-    if len(index):
-        suffixes = _strings(distinct[index[:, None], step[:, None] + np.arange(WIDTH)])
-        order = np.argsort(suffixes, kind="stable")
-        sorted_ = suffixes[order]
-        head = np.concatenate(([True], sorted_[1:] != sorted_[:-1]))
-        least = np.minimum.reduceat(first[index][order], np.flatnonzero(head))
-        best[index[order], step[order]] = least[np.cumsum(head) - 1]
-    bits = (best[context] < ids[:, None]) @ (np.uint32(1) << np.arange(PERIOD, dtype=np.uint32))
+    _sort_suffixes(distinct, first, best, np.flatnonzero(contexts[anchor] > 1))
+    bits = (best[context] < ids[:, None]) @ (np.uint32(1) << np.arange(CHOICES, dtype=np.uint32))
     cut = np.cumsum([len(i) for _, i in parts])[:-1]
     return [p.astype(np.uint32).tobytes() for p in np.split(bits, cut)]
 
@@ -187,9 +225,9 @@ def _covered(chunk: C.Chunk, row) -> np.ndarray:
     answers = [np.frombuffer(a["body"], np.uint32) for a in (row.masks if row.masks is not None else [])]
     mask = np.concatenate([*answers, np.zeros(0, np.uint32)])[index]
     mask = np.where(later.astype(bool), np.uint32(0xFFFFFFFF), mask)
-    hit = ((mask[:, None] >> np.arange(PERIOD, dtype=np.uint32)) & 1).astype(bool)
-    hit &= np.arange(PERIOD) < count[:, None]
-    at = (start.astype(np.int64)[:, None] + np.arange(PERIOD))[hit]
+    hit = ((mask[:, None] >> np.arange(CHOICES, dtype=np.uint32)) & 1).astype(bool)
+    hit &= np.arange(CHOICES) < count[:, None]
+    at = (start.astype(np.int64)[:, None] + np.arange(CHOICES))[hit]
     step = np.bincount(at, minlength=size + 1) - np.bincount(at + WIDTH, minlength=size + 1)[: size + 1]
     return np.cumsum(step[:size]) > 0
 
@@ -198,19 +236,28 @@ def removals(documents: DataFrame) -> DataFrame:
     """Per input row: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the removed spans in bytes."""
     space = Workspace(documents.sparkSession, "suffix-dedup")
     buckets = C.bucket_count(documents)
-    table = C.chunked(documents, space)
 
     def ask_sample(chunk: C.Chunk, row):
         _, keys, places, n = _sample_keys(chunk, buckets)
         yield from C.repeat_questions(chunk.number, keys, places, n)
 
+    table, _ = C.chunked(documents, space)
     ranks = space.write(C.answered(C.asked(table, ask_sample), C.repeat_answers), "ranks", "none")
+    space.release()
+
+    def ask_windows(chunk: C.Chunk, row):
+        keys, places = _window_keys(chunk, _candidates(chunk, row, buckets))
+        yield from C.repeat_questions(chunk.number, keys, places, buckets, WINDOW_BITS)
+
+    ranked = C.returned(table, ranks, "ranks")
+    repeats = space.write(C.answered(C.asked(ranked, ask_windows), C.repeat_answers), "repeats", "none")
+    space.release()
 
     def ask_suffixes(chunk: C.Chunk, row):
-        at, keys, places, n = _sample_keys(chunk, buckets)
-        unique, bucket, index, _ = C.repeat_keys(keys, places, n)
-        tied = at[C.repeat_flags(row.ranks, unique, bucket)[index]]
-        start, count, offset, hashed = _contexts(chunk, tied)
+        suffix = _candidates(chunk, row, buckets)
+        unique, bucket, index, _ = C.repeat_keys(*_window_keys(chunk, suffix), buckets, WINDOW_BITS)
+        suffix = suffix[C.repeat_flags(row.repeats, unique, bucket)[index]]
+        start, count, offset, hashed = _contexts(chunk, suffix)
         if not len(start):
             return
         rows = _records(chunk, start, count, offset)
@@ -232,9 +279,13 @@ def removals(documents: DataFrame) -> DataFrame:
             C.pack(start.astype(np.uint32), count.astype(np.uint8), position[context], later.astype(np.uint8)),
         )
 
-    suffixes = space.write(C.asked(C.returned(table, ranks, "ranks"), ask_suffixes), "suffixes", "none")
-    masks = C.answered(suffixes.where("bucket >= 0"), _suffix_answers)
-    own = suffixes.where("bucket < 0").select("chunk", F.col("body").alias("contexts"))
+    suffixes = C.asked(C.returned(ranked, repeats, "repeats"), ask_suffixes).withColumn("own", F.col("bucket") < 0)
+    suffixes = space.write_split(suffixes, "suffixes", "own")
+    space.release()
+    masks = space.write(C.answered(suffixes.where("NOT own"), _suffix_answers), "masks", "none")
+    space.drop("suffixes/own=false")
+    space.release()
+    own = suffixes.where("own").select("chunk", F.col("body").alias("contexts"))
     ready = C.returned(table, masks, "masks").join(own, "chunk", "left")
 
     def cut(chunk: C.Chunk, row):
