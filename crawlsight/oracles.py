@@ -119,6 +119,7 @@ _D_REL = f"(CASE WHEN {_has('many_links')} THEN 1 ELSE 0 END + CASE WHEN {_has('
 _N_EXT = f"(CASE WHEN {_has('outer')} THEN 1 ELSE 0 END + CASE WHEN {_has('insecure_outer')} THEN 1 ELSE 0 END + CASE WHEN {_has('affiliate')} THEN 1 ELSE 0 END + CASE WHEN {_has('affluent')} THEN 5 ELSE 0 END)"
 _N_SCRIPT = f"(CASE WHEN {_has('script_link')} THEN 1 ELSE 0 END)"
 _ALL, _NONE = "true", "false"
+_TOPIC = "array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(lower(title || ' ' || h1), '[a-z0-9]+'), lambda w: length(w) >= 4))), ' ')"
 _TARGETS = "(SELECT h.i, h.url, o.status, o.canonical, o.url AS target FROM h JOIN c o ON o.url = h.href) j"
 
 #: Per check: a condition on c, or a whole query.
@@ -250,6 +251,8 @@ CHECK_SQL: dict[str, str] = {
     "C033": _NONE,
     "C040": "status = '301' AND (SELECT avg((status = '301')::INT) FROM c) > 0.05",
     "C055": _NONE,
+    "C057": f"{_TOPIC} <> '' AND {_TOPIC} IN (SELECT {_TOPIC} FROM c GROUP BY 1 HAVING count(*) > 1)",
+    "C069": "i % 3 <> 1 AND url NOT IN (SELECT target FROM inner_ WHERE target <> url GROUP BY target HAVING count(DISTINCT url) >= 2)",
     "C080": _NONE,
     "C114": _NONE,
     "C120": _NONE,
@@ -293,8 +296,7 @@ scores AS (
 
 ORACLE_SQL: dict[str, str] = {f"checks_{label}": category_sql(name) for name, label in CATEGORIES.items()}
 
-_EXTRA = ("C011", "C033", "C040", "C055", "C080", "C114", "C120", "C133", "C135")
-ORACLE_SQL["checks_extra"] = f"{SITE_SQL}\n{flags_sql(list(_EXTRA))}"
+ORACLE_SQL["checks_extra"] = f"{SITE_SQL}\n{flags_sql([c.check_id for c in checks(extra=True) if c.extra])}"
 ORACLE_SQL["health_findings"] = f"{FINDINGS_SQL}\nSELECT * FROM found"
 ORACLE_SQL["health_categories"] = f"{FINDINGS_SQL}\nSELECT category, weight, score, label FROM scores"
 _SCORE = "round_even(sum(score * weight)::DOUBLE / sum(weight), 0)::INTEGER"

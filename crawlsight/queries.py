@@ -47,21 +47,10 @@ def _category(name: str) -> Query:
 for _name in CATEGORIES:
     query(_category(_name))
 
-#: Checks beyond the report's own that SQL states too.
-EXTRA = ("C011", "C033", "C040", "C055", "C080", "C114", "C120", "C133", "C135")
-
-
 @query
 def checks_extra(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wanted = [c for c in health.checks(extra=True) if c.check_id in EXTRA]
-    return health.flags(_site(spark, sf_dir), wanted)
-
-
-@query
-def checks_extra_heuristic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Keyword cannibalization and pages with few inlinks."""
-    wanted = [c for c in health.checks(extra=True) if c.check_id in ("C057", "C069")]
-    return health.flags(_site(spark, sf_dir), wanted)
+    """The checks beyond the report's own."""
+    return health.flags(_site(spark, sf_dir), [c for c in health.checks(extra=True) if c.extra])
 
 
 @query

@@ -1,29 +1,45 @@
-"""Checkpoints in the folder that all executors share."""
+"""Tables and checkpoints in the folder that the driver and all executors share."""
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_KEY = "spark.checkpoint.dir"
+
+
+def shared_root(spark: SparkSession) -> str:
+    """The session's checkpoint folder; without one (as in tests) a temporary folder is set."""
+    if not spark.conf.get(_KEY, None):
+        spark.conf.set(_KEY, "file://" + tempfile.mkdtemp(prefix="crawlsight-"))
+    return spark.conf.get(_KEY).rstrip("/")
+
 
 def checkpointed(spark: SparkSession, frame: DataFrame) -> DataFrame:
-    """The materialised frame; without a configured folder (as in tests) a temporary one is set."""
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        spark.conf.set("spark.checkpoint.dir", "file://" + tempfile.mkdtemp(prefix="crawlsight-"))
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
+    """The materialised frame, without its lineage."""
+    root = shared_root(spark)
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(root)
     return frame.checkpoint(eager=True)
 
 
 def materialised(spark: SparkSession, frame: DataFrame, name: str) -> DataFrame:
-    """The frame as a table in the shared folder: later reads take only the columns that they need."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="crawlsight-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """The frame as a table in the shared folder: later reads take only the columns that they need.
+
+    The table goes when the application ends.
+    """
+    path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, path)
     frame.write.parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    context = spark.sparkContext
+    if context._jsc is None or context._jsc.sc().isStopped():
+        return
+    target = context._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
