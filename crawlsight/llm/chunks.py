@@ -137,9 +137,15 @@ def chunked(documents: DataFrame, space: Workspace, ask: Callable | None = None)
                 at = until
 
     plain = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    both = space.write(plain.mapInArrow(run, CHUNK), "chunks", "none")
-    own = both.where("bucket IS NULL").select("chunk", "ids", "sizes", "body", F.col("question").alias("note"))
-    return own, both.where("bucket IS NOT NULL").select("bucket", "chunk", F.col("question").alias("body"))
+    both = plain.mapInArrow(run, CHUNK).withColumn("asked", F.col("bucket").isNotNull())
+    both = space.write_split(both, "chunks", "asked")
+    own = both.where("NOT asked").select("chunk", "ids", "sizes", "body", F.col("question").alias("note"))
+    return own, both.where("asked").select("bucket", "chunk", F.col("question").alias("body"))
+
+
+def drop_questions(space: Workspace) -> None:
+    """Remove the first questions of ``chunked``, once they are answered."""
+    space.drop("chunks/asked=true")
 
 
 def bucket_count(documents: DataFrame) -> int:

@@ -5,22 +5,25 @@ with fewer words). A line goes if an earlier line, in order of (doc_id, line
 number), has a Jaccard similarity of at least ``percent``; lines are judged on the
 input, so a line that goes still removes later ones. Lines without words stay.
 
-1. Rarity. Tokens are counted in a table of fixed size (``SLOTS`` counters, 1 MB),
-   so the global order of tokens by (count, hash) costs no join and has a bound on
-   what is broadcast. Any total order keeps the join exact.
-2. Prefix filter. Lines of n tokens can only match if they share one of their
-   n - ceil(percent * n) + 1 rarest tokens. Prefix tokens that occur nowhere else
-   are dropped by the packed exchange; only lines with another one become rows.
-3. Equal lines form one class with its first place; classes meet on prefix tokens,
-   under the length and the positional filter, and are verified on all tokens.
-   First each bucket's members are compared with its earliest class; only members
-   that this doesn't remove are compared with the other earlier ones. Whether a
-   class goes takes a single earlier match, so nothing is lost.
-4. A class's first place and its verdict return to the chunks, which cut the lines.
+Two lines of n and m tokens that are similar enough share one of their first
+n - ceil(percent * n) + 1 tokens, whatever total order all lines' tokens are in.
+
+1. Screening. In the order of the tokens' hashes, a packed exchange tells which prefix
+   tokens another line has. Of a prefix that is longer by m tokens a similar line has
+   at least m + 1; lines with fewer shared ones are alone and move no further.
+2. Classes. Equal lines form one class with its first place.
+3. Join. The classes' tokens are put in order of rarity: they are counted in a table
+   of fixed size (``SLOTS`` counters), so the order is by (count, hash) and what is
+   broadcast has a bound. Classes meet on prefix tokens that another class has, under
+   the length and the positional filter, and are verified on all tokens. First each
+   token's classes are compared with its earliest class; only those that this doesn't
+   remove are compared with the other earlier ones. Whether a class goes takes one
+   earlier match, so nothing is lost.
+4. Each class's first place and verdict return to the chunks, which cut the lines.
 
 Edge cases: null texts are empty; an empty text has one line without words; a line
-end is the character 10; rows with the same doc_id are ordered by line number and,
-where that ties, stay both; rows without doc_id come last; an empty table gives an
+ends with the character 10; rows with the same doc_id are ordered by line number and,
+where that ties, both stay; rows without doc_id come last; an empty table gives an
 empty result; extra columns are ignored.
 """
 
@@ -31,185 +34,260 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import chunks as C
+from .packed_sets import BUCKET_KEYS, SetRow, each_row, key_flags, pack_sets, shared_keys
 from .shingles import shingle_sets, words
 from .workspace import Workspace
 
 SLOTS = 1 << 17
-RESULT = (
-    "doc_id long, n_lines long, n_removed long, kept_sha256 string, removed_lines array<long>"
-)
-
-
-class Lines:
-    """A chunk's lines: their texts' numbers, places, tokens in global order, and classes."""
-
-    def __init__(self, chunk: C.Chunk, counts: np.ndarray, percent: int):
-        self.chunk = chunk
-        breaks = np.flatnonzero(chunk.data == 10)
-        lines = []
-        for number in range(len(chunk.ids)):
-            begin, end = int(chunk.starts[number]), int(chunk.starts[number + 1])
-            cut = breaks[np.searchsorted(breaks, begin) : np.searchsorted(breaks, end)]
-            lines.append((np.concatenate(([begin], cut + 1)), np.concatenate((cut, [end]))))
-        self.begin = np.concatenate([b for b, _ in lines]) if lines else np.zeros(0, np.int64)
-        self.end = np.concatenate([e for _, e in lines]) if lines else np.zeros(0, np.int64)
-        per_text = np.array([len(b) for b, _ in lines], np.int64)
-        self.text = np.repeat(np.arange(len(lines)), per_text)
-        self.line = np.arange(len(self.begin)) - np.repeat(np.cumsum(per_text) - per_text, per_text)
-        word, at = words(chunk.data, chunk.starts, chunk.data == 10)
-        owner = np.searchsorted(self.begin, at, "right") - 1
-        # An empty line shares its begin with the next one only if it has no bytes, so the last of equals owns the word.
-        per_line = np.bincount(owner, minlength=len(self.begin)) if len(at) else np.zeros(len(self.begin), np.int64)
-        tokens, self.size = shingle_sets(word, per_line)
-        self.first = np.concatenate(([0], np.cumsum(self.size)))
-        owner = np.repeat(np.arange(len(self.size)), self.size)
-        rarity = counts[(tokens >> np.uint64(40)).astype(np.int64) & (SLOTS - 1)] if counts is not None else tokens * 0
-        order = np.lexsort((tokens, rarity, owner))
-        self.tokens = tokens[order]
-        self.prefix = np.where(self.size > 0, self.size - -(-self.size * percent // 100) + 1, 0)
-
-    def token_owner(self) -> np.ndarray:
-        return np.repeat(np.arange(len(self.size)), self.size)
-
-    def classes(self) -> list[bytes | None]:
-        """The class of each line: a digest of its tokens."""
-        out: list[bytes | None] = []
-        for at, size in zip(self.first[:-1].tolist(), self.size.tolist()):
-            out.append(hashlib.blake2b(self.tokens[at : at + size].tobytes(), digest_size=16).digest() if size else None)
-        return out
-
-    def prefix_keys(self) -> tuple[np.ndarray, np.ndarray]:
-        """(token, line) of all prefix tokens."""
-        owner = self.token_owner()
-        rank = np.arange(len(owner)) - self.first[owner]
-        wanted = rank < self.prefix[owner]
-        return self.tokens[wanted], owner[wanted]
-
-
-def token_counts(table: DataFrame) -> np.ndarray:
-    """How often the tokens of each slot occur in all lines: SLOTS numbers, whatever the input's size."""
+#: Most pairs whose names are broadcast (16 MB), and most verdicts (32 MB); beyond it rows are shuffled.
+BROADCAST_PAIRS, BROADCAST_VERDICTS = 500_000, 500_000
+RESULT = "doc_id long, n_lines long, n_removed long, kept_sha256 string, removed_lines array<long>"
+_SHIFT = np.uint64(40)
+
+
+def line_bounds(chunk: C.Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(begin, end, text) of every line of a chunk, in order."""
+    breaks = np.flatnonzero(chunk.data == 10)
+    owner = np.searchsorted(chunk.starts, breaks, "right") - 1
+    texts = np.arange(len(chunk.ids))
+    # A text's first line begins with it, the others after a break; the last ends with the text.
+    begin = np.concatenate((chunk.starts[:-1], breaks + 1))
+    end = np.concatenate((breaks, chunk.starts[1:]))
+    order = np.lexsort((begin, np.concatenate((texts, owner))))
+    last = np.lexsort((end, np.concatenate((owner, texts))))
+    return begin[order], end[last], np.concatenate((texts, owner))[order]
+
+
+def prefix_sizes(counts: np.ndarray, percent: int, longer: np.ndarray | int = 0) -> np.ndarray:
+    return np.where(counts > 0, counts + (-counts * percent // 100) + 1 + longer, 0)
+
+
+def _longer(counts: np.ndarray) -> np.ndarray:
+    """Tokens by which the screened prefixes are longer than they must be: a tenth of the line's."""
+    return counts // 10
+
+
+def tokens_of(data: np.ndarray, begin: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(tokens, number per line) of lines that begin at these places of ``data``, in order of hash."""
+    word, at = words(data, begin, breaks)
+    # Of lines that begin at one place only the last can hold words.
+    owner = np.searchsorted(begin, at, "right") - 1
+    counts = np.bincount(owner, minlength=len(begin)) if len(at) else np.zeros(len(begin), np.int64)
+    return shingle_sets(word, counts)
+
+
+def _prefixes(tokens: np.ndarray, counts: np.ndarray, percent: int, longer: np.ndarray | int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(token, owner, rank) of the first tokens of each set."""
+    owner = np.repeat(np.arange(len(counts)), counts)
+    rank = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
+    wanted = rank < prefix_sizes(counts, percent, longer)[owner]
+    return tokens[wanted], owner[wanted], rank[wanted]
+
+
+def _class(tokens: np.ndarray) -> bytes:
+    return hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
+
+
+def token_counts(sets: DataFrame) -> np.ndarray:
+    """How often the tokens of each slot occur in all sets: SLOTS numbers, whatever the input's size."""
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(SLOTS, np.int64)
         for frame in frames:
             for row in frame.itertuples(index=False):
-                tokens = Lines(C.Chunk(row), None, 100).tokens
-                total += np.bincount((tokens >> np.uint64(40)).astype(np.int64) & (SLOTS - 1), minlength=SLOTS)
-        parts = np.split(total, 16)
-        yield pd.DataFrame({"part": range(16), "body": [C.pack(p) for p in parts]})
+                total += np.bincount(_slot(SetRow(row).values), minlength=SLOTS)
+        yield pd.DataFrame({"part": range(16), "body": [C.pack(p) for p in np.split(total, 16)]})
 
     def add(group: pd.DataFrame) -> pd.DataFrame:
         total = sum(C.unpack(b, "i8")[0] for b in group["body"])
         return pd.DataFrame({"part": group["part"].iloc[:1], "body": [C.pack(total)]})
 
-    partial = table.mapInPandas(count, "part long, body binary")
+    partial = sets.mapInPandas(count, "part long, body binary")
     # Tasks are added up in groups first, so that no task meets all tasks' tables.
     spread = partial.groupBy("part", F.pmod(F.spark_partition_id(), F.lit(64)).alias("some"))
     some = spread.applyInPandas(add, "part long, body binary")
     rows = some.groupBy("part").applyInPandas(add, "part long, body binary").orderBy("part").collect()
-    found = [C.unpack(r["body"], "i8")[0] for r in rows]
-    return np.concatenate(found) if found else np.zeros(SLOTS, np.int64)
+    return np.concatenate([C.unpack(r["body"], "i8")[0] for r in rows]) if rows else np.zeros(SLOTS, np.int64)
+
+
+def _slot(tokens: np.ndarray) -> np.ndarray:
+    return (tokens >> _SHIFT).astype(np.int64) & (SLOTS - 1)
+
+
+def _candidates(documents: DataFrame, percent: int, space: Workspace) -> tuple[DataFrame, DataFrame]:
+    """The chunks, and (chunk, class, doc_id, line, tokens, lines): the lines that may match, by class and chunk.
+
+    doc_id and line are the class's first place in the chunk; lines packs the
+    numbers of all its lines there.
+    """
+    buckets = C.bucket_count(documents)
+
+    def ask(chunk: C.Chunk):
+        begin, _, _ = line_bounds(chunk)
+        tokens, sizes = tokens_of(chunk.data, begin, chunk.data == 10)
+        tokens, owner, _ = _prefixes(tokens, sizes, percent, _longer(sizes))
+        yield from C.repeat_questions(chunk.number, tokens, owner, buckets)
+        unique, bucket, index, _ = C.repeat_keys(tokens, owner, buckets)
+        if len(unique):
+            order = np.argsort(index, kind="stable").astype(np.int64)
+            held = np.array([(b, at.stop - at.start) for b, at in C.by_bucket(unique, bucket)])
+            yield (
+                C.NOTE,
+                chunk.number,
+                C.pack(
+                    owner[order].astype(np.uint32),
+                    np.bincount(index).astype(np.uint32),
+                    held.astype(np.int64),
+                    (_longer(sizes) + 1).astype(np.uint32),
+                ),
+            )
+
+    table, questions = C.chunked(documents, space, ask)
+    answers = space.write(C.answered(questions, C.repeat_answers), "answers", "none")
+    C.drop_questions(space)
+
+    def found(chunk: C.Chunk, row):
+        if row.note is None:
+            return
+        owner, counts, held, needed = C.unpack(row.note, "u4", "u4", "i8", "u4")
+        bodies = {int(a["bucket"]): a["body"] for a in row.answers}
+        flags = [np.unpackbits(np.frombuffer(bodies[b], np.uint8), count=n) for b, n in held.reshape(-1, 2).tolist()]
+        shared = owner[np.repeat(np.concatenate(flags).astype(bool), counts)]
+        hit = np.flatnonzero(np.bincount(shared, minlength=len(needed)) >= needed)
+        begin, end, text = line_bounds(chunk)
+        number = np.arange(len(begin)) - np.searchsorted(text, text, "left")
+        begin, end = begin[hit], end[hit]
+        size = end - begin
+        at = np.cumsum(size) - size
+        data = chunk.data[np.repeat(begin - at, size) + np.arange(int(size.sum()))]
+        tokens, counts = tokens_of(data, at, None)
+        cut = np.cumsum(counts) - counts
+        seen: dict[bytes, list] = {}
+        for i, (line, first, n) in enumerate(zip(hit.tolist(), cut.tolist(), counts.tolist())):
+            seen.setdefault(_class(tokens[first : first + n]), []).append((int(chunk.ids[text[line]]), int(number[line]), line, i))
+        for name, places in seen.items():
+            doc_id, line, _, i = min(places)
+            own_tokens = tokens[cut[i] : cut[i] + counts[i]].view(np.int64)
+            lines = np.array([p[2] for p in places], np.uint32)
+            yield chunk.number, name, doc_id, line, own_tokens, lines.tobytes()
+
+    schema = "chunk long, class binary, doc_id long, line long, tokens array<long>, lines binary"
+    return table.drop("note"), space.write(C.asked(C.returned(table, answers, "answers"), found, schema), "found")
+
+
+def _postings(classes: DataFrame, percent: int, space: Workspace) -> DataFrame:
+    """(class, n, pos, token): the classes' rarest tokens, those that another class has too."""
+    table = pack_sets(classes.select("class", "tokens"), space, "class-sets")
+    counts = classes.sparkSession.sparkContext.broadcast(token_counts(table))
+    total = classes.agg(F.sum(F.size("tokens"))).first()[0] or 0
+    buckets = max(1, -(-total // BUCKET_KEYS))
+
+    def rare(part: SetRow):
+        order = np.lexsort((part.values, counts.value[_slot(part.values)], part.owner))
+        return _prefixes(part.values[order], part.counts, percent)
+
+    def listed(part: SetRow, row):
+        tokens, owner, rank = rare(part)
+        hit = key_flags(row, tokens, owner, buckets)
+        names = part.name_list()
+        yield [names[i] for i in owner[hit].tolist()], part.counts[owner[hit]], rank[hit], tokens[hit].view(np.int64)
+
+    ready = shared_keys(table, lambda part: rare(part)[:2], buckets, space, "class-answers")
+    return each_row(ready, listed, "class binary, n long, pos long, token long")
+
+
+def _may_match(n: Column, pos: Column, n_b: Column, pos_b: Column, percent: int) -> Column:
+    """Length and positional filters of two sets that share the tokens at these ranks.
+
+    Neither has an earlier token in common if this is the first; if it is not, the
+    first one passes the filter by itself.
+    """
+    shared = F.least(n - pos, n_b - pos_b)
+    return (100 * F.least(n, n_b) >= percent * F.greatest(n, n_b)) & (100 * shared >= percent * (n + n_b - shared))
+
+
+def _verified(pairs: DataFrame, classes: DataFrame, percent: int, space: Workspace, name: str) -> DataFrame:
+    """The classes of written pairs (class, other) with a similar enough other."""
+    some = pairs.select("class").union(pairs.select("other")).distinct()
+    if pairs.count() <= BROADCAST_PAIRS:
+        some = F.broadcast(some)
+    tokens = space.write(classes.select("class", "tokens").join(some, "class", "left_semi"), f"{name}-tokens")
+    other = tokens.select(F.col("class").alias("other"), F.col("tokens").alias("other_tokens"))
+    shared = F.size(F.array_intersect("tokens", "other_tokens"))
+    union = F.size("tokens") + F.size("other_tokens") - shared
+    similar = pairs.join(tokens, "class").join(other, "other").where(100 * shared >= percent * union)
+    return similar.select("class").distinct()
 
 
 def removed_lines(documents: DataFrame, percent: int = 80) -> DataFrame:
     """Per input row: doc_id, n_lines, n_removed, kept_sha256 and the numbers of the removed lines (from 0)."""
-    spark = documents.sparkSession
-    space = Workspace(spark, "line-dedup")
-    buckets = C.bucket_count(documents)
-    table = C.chunked(documents, space)
-    counts = spark.sparkContext.broadcast(token_counts(table))
-
-    def ask(chunk: C.Chunk, row):
-        lines = Lines(chunk, counts.value, percent)
-        keys, owner = lines.prefix_keys()
-        yield from C.repeat_questions(chunk.number, keys, owner, buckets)
-
-    answers = space.write(C.answered(C.asked(table, ask), C.repeat_answers), "answers", "none")
-
-    def candidates(chunk: C.Chunk, row):
-        lines = Lines(chunk, counts.value, percent)
-        keys, owner = lines.prefix_keys()
-        unique, bucket, index, _ = C.repeat_keys(keys, owner, buckets)
-        hit = np.unique(owner[C.repeat_flags(row.answers, unique, bucket)[index]])
-        seen: dict[bytes, tuple] = {}
-        names = {}
-        for i in hit.tolist():
-            at, size = int(lines.first[i]), int(lines.size[i])
-            tokens = lines.tokens[at : at + size]
-            name = names[i] = hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
-            place = (int(chunk.ids[lines.text[i]]), int(lines.line[i]))
-            if name not in seen or place < seen[name][:2]:
-                seen[name] = (*place, size, int(lines.prefix[i]), tokens.view(np.int64))
-        for name, value in seen.items():
-            yield chunk.number, name, *value
-
-    schema = "chunk long, class binary, doc_id long, line long, n int, prefix int, tokens array<long>"
-    found = space.write(C.asked(C.returned(table, answers, "answers"), candidates, schema), "candidates")
-    classes = found.groupBy("class").agg(
-        F.min(F.struct("doc_id", "line")).alias("place"),
-        F.max("n").alias("n"),
-        F.max("prefix").alias("prefix"),
-        F.first("tokens").alias("tokens"),
-    )
+    space = Workspace(documents.sparkSession, "line-dedup")
+    table, found = _candidates(documents, percent, space)
+    classes = found.groupBy("class").agg(F.min(F.struct("doc_id", "line")).alias("place"), F.first("tokens").alias("tokens"))
     classes = space.write(classes, "classes")
-    postings = classes.select(
-        "class", "place", "n", F.posexplode(F.slice("tokens", F.lit(1), F.col("prefix"))).alias("pos", "token")
-    )
-    earliest = postings.groupBy("token").agg(F.min(F.struct("place", "class", "n", "pos")).alias("e"), F.count("*").alias("held"))
-    earliest = earliest.where("held > 1")
-    filed = space.write(postings.join(earliest.select("token", "e"), "token"), "filed")
+    found = space.write(found.drop("tokens"), "places")
+    space.drop("found")
+    space.release()
+    postings = _postings(classes, percent, space).join(classes.select("class", "place"), "class")
+    postings = space.write(postings, "postings")
+    space.drop("class-sets")
+    earliest = postings.groupBy("token").agg(F.min(F.struct("place", "class", "n", "pos")).alias("e"))
+    filed = space.write(postings.join(earliest, "token").where(F.col("e.class") != F.col("class")), "filed")
     pivots = (
-        filed.where(F.col("e.class") != F.col("class"))
-        .where(_may_match(F.col("n"), F.col("pos"), F.col("e.n"), F.col("e.pos"), percent))
+        filed.where(_may_match(F.col("n"), F.col("pos"), F.col("e.n"), F.col("e.pos"), percent))
         .select("class", F.col("e.class").alias("other"))
         .distinct()
     )
-    pivots = space.write(pivots, "pivots")
-    tokens = classes.select("class", "tokens")
-    gone = space.write(_verified(pivots, tokens, percent), "gone")
-    # What an earliest class doesn't remove meets the other earlier classes of its buckets.
-    rest = filed.where(F.col("e.class") != F.col("class")).join(gone, "class", "left_anti")
-    other = filed.select("token", *[F.col(c).alias(f"{c}_b") for c in ("class", "place", "n", "pos")]).where(
-        F.col("e.class") != F.col("class")
-    )
+    gone = space.write(_verified(space.write(pivots, "pivots"), classes, percent, space, "pivot"), "gone")
+    space.release()
+    # What an earliest class doesn't remove meets the other earlier classes of its tokens.
+    other = filed.select("token", *[F.col(c).alias(f"{c}_b") for c in ("class", "place", "n", "pos")])
     pairs = (
-        rest.join(other, "token")
+        filed.join(gone, "class", "left_anti")
+        .join(other, "token")
         .where(F.col("place_b") < F.col("place"))
         .where(_may_match(F.col("n"), F.col("pos"), F.col("n_b"), F.col("pos_b"), percent))
         .select("class", F.col("class_b").alias("other"))
         .distinct()
-        .join(pivots, ["class", "other"], "left_anti")
     )
-    gone = space.write(gone.union(_verified(pairs, tokens, percent)).distinct(), "all-gone")
-    verdicts = classes.join(gone.withColumn("echo", F.lit(True)), "class", "left").select(
-        "class", "place", F.coalesce("echo", F.lit(False)).alias("echo")
+    rest = _verified(space.write(pairs, "pairs"), classes, percent, space, "pair")
+    gone = gone.union(rest).withColumn("echo", F.lit(True))
+    verdicts = classes.join(gone, "class", "left").select("class", "place", F.coalesce("echo", F.lit(False)).alias("echo"))
+    first = (F.col("place.doc_id") == F.col("doc_id")) & (F.col("place.line") == F.col("line")) & (F.length("lines") == 4)
+    told = (
+        found.join(verdicts, "class")
+        .where(F.col("echo") | ~first)  # a line that comes first and alone stays
+        .select("chunk", "lines", F.col("place.doc_id").alias("doc_id"), F.col("place.line").alias("line"), "echo")
     )
-    told = found.select("chunk", "class").join(verdicts, "class")
-    parts = F.collect_list(F.struct("class", "place.doc_id", "place.line", "echo")).alias("verdicts")
-    ready = table.join(told.groupBy("chunk").agg(parts), "chunk", "left")
+    told = told.groupBy("chunk").agg(F.collect_list(F.struct("lines", "doc_id", "line", "echo")).alias("verdicts"))
+    told = space.write(told, "told")
+    space.release()
+    size = told.agg(F.sum(F.size("verdicts"))).first()[0] or 0
+    if size <= BROADCAST_VERDICTS:
+        told = F.broadcast(told)
 
     def cut(chunk: C.Chunk, row) -> Iterator[tuple]:
-        lines = Lines(chunk, counts.value, percent)
-        known = {bytes(v["class"]): v for v in (row.verdicts if row.verdicts is not None else [])}
-        removed = np.zeros(len(lines.size), bool)
-        for i, name in enumerate(lines.classes()):
-            verdict = known.get(name) if name is not None else None
-            if verdict is not None:
-                place = (int(chunk.ids[lines.text[i]]), int(lines.line[i]))
-                removed[i] = verdict["echo"] or place > (verdict["doc_id"], verdict["line"])
-        bounds = np.searchsorted(lines.text, np.arange(len(chunk.ids) + 1))
-        for number, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist())):
+        begin, end, text = line_bounds(chunk)
+        number = np.arange(len(begin)) - np.searchsorted(text, text, "left")
+        removed = np.zeros(len(begin), bool)
+        for verdict in row.verdicts if row.verdicts is not None else []:
+            lines = np.frombuffer(verdict["lines"], np.uint32).astype(np.int64)
+            ids = chunk.ids[text[lines]]
+            later = (ids > verdict["doc_id"]) | ((ids == verdict["doc_id"]) & (number[lines] > verdict["line"]))
+            removed[lines[later | verdict["echo"]]] = True
+        bounds = np.searchsorted(text, np.arange(len(chunk.ids) + 1))
+        for i, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist())):
             mark = removed[a:b]
             if mark.any():
-                kept = [chunk.data[x:y].tobytes() for x, y, m in zip(lines.begin[a:b], lines.end[a:b], mark) if not m]
+                kept = [chunk.data[x:y].tobytes() for x, y, m in zip(begin[a:b], end[a:b], mark) if not m]
                 body = b"\n".join(kept)
             else:
-                body = chunk.data[chunk.starts[number] : chunk.starts[number + 1]].tobytes()
-            doc_id = int(chunk.ids[number])
+                body = chunk.data[chunk.starts[i] : chunk.starts[i + 1]].tobytes()
+            doc_id = int(chunk.ids[i])
             yield (
                 None if doc_id == C.NO_ID else doc_id,
                 b - a,
@@ -224,19 +302,4 @@ def removed_lines(documents: DataFrame, percent: int = 80) -> DataFrame:
             for row in frame.itertuples(index=False):
                 yield pd.DataFrame(list(cut(C.Chunk(row), row)), columns=names).astype({"doc_id": "Int64"})
 
-    return ready.mapInPandas(run, RESULT)
-
-
-def _may_match(n, pos, n_b, pos_b, percent: int):
-    """Length and positional filters for two sets that share the tokens at these places of their prefixes."""
-    least, most = F.least(n, n_b), F.greatest(n, n_b)
-    left = F.least(n - pos, n_b - pos_b)
-    return (100 * least >= percent * most) & (left * (100 + percent) + F.least(pos, pos_b) * (100 + percent) >= percent * (n + n_b))
-
-
-def _verified(pairs: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
-    """The classes of pairs (class, other) with a similar enough other."""
-    other = tokens.select(F.col("class").alias("other"), F.col("tokens").alias("other_tokens"))
-    shared = F.size(F.array_intersect("tokens", "other_tokens"))
-    union = F.size("tokens") + F.size("other_tokens") - shared
-    return pairs.join(tokens, "class").join(other, "other").where(100 * shared >= percent * union).select("class").distinct()
+    return table.join(told, "chunk", "left").mapInPandas(run, RESULT)
