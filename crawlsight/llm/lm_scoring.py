@@ -13,7 +13,7 @@ that they can't have. A text's score is the sum of the logarithms.
 
 The plan is a join of n-grams with hash-partitioned count tables: each chunk counts
 its n-grams, deals the distinct ones by hash to the tables' owners, which add the
-counts up, and gets the totals of just its own n-grams back. Most word triples occur
+counts up, and gets the totals of just its own n-grams back. Most pairs and triples of words occur
 once, which the model treats like never, so a packed exchange first tells which ones
 occur again and only those are counted. N-grams that all texts share are
 pre-aggregated per chunk; nothing is collected or broadcast, so what moves grows with
@@ -22,7 +22,7 @@ the corpus and no faster.
 N-grams are identified by 54 bits of a hash. Edge cases: null and empty texts have no
 words and the score 0; repeated rows count as often as they occur; rows without
 doc_id are scored like others; an empty table gives an empty result; extra columns
-are ignored; with ``min_count`` below 2 triples that occur once are counted too.
+are ignored; with ``min_count`` below 2 those that occur once are counted too.
 """
 
 from __future__ import annotations
@@ -65,22 +65,35 @@ def _grams(chunk: C.Chunk) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     return text, place, keys
 
 
+#: Bits beside the bucket that screen n-grams: a few in a hundred that occur once pass.
+SCREEN_BITS = 26
+
+
+def _screened(place: np.ndarray, keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, order, word) of all pairs and triples."""
+    at = [np.flatnonzero(place >= order) for order in (1, 2)]
+    order = np.repeat([1, 2], [len(a) for a in at])
+    return np.concatenate([keys[o][a] << _CUT for o, a in zip((1, 2), at)]), order, np.concatenate(at)
+
+
 def _ask_again(chunk: C.Chunk, buckets: int):
-    """Which of the chunk's triples occur in more than one place?"""
+    """Which of the chunk's pairs and triples occur in more than one place?"""
     _, place, keys = _grams(chunk)
-    at = np.flatnonzero(place >= 2)
-    yield from C.repeat_questions(chunk.number, keys[2][at] << _CUT, at, buckets)
+    wanted, _, at = _screened(place, keys)
+    yield from C.repeat_questions(chunk.number, wanted, at, buckets, SCREEN_BITS)
 
 
-def _counted(chunk: C.Chunk, row, buckets: int, all_triples: bool):
+def _counted(chunk: C.Chunk, row, buckets: int, every: bool):
     """(text, place, distinct keys, their counts, each word's index per order; -1 where there is none)."""
     text, place, keys = _grams(chunk)
     fits = [place >= order for order in range(3)]
-    if not all_triples:
-        at = np.flatnonzero(fits[2])
-        unique, bucket, index, _ = C.repeat_keys(keys[2][at] << _CUT, at, buckets)
-        fits[2] = fits[2].copy()
-        fits[2][at] = C.repeat_flags(row.again, unique, bucket)[index]
+    if not every:
+        wanted, order, at = _screened(place, keys)
+        unique, bucket, index, _ = C.repeat_keys(wanted, at, buckets, SCREEN_BITS)
+        again = C.repeat_flags(row.again, unique, bucket)[index]
+        for o in (1, 2):
+            fits[o] = np.zeros(len(place), bool)
+            fits[o][at[again & (order == o)]] = True
     unique, index, count = np.unique(
         np.concatenate([k[f] for k, f in zip(keys, fits)]), return_inverse=True, return_counts=True
     )
@@ -111,12 +124,13 @@ def scores(documents: DataFrame, min_count: int = 2) -> DataFrame:
     """doc_id, n_words, log_score: one row per input row."""
     space = Workspace(documents.sparkSession, "lm-scoring")
     buckets = C.bucket_count(documents)
-    table = C.chunked(documents, space)
-
     every = min_count < 2
+    table, _ = C.chunked(documents, space)
     if not every:
         asked = C.asked(table, lambda chunk, row: _ask_again(chunk, buckets))
         again = space.write(C.answered(asked, C.repeat_answers), "again", "none")
+        del asked
+        space.release()
         table = C.returned(table, again, "again")
 
     def ask(chunk: C.Chunk, row):
@@ -133,6 +147,7 @@ def scores(documents: DataFrame, min_count: int = 2) -> DataFrame:
 
     answers = C.asked(table, ask).groupBy("bucket").applyInPandas(own, "chunk long, bucket long, body binary")
     answers = space.write(answers, "answers", "none")
+    space.release()
     total = answers.where(F.col("chunk") == _SUMS).agg(F.sum("bucket")).first()[0] or 1
 
     def score(chunk: C.Chunk, row) -> pd.DataFrame:
