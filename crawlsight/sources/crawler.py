@@ -13,7 +13,6 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from ..functions.robots import allowed, rules_for
 from ..functions.urls import REDIRECTS, netloc, normalised
@@ -22,8 +21,11 @@ from .pages import crawl_table
 from .storage import checkpointed
 
 
+_COLUMNS = [column.split()[0] for column in FETCHED.split(", ")]
+
+
 def _row(url: str, fetch: Callable[[str], dict], rules: list) -> dict:
-    out = dict.fromkeys(StructType.fromDDL(FETCHED).names)
+    out = dict.fromkeys(_COLUMNS)
     out |= {"url": url, "html": "", "mime_type": "", "crawl_time_s": 0.0, "status": "Error"}
     path = url.split("://", 1)[-1].partition("/")[2]
     if not allowed(rules, "/" + path):

@@ -8,8 +8,8 @@ URL = "https://s.example/dir/page"
 
 
 def test_unclosed_and_nested():
-    page, marks = parse_page(URL, "<title> A <b></title><p>one<p>two<b>three</p><H1>x <i>y</i></H1><a href='../z#f'>l<b>m</b></a>")
-    assert page["title"] == "A <b>" and page["h1"] == "x y"
+    page, marks = parse_page(URL, "<title> A &amp; B </title><p>one<p>two<b>three</p><H1>x <i>y</i></H1><a href='../z#f'>l<b>m</b></a>")
+    assert page["title"] == "A & B" and page["h1"] == "x y"
     assert page["links"] == ["https://s.example/z"] and page["internal_links"] == 1
     assert marks["anchors"][0]["absolute"] == "https://s.example/z#f" and marks["anchors"][0]["text"] == "lm"
 

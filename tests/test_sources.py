@@ -8,27 +8,32 @@ from crawlsight.plans import health, summary
 from crawlsight.sources import context, crawler, files, pages
 from crawlsight.streaming.pages import each_batch, page_stream, stream_flags
 
-WEB = {
-    "https://s.example/": ("200", '<a href="/a">a</a><a href="/b#x">b</a><a href="https://o.example/">o</a>', None),
-    "https://s.example/a": ("301", "", "https://s.example/c"),
-    "https://s.example/b": ("404", "", None),
-    "https://s.example/c": ("200", '<a href="/">start</a><a href="/secret/x">s</a><a href="/boom">x</a>', None),
-}
 
+def small_web():
+    """A fetch function over four pages; a closure, so that executors need no test module."""
+    web = {
+        "https://s.example/": ("200", '<a href="/a">a</a><a href="/b#x">b</a><a href="https://o.example/">o</a>', None),
+        "https://s.example/a": ("301", "", "https://s.example/c"),
+        "https://s.example/b": ("404", "", None),
+        "https://s.example/c": ("200", '<a href="/">start</a><a href="/secret/x">s</a><a href="/boom">x</a>', None),
+    }
 
-def fetch(url):
-    status, html, location = WEB[url]
-    return {"status": status, "html": html, "location": location, "seconds": 0.126, "headers": {"Cache-Control": "no-cache", "Content-Type": "text/html"}}
+    def fetch(url):
+        status, html, location = web[url]
+        headers = {"Cache-Control": "no-cache", "Content-Type": "text/html"}
+        return {"status": status, "html": html, "location": location, "seconds": 0.126, "headers": headers}
+
+    return fetch
 
 
 def test_crawl(spark):
-    got = crawler.crawl_site(spark, "https://s.example/#top", fetch, robots_txt="User-agent: *\nDisallow: /secret")
+    got = crawler.crawl_site(spark, "https://s.example/#top", small_web(), robots_txt="User-agent: *\nDisallow: /secret")
     rows = {r.url.removeprefix("https://s.example"): r for r in got.collect()}
     assert set(rows) == {"/", "/a", "/b", "/c", "/secret/x", "/boom"}
     assert rows["/"].crawl_status == "Success" and rows["/"].cache_control == "no-cache" and rows["/"].crawl_time_s == 0.13
     assert rows["/a"].redirect_target == "https://s.example/c" and rows["/b"].crawl_status == "HTTP Error"
     assert rows["/secret/x"].crawl_status == "Blocked by robots.txt" and rows["/boom"].crawl_status.startswith("Error")
-    assert crawler.crawl_site(spark, "https://s.example/", fetch, max_pages=2).count() == 2
+    assert crawler.crawl_site(spark, "https://s.example/", small_web(), max_pages=2).count() == 2
     assert summary.overview(got).first().successful == 2
 
 
