@@ -63,9 +63,9 @@ def directory(entries: DataFrame, bucket_rows: int) -> DataFrame:
         .agg(F.sum("held").alias("total"))
         .where((F.col("total") <= bucket_rows) | (F.col("depth") == MAX_DEPTH))
     )
-    return (
-        loads.join(fits, ["depth", "bucket"], "left_semi").groupBy("cell").agg(F.min("depth").alias("depth"))
-    )
+    # At most 2 ** (MAX_DEPTH + 1) buckets fit: broadcast, or shallow buckets would gather all their cells in a task.
+    fitting = loads.join(F.broadcast(fits), ["depth", "bucket"], "left_semi")
+    return fitting.groupBy("cell").agg(F.min("depth").alias("depth"))
 
 
 def exact_groups(documents: DataFrame, bucket_rows: int = 50_000) -> DataFrame:
