@@ -169,7 +169,8 @@ def page_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def page_body_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = P.crawl_table(P.stored_html(table(spark, sf_dir, "pages")).where("length(html) <= 12000"))
+    """The text that checks look at, of every page; a page above 12,000 characters is read as its marked excerpt."""
+    pages = P.crawl_table(table(spark, sf_dir, "pages"))
     return pages.select("page_id", F.sha1(F.lower("h.body_text")).alias("body_sha1"), F.col("h.lang").alias("lang"))
 
 

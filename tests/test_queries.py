@@ -4,7 +4,7 @@ import pytest
 from conftest import MEDIUM, SMALL
 from oracle import check
 
-from crawlsight.oracles import CHECK_SQL, ORACLE_SQL
+from crawlsight.oracles import _TEXT_SQL, CHECK_SQL, ORACLE_SQL
 from crawlsight.plans.health import EVALUATION_ORDER, checks
 from crawlsight.queries import QUERIES
 
@@ -32,3 +32,12 @@ def test_query_on_more_rows(spark, name):
 @pytest.mark.parametrize("name", sorted(UNSTATED))
 def test_unstated_query_runs(spark, name):
     assert QUERIES[name](spark, SMALL).count() >= 0
+
+
+def test_body_text_of_every_page(spark):
+    excerpt = "CASE WHEN length(html) > 12000 THEN html[:12000] || '… [truncated]' ELSE html END"
+    every = f"""SELECT page_id, sha1(lower({_TEXT_SQL})) AS body_sha1,
+      lower(trim(regexp_extract(html, '<html lang="([^"]*)"', 1))) AS lang FROM (SELECT page_id, {excerpt} AS html FROM pages) p"""
+    check(spark, QUERIES["page_body_text"], every, MEDIUM)
+    long = spark.read.parquet(f"{MEDIUM}/pages.parquet").where("length(html) > 12000")
+    assert long.join(QUERIES["page_body_text"](spark, MEDIUM), "page_id").count() == long.count() > 0
