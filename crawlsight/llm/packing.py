@@ -29,6 +29,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -51,6 +52,11 @@ PIECE = (
 )
 #: Sequences of one partition are numbered below this.
 PER_PART = 1 << 24
+END = "<|endoftext|>"
+#: The pattern's white space, which is not Python's. Its matcher fails on runs near a million characters,
+#: so that runs from LONG_RUN on are cut out before it.
+BLANKS = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+LONG_RUN = 1 << 18
 
 
 @functools.cache
@@ -59,14 +65,38 @@ def encoder(path: str) -> tiktoken.Encoding:
     with open(path, "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
     return tiktoken.Encoding(
-        "own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={"<|endoftext|>": len(ranks)}
+        "own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={END: len(ranks)}
     )
 
 
 def token_ids(text: str, path: str) -> list[int]:
     """Ids as the tokenizer of the same vocabulary gives them; the special token's string is that token."""
     own = encoder(path)
-    return own.encode(text, allowed_special="all") if "<|endoftext|>" in text else own.encode_ordinary(text)
+    if len(text) >= LONG_RUN and any(m.end() - m.start() >= LONG_RUN for m in BLANKS.finditer(text)):
+        return _long_ids(text, own)
+    return own.encode(text, allowed_special="all") if END in text else own.encode_ordinary(text)
+
+
+def _long_ids(text: str, own: tiktoken.Encoding) -> list[int]:
+    """``token_ids`` of a text with very long runs of white space.
+
+    No piece of the pattern goes on from other characters into white space, so one
+    begins with the run. It is the whole run at the end of what the special token
+    divides, else the run without its last character, which the next piece may
+    begin with. That piece is merged without being searched for.
+    """
+    out: list[int] = []
+    for i, part in enumerate(text.split(END)):
+        out += [own.eot_token] * (i > 0)
+        at = 0
+        for run in BLANKS.finditer(part):
+            if run.end() - run.start() >= LONG_RUN:
+                stop = run.end() - (run.end() < len(part))
+                out += own.encode_ordinary(part[at : run.start()])
+                out += own._encode_single_piece(part[run.start() : stop])
+                at = stop
+        out += own.encode_ordinary(part[at:])
+    return out
 
 
 def tokenised(documents: DataFrame, path: str, end_id: int) -> DataFrame:

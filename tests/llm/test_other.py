@@ -130,6 +130,22 @@ def test_packing_of_awkward_rows(spark, weights):
         packing.pack_sequences(docs, weights={"a": 0.0})
 
 
+def test_packing_of_very_long_runs(spark):
+    rows = [(1, "\n" * 3_000_000 + "x", "a"), (2, "a" + " " * 2_500_000, "a"), (3, "b" + " \n" * 700_000 + "<|endoftext|> c", "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    packed_ok([r[:2] for r in rows], packing.pack_sequences(docs, with_ids=True).collect(), 1024)
+
+
+def test_runs_cut_out_leave_the_ids(monkeypatch):
+    monkeypatch.setattr(packing, "LONG_RUN", 2)
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    rng = np.random.default_rng(1)
+    parts = [*" \n\t\r\v\f\x1c\x1f\x85\xa0\u180e\u2003\u2028\u200b\u3000", " " * 9, "\n" * 5, "a", "1", "é", "!", "'s", packing.END]
+    for _ in range(5000):
+        text = "".join(parts[i] for i in rng.integers(len(parts), size=rng.integers(1, 20)))
+        assert packing.token_ids(text, public_tokenizers.path("byte_bpe_50k.tiktoken")) == tokenizer.encode(text, add_special_tokens=False).ids
+
+
 def test_windows_hold_the_mixture():
     held = np.array([6000, 3000, 1000])
     sent = packing.round_robin(held / 10_000, np.zeros(3), held, 100)
