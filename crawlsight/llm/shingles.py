@@ -12,6 +12,9 @@ import numpy as np
 #: Words per shingle.
 SHINGLE = 5
 
+#: Texts whose numbers fit beside 44 bits of a hash.
+_NUMBERED = 1 << 20
+
 _PRIME = 0x100000001B3
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _MIX2 = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -96,8 +99,11 @@ def shingle_sets(word: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.n
     has one shingle, the whole sequence; a text without words has none.
     """
     value, owner, texts = *shingles(word, counts), len(counts)
-    # One key of the text and the hash's leading 44 bits sorts much faster than two keys.
-    order = np.argsort((owner.astype(np.uint64) << np.uint64(44)) | (value >> np.uint64(20)))
+    if texts <= _NUMBERED:
+        # One key of the text and the hash's leading 44 bits sorts much faster than two keys.
+        order = np.argsort((owner.astype(np.uint64) << np.uint64(44)) | (value >> np.uint64(20)))
+    else:
+        order = np.lexsort((value, owner))
     value, owner = value[order], owner[order]
     new = np.ones(len(value), bool)
     new[1:] = (value[1:] != value[:-1]) | (owner[1:] != owner[:-1])

@@ -2,11 +2,12 @@
 
 import random
 
+import numpy as np
 import pytest
 from conftest import MEDIUM, SMALL
 from helpers import deduped_lines, frame, repeated_bytes, similar_groups
 
-from crawlsight.llm import exact_dedup, line_dedup, minhash_dedup, suffix_dedup
+from crawlsight.llm import exact_dedup, line_dedup, minhash_dedup, shingles, suffix_dedup
 
 
 def words(rng, n):
@@ -124,6 +125,25 @@ def test_lines_with_edits(spark):
     assert by_id(got, "n_lines", "n_removed", "kept_sha256") == deduped_lines(rows)
 
 
+def test_sets_of_very_many_texts():
+    counts = np.ones((1 << 20) + 4, np.int64)
+    word = np.random.default_rng(9).integers(1 << 63, size=len(counts)).astype(np.uint64)
+    value, held = shingles.shingle_sets(word, counts)
+    assert (held == 1).all() and (value == shingles.shingles(word, counts)[0]).all()
+
+
+def test_text_of_very_many_lines(spark):
+    lines = [""] * ((1 << 20) + 8)
+    for i in range(4):
+        lines[i] = words(random.Random(i), 12)
+        lines[(1 << 20) + i] = words(random.Random(10 + i), 12)
+    lines[(1 << 20) + 5] = lines[1]
+    other = [lines[(1 << 20) + 2], "a line of its own", lines[3]]
+    found = line_dedup.removed_lines(frame(spark, [(1, "\n".join(lines)), (2, "\n".join(other))], extra=False))
+    got = {r.doc_id: (r.n_lines, r.removed_lines) for r in found.collect()}
+    assert got == {1: (len(lines), [(1 << 20) + 5]), 2: (3, [0, 2])}
+
+
 def test_exact_groups(spark, awkward):
     import hashlib
     import re
