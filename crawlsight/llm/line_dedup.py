@@ -10,7 +10,8 @@ n - ceil(percent * n) + 1 tokens, whatever total order all lines' tokens are in.
 
 1. Screening. In the order of the tokens' hashes, a packed exchange tells which prefix
    tokens another line has. Of a prefix that is longer by m tokens a similar line has
-   at least m + 1; lines with fewer shared ones are alone and move no further.
+   at least m + 1 (m is 0 above 87 percent, where this wouldn't hold); lines with fewer
+   shared ones are alone and move no further.
 2. Classes. Equal lines form one class with its first place.
 3. Join. The classes' tokens are put in order of rarity: they are counted in a table
    of fixed size (``SLOTS`` counters), so the order is by (count, hash) and what is
@@ -66,9 +67,17 @@ def prefix_sizes(counts: np.ndarray, percent: int, longer: np.ndarray | int = 0)
     return np.where(counts > 0, counts + (-counts * percent // 100) + 1 + longer, 0)
 
 
-def _longer(counts: np.ndarray) -> np.ndarray:
-    """Tokens by which the screened prefixes are longer than they must be: a tenth of the line's."""
-    return counts // 10
+def _longer(counts: np.ndarray, percent: int) -> np.ndarray:
+    """Tokens by which the screened prefixes are longer than they must be: a tenth of the line's, or none.
+
+    Lines of n > m tokens with o in common share o - ceil(t * m) + m // 10 + 1 of both
+    prefixes at least, and n // 10 + 1 are asked for. As o >= t * (n + m) / (1 + t), that is
+    enough where (t * d + t * (1 - t) * m) / (1 + t) >= n // 10 - m // 10 for d = n - m:
+    for d <= 10 (where n >= 10 and 1 is needed) if 9 * t * (1 - t) >= 1, so from 0.13 to
+    0.87, and for d > 10 if t / (1 + t) >= 2 / 11, so from 0.23 on. With prefixes that are
+    not longer, one token is shared at any threshold.
+    """
+    return counts // 10 if 23 <= percent <= 87 else np.zeros_like(counts)
 
 
 def tokens_of(data: np.ndarray, begin: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -129,7 +138,7 @@ def _candidates(documents: DataFrame, percent: int, space: Workspace) -> tuple[D
     def ask(chunk: C.Chunk):
         begin, _, _ = line_bounds(chunk)
         tokens, sizes = tokens_of(chunk.data, begin, chunk.data == 10)
-        tokens, owner, _ = _prefixes(tokens, sizes, percent, _longer(sizes))
+        tokens, owner, _ = _prefixes(tokens, sizes, percent, _longer(sizes, percent))
         yield from C.repeat_questions(chunk.number, tokens, owner, buckets)
         unique, bucket, index, _ = C.repeat_keys(tokens, owner, buckets)
         if len(unique):
@@ -142,7 +151,7 @@ def _candidates(documents: DataFrame, percent: int, space: Workspace) -> tuple[D
                     owner[order].astype(np.uint32),
                     np.bincount(index).astype(np.uint32),
                     held.astype(np.int64),
-                    (_longer(sizes) + 1).astype(np.uint32),
+                    (_longer(sizes, percent) + 1).astype(np.uint32),
                 ),
             )
 

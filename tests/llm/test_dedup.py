@@ -125,6 +125,28 @@ def test_lines_with_edits(spark):
     assert by_id(got, "n_lines", "n_removed", "kept_sha256") == deduped_lines(rows)
 
 
+@pytest.mark.parametrize("percent", [20, 87, 90, 95])
+def test_lines_and_their_beginnings(spark, percent):
+    rng, rows = random.Random(percent), []
+    for n in range(60):
+        line = words(rng, 14 if n % 2 else 24)
+        rows += [(2 * n, line), (2 * n + 1, line.rsplit(" ", 1)[0])]
+    got = line_dedup.removed_lines(frame(spark, rows), percent)
+    assert by_id(got, "n_lines", "n_removed", "kept_sha256") == deduped_lines(rows, percent)
+
+
+def test_longer_prefixes_lose_nothing():
+    sizes = np.arange(1, 400)
+    for percent in range(1, 101):
+        more = line_dedup._longer(sizes, percent)
+        first = line_dedup.prefix_sizes(sizes, percent, more)
+        n, m = np.meshgrid(sizes, sizes, indexing="ij")
+        common = -(-percent * (n + m) // (100 + percent))
+        own, other = first[n - 1] - (n - common), first[m - 1] - (m - common)
+        shared = np.minimum(common, np.minimum(own, other))
+        assert ((shared > more[n - 1]) | (common > np.minimum(n, m))).all(), percent
+
+
 def test_sets_of_very_many_texts():
     counts = np.ones((1 << 20) + 4, np.int64)
     word = np.random.default_rng(9).integers(1 << 63, size=len(counts)).astype(np.uint64)
