@@ -20,15 +20,16 @@ block returns k rows per query.
 
 Edge cases: components become floor(256 * x) with x as double; vectors that are
 null, empty, or hold a null or non-finite component take no part; vectors of
-different length are compared as if padded with zeros; components beyond 2 ** 24
-after scaling are refused with an error because sums would leave the exact range;
-rows of equal score are ordered by vec_id; a row never meets rows with its own
+different length are compared as if padded with zeros; where components are so
+large that float64 sums aren't exact, bounds keep a margin and scores are summed
+as integers, and a score beyond a long is refused with an error; rows of equal score are ordered by vec_id; a row never meets rows with its own
 vec_id; rows without vec_id take no part; an empty table gives an empty result.
 Repeated rows (same vec_id and vector) count once.
 """
 
 from __future__ import annotations
 
+import operator
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,18 +43,19 @@ DEPTHS = 64
 RESOLVED = 128
 #: Reading starts anew, at one such part of the depth that the bounds ask for, until it is within that factor.
 DEEPER = 8
-#: Largest scaled component for which float64 sums are exact up to 2 ** 5 * 2 ** 48.
-LARGEST = 2.0**24
+#: Sums of magnitudes up to which float64 holds every integer, and up to which a long does.
+EXACT, LONG = 2.0**53, 2.0**63
 HIT = "query_id long, vec_id long, score long"
 
 
 def scaled(embeddings: DataFrame) -> DataFrame:
     """vec_id, v: array of the integer components, for the vectors that take part."""
     usable = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
+    floor = lambda y: F.when(F.abs(y) < EXACT, F.floor(y).cast("double")).otherwise(y)  # noqa: E731  a long would cut the rest
     return (
         embeddings.where("vec_id IS NOT NULL AND size(embedding) > 0")
         .where(usable)
-        .select("vec_id", F.transform("embedding", lambda x: F.floor(x.cast("double") * 256).cast("double")).alias("v"))
+        .select("vec_id", F.transform("embedding", lambda x: floor(x.cast("double") * 256)).alias("v"))
         .dropDuplicates(["vec_id", "v"])
     )
 
@@ -88,12 +90,16 @@ def nra_block(
 ) -> Iterator[tuple[int, int, int]]:
     """The k best (query_id, vec_id, score) of one block of rows for each query."""
     lists = Lists(rows)
-    n, whole = len(rows), rows.astype(np.int64)
+    n, whole = len(rows), _integers(rows)
+    largest = np.abs(rows).max(axis=0)
     for query_id, query in zip(query_ids, queries):
         other = ids != query_id
         need = min(k, int(other.sum()))
         if not need:
             continue
+        most = float(largest @ np.abs(query))
+        # What float64 sums of so many rounded products can be off by, with room.
+        margin = 0.0 if most <= EXACT else (len(query) + 8) * 2.0**-48 * most
         final = lists.frontier(query, n)
         depth, kth = max(1, n // DEPTHS), -np.inf
         while True:
@@ -101,9 +107,9 @@ def nra_block(
             lower = np.where(other, lists.read(query, depth, final), -np.inf)
             best = min(n - int((~other).sum()), max(need, RESOLVED))
             top = np.argpartition(lower, n - best)[n - best :]
-            kth = max(kth, np.partition(rows[top] @ query, best - need)[best - need])
+            kth = max(kth, np.partition(rows[top] @ query, best - need)[best - need] - margin)
             deeper = np.unique(np.linspace(depth, n, DEPTHS, dtype=np.int64))
-            enough = np.flatnonzero(lists.frontier(query, deeper).sum(axis=0) < kth)
+            enough = np.flatnonzero(lists.frontier(query, deeper).sum(axis=0) + margin < kth)
             until = int(deeper[enough[0]]) if len(enough) else n
             if until <= DEEPER * depth or until == n:
                 break
@@ -111,9 +117,17 @@ def nra_block(
         # No outsider reaches the k-th best; upper bounds of the others.
         ends = lists.frontier(query, until)
         upper = ends.sum() + lists.read(query, until, ends)
-        left = np.flatnonzero(other & ((upper >= kth) | (until == n)))
-        score = whole[left] @ query.astype(np.int64)
-        for j in np.lexsort((ids[left], -score))[:k]:
+        left = np.flatnonzero(other & ((upper + margin >= kth) | (until == n)))
+        if whole.dtype == object or most >= LONG / 2:
+            wanted = [int(x) for x in query]
+            score = [sum(map(operator.mul, map(int, whole[i]), wanted)) for i in left]
+            order = sorted(range(len(left)), key=lambda j: (-score[j], ids[left[j]]))
+        else:
+            score = whole[left] @ query.astype(np.int64)
+            order = np.lexsort((ids[left], -score))
+        for j in order[:k]:
+            if not -LONG <= int(score[j]) < LONG:
+                raise ValueError("a score doesn't fit a long; components are far beyond 2 ** 24 after scaling")
             yield int(query_id), int(ids[left[j]]), int(score[j])
 
 
@@ -153,6 +167,10 @@ def _matrix(vectors: pd.Series, width: int) -> np.ndarray:
     out = np.zeros((len(vectors), width))
     for row, vector in enumerate(vectors):
         out[row, : len(vector)] = vector
-    if (np.abs(out) > LARGEST).any():
-        raise ValueError("a component exceeds 2 ** 24 after scaling; scores would not be exact")
     return out
+
+
+def _integers(rows: np.ndarray) -> np.ndarray:
+    if (np.abs(rows) < LONG).all():
+        return rows.astype(np.int64)
+    return np.array([[int(x) for x in row] for row in rows.tolist()], object)

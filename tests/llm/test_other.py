@@ -298,6 +298,27 @@ def test_search(spark):
     assert topk.top_k(table.where("false"), table).count() == 0
 
 
+@pytest.mark.parametrize("scale", [2.0**18, 2.0**20.5, 2.0**36])
+def test_search_with_large_components(spark, scale):
+    rng = np.random.default_rng(3)
+    vectors = [(i, [float(x) for x in rng.normal(0, 1, 64)]) for i in range(200)]
+    vectors += [(200 + i, [x * scale for x in v]) for i, v in vectors[:100] if scale < 2.0**30]
+    vectors += [(400 + i, [*vectors[i][1][:63], vectors[i][1][63] + 1 / 256]) for i in range(20)]
+    vectors += [(500 + i, [scale, 1.0 + i / 256]) for i in range(8 if scale < 2.0**30 else 1)]
+    table = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
+    asked = {0, 3, 203, 250, 500, 505}
+    for block in (60, 8192):
+        found = topk.top_k(table, table.where(table.vec_id.isin(*asked)), 5, block_rows=block)
+        assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in found.collect()) == best(vectors, asked, 5)
+
+
+def test_search_with_components_beyond_a_long(spark):
+    vectors = [(1, [1e30, 1.0]), (2, [0.0, 1.0]), (3, [0.0, 2.0])]
+    table = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
+    found = topk.top_k(table, table.where("vec_id = 2"), 2).collect()
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in found) == best(vectors, {2}, 2)
+
+
 def test_search_refuses_inexact_sums(spark):
     table = spark.createDataFrame([(1, [1e30]), (2, [1.0])], "vec_id long, embedding array<double>")
     with pytest.raises(Exception, match="2 \\*\\* 24"):
