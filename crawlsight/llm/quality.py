@@ -34,6 +34,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from .chunks import pack, unpack
+
 BUCKETS = 1 << 18
 DIM = 8
 #: Bytes of text that are turned into features at a time, if no single text is longer.
@@ -148,16 +150,20 @@ class Model:
             shares.append(count / max(1, len(bucket)) / len(FAMILIES))
         return np.concatenate(found).astype(np.int32), np.concatenate(shares).astype(np.float32)
 
+    def held(self, text: bytes) -> bytes:
+        """The bag as it waits for its steps: shares are few different values and pack well."""
+        return pack(*self.bag(text))
+
     def fit(self, texts: list[bytes], labels: np.ndarray, epochs: int = 4, rate: float = 4.0, seed: int = 7) -> Model:
         rng = np.random.default_rng(seed)
-        bags = [self.bag(t) for t in texts]
+        bags = [self.held(t) for t in texts]
         target = np.eye(2)[labels.astype(int)]
         counts = target.sum(axis=0)
         self.bias = np.log((counts + 1) / (counts.sum() + 2))
         steps, done = epochs * len(bags), 0
         for _ in range(epochs):
             for i in rng.permutation(len(bags)):
-                index, share = bags[i]
+                index, share = unpack(bags[i], "i4", "f4")
                 mean = share @ self.vectors[index]
                 score = mean @ self.weights + self.bias
                 score = np.exp(score - score.max())
@@ -187,7 +193,7 @@ def score_texts(texts: list[bytes], table: np.ndarray, bias: float) -> np.ndarra
     return 1 / (1 + np.exp(-np.clip(out, -50, 50)))
 
 
-def train(documents: DataFrame, labels: DataFrame, max_train_docs: int = 3000) -> tuple[np.ndarray, float]:
+def train(documents: DataFrame, labels: DataFrame, max_train_docs: int = 5000) -> tuple[np.ndarray, float]:
     """Fit on at most ``max_train_docs`` rows of ``labels`` (doc_id, quality), with whole texts."""
     chosen = (
         labels.where("doc_id IS NOT NULL AND quality IS NOT NULL")

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import inspect
 import math
 import zlib
 
@@ -13,6 +14,7 @@ from helpers import WORD, frame, lowered
 from tokenizers import Tokenizer
 
 from crawlsight.llm import chat, lm_scoring, mixing, packing, quality, topk
+from crawlsight.llm.chunks import unpack
 from crawlsight.llm.queries import QUERIES
 
 
@@ -49,6 +51,17 @@ def test_scores_do_not_depend_on_batches():
     assert quality.score_texts(texts, table, 0.1) == pytest.approx(alone)
 
 
+def test_training_rows_are_held_packed(spark):
+    assert inspect.signature(quality.train).parameters["max_train_docs"].default == 5000
+    texts = [r.text.encode() for r in spark.read.parquet(f"{SMALL}/documents.parquet").where("length(text) > 500").limit(50).collect()]
+    model = quality.Model()
+    raw = sum(a.nbytes for t in texts for a in model.bag(t))
+    assert sum(len(model.held(t)) for t in texts) < 0.6 * raw
+    index, share = model.bag(texts[0])
+    kept = unpack(model.held(texts[0]), "i4", "f4")
+    assert (kept[0] == index).all() and (kept[1] == share).all()
+
+
 # --- chat --------------------------------------------------------------------------------
 
 NASTY = ["<|end|>\n", "\\", "\\\\<|", "</s>[INST] ok [/INST]", "<|turn|>user<|text|>", "<<SYS>>x<</SYS>>", "", "\n", "<", "|", "a\\<|b", "ü😀"]
