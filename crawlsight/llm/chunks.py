@@ -4,13 +4,16 @@ Operators that must look at every position of every text can't afford a Spark ro
 per position. They work on chunks: rows that hold a few megabytes of compressed
 text each, written once to the shared folder, so that a chunk keeps its number and
 content whatever executor reads it. What a chunk has to ask of the others is packed
-into one binary value per (chunk, bucket) and dealt to the bucket's owner; the
-owner's answer, one value per question, returns to the chunk by a join.
+into one binary value per bucket and dealt to the bucket's owner; the owner's
+answer, one value per question, returns to the chunk by a join.
 
 Keys are unique within a question, so a key that a third of all texts share
-reaches its owner once per chunk, never once per text. Buckets grow in number with
-the input, so an owner's memory does not; a chunk never sends more rows than it has
-keys, so the exchange stays linear in the input.
+reaches its owner once per chunk, never once per text. A bucket holds the keys of
+``BUCKET_BYTES`` of text, so an owner's memory doesn't grow with the input. In
+``exchanged``, an owner has a range of buckets and takes one at a time; a task's
+questions to a range travel as one row per ``BATCH_BYTES``, and ranges are as many
+as the session has shuffle partitions while they stay below ``RANGE_BYTES`` of text:
+rows grow with tasks and partitions, not with chunks and buckets.
 """
 
 from __future__ import annotations
@@ -33,6 +36,10 @@ CHUNK_BYTES = 2 << 20
 CHUNK_TEXTS = 1 << 16
 #: Bytes of text per bucket: the memory of an owner doesn't grow with the input.
 BUCKET_BYTES = 8 << 20
+#: Bytes of text per range of buckets at most: their questions are held packed, in about as many bytes.
+RANGE_BYTES = 64 << 20
+#: Bytes of packed questions that a task holds back to send them together.
+BATCH_BYTES = 24 << 20
 #: Bytes of answers that are broadcast at most.
 BROADCAST_BYTES = 32 << 20
 #: Stands for a missing doc_id; such rows sort after all others.
@@ -59,6 +66,17 @@ def unpack(body: bytes, *kinds: str) -> list[np.ndarray]:
     return out
 
 
+def pack_counts(counts: np.ndarray) -> bytes:
+    """Counts, most of them small, byte plane by byte plane."""
+    planes = np.ascontiguousarray(counts.astype("<u8").view(np.uint8).reshape(-1, 8).T)
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+
+
+def unpack_counts(body: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(body), np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(planes.T).view("<i8").ravel()
+
+
 def pack_sorted(keys: np.ndarray) -> bytes:
     """Rising unsigned keys as differences, byte plane by byte plane: dense keys need few bytes each."""
     steps = np.diff(keys.astype(np.uint64), prepend=np.uint64(0))
@@ -199,6 +217,91 @@ def returned(chunks: DataFrame, answers: DataFrame, name: str) -> DataFrame:
     return chunks.join(F.broadcast(gathered) if total <= BROADCAST_BYTES else gathered, "chunk", "left")
 
 
+def framed(names: list[tuple[int, int]], bodies: list[bytes]) -> bytes:
+    """Values with the bucket and the chunk of each, as one value."""
+    heads = np.array([(b, c, len(body)) for (b, c), body in zip(names, bodies)], np.int64)
+    return len(bodies).to_bytes(8, "little") + heads.tobytes() + b"".join(bodies)
+
+
+def unframed(body: bytes) -> Iterator[tuple[int, int, bytes]]:
+    n = int.from_bytes(body[:8], "little")
+    at = 8 + 24 * n
+    for bucket, chunk, size in np.frombuffer(body, np.int64, 3 * n, 8).reshape(n, 3).tolist():
+        yield bucket, chunk, body[at : at + size]
+        at += size
+
+
+def exchanged(
+    chunks: DataFrame, ask: Callable, answer: Callable, buckets: int, space: Workspace, name: str
+) -> tuple[DataFrame, int]:
+    """``chunks`` with the array ``name`` of (bucket, body), in order of bucket, and the sum of the owners' numbers.
+
+    ``ask(chunk, row)`` yields (bucket, question), ``answer(questions)`` gets all
+    questions of a bucket and returns an answer for each and a number. Questions are
+    framed by batch: some chunks of one task, known by the number of the first.
+    Answers meet their chunks in a shuffle join at every size.
+    """
+    ranges = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    width = max(1, min(-(-buckets // ranges), RANGE_BYTES // BUCKET_BYTES))
+
+    def gather(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[int, tuple[list, list]] = {}
+        batch, size = None, 0
+
+        def batched() -> pd.DataFrame:
+            rows = [(r, batch, framed(*held.pop(r))) for r in list(held)]
+            return pd.DataFrame(rows, columns=["range", "batch", "body"])
+
+        for frame in frames:
+            for row in frame.itertuples(index=False):
+                chunk = Chunk(row)
+                for bucket, body in ask(chunk, row):
+                    names, bodies = held.setdefault(bucket // width, ([], []))
+                    names.append((bucket, chunk.number))
+                    bodies.append(body)
+                    batch = chunk.number if batch is None else batch
+                    size += len(body)
+                if size > BATCH_BYTES:
+                    yield batched()
+                    batch, size = None, 0
+        if held:
+            yield batched()
+
+    def own(group: pd.DataFrame) -> pd.DataFrame:
+        questions: dict[int, list] = {}
+        for i, body in enumerate(group["body"]):
+            for bucket, chunk, question in unframed(body):
+                questions.setdefault(bucket, []).append((i, chunk, question))
+        out, total = [([], []) for _ in range(len(group))], 0
+        for bucket in sorted(questions):
+            asked_by = questions.pop(bucket)
+            answers, note = answer([q for _, _, q in asked_by])
+            total += note
+            for (i, chunk, _), body in zip(asked_by, answers, strict=True):
+                out[i][0].append((bucket, chunk))
+                out[i][1].append(body)
+        notes = [total, *[None] * (len(out) - 1)]
+        bodies = [framed(*parts) for parts in out]
+        return pd.DataFrame({"batch": group["batch"], "body": bodies, "note": pd.array(notes, "Int64")})
+
+    def dealt(group: pd.DataFrame) -> pd.DataFrame:
+        back: dict[int, list] = {}
+        for body in group["body"]:
+            for bucket, chunk, part in unframed(body):
+                back.setdefault(chunk, []).append((bucket, part))
+        parts = [[{"bucket": b, "body": part} for b, part in sorted(some)] for some in back.values()]
+        return pd.DataFrame({"chunk": list(back), name: parts})
+
+    questions = chunks.mapInPandas(gather, "range long, batch long, body binary")
+    answers = questions.groupBy("range").applyInPandas(own, "batch long, body binary, note long")
+    answers = space.write(answers, f"{name}-answers", "none")
+    total = answers.agg(F.sum("note")).first()[0] or 0
+    parts = answers.groupBy("batch").applyInPandas(dealt, f"chunk long, {name} array<struct<bucket:long,body:binary>>")
+    parts = space.write(parts, name, "none")
+    space.drop(f"{name}-answers")
+    return chunks.join(parts.hint("merge"), "chunk", "left"), total
+
+
 def by_bucket(unique: np.ndarray, buckets: np.ndarray) -> Iterator[tuple[int, slice]]:
     """(bucket, slice) of keys sorted by bucket."""
     if not len(unique):

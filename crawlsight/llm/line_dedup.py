@@ -240,7 +240,6 @@ def removed_lines(documents: DataFrame, percent: int = 80) -> DataFrame:
     classes = space.write(classes, "classes")
     found = space.write(found.drop("tokens"), "places")
     space.drop("found")
-    space.release()
     postings = _postings(classes, percent, space).join(classes.select("class", "place"), "class")
     postings = space.write(postings, "postings")
     space.drop("class-sets")
@@ -252,7 +251,6 @@ def removed_lines(documents: DataFrame, percent: int = 80) -> DataFrame:
         .distinct()
     )
     gone = space.write(_verified(space.write(pivots, "pivots"), classes, percent, space, "pivot"), "gone")
-    space.release()
     # What an earliest class doesn't remove meets the other earlier classes of its tokens.
     other = filed.select("token", *[F.col(c).alias(f"{c}_b") for c in ("class", "place", "n", "pos")])
     pairs = (
@@ -274,7 +272,6 @@ def removed_lines(documents: DataFrame, percent: int = 80) -> DataFrame:
     )
     told = told.groupBy("chunk").agg(F.collect_list(F.struct("lines", "doc_id", "line", "echo")).alias("verdicts"))
     told = space.write(told, "told")
-    space.release()
     size = told.agg(F.sum(F.size("verdicts"))).first()[0] or 0
     if size <= BROADCAST_VERDICTS:
         told = F.broadcast(told)

@@ -2,7 +2,8 @@
 
 Words are A-Z-lowered runs without ASCII white space; n-grams (orders 1 to 3) never
 cross texts. The count tables hold all n-grams of all texts; those of order 2 and 3
-need at least ``min_count`` occurrences to count as seen. The score of a word is
+need at least ``min_count`` occurrences to count as seen (1: all are). The score of a
+word is
 
     count(w1 w2 w3) / count(w1 w2)       if w1 w2 w3 is seen, else
     BACKOFF * count(w2 w3) / count(w2)   if w2 w3 is seen, else
@@ -11,18 +12,28 @@ need at least ``min_count`` occurrences to count as seen. The score of a word is
 where a text's first words start at a lower order without a penalty for the orders
 that they can't have. A text's score is the sum of the logarithms.
 
-The plan is a join of n-grams with hash-partitioned count tables: each chunk counts
-its n-grams, deals the distinct ones by hash to the tables' owners, which add the
-counts up, and gets the totals of just its own n-grams back. Most pairs and triples of words occur
-once, which the model treats like never, so a packed exchange first tells which ones
-occur again and only those are counted. N-grams that all texts share are
-pre-aggregated per chunk; nothing is collected or broadcast, so what moves grows with
-the corpus and no faster.
-
-N-grams are identified by 54 bits of a hash. Edge cases: null and empty texts have no
-words and the score 0; repeated rows count as often as they occur; rows without
-doc_id are scored like others; an empty table gives an empty result; extra columns
-are ignored; with ``min_count`` below 2 those that occur once are counted too.
+The plan is a join of exploded n-grams with hash-partitioned count tables, order by
+order:
+
+1. Explode and pre-aggregate. Each chunk lists its distinct n-grams (key, count).
+2. Count tables. They are dealt by hash to the tables' owners: the owner of a bucket
+   adds up its keys' counts, which is that bucket of the count table.
+3. Join back. The table's rows are joined to the n-grams that asked for them, in the
+   same bucket, and return to their chunks.
+4. Sum per document.
+
+Words and pairs are counted first. A triple that occurs twice consists of two pairs
+that do, so only those triples are exploded into the second exchange; any other triple
+that a text holds occurs once in all texts, and its count is 1 without being asked.
+
+Tables and n-grams are packed columns, one row per bucket and batch of chunks. An
+n-gram that all texts share is pre-aggregated per chunk; nothing is collected, so what
+moves grows with the corpus and no faster.
+
+N-grams are identified by their order and 62 bits of a hash. Edge cases: null and empty
+texts have no words and the score 0; repeated rows count as often as they occur; rows
+without doc_id are scored like others; a very long text is one chunk, scored as a whole;
+an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,7 +43,6 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from . import chunks as C
 from .shingles import mixed, words
@@ -42,133 +52,108 @@ BACKOFF = 0.4
 RESULT = "doc_id long, n_words long, log_score double"
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-#: The chunk number of the owners' sums of words.
-_SUMS = -1
-
-
-#: Bits that a key leaves out of its hash.
-_CUT = np.uint64(8)
-
-
-def _grams(chunk: C.Chunk) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """(text of each word, its place in the text, keys per order); a key's low bits hold its order."""
-    word, begin = words(chunk.data, chunk.starts)
-    text = np.searchsorted(chunk.starts, begin, "right") - 1
-    first = np.searchsorted(text, text, "left")
-    place = np.arange(len(text)) - first
-    keys, running = [], word
-    for order in (1, 2, 3):
-        if order > 1:
-            before = np.concatenate((np.zeros(min(len(word), order - 1), np.uint64), word[: max(0, len(word) - order + 1)]))
-            running = mixed(running * _MIX + before)
-        keys.append((mixed(running + np.uint64(order)) >> _CUT & ~np.uint64(3)) | np.uint64(order))
-    return text, place, keys
-
-
-#: Bits beside the bucket that screen n-grams: a few in a hundred that occur once pass.
-SCREEN_BITS = 26
-
-
-def _screened(place: np.ndarray, keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(keys, order, word) of all pairs and triples."""
-    at = [np.flatnonzero(place >= order) for order in (1, 2)]
-    order = np.repeat([1, 2], [len(a) for a in at])
-    return np.concatenate([keys[o][a] << _CUT for o, a in zip((1, 2), at)]), order, np.concatenate(at)
-
-
-def _ask_again(chunk: C.Chunk, buckets: int):
-    """Which of the chunk's pairs and triples occur in more than one place?"""
-    _, place, keys = _grams(chunk)
-    wanted, _, at = _screened(place, keys)
-    yield from C.repeat_questions(chunk.number, wanted, at, buckets, SCREEN_BITS)
-
-
-def _counted(chunk: C.Chunk, row, buckets: int, every: bool):
-    """(text, place, distinct keys, their counts, each word's index per order; -1 where there is none)."""
-    text, place, keys = _grams(chunk)
-    fits = [place >= order for order in range(3)]
-    if not every:
-        wanted, order, at = _screened(place, keys)
-        unique, bucket, index, _ = C.repeat_keys(wanted, at, buckets, SCREEN_BITS)
-        again = C.repeat_flags(row.again, unique, bucket)[index]
-        for o in (1, 2):
-            fits[o] = np.zeros(len(place), bool)
-            fits[o][at[again & (order == o)]] = True
-    unique, index, count = np.unique(
-        np.concatenate([k[f] for k, f in zip(keys, fits)]), return_inverse=True, return_counts=True
-    )
-    out, at = [], 0
-    for f in fits:
-        own = np.full(len(place), -1)
-        own[f] = index[at : at + int(f.sum())]
-        at += int(f.sum())
-        out.append(own)
-    return text, place, unique, count, out
-
-
-def _answer(bodies: list[bytes]) -> tuple[list[bytes], int]:
-    """The total count of each key, and the sum of all words' counts."""
-    parts = []
-    for body in bodies:
+
+
+class Grams:
+    """The n-grams of a chunk: for each of its words the keys of the three that end there."""
+
+    def __init__(self, chunk: C.Chunk):
+        word, begin = words(chunk.data, chunk.starts)
+        self.text = np.searchsorted(chunk.starts, begin, "right") - 1
+        self.place = np.arange(len(self.text)) - np.searchsorted(self.text, self.text, "left")
+        self.keys, running = [], word
+        for order in (1, 2, 3):
+            if order > 1:
+                before = np.concatenate((np.zeros(min(len(word), order - 1), np.uint64), word[: max(0, len(word) - order + 1)]))
+                running = mixed(running * _MIX + before)
+            # A key's low bits hold its order.
+            self.keys.append((mixed(running + np.uint64(order)) & ~np.uint64(3)) | np.uint64(order))
+
+    def low(self) -> Counted:
+        """Words and pairs."""
+        return Counted([(self.keys[0], np.arange(len(self.place))), (self.keys[1], np.flatnonzero(self.place >= 1))])
+
+    def triples(self, pairs: np.ndarray) -> Counted:
+        """The triples whose two pairs occur more than once, by the pairs' counts per word."""
+        again = pairs > 1
+        wanted = (self.place >= 2) & again
+        wanted[1:] &= again[:-1]
+        return Counted([(self.keys[2], np.flatnonzero(wanted))])
+
+
+class Counted:
+    """Distinct n-grams with their counts in a chunk, in order of key, and the words that they end at."""
+
+    def __init__(self, parts: list[tuple[np.ndarray, np.ndarray]]):
+        self.parts = [at for _, at in parts]
+        every = np.concatenate([keys[at] for keys, at in parts])
+        self.unique, self.index, self.count = np.unique(every, return_inverse=True, return_counts=True)
+
+    def questions(self, buckets: int) -> Iterator[tuple[int, bytes]]:
+        for bucket, at in C.by_bucket(self.unique, C.bucket_of(self.unique, buckets)):
+            keys = C.pack_sorted(self.unique[at])
+            yield bucket, len(keys).to_bytes(8, "little") + keys + C.pack_counts(self.count[at])
+
+    def totals(self, answers, size: int, otherwise: int = 0) -> list[np.ndarray]:
+        """The count tables' entries per part and word, joined in the order of the keys."""
+        found = [C.unpack_counts(a["body"]) for a in (answers if answers is not None else [])]
+        total = np.concatenate([*found, np.zeros(0, np.int64)])[self.index]
+        out, begin = [], 0
+        for at in self.parts:
+            own = np.full(size, otherwise, np.int64)
+            own[at] = total[begin : begin + len(at)]
+            out.append(own)
+            begin += len(at)
+        return out
+
+
+def count_table(questions: list[bytes]) -> tuple[list[bytes], int]:
+    """A bucket of the count table, joined to the n-grams that asked; and the number of words in it."""
+    grams = []
+    for body in questions:
         cut = 8 + int.from_bytes(body[:8], "little")
-        parts.append((C.unpack_sorted(body[8:cut]), C.unpack(body[cut:], "u4")[0]))
-    keys = np.concatenate([k for k, _ in parts])
-    unique, index = np.unique(keys, return_inverse=True)
-    total = np.bincount(index, np.concatenate([n for _, n in parts])).astype(np.int64)
-    ends = np.cumsum([len(k) for k, _ in parts])[:-1]
-    own = [C.pack(t) for t in np.split(total[index], ends)]
-    return own, int(total[(unique & np.uint64(3)) == 1].sum())
+        grams.append((C.unpack_sorted(body[8:cut]), C.unpack_counts(body[cut:])))
+    keys, index = np.unique(np.concatenate([k for k, _ in grams]), return_inverse=True)
+    counts = np.bincount(index, np.concatenate([n for _, n in grams])).astype(np.int64)
+    joined = np.split(counts[index], np.cumsum([len(k) for k, _ in grams])[:-1])
+    return [C.pack_counts(c) for c in joined], int(counts[(keys & np.uint64(3)) == 1].sum())
 
 
-def scores(documents: DataFrame, min_count: int = 2) -> DataFrame:
+def scores(documents: DataFrame, min_count: int = 1) -> DataFrame:
     """doc_id, n_words, log_score: one row per input row."""
     space = Workspace(documents.sparkSession, "lm-scoring")
     buckets = C.bucket_count(documents)
-    every = min_count < 2
     table, _ = C.chunked(documents, space)
-    if not every:
-        asked = C.asked(table, lambda chunk, row: _ask_again(chunk, buckets))
-        again = space.write(C.answered(asked, C.repeat_answers), "again", "none")
-        del asked
-        space.release()
-        table = C.returned(table, again, "again")
-
-    def ask(chunk: C.Chunk, row):
-        _, _, unique, count, _ = _counted(chunk, row, buckets, every)
-        for b, at in C.by_bucket(unique, C.bucket_of(unique << _CUT, buckets)):
-            body = C.pack_sorted(unique[at])
-            yield b, chunk.number, len(body).to_bytes(8, "little") + body + C.pack(count[at].astype(np.uint32))
-
-    def own(group: pd.DataFrame) -> pd.DataFrame:
-        bodies, total = _answer(group["body"].tolist())
-        return pd.DataFrame(
-            {"chunk": [*group["chunk"], _SUMS], "bucket": [*group["bucket"], total], "body": [*bodies, b""]}
-        )
 
-    answers = C.asked(table, ask).groupBy("bucket").applyInPandas(own, "chunk long, bucket long, body binary")
-    answers = space.write(answers, "answers", "none")
-    space.release()
-    total = answers.where(F.col("chunk") == _SUMS).agg(F.sum("bucket")).first()[0] or 1
+    def ask_low(chunk: C.Chunk, row):
+        return Grams(chunk).low().questions(buckets)
+
+    def ask_triples(chunk: C.Chunk, row):
+        grams = Grams(chunk)
+        _, pairs = grams.low().totals(row.low, len(grams.place))
+        return grams.triples(pairs).questions(buckets)
+
+    counted, total = C.exchanged(table, ask_low, count_table, buckets, space, "low")
+    ready, _ = C.exchanged(counted, ask_triples, count_table, buckets, space, "triples")
 
     def score(chunk: C.Chunk, row) -> pd.DataFrame:
-        text, place, _, _, index = _counted(chunk, row, buckets, every)
-        logs = np.zeros(0)
-        if len(text):
-            counts = np.concatenate([*(C.unpack(a["body"], "i8")[0] for a in row.answers), np.zeros(1, np.int64)])
-            one, two, three = (counts[i].astype(float) for i in index)
-            before, pair = np.roll(one, 1), np.roll(two, 1)
-            use3 = (place >= 2) & (three >= min_count)
-            use2 = ~use3 & (place >= 1) & (two >= min_count)
-            value = BACKOFF ** np.minimum(place, 2) * one / total
-            value = np.where(use2, BACKOFF ** (np.minimum(place, 2) - 1.0) * two / np.maximum(before, 1), value)
-            value = np.where(use3, three / np.maximum(pair, 1), value)
-            logs = np.log(value)
-        size = len(chunk.ids)
+        grams = Grams(chunk)
+        text, place, size = grams.text, grams.place, len(grams.place)
+        one, two = grams.low().totals(row.low, size)
+        # A triple that wasn't asked for occurs here and nowhere else.
+        three = np.where(place >= 2, grams.triples(two).totals(row.triples, size, 1)[0], 0)
+        before, pair = np.roll(one, 1), np.roll(two, 1)
+        use3 = (place >= 2) & (three >= min_count)
+        use2 = ~use3 & (place >= 1) & (two >= min_count)
+        value = BACKOFF ** np.minimum(place, 2) * one / max(1, total)
+        value = np.where(use2, BACKOFF ** (np.minimum(place, 2) - 1.0) * two / np.maximum(before, 1), value)
+        value = np.where(use3, three / np.maximum(pair, 1), value)
+        texts = len(chunk.ids)
         return pd.DataFrame(
             {
                 "doc_id": pd.Series(chunk.ids, dtype="Int64").mask(chunk.ids == C.NO_ID),
-                "n_words": np.bincount(text, minlength=size),
-                "log_score": np.bincount(text, logs, minlength=size),
+                "n_words": np.bincount(text, minlength=texts),
+                "log_score": np.bincount(text, np.log(value), minlength=texts),
             }
         )
 
@@ -177,5 +162,4 @@ def scores(documents: DataFrame, min_count: int = 2) -> DataFrame:
             for row in frame.itertuples(index=False):
                 yield score(C.Chunk(row), row)
 
-    ready = C.returned(table, answers.where(F.col("chunk") != _SUMS), "answers")
     return ready.mapInPandas(run, RESULT)

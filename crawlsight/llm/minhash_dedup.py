@@ -206,7 +206,6 @@ def near_groups(documents: DataFrame, percent: int = 85) -> DataFrame:
     pivots = space.write(pivots.select("key", "p"), "pivots")
     filed = space.write(postings.join(pivots, "key"), "filed")
     space.drop("postings")
-    space.release()
     tested = (
         filed.where(F.col("digest") != F.col("p.digest"))
         .where(_similar(F.col("n"), F.col("p.n"), percent))
@@ -218,7 +217,6 @@ def near_groups(documents: DataFrame, percent: int = 85) -> DataFrame:
     sets = space.write(_full_sets(documents, wanted), "sets")
     copies = _copies(members)
     links = space.write(_confirmed(tested, sets, percent).union(copies), "links")
-    space.release()
     labels = components(links, space, "round1")
     placed = filed.join(labels, filed["first"] == labels["node"], "left").select(
         "key", "digest", "first", "n", F.coalesce("component", "first").alias("component")
@@ -230,7 +228,6 @@ def near_groups(documents: DataFrame, percent: int = 85) -> DataFrame:
     # A set has at most as many keys as the index gives it.
     able = open_.groupBy("digest", "first", "n", "component").agg(F.collect_set("key").alias("keys")).join(able, "digest")
     able = space.write(able, "able")
-    space.release()
     one = able.withColumn("key", F.explode("keys"))
     other = one.select("key", *[F.col(c).alias(f"{c}_b") for c in able.columns])
     most = F.least("support", "support_b")

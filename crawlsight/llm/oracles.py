@@ -48,9 +48,9 @@ three AS (SELECT a, b, c, count(*) AS n3 FROM grams WHERE a IS NOT NULL GROUP BY
 total AS (SELECT sum(n1)::DOUBLE AS words FROM one),
 scored AS (
   SELECT g.n, CASE
-    WHEN g.a IS NOT NULL AND n3 >= 2 THEN ln(n3 / p.n2)
-    WHEN g.b IS NOT NULL AND q.n2 >= 2 THEN ln(CASE WHEN g.a IS NULL THEN 1 ELSE 0.4::DOUBLE END * q.n2 / o.n1)
-    ELSE ln(CASE WHEN g.b IS NULL THEN 1 WHEN g.a IS NULL THEN 0.4::DOUBLE ELSE 0.16::DOUBLE END * u.n1 / words) END AS s
+    WHEN g.a IS NOT NULL THEN ln(n3 / p.n2)
+    WHEN g.b IS NOT NULL THEN ln(q.n2 / o.n1)
+    ELSE ln(u.n1 / words) END AS s
   FROM grams g JOIN one u ON u.c = g.c CROSS JOIN total
     LEFT JOIN one o ON o.c = g.b LEFT JOIN two q ON q.b = g.b AND q.c = g.c
     LEFT JOIN two p ON p.b = g.a AND p.c = g.b LEFT JOIN three t ON t.a = g.a AND t.b = g.b AND t.c = g.c

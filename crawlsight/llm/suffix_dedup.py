@@ -243,7 +243,6 @@ def removals(documents: DataFrame) -> DataFrame:
 
     table, _ = C.chunked(documents, space)
     ranks = space.write(C.answered(C.asked(table, ask_sample), C.repeat_answers), "ranks", "none")
-    space.release()
 
     def ask_windows(chunk: C.Chunk, row):
         keys, places = _window_keys(chunk, _candidates(chunk, row, buckets))
@@ -251,7 +250,6 @@ def removals(documents: DataFrame) -> DataFrame:
 
     ranked = C.returned(table, ranks, "ranks")
     repeats = space.write(C.answered(C.asked(ranked, ask_windows), C.repeat_answers), "repeats", "none")
-    space.release()
 
     def ask_suffixes(chunk: C.Chunk, row):
         suffix = _candidates(chunk, row, buckets)
@@ -281,10 +279,8 @@ def removals(documents: DataFrame) -> DataFrame:
 
     suffixes = C.asked(C.returned(ranked, repeats, "repeats"), ask_suffixes).withColumn("own", F.col("bucket") < 0)
     suffixes = space.write_split(suffixes, "suffixes", "own")
-    space.release()
     masks = space.write(C.answered(suffixes.where("NOT own"), _suffix_answers), "masks", "none")
     space.drop("suffixes/own=false")
-    space.release()
     own = suffixes.where("own").select("chunk", F.col("body").alias("contexts"))
     ready = C.returned(table, masks, "masks").join(own, "chunk", "left")
 

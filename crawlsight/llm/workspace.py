@@ -2,30 +2,52 @@
 
 Lineage is cut by writing a table and reading it back, so a lost executor costs
 a task and never a table. The folder is the session's ``spark.checkpoint.dir``;
-only a session without that setting (a test) gets a temporary folder of its own.
+only a session in one process (a test) may go without that setting and gets a
+temporary folder of its own. A cluster without it is refused: executors would write
+to their own disks and find nothing there when they read.
 """
 
 from __future__ import annotations
 
 import atexit
-import gc
+import contextlib
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
 _KEY = "spark.checkpoint.dir"
+#: Shuffle files go when the execution that made them ends; nothing reads them after its table is written.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_root(spark: SparkSession) -> str:
     """The shared folder's path, without a trailing slash."""
     root = spark.conf.get(_KEY, None)
     if not root:
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise ValueError(f"set {_KEY} to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="crawlsight-")
         spark.conf.set(_KEY, root)
     return root.rstrip("/")
 
 
+@contextlib.contextmanager
+def _cleaning(spark: SparkSession) -> Iterator[None]:
+    """Within it, an execution removes its shuffle files as soon as it ends."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+
+
 class Workspace:
     """Tables of one operator call, in one folder of their own.
 
@@ -40,27 +62,20 @@ class Workspace:
 
     def write(self, frame: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
         path = f"{self.root}/{name}"
-        frame.write.mode("overwrite").option("compression", compression).parquet(path)
+        with _cleaning(self.spark):
+            frame.write.mode("overwrite").option("compression", compression).parquet(path)
         return self.spark.read.schema(frame.schema).parquet(path)
 
     def write_split(self, frame: DataFrame, name: str, by: str) -> DataFrame:
         """As ``write``, in one folder per value of a column, so that a part can be dropped by itself."""
         path = f"{self.root}/{name}"
-        frame.write.mode("overwrite").option("compression", "none").partitionBy(by).parquet(path)
+        with _cleaning(self.spark):
+            frame.write.mode("overwrite").option("compression", "none").partitionBy(by).parquet(path)
         return self.spark.read.schema(frame.schema).parquet(path)
 
     def drop(self, name: str) -> None:
         self._remove(f"{self.root}/{name}")
 
-    def release(self) -> None:
-        """Let Spark delete the shuffle files of finished steps now.
-
-        Spark deletes them when the driver's garbage collector finds their step
-        unused, which may be long after the step.
-        """
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
-
     def _remove(self, path: str) -> None:
         context = self.spark.sparkContext
         if context._jsc is None or context._jsc.sc().isStopped():

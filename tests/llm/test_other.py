@@ -13,7 +13,7 @@ from conftest import MEDIUM, SMALL
 from helpers import WORD, frame, lowered
 from tokenizers import Tokenizer
 
-from crawlsight.llm import chat, lm_scoring, mixing, packing, quality, topk
+from crawlsight.llm import chat, chunks, lm_scoring, mixing, packing, quality, topk
 from crawlsight.llm.chunks import unpack
 from crawlsight.llm.queries import QUERIES
 
@@ -250,7 +250,7 @@ def test_apportionment_is_sainte_lague(spark):
 # --- scoring -----------------------------------------------------------------------------
 
 
-def backoff_scores(rows):
+def backoff_scores(rows, seen):
     texts = [(d, WORD.findall(lowered(t))) for d, t in rows]
     count = collections.Counter()
     for _, w in texts:
@@ -261,9 +261,9 @@ def backoff_scores(rows):
     for d, w in texts:
         score = 0.0
         for i in range(len(w)):
-            if i >= 2 and count[tuple(w[i - 2 : i + 1])] >= 2:
+            if i >= 2 and count[tuple(w[i - 2 : i + 1])] >= seen:
                 score += math.log(count[tuple(w[i - 2 : i + 1])] / count[tuple(w[i - 2 : i])])
-            elif i >= 1 and count[tuple(w[i - 1 : i + 1])] >= 2:
+            elif i >= 1 and count[tuple(w[i - 1 : i + 1])] >= seen:
                 score += math.log(0.4 ** (min(i, 2) - 1) * count[tuple(w[i - 1 : i + 1])] / count[(w[i - 1],)])
             else:
                 score += math.log(0.4 ** min(i, 2) * count[(w[i],)] / total)
@@ -271,13 +271,28 @@ def backoff_scores(rows):
     return sorted(out)
 
 
-def test_scores(spark):
+@pytest.mark.parametrize("seen", [1, 2, 3])
+def test_scores(spark, seen):
     rows = [(1, "a b c a b c d"), (2, "A b c"), (3, None), (4, ""), (5, "x"), (5, "x"), (None, "a b q"), (6, "d a b \t\n c " * 500)]
-    got = lm_scoring.scores(frame(spark, rows).repartition(3)).collect()
-    assert sorted((r.doc_id is None, r.doc_id or 0, r.n_words, round(r.log_score, 6)) for r in got) == backoff_scores(rows)
+    got = lm_scoring.scores(frame(spark, rows).repartition(3), seen).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.n_words, round(r.log_score, 6)) for r in got) == backoff_scores(rows, seen)
     assert lm_scoring.scores(frame(spark, rows).where("false")).count() == 0
 
 
+def test_scores_of_many_chunks_and_batches(spark, monkeypatch):
+    monkeypatch.setattr(chunks, "CHUNK_BYTES", 3000)
+    monkeypatch.setattr(chunks, "BUCKET_BYTES", 5000)
+    monkeypatch.setattr(chunks, "BATCH_BYTES", 2000)
+    monkeypatch.setattr(chunks, "BROADCAST_BYTES", 0)
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").repartition(5)
+    rows = [(r.doc_id, r.text) for r in docs.collect()] + [(10_000, "one very long text " * 20_000)]
+    longer = docs.select("doc_id", "text").union(spark.createDataFrame(rows[-1:], "doc_id long, text string"))
+    got = lm_scoring.scores(longer).collect()
+    want = backoff_scores(rows, 1)
+    assert [(r[1], r[2]) for r in want] == sorted((r.doc_id, r.n_words) for r in got)
+    assert [r[3] for r in want] == pytest.approx([r.log_score for r in sorted(got, key=lambda r: r.doc_id)], abs=1e-5)
+
+
 # --- search ------------------------------------------------------------------------------
 
 
