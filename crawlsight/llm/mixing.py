@@ -7,10 +7,10 @@ sum(min(cap, weight * L)) = budget, read off the sources in the order of
 cap / weight.
 
 Quotas: the tokens are dealt in blocks of ``block_tokens``. A source gets blocks
-by highest quotients target / (2k + 1); the same rule deals a source's blocks to
-its shards by shard size. Quotas that every divisor between the two bounds of
-the method gives are taken as a lower bound, so that only about four quotients
-per source or shard are ranked, whatever the number of blocks.
+by highest quotients target / (2k + 1), as long as it has blocks to give; the same
+rule deals a source's blocks to its shards by shard size. Quotas that every divisor
+between two bounds gives are taken as a lower bound, so that only about four
+quotients per source or shard are ranked, whatever the number of blocks.
 
 Selection: a shard's documents, in seeded order, form one circular stream of
 tokens. Its quota is a run of consecutive blocks from a seeded start; a run
@@ -21,8 +21,12 @@ anything. A source is cut into shards of about ``shard_tokens`` (at most
 
 Edge cases: null texts have size 0 and take nothing; a source of size 0 has
 target 0; a null source is a source of its own, last in order; an empty table
-gives an empty result; repeated rows count as documents of their own. Equal
-seeds give equal results whatever the partitioning.
+gives an empty result; very long texts are documents like others, of which a run
+may take a part; repeated rows and rows without doc_id count as documents of their
+own, and neither they nor those with the same doc_id are taken twice for once;
+extra columns are ignored by ``mix`` and returned as they are by
+``mixed_documents``, whatever their names. Equal seeds give equal results whatever
+the partitioning.
 """
 
 from __future__ import annotations
@@ -30,11 +34,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .words import word_count
+from .words import row_hash, unused, word_count
 from .workspace import Workspace
 
 #: Shards of one source at most; bounds the ranking of quotients within a source.
 MAX_SHARDS = 4096
+#: Bytes of copies that are broadcast at most, and bytes of one; beyond it the texts are shuffled.
+BROADCAST_BYTES, COPY_BYTES = 16 << 20, 64
+
+
+def _seeded(*parts: Column | str | int) -> Column:
+    """A number from 0 to 2 ** 60 - 1 that a seed and some values give."""
+    text = F.concat_ws("/", *[(p if isinstance(p, Column) else F.lit(p)).cast("string") for p in parts])
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
 
 
 def source_targets(sources: DataFrame, weights: tuple[int, ...], budget: float, repeat_cap: float) -> DataFrame:
@@ -66,23 +78,34 @@ def apportion(parts: DataFrame, key: list[str | Column], share: str, seats: str,
 
     ``share`` holds the non-negative votes, ``seats`` the key's number of seats
     and ``most`` the seats that a row can take. Ties go to the smaller ``tie``
-    column. Every divisor that gives S seats to n rows lies so close to the mean
-    one that a row's seats are within share * (S +- n / 2) +- 1/2.
+    column. Without rounding a row would have min(most, share * t), and rounding
+    moves the sum of n rows by n / 2 at most. So the method's own level lies between
+    those that hand out n / 2 seats less and more, which bound a row's seats.
     """
     whole = Window.partitionBy(*key)
-    n, total = F.count("*").over(whole), F.sum(share).over(whole)
-    part = F.when(total > 0, F.col(share) / total).otherwise(F.lit(0.0))
+    order = whole.orderBy("_ratio", "tie")
+    before, rest = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    votes = F.col(share).cast("double")
+
+    def level(total: Column) -> Column:
+        """With just the rows before one at their most; none exceeds the level of this total, and one equals it."""
+        return (total - F.coalesce(F.sum("_most").over(before), F.lit(0.0))) / F.nullif(F.sum(votes).over(rest), F.lit(0.0))
+
+    half = F.count("*").over(whole) / 2
+    leveled = (
+        parts.withColumn("_most", F.when(votes > 0, F.col(most).cast("double")).otherwise(F.lit(0.0)))
+        .withColumn("_ratio", F.when(votes > 0, F.col("_most") / votes))
+        .withColumn("_low", level(F.col(seats) - half))
+        .withColumn("_high", level(F.col(seats) + half))
+    )
     bounded = (
-        parts.withColumn("_part", part)
-        .withColumn("_n", n)
-        .withColumn("_least", F.greatest(F.lit(0.0), F.floor(F.col("_part") * (F.col(seats) - F.col("_n") / 2) - 1)))
-        .withColumn("_least", F.least(F.col("_least"), F.col(most)).cast("long"))
-        .withColumn("_upto", F.ceil(F.col("_part") * (F.col(seats) + F.col("_n") / 2) + 1))
-        .withColumn("_upto", F.least(F.col("_upto"), F.col(most)).cast("long"))
+        leveled.withColumn("_low", F.greatest(F.lit(0.0), F.floor(votes * F.max("_low").over(whole) - 1)))
+        .withColumn("_least", F.least("_low", "_most").cast("long"))
+        .withColumn("_upto", F.least(F.ceil(votes * F.max("_high").over(whole) + 1), F.col("_most")).cast("long"))
         .withColumn("_open", (F.col(seats) - F.sum("_least").over(whole)).cast("long"))
     )
     quotients = (
-        bounded.where("_upto > _least AND _part > 0")
+        bounded.where("_upto > _least")
         .withColumn("_k", F.explode(F.sequence(F.col("_least"), F.col("_upto") - 1)))
         .withColumn("_quotient", F.col(share) / (2 * F.col("_k") + 1))
         .withColumn("_rank", F.row_number().over(whole.orderBy(F.col("_quotient").desc(), "tie", "_k")))
@@ -93,7 +116,7 @@ def apportion(parts: DataFrame, key: list[str | Column], share: str, seats: str,
     return (
         bounded.join(quotients, "tie", "left")
         .withColumn(out, F.col("_least") + F.coalesce("_more", F.lit(0)))
-        .drop("_part", "_n", "_least", "_upto", "_open", "_more")
+        .drop("_most", "_ratio", "_low", "_high", "_least", "_upto", "_open", "_more")
     )
 
 
@@ -107,8 +130,21 @@ def mix(
     seed: int = 0,
 ) -> DataFrame:
     """doc_id, source, size, source_size, target, taken: one row per input row."""
+    return _mixed(documents, weights, budget, repeat_cap, block_tokens, shard_tokens, seed).drop("row")
+
+
+def _identity(documents: DataFrame) -> Column:
+    """A hash of what a row's part in the mix rests on: rows that share it can stand for each other."""
+    return F.xxhash64("doc_id", "source", "text")
+
+
+def _mixed(
+    documents: DataFrame, weights: tuple[int, ...], budget: float, repeat_cap: int, block_tokens: int, shard_tokens: int, seed: int
+) -> DataFrame:
+    """As ``mix``, with each row's identity in the column ``row``."""
     space = Workspace(documents.sparkSession, "mixing")
-    sizes = space.write(documents.select("doc_id", "source", word_count(F.col("text")).alias("size")), "sizes")
+    sizes = documents.select("doc_id", "source", word_count(F.col("text")).alias("size"), _identity(documents).alias("row"))
+    sizes = space.write(sizes, "sizes")
     sources = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = (
         source_targets(sources, weights, budget, float(repeat_cap))
@@ -118,7 +154,7 @@ def mix(
         )
         .withColumn("most", F.floor(F.lit(repeat_cap) * F.col("source_size") / block_tokens))
         .withColumn("blocks", F.round(F.sum("target").over(Window.partitionBy()) / block_tokens).cast("long"))
-        .withColumn("tie", F.xxhash64(F.lit(seed), F.col("source").isNull(), F.coalesce("source", F.lit(""))))
+        .withColumn("tie", _seeded(seed, "source", F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))))
     )
     quotas = space.write(
         apportion(targets, [], "target", "blocks", "most", "source_blocks").select(
@@ -128,16 +164,17 @@ def mix(
     )
     dealt = (
         sizes.join(quotas, sizes["source"].eqNullSafe(quotas["source"]))
-        .withColumn("place", F.xxhash64(F.lit(seed), F.col("doc_id")))
-        .withColumn("shard", F.pmod(F.xxhash64(F.col("place"), F.lit("shard")), F.col("shards")))
-        .select("doc_id", sizes["source"], "size", "source_key", "shard", "place")
+        .withColumn("place", _seeded(seed, "place", F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+        # The low bits choose the shard, the others the place in its stream.
+        .withColumn("shard", F.pmod(F.col("place"), F.col("shards")))
+        .select("doc_id", sizes["source"], "size", "row", "source_key", "shard", F.shiftright("place", 16).alias("place"))
     )
     shards = (
         dealt.groupBy("source_key", "shard")
         .agg(F.sum("size").alias("shard_size"))
         .join(quotas, "source_key")
         .withColumn("most", F.floor(F.lit(repeat_cap) * F.col("shard_size") / block_tokens))
-        .withColumn("tie", F.xxhash64(F.col("source_key"), F.col("shard")))
+        .withColumn("tie", _seeded(seed, "shard", F.col("source_key"), F.col("shard")))
     )
     shards = apportion(shards, ["source_key"], "shard_size", "source_blocks", "most", "blocks")
     runs = space.write(
@@ -149,13 +186,13 @@ def mix(
             "shard_size",
             (F.col("blocks") * block_tokens).alias("run"),
             (
-                F.pmod(F.xxhash64(F.lit(seed), F.col("tie")), F.greatest(F.lit(1), F.ceil(F.col("shard_size") / block_tokens)))
+                F.pmod(_seeded(seed, "start", F.col("tie")), F.greatest(F.lit(1), F.ceil(F.col("shard_size") / block_tokens)))
                 * block_tokens
             ).alias("start"),
         ),
         "runs",
     )
-    stream = Window.partitionBy("source_key", "shard").orderBy("place", "doc_id", "size")
+    stream = Window.partitionBy("source_key", "shard").orderBy("place", "doc_id", "size", "row")
     placed = dealt.withColumn(
         "from_", F.sum("size").over(stream.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("size")
     )
@@ -168,31 +205,46 @@ def mix(
         placed.join(runs, ["source_key", "shard"])
         .withColumn("passes", whole)
         .withColumn("taken", (F.col("passes") * F.col("size") + overlap + wrapped).cast("long"))
-        .select("doc_id", "source", "size", "source_size", "target", "taken")
+        .select("doc_id", "source", "size", "source_size", "target", "taken", "row")
     )
 
 
-#: Most rows whose number of copies is broadcast (24 bytes each); beyond it the texts are shuffled.
-BROADCAST_ROWS = 1_000_000
-
-
-def mixed_documents(documents: DataFrame, **options) -> DataFrame:
+def mixed_documents(
+    documents: DataFrame,
+    weights: tuple[int, ...] = (5, 2, 1),
+    budget: float = 1.5,
+    repeat_cap: int = 2,
+    block_tokens: int = 8,
+    shard_tokens: int = 65_536,
+    seed: int = 0,
+) -> DataFrame:
     """``documents`` with each row as often as the mix takes its words, rounded.
 
     Only the first and last document of a shard's run are taken in part, so the
     sources come near their targets. Documents that the mix doesn't take are gone.
+    Rows with equal doc_id, source and text share their copies evenly; what is left
+    over goes to those with the smallest hash of all columns.
     """
-    columns = documents.columns
-    times = F.round(F.col("taken") / F.col("size")).cast("int")
-    copies = (
-        mix(documents, **options)
-        .where("taken > 0")
-        .groupBy(F.col("doc_id").alias("_id"))
-        .agg(F.max(times).alias("_times"))
-        .where("_times > 0")
-    )
+    columns = [f"`{c}`" for c in documents.columns]
+    row, copy, own, rows, times, turn = unused(documents.columns, "row", "copy", "own", "rows", "times", "turn")
+    mixed = _mixed(documents, weights, budget, repeat_cap, block_tokens, shard_tokens, seed)
+    part = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(F.lit(0)).cast("long")
+    copies = mixed.groupBy(F.col("row").alias(own)).agg(F.count("*").alias(rows), F.sum(part).alias(times)).where(F.col(times) > 0)
     copies = Workspace(documents.sparkSession, "mixed").write(copies, "copies")
-    if copies.count() <= BROADCAST_ROWS:
-        copies = F.broadcast(copies)
-    joined = documents.join(copies, F.col("doc_id").eqNullSafe(F.col("_id")))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*columns)
+    uneven = copies.where(F.col(times) % F.col(rows) != 0)
+    marked = documents.withColumn(row, _identity(documents))
+
+    def joined(some: DataFrame) -> DataFrame:
+        side = F.broadcast(some) if some.count() * COPY_BYTES <= BROADCAST_BYTES else some
+        return marked.join(side, F.col(row) == F.col(own))
+
+    each = F.expr(f"`{times}` DIV `{rows}`")
+    if uneven.isEmpty():
+        found = joined(copies).withColumn(copy, each)
+    else:
+        order = Window.partitionBy(row).orderBy(row_hash(documents))
+        even = joined(copies.where((F.col(times) % F.col(rows) == 0))).withColumn(copy, each)
+        ranked = joined(uneven).withColumn(turn, F.row_number().over(order))
+        more = F.when(F.col(turn) <= F.col(times) % F.col(rows), F.lit(1)).otherwise(F.lit(0))
+        found = even.unionByName(ranked.withColumn(copy, each + more).drop(turn))
+    return found.where(F.col(copy) > 0).withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copy)))).select(*columns)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: ASCII white space: a blank and the code points 9 to 13.
@@ -23,3 +23,20 @@ def word_count(text: Column) -> Column:
 def squeezed(text: Column) -> Column:
     """Each run of ASCII white space as one blank; null becomes empty."""
     return F.regexp_replace(F.coalesce(text, F.lit("")), SPACE, " ")
+
+
+def unused(columns: list[str], *names: str) -> list[str]:
+    """Names like these that no column has, whatever its case."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def row_hash(frame: DataFrame) -> Column:
+    """A hash of a row's columns, but for those that can't be hashed; it orders rows that are alike."""
+    return F.xxhash64(*[F.col(f"`{f.name}`") for f in frame.schema.fields if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()], F.lit(0))

@@ -1,13 +1,16 @@
 """Duplicate removal against brute force, and on awkward rows."""
 
+import collections
+import hashlib
 import random
 
 import numpy as np
 import pytest
 from conftest import MEDIUM, SMALL
 from helpers import deduped_lines, frame, repeated_bytes, similar_groups
+from pyspark.sql import functions as F
 
-from crawlsight.llm import exact_dedup, line_dedup, minhash_dedup, shingles, suffix_dedup
+from crawlsight.llm import exact_dedup, line_dedup, minhash_dedup, shingles, suffix_dedup, workspace
 
 
 def words(rng, n):
@@ -167,7 +170,6 @@ def test_text_of_very_many_lines(spark):
 
 
 def test_exact_groups(spark, awkward):
-    import hashlib
     import re
 
     norm = {d: re.sub(r"[\x20\x09-\x0D]+", " ", t or "") for d, t in awkward}
@@ -185,9 +187,85 @@ def test_exact_groups(spark, awkward):
 
 def test_directory_splits(spark):
     entries = spark.range(2000).selectExpr("xxhash64(id) AS key")
-    cells = {r.cell: r.depth for r in exact_dedup.directory(entries, 100).collect()}
-    assert 4 <= min(cells.values()) and max(cells.values()) <= 8
-    assert {r.depth for r in exact_dedup.directory(entries, 5000).collect()} == {0}
+    limit = exact_dedup.depth_limit(2000, 100)
+    cells = {r.cell: (r.depth, r.bucket) for r in exact_dedup.directory(entries, 100, limit).collect()}
+    depths = {d for d, _ in cells.values()}
+    assert 4 <= min(depths) and max(depths) <= 8
+    assert all(bucket == cell >> limit - depth for cell, (depth, bucket) in cells.items())
+    held = collections.Counter()
+    for r in entries.collect():
+        held[cells[(r.key % 2**64) >> 64 - limit]] += 1
+    assert max(held.values()) <= 100
+    assert {r.depth for r in exact_dedup.directory(entries, 5000, exact_dedup.depth_limit(2000, 5000)).collect()} == {0}
+
+
+def test_directory_has_no_cap():
+    assert exact_dedup.depth_limit(10**12, 1) >= 40 and exact_dedup.depth_limit(0, 50_000) == exact_dedup.ROOM
+
+
+def test_index_by_key_range(spark):
+    digests = spark.range(3000).selectExpr("id AS doc_id", "xxhash64(id % 1000) AS key")
+    space = workspace.Workspace(spark, "test")
+    index = exact_dedup.build_index(digests, 20, space).withColumn("part", F.spark_partition_id()).collect()
+    assert len(index) == 1000 and all(r.n == 3 and r.low <= (r.key % 2**64) >> 1 for r in index)
+    lows = collections.defaultdict(list)
+    for r in index:
+        lows[r.low].append((r.key % 2**64) >> 1)
+    edges = sorted(lows)
+    assert len(edges) > 50 and all(max(lows[a]) < b for a, b in zip(edges, edges[1:])) and max(map(len, lows.values())) <= 20
+
+
+def test_chains_compare_bytes(spark):
+    """Records of one key: the same text in several records, and different texts whose hashes collide."""
+    rows = [(0, 5, "a", 7, 2), (0, 5, "b", 3, 1), (0, 5, "a", 4, 10), (0, 5, "a ", None, 1), (0, 9, "a", 8, 1), (0, 5, "b", None, 4)]
+    records = spark.createDataFrame(rows, "low long, key long, norm string, first long, n long")
+    got = exact_dedup.resolve_chains(records, 3).collect()
+    digest = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    assert {(r.key, r.sha, r.keep_id, r.group_size) for r in got} == {
+        (5, digest("a"), 4, 12),
+        (5, digest("b"), 3, 5),
+        (5, digest("a "), None, 1),
+        (9, digest("a"), 8, 1),
+    }
+
+
+def test_copies_with_colliding_hashes(spark, monkeypatch):
+    """With a hash of one bit all texts share two chains."""
+    rows = [(i, f"text {i % 7}") for i in range(60)] + [(100, None), (101, ""), (None, "text 3")]
+    want = by_id(exact_dedup.exact_groups(frame(spark, rows)), "keep_id", "group_size", "kept", "text_sha256")
+    real = F.xxhash64
+    monkeypatch.setattr(exact_dedup.F, "xxhash64", lambda *c: F.pmod(real(*c), F.lit(2)) if c == ("norm",) else real(*c))
+    got = by_id(exact_dedup.exact_groups(frame(spark, rows)), "keep_id", "group_size", "kept", "text_sha256")
+    assert got == want and got[3][:2] == (3, 10)
+
+
+def test_very_long_texts(spark):
+    long = "long text " * 700_000
+    rows = [(1, long), (2, long + "x"), (3, long.replace(" ", "\n")), (4, "\t" * 3_000_000), (5, " ")]
+    got = by_id(exact_dedup.exact_groups(frame(spark, rows)), "keep_id", "group_size")
+    assert got == {1: (1, 2), 2: (2, 1), 3: (1, 2), 4: (4, 2), 5: (4, 2)}
+
+
+CLASHING = "doc_id long, text string, source string, _sha string, gone_id long, gone_sha string, sha string, place int, _id long, _copy int, _times int, `a b` map<string,int>"
+
+
+def clashing(spark):
+    rows = [(1, "a b", "s", "x", 7, "y", "z", 3, 9, 4, 5, {"k": 1}), (2, "a  b", "s", "x", 7, "y", "z", 3, 9, 4, 5, None), (2, "a  b", "s", "w", 7, "y", "z", 3, 9, 4, 5, None)]
+    rows += [(None, "c", None, None, None, None, None, None, None, None, None, None)] * 2 + [(5, None, "s", "v", 1, "y", "z", 3, 9, 4, 5, {})]
+    return spark.createDataFrame(rows, CLASHING), rows
+
+
+def test_drop_copies_with_clashing_names(spark):
+    docs, rows = clashing(spark)
+    for parts in (1, 5):
+        left = exact_dedup.drop_copies(docs.repartition(parts))
+        assert left.columns == docs.columns
+        found = left.collect()
+        assert sorted((r.doc_id is None, r.doc_id or 0) for r in found) == [(False, 1), (False, 5), (True, 0)]
+        assert {str(r) for r in found} <= {str(r) for r in docs.collect()}
+    twice = spark.createDataFrame([(2, "t", "x"), (2, "t", "w"), (3, "t", "q")], "doc_id long, text string, _sha string")
+    first = exact_dedup.drop_copies(twice).collect()
+    assert first == exact_dedup.drop_copies(twice.repartition(3)).collect() and len(first) == 1 and first[0].doc_id == 2
 
 
 def test_hot_text(spark):

@@ -235,13 +235,77 @@ def test_mixing_of_awkward_rows(spark):
     assert mixing.mixed_documents(docs).columns == docs.columns
 
 
+def test_mixed_documents_of_repeated_rows(spark):
+    rows = [(7, "eight words are in this text of one " * 30, "a")] * 6 + [(None, f"no id {i % 3} " * 50, "a") for i in range(9)]
+    rows += [(i, "some words " * 100, None) for i in range(40, 60)] + [(61, None, "a"), (61, None, "a")]
+    names = "doc_id long, text string, source string, _id int, _copy int, copy int, own int, rows int, times int, row int, size int"
+    docs = spark.createDataFrame([(*r, i, i, i, i, i, i, i, i) for i, r in enumerate(rows)], names)
+    mixed = mixing.mixed_documents(docs)
+    found = mixed.collect()
+    assert mixed.columns == docs.columns and all(r._id == r._copy == r["row"] for r in found)
+    assert {str(r) for r in found} <= {str(r) for r in docs.collect()}
+    taken = collections.Counter()
+    for r in mixing.mix(docs).collect():
+        taken[r.doc_id] += r.taken
+    for key in (7, None):
+        own = [r for r in found if r.doc_id == key]
+        words, held = sum(len(WORD.findall(r.text)) for r in own), sum(len(WORD.findall(r[1])) for r in rows if r[0] == key)
+        assert abs(words - taken[key]) <= 2 * 240 and words <= 2 * held
+        times = collections.Counter(r._id for r in own)
+        assert max(times.values()) <= 2
+    assert sorted(map(str, found)) == sorted(map(str, mixing.mixed_documents(docs.repartition(7)).collect()))
+    assert mixing.mixed_documents(docs.where("false")).count() == 0
+
+
+def slow_mix(rows, weights=(5, 2, 1), budget=1.5, cap=2, block=8, shard_tokens=65_536, seed=0):
+    """The mix by ranking all quotients and walking the streams word by word; rows of (doc_id, text, source)."""
+    seeded = lambda *parts: int(hashlib.md5("/".join(map(str, (seed, *parts))).encode()).hexdigest()[:15], 16)
+
+    def seats(votes, count, most, ties):
+        heads = [(-v / (2 * k + 1), ties[i], k, i) for i, v in votes.items() if v for k in range(min(most[i], count))]
+        return collections.Counter(h[3] for h in sorted(heads)[:count])
+
+    sizes = {i: len(WORD.findall(t or "")) for i, (_, t, _) in enumerate(rows)}
+    held = collections.Counter()
+    for i, (_, _, s) in enumerate(rows):
+        held[s] += sizes[i]
+    target = water_filled(held, weights, budget)
+    tie = {s: seeded("source", "" if s is None else "=" + s) for s in held}
+    quota = seats(target, round(sum(target.values()) / block), {s: cap * held[s] // block for s in held}, tie)
+    taken = {}
+    for s in held:
+        shards, streams = max(1, -(-held[s] // shard_tokens)), collections.defaultdict(list)
+        for i, (d, _, source) in enumerate(rows):
+            if source == s:
+                place = seeded("place", "" if d is None else d)
+                streams[place % shards].append((place >> 16, d is not None, d or 0, sizes[i], i))
+        volume = {n: sum(x[3] for x in stream) for n, stream in streams.items()}
+        own = {n: seeded("shard", tie[s], n) for n in streams}
+        blocks = seats(volume, quota[s], {n: cap * volume[n] // block for n in streams}, own)
+        for n, stream in streams.items():
+            flat = [x[4] for x in sorted(stream) for _ in range(x[3])]
+            start = seeded("start", own[n]) % max(1, -(-len(flat) // block)) * block
+            taken[s, n] = collections.Counter(flat[(start + k) % len(flat)] for k in range(blocks[n] * block)) if flat else {}
+    return [(rows[i][0], sizes[i], sum(t[i] for t in taken.values() if i in t)) for i in sizes]
+
+
+def test_mixing_against_a_slow_model(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text", "source").collect()
+    rows = [tuple(r) for r in docs] + [(None, "w " * 37, None), (5000, None, None), (5001, "é " * 90_000, "long")]
+    frame_ = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for shard_tokens in (3000, 65_536):
+        got = [(r.doc_id, r.size, r.taken) for r in mixing.mix(frame_, shard_tokens=shard_tokens).collect()]
+        assert sorted(got, key=str) == sorted(slow_mix(rows, shard_tokens=shard_tokens), key=str)
+
+
 def test_apportionment_is_sainte_lague(spark):
     rng = np.random.default_rng(4)
-    for seats in (7, 100, 1001):
-        votes = [int(v) for v in rng.integers(1, 1000, 12)]
-        heads = sorted(((-v / (2 * k + 1), i) for i, v in enumerate(votes) for k in range(seats)))[:seats]
+    for seats, share in ((7, 1.0), (100, 1.0), (1001, 1.0), (1001, 0.1), (1001, 0.085)):
+        votes = [int(v) for v in rng.integers(0, 1000, 12)]
+        most = [int(v * share / 1000 * seats) + int(rng.integers(0, 3)) if share < 1 else seats for v in votes]
+        heads = sorted(((-v / (2 * k + 1), i) for i, v in enumerate(votes) if v for k in range(most[i])))[:seats]
         want = collections.Counter(i for _, i in heads)
-        rows = [(i, float(v), seats, seats) for i, v in enumerate(votes)]
+        rows = [(i, float(v), seats, m) for i, (v, m) in enumerate(zip(votes, most))]
         parts = spark.createDataFrame(rows, "tie long, votes double, seats long, most long")
         got = mixing.apportion(parts, [], "votes", "seats", "most", "won").collect()
         assert {r.tie: r.won for r in got} == {i: want[i] for i in range(12)}
