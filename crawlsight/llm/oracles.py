@@ -6,7 +6,96 @@ _ESCAPED = "replace({}, '\\', '\\\\')"
 for _mark in ("<|", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>"):
     _ESCAPED = f"replace({_ESCAPED}, '{_mark}', '{_mark[0]}\\{_mark[1:]}')"
 
+#: Words of a text: A-Z lowered, runs without ASCII white space.
+_WORDS = r"""regexp_extract_all(translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"""
+#: The set of a list of words: its five-word runs, or the whole if it has fewer.
+_SET = """CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+  ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END"""
+
+
+def _seeded(*parts: str) -> str:
+    """The number that the mix's seed and some values give."""
+    return f"('0x' || substr(md5('0/' || {" || '/' || ".join(parts)}), 1, 15))::BIGINT"
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op1_suffix_dedup": """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS s FROM d, LATERAL (SELECT unnest(range(0, greatest(0, length(h) // 2 - 49))) AS i) u),
+f AS (SELECT s, min(doc_id) AS first_ FROM w GROUP BY s HAVING count(DISTINCT doc_id) > 1),
+hit AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM w JOIN f USING (s) WHERE first_ < doc_id),
+run AS (SELECT doc_id, i, count(*) FILTER (before IS NULL OR i > before + 50) OVER (PARTITION BY doc_id ORDER BY i) AS r FROM hit),
+span AS (SELECT doc_id, r, min(i) AS a, max(i) + 50 AS b FROM run GROUP BY doc_id, r),
+piece AS (SELECT doc_id, r, a, b, coalesce(lag(b) OVER o, 0) AS c, lead(a) OVER o IS NULL AS last_ FROM span WINDOW o AS (PARTITION BY doc_id ORDER BY r)),
+cut AS (SELECT doc_id, sum(b - a)::BIGINT AS n_removed, count(*)::BIGINT AS n_spans,
+  string_agg(substr(h, 2 * c + 1, 2 * (a - c)) || CASE WHEN last_ THEN substr(h, 2 * b + 1) ELSE '' END, '' ORDER BY r) AS kept
+  FROM piece JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(coalesce(kept, h))) AS kept_sha256 FROM d LEFT JOIN cut USING (doc_id)
+""",
+    "op5_minhash_dedup": f"""
+WITH RECURSIVE s AS (SELECT doc_id, {_SET} AS s FROM (SELECT doc_id, {_WORDS.format("text")} AS w FROM documents) x),
+t AS (SELECT doc_id, len(s) AS n, unnest(s) AS t FROM s),
+link AS (SELECT a.doc_id AS a, b.doc_id AS b FROM t a JOIN t b USING (t) WHERE a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM s UNION SELECT r.a, l.b FROM reach r JOIN link l ON l.a = r.b),
+label AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id, component_id = doc_id AS kept FROM s JOIN label USING (doc_id)
+""",
+    "op6_mixing": f"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,
+    {_seeded("'place'", "coalesce(doc_id::VARCHAR, '')")} AS place FROM documents
+), weighed AS (
+  SELECT source, sum(size)::BIGINT AS source_size, 2::DOUBLE * sum(size) AS cap,
+    ([5, 2, 1])[((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INTEGER]::DOUBLE AS weight FROM d GROUP BY source
+), leveled AS (
+  SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(cap) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+    / sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM weighed WINDOW o AS (ORDER BY cap / weight, source NULLS LAST)
+), targets AS (
+  SELECT source, source_size, least(cap, weight * max(level) OVER ()) AS target, {_seeded("'source'", "coalesce('=' || source, '')")} AS tie,
+    least(4096, greatest(1, ceil(source_size / 65536)))::BIGINT AS shards FROM leveled
+), dealt AS (
+  SELECT tie, count(*) AS blocks FROM (
+    SELECT tie, row_number() OVER (ORDER BY target / (2 * k + 1) DESC, tie, k) AS r
+    FROM (SELECT *, unnest(range(0, (2 * source_size) // 8)) AS k FROM targets) q
+  ) z WHERE r <= (SELECT round(sum(target) / 8) FROM targets) GROUP BY tie
+), placed AS (
+  SELECT doc_id, size, t.source_size, target, t.tie, place % shards AS shard, place >> 16 AS place
+  FROM d JOIN targets t ON t.source IS NOT DISTINCT FROM d.source
+), shard AS (
+  SELECT tie, shard, shard_size, {_seeded("'shard'", "tie::VARCHAR", "shard::VARCHAR")} AS own
+  FROM (SELECT tie, shard, sum(size)::BIGINT AS shard_size FROM placed GROUP BY tie, shard) q
+), won AS (
+  SELECT own, count(*) AS won FROM (
+    SELECT own, q.tie, row_number() OVER (PARTITION BY q.tie ORDER BY shard_size / (2 * k + 1) DESC, own, k) AS r, blocks
+    FROM (SELECT *, unnest(range(0, (2 * shard_size) // 8)) AS k FROM shard) q JOIN dealt USING (tie)
+  ) z WHERE r <= blocks GROUP BY own
+), runs AS (
+  SELECT tie, shard, shard_size, coalesce(won, 0) * 8 AS run,
+    {_seeded("'start'", "own::VARCHAR")} % greatest(1, ceil(shard_size / 8))::BIGINT * 8 AS start
+  FROM shard LEFT JOIN won USING (own)
+), laid AS (
+  SELECT p.*, run, start, shard_size, sum(size) OVER (PARTITION BY p.tie, p.shard ORDER BY place, doc_id, size ROWS UNBOUNDED PRECEDING) - size AS a,
+    CASE WHEN shard_size > 0 THEN run // shard_size ELSE 0 END AS passes
+  FROM placed p JOIN runs USING (tie, shard)
+)
+SELECT doc_id, size, source_size, target, (passes * size + greatest(0, least(a + size, start + run - passes * shard_size) - greatest(a, start))
+  + greatest(0, least(a + size, start + run - (passes + 1) * shard_size) - a))::BIGINT AS taken FROM laid
+""",
+    "op8_line_dedup": f"""
+WITH l AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) - 1 AS n
+  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents) x),
+s AS (SELECT doc_id, line, n, list_sort({_SET}) AS s FROM (SELECT *, {_WORDS.format("line")} AS w FROM l) x),
+c AS (SELECT s, min(ROW(doc_id, n)) AS place, row_number() OVER () AS c FROM s WHERE len(s) > 0 GROUP BY s),
+t AS (SELECT c, place, len(s) AS n, unnest(s) AS t FROM c),
+echo AS (SELECT DISTINCT c FROM (SELECT a.c FROM t a JOIN t b USING (t) WHERE b.place < a.place
+  GROUP BY a.c, b.c, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))) x),
+told AS (SELECT s.*, c.c IS NOT NULL AND (c.place < ROW(doc_id, n) OR echo.c IS NOT NULL) AS gone FROM s LEFT JOIN c USING (s) LEFT JOIN echo ON echo.c = c.c)
+SELECT doc_id, count(*)::BIGINT AS n_lines, (count(*) FILTER (gone))::BIGINT AS n_removed,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (NOT gone), '')) AS kept_sha256 FROM told GROUP BY doc_id
+""",
     "op3_chat": f"""
 WITH turns AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
