@@ -2,29 +2,34 @@
 
 Every component of a vector is one list of (row, contribution) per query, read
 in falling order of contribution. A block of candidates is sorted once per
-component; a query reads a component's list from its upper end if its own
-component is positive and from the lower end otherwise. Reading goes on in
-rounds. After each round
+component, and its lists are written; a query reads a component's list from its
+upper end if its own component is positive and from the lower end if it is negative.
+Reading is sequential, all lists to the same depth, in rounds that each go
+``GROWTH`` times as deep and read only what is new. After each round
 
+* a row met somewhere scores at least the sum of the lists' final contributions
+  plus what its read entries exceed those by;
 * an outsider, not met in any list, scores at most the sum of the lists' last
-  read contributions;
-* a row met somewhere scores at most that sum plus what its read entries exceed
-  the frontier by, and at least the sum of the lists' final contributions plus
-  what its read entries exceed those by.
-
-Reading stops when no outsider can reach the k-th best lower bound. Rows whose
-upper bound still reaches it get their final score resolved as an exact integer
-sum. Candidates are taken in blocks of ``block_rows`` and queries in blocks of
+  read contributions.
+
+Reading stops when no outsider can reach the k-th best lower bound. Until then no
+row is looked at but through the lists. A row that was met scores at most the sum of
+the last read contributions plus what its read entries exceed those by; the rows that
+this lets reach the k-th best lower bound get their final score resolved as an exact
+integer sum.
+
+Candidates are taken in blocks of ``block_rows`` and queries in blocks of
 ``query_rows``; each block pair is a task of bounded size, and each candidate
 block returns k rows per query.
 
 Edge cases: components become floor(256 * x) with x as double; vectors that are
-null, empty, or hold a null or non-finite component take no part; vectors of
-different length are compared as if padded with zeros; where components are so
-large that float64 sums aren't exact, bounds keep a margin and scores are summed
-as integers, and a score beyond a long is refused with an error; rows of equal score are ordered by vec_id; a row never meets rows with its own
-vec_id; rows without vec_id take no part; an empty table gives an empty result.
-Repeated rows (same vec_id and vector) count once.
+null, empty, or hold a component that is null or non-finite, times 256 at least, take
+no part; vectors of different length are compared as if padded with zeros; bounds keep
+a margin where float64 sums aren't exact, and final scores are integers of any size: a
+score beyond a long ranks as what it is and is given as the nearest long; rows of equal
+score are ordered by vec_id; a row never meets rows with its own vec_id; rows without
+vec_id take no part; repeated rows (same vec_id and vector) count once; extra columns
+are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -37,25 +42,25 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Depths of the lists that are looked at for a stop.
-DEPTHS = 64
-#: Rows whose score is resolved in each round, those with the best lower bounds.
-RESOLVED = 128
-#: Reading starts anew, at one such part of the depth that the bounds ask for, until it is within that factor.
-DEEPER = 8
-#: Sums of magnitudes up to which float64 holds every integer, and up to which a long does.
-EXACT, LONG = 2.0**53, 2.0**63
-HIT = "query_id long, vec_id long, score long"
+from .chunks import pack, unpack
+from .workspace import Workspace
+
+#: The first round reads such a part of the lists, each other round so many times as deep as the one before.
+FIRST, GROWTH = 64, 1.25
+#: Sums of magnitudes up to which float64 holds every integer, and up to which a long does; beyond the last, bounds are of no use.
+EXACT, LONG, HUGE = 2.0**53, 2.0**63, 2.0**1000
+HIT = "query_id long, vec_id long, score long, place binary"
 
 
 def scaled(embeddings: DataFrame) -> DataFrame:
     """vec_id, v: array of the integer components, for the vectors that take part."""
-    usable = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
+    times = lambda x: x.cast("double") * 256
+    usable = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(times(x)) < F.lit(float("inf"))))
     floor = lambda y: F.when(F.abs(y) < EXACT, F.floor(y).cast("double")).otherwise(y)  # noqa: E731  a long would cut the rest
     return (
         embeddings.where("vec_id IS NOT NULL AND size(embedding) > 0")
         .where(usable)
-        .select("vec_id", F.transform("embedding", lambda x: floor(x.cast("double") * 256)).alias("v"))
+        .select("vec_id", F.transform("embedding", lambda x: floor(times(x))).alias("v"))
         .dropDuplicates(["vec_id", "v"])
     )
 
@@ -63,113 +68,150 @@ def scaled(embeddings: DataFrame) -> DataFrame:
 class Lists:
     """One sorted list per component over a block of rows."""
 
-    def __init__(self, rows: np.ndarray):
-        self.rows, self.n = rows, len(rows)
-        order = np.argsort(rows, axis=0, kind="stable")
-        self.value = np.ascontiguousarray(np.take_along_axis(rows, order, axis=0).T)
-        self.row = np.ascontiguousarray(order.T)
+    def __init__(self, ids: np.ndarray, rows: np.ndarray, order: np.ndarray | None = None):
+        self.ids, self.rows, self.n = ids, rows, len(rows)
+        self.row = np.ascontiguousarray(np.argsort(rows, axis=0, kind="stable").T.astype(np.uint32)) if order is None else order
+        self.value = np.take_along_axis(np.ascontiguousarray(rows.T), self.row.astype(np.int64), axis=1)
+
+    def packed(self) -> bytes:
+        return pack(np.array(self.rows.shape, np.int64), self.ids, self.rows, self.row)
 
-    def frontier(self, query: np.ndarray, depth: int | np.ndarray) -> np.ndarray:
+    @classmethod
+    def unpacked(cls, body: bytes) -> Lists:
+        shape, ids, rows, order = unpack(body, "i8", "i8", "f8", "u4")
+        return cls(ids, rows.reshape(shape), order.reshape(shape[::-1]))
+
+    def frontier(self, query: np.ndarray, depth: int) -> np.ndarray:
         """The last contribution that each list gives when read to a depth."""
-        up, down = self.value[:, self.n - depth], self.value[:, depth - 1]
-        shape = (-1,) + (1,) * (up.ndim - 1)
-        return np.where((query > 0).reshape(shape), up, down) * query.reshape(shape)
+        return np.where(query > 0, self.value[:, self.n - depth], self.value[:, depth - 1]) * query
 
-    def read(self, query: np.ndarray, depth: int, base: np.ndarray) -> np.ndarray:
-        """Per row, the sum of what its entries up to a depth exceed ``base`` by."""
+    def read(self, query: np.ndarray, begin: int, end: int, base: np.ndarray) -> np.ndarray:
+        """Per row, the sum of what its entries from a depth to another exceed ``base`` by."""
         out = np.zeros(self.n)
-        for some, at in ((query > 0, slice(self.n - depth, self.n)), (query < 0, slice(0, depth))):
+        for some, at in ((query > 0, slice(self.n - end, self.n - begin)), (query < 0, slice(begin, end))):
             if some.any():
                 gave = self.value[some, at] * query[some, None] - base[some, None]
                 out += np.bincount(self.row[some, at].ravel(), gave.ravel(), self.n)
         return out
 
 
-def nra_block(
-    ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int
-) -> Iterator[tuple[int, int, int]]:
-    """The k best (query_id, vec_id, score) of one block of rows for each query."""
-    lists = Lists(rows)
-    n, whole = len(rows), _integers(rows)
-    largest = np.abs(rows).max(axis=0)
-    for query_id, query in zip(query_ids, queries):
-        other = ids != query_id
+def contenders(lists: Lists, query: np.ndarray, other: np.ndarray, need: int) -> np.ndarray:
+    """The rows that may be among the ``need`` best, by reading the lists until outsiders can't."""
+    n = lists.n
+    with np.errstate(over="ignore"):
+        most = float(np.abs(lists.rows).max(axis=0) @ np.abs(query))
+    if not most < HUGE:
+        return np.flatnonzero(other)
+    # What float64 sums of so many rounded products can be off by, with room.
+    margin = 0.0 if most <= EXACT else (len(query) + 8) * 2.0**-48 * most
+    final = lists.frontier(query, n)
+    lower = np.where(other, final.sum(), -np.inf)
+    depth, deeper = 0, max(1, n // FIRST)
+    while True:
+        lower += lists.read(query, depth, deeper, final)
+        depth = deeper
+        kth = np.partition(lower, n - need)[n - need]
+        ends = lists.frontier(query, depth)
+        if ends.sum() + margin < kth - margin or depth == n:
+            break
+        deeper = min(n, max(depth + 1, int(depth * GROWTH)))
+    upper = ends.sum() + lists.read(query, 0, depth, ends)
+    return np.flatnonzero(other & (upper + margin >= kth - margin))
+
+
+def nra_block(lists: Lists, query_ids: np.ndarray, queries: np.ndarray, k: int) -> Iterator[tuple[int, int, int, bytes]]:
+    """The k best (query_id, vec_id, score, place in the order of scores) of one block of rows for each query."""
+    width = max(lists.rows.shape[1], queries.shape[1])
+    if lists.rows.shape[1] < width:
+        lists = Lists(lists.ids, _wide(lists.rows, width))
+    whole = _integers(lists.rows)
+    largest = np.abs(lists.rows).max(axis=0)
+    for query_id, query in zip(query_ids, _wide(queries, width)):
+        other = lists.ids != query_id
         need = min(k, int(other.sum()))
         if not need:
             continue
-        most = float(largest @ np.abs(query))
-        # What float64 sums of so many rounded products can be off by, with room.
-        margin = 0.0 if most <= EXACT else (len(query) + 8) * 2.0**-48 * most
-        final = lists.frontier(query, n)
-        depth, kth = max(1, n // DEPTHS), -np.inf
-        while True:
-            # Lower bounds up to this depth; the best ones are resolved, which gives the k-th best so far.
-            lower = np.where(other, lists.read(query, depth, final), -np.inf)
-            best = min(n - int((~other).sum()), max(need, RESOLVED))
-            top = np.argpartition(lower, n - best)[n - best :]
-            kth = max(kth, np.partition(rows[top] @ query, best - need)[best - need] - margin)
-            deeper = np.unique(np.linspace(depth, n, DEPTHS, dtype=np.int64))
-            enough = np.flatnonzero(lists.frontier(query, deeper).sum(axis=0) + margin < kth)
-            until = int(deeper[enough[0]]) if len(enough) else n
-            if until <= DEEPER * depth or until == n:
-                break
-            depth = max(depth + 1, until // DEEPER)
-        # No outsider reaches the k-th best; upper bounds of the others.
-        ends = lists.frontier(query, until)
-        upper = ends.sum() + lists.read(query, until, ends)
-        left = np.flatnonzero(other & ((upper + margin >= kth) | (until == n)))
-        if whole.dtype == object or most >= LONG / 2:
+        left = contenders(lists, query, other, need)
+        with np.errstate(over="ignore"):
+            small = whole.dtype != object and largest @ np.abs(query) < LONG / 2
+        if small:
+            score = whole[left] @ query.astype(np.int64)
+            order = np.lexsort((lists.ids[left], -score))
+        else:
             wanted = [int(x) for x in query]
             score = [sum(map(operator.mul, map(int, whole[i]), wanted)) for i in left]
-            order = sorted(range(len(left)), key=lambda j: (-score[j], ids[left[j]]))
-        else:
-            score = whole[left] @ query.astype(np.int64)
-            order = np.lexsort((ids[left], -score))
+            order = sorted(range(len(left)), key=lambda j: (-score[j], lists.ids[left[j]]))
         for j in order[:k]:
-            if not -LONG <= int(score[j]) < LONG:
-                raise ValueError("a score doesn't fit a long; components are far beyond 2 ** 24 after scaling")
-            yield int(query_id), int(ids[left[j]]), int(score[j])
+            exact = int(score[j])
+            yield int(query_id), int(lists.ids[left[j]]), max(-(2**63), min(2**63 - 1, exact)), ordered(exact)
+
+
+def ordered(number: int) -> bytes:
+    """Bytes that sort as integers do, of any size: sign and length, then the magnitude."""
+    size = (abs(number).bit_length() + 7) // 8
+    if number >= 0:
+        return (32768 + size).to_bytes(2, "big") + number.to_bytes(size, "big")
+    return (32768 - size).to_bytes(2, "big") + ((1 << 8 * size) - 1 + number).to_bytes(size, "big")
 
 
 def top_k(
     embeddings: DataFrame, queries: DataFrame, k: int = 5, block_rows: int = 8192, query_rows: int = 2048
 ) -> DataFrame:
     """query_id, rank, vec_id, score for each row of ``queries`` (vec_id, embedding)."""
+    space = Workspace(embeddings.sparkSession, "top-k")
     base, asked = scaled(embeddings), scaled(queries)
     blocks = max(1, -(-embeddings.count() // block_rows))
     query_blocks = max(1, -(-queries.count() // query_rows))
     deal = lambda name, n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).alias(name)
     spread = lambda name, n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias(name)
-    left = base.select("vec_id", "v", deal("block", blocks), spread("query_block", query_blocks))
-    right = asked.select("vec_id", "v", deal("query_block", query_blocks), spread("block", blocks))
 
-    def pair(rows: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
-        if rows.empty or asks.empty:
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
-        width = max(rows["v"].map(len).max(), asks["v"].map(len).max())
-        matrix, wanted = _matrix(rows["v"], width), _matrix(asks["v"], width)
-        hits = nra_block(rows["vec_id"].to_numpy(), matrix, asks["vec_id"].to_numpy(), wanted, k)
-        return pd.DataFrame(list(hits), columns=["query_id", "vec_id", "score"], dtype="int64")
+    def build(group: pd.DataFrame) -> pd.DataFrame:
+        body = Lists(group["vec_id"].to_numpy(np.int64), _matrix(group["v"])).packed()
+        return pd.DataFrame({"block": group["block"].iloc[:1], "lists": [body]})
+
+    def gather(group: pd.DataFrame) -> pd.DataFrame:
+        rows = _matrix(group["v"])
+        body = pack(np.array(rows.shape, np.int64), group["vec_id"].to_numpy(np.int64), rows)
+        return pd.DataFrame({"query_block": group["query_block"].iloc[:1], "asks": [body]})
+
+    lists = base.select("vec_id", "v", deal("block", blocks)).groupBy("block").applyInPandas(build, "block long, lists binary")
+    lists = space.write(lists, "lists", "none")
+    asks = asked.select("vec_id", "v", deal("query_block", query_blocks)).groupBy("query_block")
+    asks = space.write(asks.applyInPandas(gather, "query_block long, asks binary"), "asks", "none")
+
+    def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        hits: list = []
+        if len(left) and len(right):
+            shape, ids, rows = unpack(right["asks"].iloc[0], "i8", "i8", "f8")
+            hits = list(nra_block(Lists.unpacked(left["lists"].iloc[0]), ids, rows.reshape(shape), k))
+        out = pd.DataFrame(hits, columns=["query_id", "vec_id", "score", "place"])
+        return out.astype({"query_id": "int64", "vec_id": "int64", "score": "int64"})
 
     keys = ["block", "query_block"]
-    hits = left.groupBy(keys).cogroup(right.groupBy(keys)).applyInPandas(pair, HIT)
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    left = lists.select("block", spread("query_block", query_blocks), "lists")
+    right = asks.select("query_block", spread("block", blocks), "asks")
+    hits = left.groupBy(keys).cogroup(right.groupBy(keys)).applyInPandas(search, HIT)
+    order = Window.partitionBy("query_id").orderBy(F.col("best.place").desc(), "vec_id")
     return (
         hits.groupBy("query_id", "vec_id")
-        .agg(F.max("score").alias("score"))
+        .agg(F.max(F.struct("place", "score")).alias("best"))
         .withColumn("rank", F.row_number().over(order))
         .where(F.col("rank") <= k)
-        .select("query_id", "rank", "vec_id", "score")
+        .select("query_id", "rank", "vec_id", F.col("best.score").alias("score"))
     )
 
 
-def _matrix(vectors: pd.Series, width: int) -> np.ndarray:
-    out = np.zeros((len(vectors), width))
+def _matrix(vectors: pd.Series) -> np.ndarray:
+    out = np.zeros((len(vectors), max(map(len, vectors))))
     for row, vector in enumerate(vectors):
         out[row, : len(vector)] = vector
     return out
 
 
+def _wide(rows: np.ndarray, width: int) -> np.ndarray:
+    return rows if rows.shape[1] == width else np.pad(rows, ((0, 0), (0, width - rows.shape[1])))
+
+
 def _integers(rows: np.ndarray) -> np.ndarray:
     if (np.abs(rows) < LONG).all():
         return rows.astype(np.int64)

@@ -411,10 +411,40 @@ def test_search_with_components_beyond_a_long(spark):
     assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in found) == best(vectors, {2}, 2)
 
 
-def test_search_refuses_inexact_sums(spark):
-    table = spark.createDataFrame([(1, [1e30]), (2, [1.0])], "vec_id long, embedding array<double>")
-    with pytest.raises(Exception, match="2 \\*\\* 24"):
-        topk.top_k(table, table).collect()
+@pytest.mark.parametrize("large", [70000.0, 1e30, 1e200])
+def test_search_with_scores_beyond_a_long(spark, large):
+    vectors = [(i, [large * (1 + i / 4), 1.0, -large]) for i in range(20)] + [(40 + i, [-large, 2.0 * i, large]) for i in range(20)]
+    vectors += [(100 + i, [0.5, float(i)]) for i in range(5)] + [(200, [1e307, 1.0])]
+    table = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
+    usable = [v for v in vectors if v[0] != 200]
+    for block in (7, 8192):
+        found = topk.top_k(table, table.where("vec_id % 50 = 0 OR vec_id = 41"), 5, block_rows=block).collect()
+        want = [(*r[:3], max(-(2**63), min(2**63 - 1, r[3]))) for r in best(usable, {0, 41, 50, 100}, 5)]
+        assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in found) == want
+
+
+def test_bytes_in_the_order_of_integers():
+    rng = np.random.default_rng(8)
+    numbers = sorted({int(s * 2 ** int(e)) for s in (-1, 1) for e in rng.integers(0, 300, 60)} | {0, 1, -1, 255, 256, -255, -256, 2**63, -(2**63)})
+    assert sorted(numbers, key=topk.ordered) == numbers
+
+
+def test_reading_stops_early_and_without_random_access():
+    """Rows are looked at through the lists only, and not to their ends where few vectors point the query's way."""
+    rng = np.random.default_rng(6)
+    rows = np.floor(rng.normal(0, 20, (4000, 8)))
+    rows[:10] += 300
+    lists = topk.Lists(np.arange(4000), rows)
+    depths = []
+    real = topk.Lists.read
+    topk.Lists.read = lambda self, q, a, b, base: depths.append((a, b)) or real(self, q, a, b, base)
+    try:
+        lists.rows = np.abs(rows)  # the bounds must not come from here
+        left = topk.contenders(lists, np.ones(8), np.ones(4000, bool), 5)
+    finally:
+        topk.Lists.read = real
+    assert set(np.argsort(-rows.sum(axis=1))[:5]) <= set(left) and len(left) < 100
+    assert [b for _, b in depths[:-2]] == [a for a, _ in depths[1:-1]] and depths[-1][0] == 0 and depths[-1][1] < 2000
 
 
 def test_digests_are_of_whole_texts(spark):
