@@ -46,7 +46,7 @@ from .chunks import pack, unpack
 from .workspace import Workspace
 
 #: The first round reads such a part of the lists, each other round so many times as deep as the one before.
-FIRST, GROWTH = 64, 1.25
+FIRST, GROWTH = 64, 1.5
 #: Sums of magnitudes up to which float64 holds every integer, and up to which a long does; beyond the last, bounds are of no use.
 EXACT, LONG, HUGE = 2.0**53, 2.0**63, 2.0**1000
 HIT = "query_id long, vec_id long, score long, place binary"
@@ -72,6 +72,8 @@ class Lists:
         self.ids, self.rows, self.n = ids, rows, len(rows)
         self.row = np.ascontiguousarray(np.argsort(rows, axis=0, kind="stable").T.astype(np.uint32)) if order is None else order
         self.value = np.take_along_axis(np.ascontiguousarray(rows.T), self.row.astype(np.int64), axis=1)
+        #: The largest magnitude of each component.
+        self.largest = np.maximum(np.abs(self.value[:, 0]), np.abs(self.value[:, -1]))
 
     def packed(self) -> bytes:
         return pack(np.array(self.rows.shape, np.int64), self.ids, self.rows, self.row)
@@ -99,7 +101,7 @@ def contenders(lists: Lists, query: np.ndarray, other: np.ndarray, need: int) ->
     """The rows that may be among the ``need`` best, by reading the lists until outsiders can't."""
     n = lists.n
     with np.errstate(over="ignore"):
-        most = float(np.abs(lists.rows).max(axis=0) @ np.abs(query))
+        most = float(lists.largest @ np.abs(query))
     if not most < HUGE:
         return np.flatnonzero(other)
     # What float64 sums of so many rounded products can be off by, with room.
@@ -125,7 +127,6 @@ def nra_block(lists: Lists, query_ids: np.ndarray, queries: np.ndarray, k: int)
     if lists.rows.shape[1] < width:
         lists = Lists(lists.ids, _wide(lists.rows, width))
     whole = _integers(lists.rows)
-    largest = np.abs(lists.rows).max(axis=0)
     for query_id, query in zip(query_ids, _wide(queries, width)):
         other = lists.ids != query_id
         need = min(k, int(other.sum()))
@@ -133,8 +134,11 @@ def nra_block(lists: Lists, query_ids: np.ndarray, queries: np.ndarray, k: int)
             continue
         left = contenders(lists, query, other, need)
         with np.errstate(over="ignore"):
-            small = whole.dtype != object and largest @ np.abs(query) < LONG / 2
-        if small:
+            most = float(lists.largest @ np.abs(query))
+        if most <= EXACT:
+            score = lists.rows[left] @ query if 2 * len(left) < lists.n else (lists.rows @ query)[left]
+            order = np.lexsort((lists.ids[left], -score))
+        elif whole.dtype != object and most < LONG / 2:
             score = whole[left] @ query.astype(np.int64)
             order = np.lexsort((lists.ids[left], -score))
         else:
