@@ -232,14 +232,15 @@ def unframed(body: bytes) -> Iterator[tuple[int, int, bytes]]:
 
 
 def exchanged(
-    chunks: DataFrame, ask: Callable, answer: Callable, buckets: int, space: Workspace, name: str
+    chunks: DataFrame, ask: Callable, answer: Callable, buckets: int, space: Workspace, name: str, note: str | None = None
 ) -> tuple[DataFrame, int]:
     """``chunks`` with the array ``name`` of (bucket, body), in order of bucket, and the sum of the owners' numbers.
 
     ``ask(chunk, row)`` yields (bucket, question), ``answer(questions)`` gets all
     questions of a bucket and returns an answer for each and a number. Questions are
     framed by batch: some chunks of one task, known by the number of the first.
-    Answers meet their chunks in a shuffle join at every size.
+    Answers meet their chunks in a shuffle join at every size. A question to the
+    bucket ``NOTE`` stays with the chunk, as the column ``note``, if that is named.
     """
     ranges = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     width = max(1, min(-(-buckets // ranges), RANGE_BYTES // BUCKET_BYTES))
@@ -256,6 +257,9 @@ def exchanged(
             for row in frame.itertuples(index=False):
                 chunk = Chunk(row)
                 for bucket, body in ask(chunk, row):
+                    if bucket == NOTE:
+                        yield pd.DataFrame([(NOTE, chunk.number, body)], columns=["range", "batch", "body"])
+                        continue
                     names, bodies = held.setdefault(bucket // width, ([], []))
                     names.append((bucket, chunk.number))
                     bodies.append(body)
@@ -292,14 +296,21 @@ def exchanged(
         parts = [[{"bucket": b, "body": part} for b, part in sorted(some)] for some in back.values()]
         return pd.DataFrame({"chunk": list(back), name: parts})
 
-    questions = chunks.mapInPandas(gather, "range long, batch long, body binary")
+    questions, notes = chunks.mapInPandas(gather, "range long, batch long, body binary"), None
+    if note:
+        both = space.write_split(questions.withColumn("own", F.col("range") == NOTE), f"{name}-asked", "own")
+        notes = both.where("own").select(F.col("batch").alias("chunk"), F.col("body").alias(note))
+        questions = both.where("NOT own")
     answers = questions.groupBy("range").applyInPandas(own, "batch long, body binary, note long")
     answers = space.write(answers, f"{name}-answers", "none")
+    if note:
+        space.drop(f"{name}-asked/own=false")
     total = answers.agg(F.sum("note")).first()[0] or 0
     parts = answers.groupBy("batch").applyInPandas(dealt, f"chunk long, {name} array<struct<bucket:long,body:binary>>")
     parts = space.write(parts, name, "none")
     space.drop(f"{name}-answers")
-    return chunks.join(parts.hint("merge"), "chunk", "left"), total
+    ready = chunks.join(parts.hint("merge"), "chunk", "left")
+    return (ready if notes is None else ready.join(notes.hint("merge"), "chunk", "left")), total
 
 
 def by_bucket(unique: np.ndarray, buckets: np.ndarray) -> Iterator[tuple[int, slice]]:

@@ -9,8 +9,8 @@ those that may be tied with a suffix of another document.
    difference cover ``COVER`` form the sample: for any two positions some shift
    below ``PERIOD`` puts both into it. Two equal strings of ``WIDTH`` bytes thus
    have, at one such shift, sampled suffixes that agree on their next ``SAMPLE``
-   bytes. The sample's suffixes are dealt to buckets and ranked there into
-   "unique" and "tied": one bit each is the precomputed cover rank.
+   bytes. An exchange by hash tells which sampled suffixes are tied with one of
+   another document.
 2. Suffixes without a tied sample in their first ``PERIOD`` positions can't repeat
    and go no further. The hashes of the others' ``WIDTH`` bytes are screened in the
    same way, which leaves the suffixes that do repeat, and no text around them.
@@ -19,19 +19,27 @@ those that may be tied with a suffix of another document.
    that share an occurrence of it travel as one context of at most
    ``CONTEXT`` bytes. Equal contexts of a chunk travel once, with the
    smallest doc_id.
-4. The owner of a bucket sorts its suffixes by their bytes, those with the anchor at
-   one offset at a time, and answers for each context which of its suffixes start in
-   a document with a smaller doc_id.
+4. The owner of a bucket ranks its contexts' cover sample, counted from the anchor, by
+   the samples' ``SAMPLE`` bytes in order: the precomputed cover ranks. It then sorts
+   the bucket's suffixes, those with the anchor at one offset at a time. Equal suffixes
+   have the anchor at the same offset, so one shift puts all suffixes of a sort into the
+   sample: they are compared by the bytes before it, then, where these tie, by the
+   sample's rank in place of its bytes, and by the bytes behind. So a suffix takes
+   ``KEY`` bytes and not ``WIDTH`` in a sort, and a sort holds one offset of one bucket.
+   The owner answers for each context which of its suffixes start in a document with a
+   smaller doc_id.
 5. Each chunk marks the covered bytes.
 
-The strings themselves are compared in step 4, so hashes decide nothing alone.
-A passage that a third of all documents share costs one context per chunk.
+The strings themselves are ranked and compared in step 4, so hashes decide nothing
+alone. A passage that a third of all documents share costs one context per chunk. An
+owner holds the questions of ``chunks.RANGE_BYTES`` of text packed and the contexts of
+one bucket, ``chunks.BUCKET_BYTES`` of text, unpacked.
 
 Edge cases: null texts are empty; texts shorter than ``WIDTH`` bytes lose nothing;
-matches never cross documents, and a document's own repeats stay; rows with the
-same doc_id don't match each other; rows without doc_id come after all others and
-don't match each other; an empty table gives an empty result; extra columns are
-ignored.
+a very long text is one chunk and cut like any other; matches never cross documents,
+and a document's own repeats stay; rows with the same doc_id don't match each other;
+rows without doc_id come after all others and don't match each other; an empty table
+gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -42,7 +50,6 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from . import chunks as C
 from .workspace import Workspace
@@ -56,13 +63,15 @@ SAMPLE = WIDTH - PERIOD + 1
 ANCHOR = 20
 CHOICES = WIDTH - ANCHOR + 1
 CONTEXT = WIDTH + CHOICES - 1
+#: Bytes of a suffix in a sort: a rank stands for a sample's bytes.
+KEY = WIDTH - SAMPLE + 4
 #: Bits beside the bucket that screen whole windows: one in a hundred that doesn't repeat passes.
 WINDOW_BITS = 27
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,length:long>>"
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Low bits of a hash that hold a position, to break ties to the left.
-_PLACE_BITS = np.uint64(28)
+_PLACE_BITS = np.uint64(34)
 
 
 def _hashes(data: np.ndarray, at: np.ndarray, width: int = SAMPLE) -> np.ndarray:
@@ -168,28 +177,81 @@ def _strings(rows: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(rows).view(f"S{rows.shape[1]}").ravel()
 
 
+def _cover_ranks(distinct: np.ndarray) -> np.ndarray:
+    """Per context and place the rank of the sampled suffix that begins there, by its bytes; 0 where there is none.
+
+    Places are counted from the anchor, so equal suffixes have their samples at equal places.
+    """
+    place = np.arange(CONTEXT)
+    offset, end = distinct[:, CONTEXT].astype(np.int64)[:, None] - 1, distinct[:, CONTEXT + 1].astype(np.int64)[:, None] + WIDTH - 1
+    sampled = np.isin((place - offset) % PERIOD, COVER) & (place + SAMPLE <= end)
+    row, at = np.nonzero(sampled)
+    flat = np.lib.stride_tricks.sliding_window_view(distinct.ravel(), SAMPLE)
+    words = _words(flat[row * distinct.shape[1] + at])
+    order = _in_order(words)
+    new = _changes([w[order] for w in words])
+    out = np.zeros((len(distinct), CONTEXT), np.uint32)
+    out[row[order], at[order]] = np.cumsum(new)
+    return out
+
+
+def _words(rows: np.ndarray) -> list[np.ndarray]:
+    """Rows of bytes as columns of numbers that compare as the bytes do."""
+    width = -(-rows.shape[1] // 8) * 8
+    wide = np.zeros((len(rows), width), np.uint8)
+    wide[:, : rows.shape[1]] = rows
+    return list(wide.view(">u8").astype(np.uint64).T)
+
+
+def _in_order(words: list[np.ndarray]) -> np.ndarray:
+    return np.lexsort(words[::-1])
+
+
+def _changes(words: list[np.ndarray]) -> np.ndarray:
+    """Whether a row differs from the one before; the first does."""
+    new = np.zeros(len(words[0]), bool)
+    new[:1] = True
+    for word in words:
+        new[1:] |= word[1:] != word[:-1]
+    return new
+
+
 def _sort_suffixes(distinct: np.ndarray, first: np.ndarray, best: np.ndarray, contexts: np.ndarray) -> None:
     """Sort the contexts' suffixes and set the smallest doc_id of each equal run in ``best``.
 
     Equal suffixes have their anchor at the same offset, so each offset is sorted by itself.
     """
+    if not len(contexts):
+        return
+    distinct, first = distinct[contexts], first[contexts]
+    ranks = _cover_ranks(distinct)
     flat = np.lib.stride_tricks.sliding_window_view(distinct.ravel(), WIDTH)
-    offset, count = distinct[contexts, CONTEXT].astype(np.int64) - 1, distinct[contexts, CONTEXT + 1].astype(np.int64)
+    offset, count = distinct[:, CONTEXT].astype(np.int64) - 1, distinct[:, CONTEXT + 1].astype(np.int64)
     for ahead in range(CHOICES):
         step = offset - ahead
-        fits = np.flatnonzero((step >= 0) & (step < count))
-        if not len(fits):
+        index = np.flatnonzero((step >= 0) & (step < count))
+        if not len(index):
             continue
-        index, step = contexts[fits], step[fits]
-        suffixes = _strings(flat[index * distinct.shape[1] + step])
-        order = np.argsort(suffixes, kind="stable")
-        suffixes = suffixes[order]
-        head = np.concatenate(([True], suffixes[1:] != suffixes[:-1]))
+        step = step[index]
+        # The first shift that puts suffixes with the anchor so far ahead into the sample.
+        shift = next(d for d in range(PERIOD) if (d - ahead) % PERIOD in COVER)
+        text = flat[index * distinct.shape[1] + step]
+        key = np.empty((len(index), KEY), np.uint8)
+        key[:, :shift] = text[:, :shift]
+        key[:, shift : shift + 4] = ranks[index, step + shift].astype(">u4").view(np.uint8).reshape(-1, 4)
+        key[:, shift + 4 :] = text[:, shift + SAMPLE :]
+        words = _words(key)
+        order = _in_order(words)
+        head = _changes([w[order] for w in words])
         least = np.minimum.reduceat(first[index][order], np.flatnonzero(head))
-        best[index[order], step[order]] = least[np.cumsum(head) - 1]
+        best[contexts[index[order]], step[order]] = least[np.cumsum(head) - 1]
+
+
+def _screened(questions: list[bytes]) -> tuple[list[bytes], int]:
+    return C.repeat_answers(questions), 0
 
 
-def _suffix_answers(bodies: list[bytes]) -> list[bytes]:
+def _suffix_answers(bodies: list[bytes]) -> tuple[list[bytes], int]:
     """For each context a bit per suffix: it starts in a document with a smaller doc_id."""
     parts = [C.unpack(b, "u1", "i8") for b in bodies]
     rows = np.concatenate([r.reshape(-1, CONTEXT + 2) for r, _ in parts])
@@ -213,7 +275,7 @@ def _suffix_answers(bodies: list[bytes]) -> list[bytes]:
     _sort_suffixes(distinct, first, best, np.flatnonzero(contexts[anchor] > 1))
     bits = (best[context] < ids[:, None]) @ (np.uint32(1) << np.arange(CHOICES, dtype=np.uint32))
     cut = np.cumsum([len(i) for _, i in parts])[:-1]
-    return [p.astype(np.uint32).tobytes() for p in np.split(bits, cut)]
+    return [p.astype(np.uint32).tobytes() for p in np.split(bits, cut)], 0
 
 
 def _covered(chunk: C.Chunk, row) -> np.ndarray:
@@ -238,18 +300,19 @@ def removals(documents: DataFrame) -> DataFrame:
     buckets = C.bucket_count(documents)
 
     def ask_sample(chunk: C.Chunk, row):
-        _, keys, places, n = _sample_keys(chunk, buckets)
-        yield from C.repeat_questions(chunk.number, keys, places, n)
-
-    table, _ = C.chunked(documents, space)
-    ranks = space.write(C.answered(C.asked(table, ask_sample), C.repeat_answers), "ranks", "none")
+        _, keys, places, _ = _sample_keys(chunk, buckets)
+        for b, _, body in C.repeat_questions(chunk.number, keys, places, buckets):
+            yield b, body
 
     def ask_windows(chunk: C.Chunk, row):
         keys, places = _window_keys(chunk, _candidates(chunk, row, buckets))
-        yield from C.repeat_questions(chunk.number, keys, places, buckets, WINDOW_BITS)
+        for b, _, body in C.repeat_questions(chunk.number, keys, places, buckets, WINDOW_BITS):
+            yield b, body
 
-    ranked = C.returned(table, ranks, "ranks")
-    repeats = space.write(C.answered(C.asked(ranked, ask_windows), C.repeat_answers), "repeats", "none")
+    table, _ = C.chunked(documents, space)
+    table = table.drop("note")
+    ranked, _ = C.exchanged(table, ask_sample, _screened, buckets, space, "ranks")
+    repeated, _ = C.exchanged(ranked, ask_windows, _screened, buckets, space, "repeats")
 
     def ask_suffixes(chunk: C.Chunk, row):
         suffix = _candidates(chunk, row, buckets)
@@ -269,20 +332,12 @@ def removals(documents: DataFrame) -> DataFrame:
         position[order] = np.arange(len(order), dtype=np.uint32)
         for b, part in C.by_bucket(order, dealt[order]):
             chosen = order[part]
-            yield b, chunk.number, C.pack(rows[where[chosen]], first[chosen])
+            yield b, C.pack(rows[where[chosen]], first[chosen])
         later = ids > first[context]
-        yield (
-            -1,
-            chunk.number,
-            C.pack(start.astype(np.uint32), count.astype(np.uint8), position[context], later.astype(np.uint8)),
-        )
+        yield C.NOTE, C.pack(start.astype(np.uint32), count.astype(np.uint8), position[context], later.astype(np.uint8))
 
-    suffixes = C.asked(C.returned(ranked, repeats, "repeats"), ask_suffixes).withColumn("own", F.col("bucket") < 0)
-    suffixes = space.write_split(suffixes, "suffixes", "own")
-    masks = space.write(C.answered(suffixes.where("NOT own"), _suffix_answers), "masks", "none")
-    space.drop("suffixes/own=false")
-    own = suffixes.where("own").select("chunk", F.col("body").alias("contexts"))
-    ready = C.returned(table, masks, "masks").join(own, "chunk", "left")
+    answered, _ = C.exchanged(repeated, ask_suffixes, _suffix_answers, buckets, space, "masks", "contexts")
+    ready = answered.drop("ranks", "repeats")
 
     def cut(chunk: C.Chunk, row):
         gone = _covered(chunk, row)

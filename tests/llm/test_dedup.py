@@ -62,6 +62,53 @@ def test_cover_meets_every_pair():
     assert differences == set(range(suffix_dedup.PERIOD))
 
 
+def test_cover_ranks_are_in_order_of_bytes():
+    rng = np.random.default_rng(3)
+    rows = rng.integers(97, 99, (200, suffix_dedup.CONTEXT + 2)).astype(np.uint8)
+    rows[100:] = rows[:100]
+    rows[:, suffix_dedup.CONTEXT], rows[:, suffix_dedup.CONTEXT + 1] = 5, 20
+    ranks = suffix_dedup._cover_ranks(rows)
+    found = sorted((rows[i, x : x + suffix_dedup.SAMPLE].tobytes(), ranks[i, x]) for i, x in zip(*np.nonzero(ranks)))
+    assert all((x - 4) % suffix_dedup.PERIOD in suffix_dedup.COVER for _, x in zip(*np.nonzero(ranks)))
+    assert len(found) > 1000 and [b for _, b in found] == sorted(b for _, b in found)
+    assert len({a for a, _ in found}) == len({b for _, b in found}) == max(b for _, b in found)
+
+
+def test_ties_are_resolved_by_cover_ranks(monkeypatch):
+    """Suffixes that differ only below a sample are told apart by its rank."""
+    rng = np.random.default_rng(4)
+    base = rng.integers(97, 123, suffix_dedup.CONTEXT).astype(np.uint8)
+    rows = np.zeros((40, suffix_dedup.CONTEXT + 2), np.uint8)
+    rows[:, : suffix_dedup.CONTEXT] = base
+    rows[:, suffix_dedup.CONTEXT], rows[:, suffix_dedup.CONTEXT + 1] = 26, suffix_dedup.CHOICES
+    rows[20:, 45:47] += 1
+    first, all_ = np.arange(100, 140), np.arange(40)
+
+    def sort():
+        best = np.full((40, suffix_dedup.CHOICES), 10**9)
+        suffix_dedup._sort_suffixes(rows, first, best, all_)
+        want = np.where((np.arange(40) < 20)[:, None], 100, 120)
+        return best[:, : suffix_dedup.CHOICES - 5] - want[:, :1]
+
+    with_ranks = sort()[:, :26]
+    assert (with_ranks == 0).all()
+    real = suffix_dedup._cover_ranks
+    monkeypatch.setattr(suffix_dedup, "_cover_ranks", lambda d: (real(d) > 0).astype(np.uint32))
+    assert (sort()[:, :26] != 0).any()
+
+
+def test_long_repeats(spark):
+    """A repeat of 5 MB, whole and in part, in texts of several chunk sizes."""
+    rng = np.random.default_rng(5)
+    text = lambda n: rng.integers(33, 127, n).astype(np.uint8).tobytes().decode()
+    long, a, b, c = text(5_000_000), text(1000), text(777), text(49)
+    rows = [(1, long), (2, a + long + b), (3, long[1000:4_000_000] + c + long[:49] + c), (4, long[70:119]), (5, long[70:120])]
+    got = by_id(suffix_dedup.removals(frame(spark, rows)), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    kept = [(long, 0), (a + b, 1), (c + long[:49] + c, 1), (long[70:119], 0), ("", 1)]
+    assert got == {d: (len(t), len(t) - len(k), n, sha(k)) for (d, t), (k, n) in zip(rows, kept)}
+
+
 def test_small_chunks(spark, awkward, monkeypatch):
     from crawlsight.llm import chunks
 
