@@ -342,11 +342,18 @@ def repeat_keys(keys: np.ndarray, places: np.ndarray, buckets: int, bits: int =
     """Unique keys cut to (bucket, some bits), their buckets, each key's index, and whether a chunk has it in two places."""
     bucket = bucket_of(keys, buckets)
     short = (bucket.astype(np.uint64) << np.uint64(32)) | (keys & np.uint64((1 << bits) - 1))
-    unique, index = np.unique(short, return_inverse=True)
-    least, most = np.full(len(unique), NO_ID), np.full(len(unique), -1, np.int64)
-    np.minimum.at(least, index, places)
-    np.maximum.at(most, index, places)
-    return unique, (unique >> np.uint64(32)).astype(np.int64), index, least != most
+    order = np.argsort(short)
+    placed, ranked = places[order], short[order]
+    new = np.ones(len(order), bool)
+    new[1:] = ranked[1:] != ranked[:-1]
+    first = np.flatnonzero(new)
+    number = np.cumsum(new) - 1
+    index = np.empty(len(order), np.int64)
+    index[order] = number
+    differs = np.zeros(len(first), bool)
+    differs[number[placed != placed[first][number]]] = True
+    unique = ranked[first]
+    return unique, (unique >> np.uint64(32)).astype(np.int64), index, differs
 
 
 def repeat_answers(bodies: list[bytes]) -> list[bytes]:

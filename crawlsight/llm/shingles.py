@@ -36,7 +36,7 @@ SPACE[[32, 9, 10, 11, 12, 13]] = True
 _KEPT: dict[str, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+def hash_powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the hash's base and of its inverse; kept for texts of ordinary length."""
     kept = _KEPT.get("powers")
     if kept is None or len(kept[0]) <= size:
@@ -67,7 +67,7 @@ def words(data: np.ndarray, starts: np.ndarray, extra: np.ndarray | None = None)
     shuts[:-1] &= ~solid[1:]
     shuts[inner - 1] = solid[inner - 1]
     begin, end = np.flatnonzero(opens), np.flatnonzero(shuts) + 1
-    powers, inverse = _powers(size)
+    powers, inverse = hash_powers(size)
     codes = (LOWER[data].astype(np.uint64) + np.uint64(1)) * powers[:size]
     total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(codes, dtype=np.uint64)))
     value = (total[end] - total[begin]) * inverse[begin]

@@ -52,6 +52,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from . import chunks as C
+from .shingles import hash_powers, mixed
 from .workspace import Workspace
 
 WIDTH = 50
@@ -74,16 +75,18 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 _PLACE_BITS = np.uint64(34)
 
 
-def _hashes(data: np.ndarray, at: np.ndarray, width: int = SAMPLE) -> np.ndarray:
-    """64-bit hashes of ``width`` bytes from each position."""
-    words = np.lib.stride_tricks.sliding_window_view(data, 8)
-    out = np.zeros(len(at), np.uint64)
-    for shift in (*range(0, width - 8, 8), width - 8):
-        word = np.ascontiguousarray(words[at + shift]).view(np.uint64).ravel()
-        out = (out ^ word) * _MIX
-        out ^= out >> np.uint64(31)
-    out *= _MIX
-    return out ^ (out >> np.uint64(29))
+class Rolling:
+    """Hashes of a chunk's strings of any width, from one sum over its bytes."""
+
+    def __init__(self, data: np.ndarray):
+        self.size = len(data)
+        powers, self.inverse = hash_powers(self.size)
+        self.total = np.zeros(self.size + 1, np.uint64)
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers[: self.size], out=self.total[1:])
+
+    def hashes(self, at: np.ndarray, width: int) -> np.ndarray:
+        """64-bit hashes of ``width`` bytes from each position."""
+        return mixed((self.total[at + width] - self.total[at]) * self.inverse[at])
 
 
 def _sample(chunk: C.Chunk) -> tuple[np.ndarray, np.ndarray]:
@@ -99,10 +102,10 @@ def _sample(chunk: C.Chunk) -> tuple[np.ndarray, np.ndarray]:
     return at, owner
 
 
-def _sample_keys(chunk: C.Chunk, buckets: int):
+def _sample_keys(chunk: C.Chunk, rolling: Rolling) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(position, hash, doc_id) of each sampled suffix."""
     at, owner = _sample(chunk)
-    keys = _hashes(chunk.data, at) if len(at) else np.zeros(0, np.uint64)
-    return at, keys, chunk.ids[owner], buckets
+    return at, rolling.hashes(at, SAMPLE), chunk.ids[owner]
 
 
 def _least(values: np.ndarray) -> np.ndarray:
@@ -115,9 +118,9 @@ def _least(values: np.ndarray) -> np.ndarray:
     return np.minimum(values[: len(values) - rest], values[rest:]) if rest else values
 
 
-def _candidates(chunk: C.Chunk, row, buckets: int) -> np.ndarray:
+def _candidates(chunk: C.Chunk, rolling: Rolling, row, buckets: int) -> np.ndarray:
     """The suffixes with a tied sample among their first positions."""
-    at, keys, places, _ = _sample_keys(chunk, buckets)
+    at, keys, places = _sample_keys(chunk, rolling)
     unique, bucket, index, _ = C.repeat_keys(keys, places, buckets)
     tied = at[C.repeat_flags(row.ranks, unique, bucket)[index]]
     size = len(chunk.data)
@@ -131,24 +134,23 @@ def _candidates(chunk: C.Chunk, row, buckets: int) -> np.ndarray:
     return np.flatnonzero(np.cumsum(step[:size]) > 0)
 
 
-def _window_keys(chunk: C.Chunk, suffix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _window_keys(chunk: C.Chunk, rolling: Rolling, suffix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(hash of the whole window, doc_id) of each suffix."""
-    owner = np.searchsorted(chunk.starts, suffix, "right") - 1
-    return (_hashes(chunk.data, suffix, WIDTH) if len(suffix) else np.zeros(0, np.uint64)), chunk.ids[owner]
+    return rolling.hashes(suffix, WIDTH), chunk.ids[np.searchsorted(chunk.starts, suffix, "right") - 1]
 
 
-def _contexts(chunk: C.Chunk, suffix: np.ndarray):
+def _contexts(chunk: C.Chunk, rolling: Rolling, suffix: np.ndarray):
     """(start, suffixes, anchor's offset, anchor's hash) of the contexts of these suffixes."""
     size = len(chunk.data)
     if not len(suffix):
         return [np.zeros(0, np.int64)] * 3 + [np.zeros(0, np.uint64)]
     owner = np.searchsorted(chunk.starts, suffix, "right") - 1
-    # Only the bytes below some suffix are hashed: they are packed, stretch by stretch.
+    # Only strings below some suffix are hashed: their positions are packed, stretch by stretch.
     step = np.bincount(suffix, minlength=size + 1)
     step[: size + 1] -= np.bincount(np.minimum(suffix + WIDTH, size), minlength=size + 1)[: size + 1]
     used = np.flatnonzero(np.cumsum(step[:size]) > 0)
     packed = np.searchsorted(used, suffix)
-    grams = _hashes(chunk.data[used], np.arange(len(used) - ANCHOR + 1), ANCHOR)
+    grams = rolling.hashes(np.minimum(used[: len(used) - ANCHOR + 1], size - ANCHOR), ANCHOR)
     tagged = (grams >> _PLACE_BITS << _PLACE_BITS) | np.arange(len(grams), dtype=np.uint64)
     least = _least(tagged)[packed]
     anchor = used[(least & ((np.uint64(1) << _PLACE_BITS) - np.uint64(1))).astype(np.int64)]
@@ -300,12 +302,13 @@ def removals(documents: DataFrame) -> DataFrame:
     buckets = C.bucket_count(documents)
 
     def ask_sample(chunk: C.Chunk, row):
-        _, keys, places, _ = _sample_keys(chunk, buckets)
+        _, keys, places = _sample_keys(chunk, Rolling(chunk.data))
         for b, _, body in C.repeat_questions(chunk.number, keys, places, buckets):
             yield b, body
 
     def ask_windows(chunk: C.Chunk, row):
-        keys, places = _window_keys(chunk, _candidates(chunk, row, buckets))
+        rolling = Rolling(chunk.data)
+        keys, places = _window_keys(chunk, rolling, _candidates(chunk, rolling, row, buckets))
         for b, _, body in C.repeat_questions(chunk.number, keys, places, buckets, WINDOW_BITS):
             yield b, body
 
@@ -315,10 +318,11 @@ def removals(documents: DataFrame) -> DataFrame:
     repeated, _ = C.exchanged(ranked, ask_windows, _screened, buckets, space, "repeats")
 
     def ask_suffixes(chunk: C.Chunk, row):
-        suffix = _candidates(chunk, row, buckets)
-        unique, bucket, index, _ = C.repeat_keys(*_window_keys(chunk, suffix), buckets, WINDOW_BITS)
+        rolling = Rolling(chunk.data)
+        suffix = _candidates(chunk, rolling, row, buckets)
+        unique, bucket, index, _ = C.repeat_keys(*_window_keys(chunk, rolling, suffix), buckets, WINDOW_BITS)
         suffix = suffix[C.repeat_flags(row.repeats, unique, bucket)[index]]
-        start, count, offset, hashed = _contexts(chunk, suffix)
+        start, count, offset, hashed = _contexts(chunk, rolling, suffix)
         if not len(start):
             return
         rows = _records(chunk, start, count, offset)
