@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions import urls
+from ..sources.storage import materialised
 
 #: Hrefs that are no links.
 SKIPPED = r"^(javascript:|mailto:|tel:|#)"
@@ -17,10 +18,12 @@ SKIPPED = r"^(javascript:|mailto:|tel:|#)"
 
 @dataclass
 class Site:
-    """A crawl with its context. Derived tables are built on first use and kept.
+    """A crawl with its context.
 
     ``crawl`` has the columns of FETCHED and PAGE and the struct ``h``; its urls
-    are unique. ``as_of`` is what time-dependent checks take for now.
+    are unique. Link and hreflang tables are written on first use, so that the rules
+    that need them read narrow tables and explode no page again. ``as_of`` is what
+    time-dependent checks take for now.
     """
 
     crawl: DataFrame
@@ -38,7 +41,7 @@ class Site:
 
     def _once(self, name: str, make) -> DataFrame:
         if name not in self._made:
-            self._made[name] = make()
+            self._made[name] = materialised(self.spark, make(), name)
         return self._made[name]
 
     @property

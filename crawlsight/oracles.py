@@ -8,6 +8,7 @@ plain SQL over the values that went into the page, without any HTML.
 from __future__ import annotations
 
 from .operators.architecture import ANCHOR_STOP_WORDS
+from .operators.crawlability import PAGINATION
 from .operators.registry import CATEGORIES, CATEGORY_WEIGHT, SEVERITY_WEIGHTS
 from .plans.health import EVALUATION_ORDER, checks
 from .sources import demo
@@ -376,9 +377,15 @@ FROM (SELECT *, {_TEXT_SQL} AS t,
   (SELECT string_agg(p, ' ' ORDER BY k) FROM (SELECT trim(unnest(pieces)) AS p, generate_subscripts(pieces, 1) AS k) u WHERE p <> '') AS x
   FROM (SELECT *, list_transform(regexp_split_to_array({_STRIPPED}, '<[^>]*>'), lambda s:
     replace(replace(replace(replace(s, '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&amp;', '&')) AS pieces FROM pages) q0) q"""
+#: A page as checks see it: beyond 12,000 characters an excerpt and a mark.
+_EXCERPT = "CASE WHEN length(html) > 12000 THEN html[:12000] || '… [truncated]' ELSE html END"
 ORACLE_SQL["page_body_text"] = f"""
 SELECT page_id, sha1(lower({_TEXT_SQL})) AS body_sha1, lower(trim(regexp_extract(html, '<html lang="([^"]*)"', 1))) AS lang
-FROM pages WHERE length(html) <= 12000"""
+FROM (SELECT page_id, {_EXCERPT} AS html FROM pages) p"""
+ORACLE_SQL["page_corpus"] = f"""
+SELECT url, sha1(trim(concat_ws(' ', title, '', h1, body))) AS text_sha1 FROM (
+  SELECT page_id, url, {_tag_text('title')} AS title, {_tag_text('h1')} AS h1 FROM pages) a
+JOIN (SELECT page_id, {_TEXT_SQL} AS body FROM (SELECT page_id, {_EXCERPT} AS html FROM pages) p) b USING (page_id)"""
 ORACLE_SQL["page_duplicate_titles"] = f"""
 SELECT DISTINCT url, title AS value FROM (SELECT url, {_tag_text('title')} AS title FROM pages) p
 WHERE title <> '' AND title IN (SELECT {_tag_text('title')} FROM pages GROUP BY 1 HAVING count(*) > 1)"""
@@ -391,6 +398,63 @@ ORACLE_SQL["page_urls"] = f"""
 SELECT page_id, {_URL_SQL['host']} AS host, {_URL_SQL['path']} AS path, {_URL_SQL['query']} AS query,
   len(list_distinct(list_transform(list_filter(string_split({_URL_SQL['query']}, '&'), lambda p: regexp_matches(p, '^[^=]*=.')), lambda p: split_part(p, '=', 1))))::BIGINT AS n_keys,
   trim(split_part(url, '#', 1)) AS normalised FROM pages"""
+_SLUG = "split_part(regexp_replace(path, '/+$', ''), '/', -1)"
+_RAW = {
+    "C020": f"regexp_matches(url, '{PAGINATION}') AND NOT contains(html, '<link')",
+    "C021": "url NOT LIKE 'https://%'",
+    "C037": "bare IN (SELECT bare FROM q GROUP BY bare HAVING count(*) > 1)",
+    "C038": "regexp_replace(host, '^www[.]', '') IN (SELECT host FROM q WHERE 'www.' || host IN (SELECT host FROM q))",
+    "C041": "title = ''",
+    "C042": "length(title) BETWEEN 1 AND 29",
+    "C043": "length(title) > 60",
+    "C044": "title <> '' AND title IN (SELECT title FROM q GROUP BY title HAVING count(*) > 1)",
+    "C045": "NOT contains(html, 'name=\"description\"')",
+    "C049": "h1 = ''",
+    "C050": "len(list_filter(levels, lambda x: x = 1)) > 1",
+    "C051": "h1 <> '' AND h1 IN (SELECT h1 FROM q GROUP BY h1 HAVING count(*) > 1)",
+    "C052": "title <> '' AND title = h1",
+    "C053": "CASE WHEN t = '' THEN 0 ELSE len(string_split(t, ' ')) END < 300",
+    "C054": "t <> '' AND lower(t) IN (SELECT lower(t) FROM q GROUP BY 1 HAVING count(*) > 1)",
+    "C056": "NOT contains(html, 'canonical')",
+    "C058": "length(body) / length(short) < 0.10",
+    "C059": "regexp_extract(html, '<html lang=\"([^\"]*)\"', 1) = ''",
+    "C060": "len(list_filter(range(2, len(levels) + 1), lambda i: levels[i] > list_max(levels[1:i - 1]) + 1)) > 0",
+    "C061": "keys > 3",
+    "C062": "length(url) > 115",
+    "C063": f"regexp_matches(lower({_SLUG}), '^([0-9]+|[0-9a-f]{{8,}})$')",
+    "C064": "contains(url, '_')",
+    "C065": "url <> lower(url)",
+    "C108": "NOT contains(html, 'ld+json')",
+    "C112": "NOT contains(html, 'og:title')",
+    "C113": "NOT contains(html, 'twitter:')",
+    "C116": "NOT contains(html, '<link')",
+    "C117": "NOT contains(html, 'viewport')",
+    "C129": "NOT contains(html, 'viewport')",
+}
+ORACLE_SQL["page_checks"] = f"""
+WITH q AS (SELECT page_id, url, p.html, {_URL_SQL['host']} AS host, {_URL_SQL['path']} AS path, regexp_replace(url, '/$', '') AS bare,
+    {_tag_text('title').replace('html', 'p.html')} AS title, {_tag_text('h1').replace('html', 'p.html')} AS h1, {_TEXT_SQL.replace('html', 'p.html')} AS t, b.html AS short,
+    {_TEXT_SQL.replace('html', 'b.html')} AS body, list_transform(regexp_extract_all(b.html, '<h([1-6])[ >]', 1), lambda x: x::INTEGER) AS levels,
+    len(list_distinct(list_transform(list_filter(string_split({_URL_SQL['query']}, '&'), lambda x: regexp_matches(x, '^[^=]*=.')), lambda x: split_part(x, '=', 1)))) AS keys
+  FROM pages p JOIN (SELECT page_id, {_EXCERPT} AS html FROM pages) b USING (page_id))
+{" UNION ALL ".join(f"SELECT '{i}' AS check_id, url FROM q WHERE {c}" for i, c in _RAW.items())}"""
+ORACLE_SQL["page_robots_gate"] = f"""
+SELECT page_id, CASE WHEN contains(path, '?page=') THEN false WHEN regexp_matches(path, '[.]html$') THEN true WHEN starts_with(path, '/ab') THEN false
+  WHEN contains(path, '?') OR starts_with(path, '/a') THEN true ELSE false END AS blocked
+FROM (SELECT page_id, regexp_replace(split_part(url, '#', 1), '^[a-z]+://[^/?]*', '') AS path FROM pages) q"""
+ORACLE_SQL["page_sitemap"] = """
+SELECT url, '' AS code, '' AS href FROM pages WHERE page_id % 7 <> 3 UNION ALL SELECT url, 'fr', url FROM pages WHERE page_id % 7 <> 3"""
+ORACLE_SQL["crawl_probe_targets"] = f"""{SITE_SQL},
+targets AS (SELECT * FROM (SELECT DISTINCT url FROM (SELECT target AS url FROM l WHERE thost <> 'site.example' UNION ALL SELECT 'javascript:void(0)' FROM c WHERE {_on('script_link')} UNION ALL {_OUTER}) a ORDER BY url LIMIT 50) b)
+SELECT url, CASE WHEN length(url) % 2 = 1 THEN 404 END::INTEGER AS status, contains(url, 'out') AS redirected, contains(url, 'plain') AS robots_blocked FROM targets
+UNION ALL SELECT url, CASE WHEN length(url) % 2 = 1 THEN 404 END::INTEGER, NULL::BOOLEAN, NULL::BOOLEAN FROM (SELECT DISTINCT url FROM (
+  SELECT CASE WHEN {_F['image_out']} THEN 'https://cdn.example' ELSE split_part(url, '/', 1) || '//' || host || '/img' END || '/a' || CASE WHEN {_F['image_png']} THEN '.PNG' ELSE '.webp' END AS url
+  FROM c WHERE {_on('image')} UNION ALL
+  SELECT split_part(url, '/', 1) || '//' || host || '/img/b.webp' FROM c WHERE {_on('image_second')}) a ORDER BY url LIMIT 30) b"""
+ORACLE_SQL["audit_trend"] = """
+SELECT *, health_score - previous_score AS change FROM (
+  SELECT user_id AS site, event_id, (event_id * 37 % 101)::INTEGER AS health_score,
+    lag((event_id * 37 % 101)::INTEGER) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS previous_score FROM events) e"""
 ORACLE_SQL["page_hosts"] = f"""
 SELECT {_URL_SQL['host']} AS host, count(*)::BIGINT AS pages, count(*) FILTER (url LIKE 'https://%')::BIGINT AS https_pages,
   sum(CASE WHEN t = '' THEN 0 ELSE len(string_split(t, ' ')) END)::BIGINT AS words
@@ -468,6 +532,16 @@ SELECT keyword, round(score, 1) AS opportunity_score, round(often, 1) AS frequen
   CASE WHEN score >= 70 THEN 'High' WHEN score >= 40 THEN 'Medium' ELSE 'Low' END AS priority
 FROM (SELECT *, greatest(0.0, least(100.0, often * 0.4::DOUBLE + long_ * 0.4::DOUBLE)) AS score FROM (
   SELECT keyword, least(100.0::DOUBLE, frequency / total * 100 * 2) AS often, 15.0::DOUBLE AS long_ FROM ranked) a) b"""
+_LETTERS = "list_distinct(string_split({}, ''))"
+_COMMON = f"len(list_intersect({_LETTERS.format('k')}, {_LETTERS.format('leader')}))"
+ORACLE_SQL["keyword_clusters"] = f"""{_top(50).replace('WITH', 'WITH RECURSIVE', 1)}, g AS (
+  SELECT list(keyword ORDER BY place) AS free, NULL::VARCHAR AS leader, []::VARCHAR[] AS near FROM ranked UNION ALL
+  SELECT list_filter(others, lambda k: NOT list_contains(near, k)), leader, near FROM (
+    SELECT others, leader, list_filter(others, lambda k: {_COMMON} >= 0.5 * (len({_LETTERS.format('k')}) + len({_LETTERS.format('leader')}) - {_COMMON})) AS near
+    FROM (SELECT list_filter(free, lambda k: k <> list_min(free)) AS others, list_min(free) AS leader FROM g WHERE len(free) > 0) a) b
+)
+SELECT leader, leader AS member, 0::INTEGER AS ord FROM g WHERE len(near) > 0 UNION ALL
+SELECT leader, unnest(near), generate_subscripts(near, 1)::INTEGER FROM g WHERE len(near) > 0"""
 ORACLE_SQL["keyword_difficulties"] = f"""{_top(50)}
 SELECT keyword, round(score, 1) AS difficulty_score, CASE WHEN score < 30 THEN 'Easy' WHEN score < 60 THEN 'Medium' ELSE 'Hard' END AS level,
   1 AS word_count, round(ratio, 4) AS frequency_ratio
@@ -516,6 +590,6 @@ ORACLE_SQL |= {
     "rel_duplicates": """SELECT doc_id, sha1(lower(text)) AS value FROM documents WHERE sha1(lower(text)) IN (SELECT sha1(lower(text)) FROM documents GROUP BY 1 HAVING count(*) > 1)""",
     "rel_labels": """SELECT quality, toxic, count(*)::BIGINT AS documents, sum(n_chars)::BIGINT AS chars FROM documents LEFT JOIN labels USING (doc_id) GROUP BY ALL""",
     "rel_benchmark_overlap": """SELECT DISTINCT doc_id, item_id FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) d
-      JOIN (SELECT item_id, unnest(string_split(text, chr(10))) AS line FROM benchmark) b USING (line) WHERE length(line) >= 20""",
+      JOIN (SELECT item_id, unnest(string_split(text, chr(10))) AS line FROM benchmark) b USING (line) WHERE trim(line) <> ''""",
     "rel_turns": r"""SELECT role, count(*)::BIGINT AS turns, sum(len(regexp_extract_all(coalesce(text, ''), '[A-Za-z][A-Za-z''\-]+')))::BIGINT AS words FROM conversations GROUP BY role""",
 }

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.storage import materialised
 
 
 def extracted(documents: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -22,7 +23,9 @@ def frequency(keywords: DataFrame, top: int = 20, first: list[str] | None = None
     """
     order = F.struct(*(first or ["pos"]))
     counted = keywords.groupBy("keyword").agg(F.count("*").alias("frequency"), F.min(order).alias("seen"))
-    total = keywords.agg(F.count("*").alias("total"))
+    # Written, because the total is the sum of it: texts are tokenised once.
+    counted = materialised(keywords.sparkSession, counted, "keywords")
+    total = counted.agg(F.coalesce(F.sum("frequency"), F.lit(0)).alias("total"))
     best = counted.orderBy(F.desc("frequency"), "seen").limit(top)
     place = F.row_number().over(Window.orderBy(F.desc("frequency"), "seen"))
     return best.join(F.broadcast(total)).select(

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.storage import materialised
 
 #: Terms of the vocabulary at most; those with the highest corpus frequency are kept.
 MAX_TERMS = 10_000
@@ -40,7 +41,8 @@ def tf_idf(documents: DataFrame, key: str = "url", text: str = "doc_text", top:
     score = tf * (ln((1 + n) / (1 + df)) + 1), with rows of unit length. The
     vocabulary is bounded by ``max_terms``, so it is broadcast.
     """
-    counted = terms(documents, key, text, stop_words)
+    # Written, because both the vocabulary and the weights come from it: texts are tokenised once.
+    counted = materialised(documents.sparkSession, terms(documents, key, text, stop_words), "terms")
     n = documents.agg(F.count("*").alias("n"))
     vocabulary = (
         counted.groupBy("term")

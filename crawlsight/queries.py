@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .functions import robots, urls
 from .functions import text as T
-from .functions import urls
-from .operators import architecture, graph, international, links, on_page
+from .operators import architecture, graph, international, links, on_page, tables
 from .operators.registry import CATEGORIES
 from .plans import health, keywords, organic, site_audit, summary
+from .sources import context
 from .sources import pages as P
 from .sources.demo import demo_site
 from .sources.storage import materialised
@@ -176,7 +177,8 @@ def page_body_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def page_duplicate_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return on_page.duplicates(_crawl(spark, sf_dir), F.col("title"))
+    titles = materialised(spark, _crawl(spark, sf_dir).select("url", "title"), "titles")  # parsed once
+    return on_page.duplicates(titles, F.col("title"))
 
 
 @query
@@ -213,6 +215,74 @@ def page_display(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.for_display(crawl, drop=["html"], most_chars=400)
 
 
+#: The rules that raw pages can fail or pass by their own markup and URLs.
+RAW_CHECKS = (
+    "C020 C021 C037 C038 C041 C042 C043 C044 C045 C049 C050 C051 C052 C053 C054 C056 C058 C059 C060 C061 C062 C063 C064 C065 "
+    "C108 C112 C113 C116 C117 C129"
+).split()
+
+
+@query
+def page_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The checks that raw pages can be judged by, on every page of the table."""
+    crawl = materialised(spark, _crawl(spark, sf_dir), "raw")
+    return health.flags(tables.site(crawl), [c for c in health.checks() if c.check_id in RAW_CHECKS])
+
+
+@query
+def page_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text that organic terms are taken from, of every page."""
+    return organic.corpus(_crawl(spark, sf_dir)).select("url", F.sha1("doc_text").alias("text_sha1"))
+
+
+#: Fixed rules of the gate query; the longest pattern that matches decides.
+GATE = "User-agent: *\nDisallow: /*?\nAllow: /*?page=\nDisallow: /a\nAllow: /ab\nDisallow: /*.html$\n"
+
+
+@query
+def page_robots_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which pages a robots.txt blocks."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", F.lit(GATE).alias("robots"))
+    return pages.select("page_id", robots.blocked_paths("url", "robots").alias("blocked"))
+
+
+@query
+def page_sitemap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Locations and alternate links of sitemaps that list each page; every seventh file is malformed."""
+    address = F.replace(F.col("url"), F.lit("&"), F.lit("&amp;"))
+    text = F.concat(
+        F.lit('<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9" xmlns:x="http://www.w3.org/1999/xhtml"><url><loc> '),
+        address,
+        F.lit(' </loc><x:link rel="alternate" hreflang=" FR" href="'),
+        address,
+        F.when(F.col("page_id") % 7 == 3, F.lit('"></url>')).otherwise(F.lit('"/></url></urlset>')),
+    )
+    files = table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("path"), text.alias("text"))
+    found, links = context.sitemap_tables(files)
+    return found.select("url", F.lit("").alias("code"), F.lit("").alias("href")).union(links.select("url", "code", "href"))
+
+
+@query
+def crawl_probe_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The links and images of the derived site that are probed, with what a fixed rule answers."""
+    links, images = context.probe_targets(_site(spark, sf_dir).crawl, "https://site.example/")
+    status = lambda u: (404 if len(u) % 2 else None, "out" in u, "plain" in u)
+    probed = context.probe(links, status)
+    shown = context.probe(images, status, images=True)
+    return probed.select("url", "status", "redirected", "robots_blocked").union(
+        shown.select("url", "status", F.lit(None).cast("boolean"), F.lit(None).cast("boolean"))
+    )
+
+
+@query
+def audit_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of past audits against the one before; events stand for audits, users for sites."""
+    audits = table(spark, sf_dir, "events").select(
+        F.col("user_id").alias("site"), F.struct("ts", "event_id").alias("audit_ts"), (F.col("event_id") * 37 % 101).cast("int").alias("health_score")
+    )
+    return health.trend(audits).select("site", F.col("audit_ts.event_id").alias("event_id"), "health_score", "previous_score", "change")
+
+
 # --- texts ------------------------------------------------------------------------------
 
 
@@ -291,7 +361,7 @@ def keyword_variations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def keyword_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Greedy clusters; no SQL, tested by hand."""
+    """Greedy clusters of the most frequent keywords."""
     return keywords.clusters(_ranked(spark, sf_dir))
 
 
@@ -407,8 +477,8 @@ def rel_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def rel_benchmark_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that have a line in common with a benchmark text."""
-    lines = lambda t, key: table(spark, sf_dir, t).select(key, F.explode(F.split("text", "\n")).alias("line")).where("length(line) >= 20")
+    """Documents that have a line in common with a benchmark text, blank lines aside."""
+    lines = lambda t, key: table(spark, sf_dir, t).select(key, F.explode(F.split("text", "\n")).alias("line")).where("trim(line) <> ''")
     docs, items = lines("documents", "doc_id"), lines("benchmark", "item_id")
     return docs.join(items, "line").select("doc_id", "item_id").distinct()
 

@@ -1,17 +1,22 @@
 """Breadth-first crawl, one distributed fetch per depth.
 
 The network is a parameter: ``fetch(url)`` returns a dict with status, html,
-location, seconds, mime_type and headers, or raises. Executors fetch; the driver
-only steers the depth. Pages that robots.txt blocks get a row that says so instead
-of ending the crawl.
+location, seconds, mime_type and headers, or raises; ``web_fetch`` makes one with a
+time limit. Executors fetch and wait ``delay`` seconds after each request; the driver
+only steers the depth. Pages are taken in the order of a queue: a page's links stand
+behind those of the pages before it, in the order of its markup. Pages that robots.txt
+blocks get a row that says so instead of ending the crawl.
 """
 
 from __future__ import annotations
 
+import http.client
+import time
 from collections.abc import Callable, Iterator
+from urllib.parse import urlsplit
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.robots import allowed, rules_for
@@ -46,23 +51,53 @@ def _row(url: str, fetch: Callable[[str], dict], rules: list) -> dict:
     return out | {"crawl_status": "Success", "html": got.get("html") or ""}
 
 
-def crawl_site(spark: SparkSession, seed: str, fetch: Callable[[str], dict], max_pages: int = 100, robots_txt: str = "") -> DataFrame:
+def web_fetch(timeout: float = 12.0, agent: str = "crawlsight") -> Callable[[str], dict]:
+    """A fetch over HTTP that follows no redirect and gives up after ``timeout`` seconds."""
+
+    def fetch(url: str) -> dict:
+        parts = urlsplit(url)
+        kind = http.client.HTTPSConnection if parts.scheme == "https" else http.client.HTTPConnection
+        link, began = kind(parts.netloc, timeout=timeout), time.time()
+        try:
+            link.request("GET", (parts.path or "/") + (f"?{parts.query}" if parts.query else ""), headers={"User-Agent": agent})
+            answer = link.getresponse()
+            body, headers = answer.read(), dict(answer.getheaders())
+        finally:
+            link.close()
+        charset = answer.headers.get_content_charset() or "utf-8"
+        html = body.decode(charset, "replace")
+        return {"status": answer.status, "html": html, "location": answer.getheader("Location"), "seconds": time.time() - began, "headers": headers}
+
+    return fetch
+
+
+def crawl_site(
+    spark: SparkSession, seed: str, fetch: Callable[[str], dict], max_pages: int = 100, robots_txt: str = "", delay: float = 0.0
+) -> DataFrame:
     """The crawl table from ``seed``: links on the seed's host and redirect targets, breadth first, at most ``max_pages``."""
     rules = rules_for(robots_txt)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            yield pd.DataFrame([_row(u, fetch, rules) for u in frame["url"]])
+            rows = []
+            for url in frame["url"]:
+                rows.append(_row(url, fetch, rules))
+                time.sleep(delay)
+            yield pd.DataFrame(rows)
 
     host = netloc(F.lit(seed))
-    frontier = spark.createDataFrame([(seed,)], "url string").select(normalised(F.col("url")).alias("url"))
+    frontier = spark.createDataFrame([(seed,)], "url string").select(normalised(F.col("url")).alias("url"), F.lit(0).alias("place"))
     found, pages = None, 0
     while pages < max_pages and not frontier.isEmpty():
-        level = checkpointed(spark, crawl_table(frontier.mapInPandas(run, FETCHED)))
+        level = checkpointed(spark, crawl_table(frontier.sort("place").mapInPandas(run, FETCHED)))
         found = level if found is None else found.unionByName(level)
         pages += level.count()
-        links = level.select(F.explode("links").alias("url")).where(netloc(F.col("url")) == host)
-        moved = level.where("redirect_target <> ''").select(normalised(F.col("redirect_target")).alias("url"))
-        new = links.where(F.col("url").rlike("^https?://")).union(moved).distinct().join(found.select("url"), "url", "left_anti")
-        frontier = checkpointed(spark, new.orderBy("url").limit(max(0, max_pages - pages)))
+        placed = level.join(frontier, "url")
+        links = placed.select("place", F.posexplode("links").alias("pos", "url")).where(netloc(F.col("url")) == host)
+        moved = placed.where("redirect_target <> ''").select("place", F.lit(0).alias("pos"), normalised(F.col("redirect_target")).alias("url"))
+        seen = links.unionByName(moved).where(F.col("url").rlike("^https?://")).groupBy("url").agg(F.min(F.struct("place", "pos")).alias("seen"))
+        new = seen.join(found.select("url"), "url", "left_anti").orderBy("seen", "url").limit(max(0, max_pages - pages))
+        # At most max_pages rows, which the limit has gathered already.
+        order = Window.orderBy("seen", "url")
+        frontier = checkpointed(spark, new.select("url", F.row_number().over(order).alias("place")))
     return found

@@ -8,9 +8,11 @@ on i alone, so that every check has pages that pass and pages that fail.
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from ..operators.tables import Site, site
 from ..schemas import SITE
@@ -234,19 +236,41 @@ SELECT concat('https://out.example/', CAST(k AS STRING)) AS url, CASE WHEN k = 0
   k = 2 AS redirected, k = 0 AS robots_blocked FROM (SELECT 0 AS k UNION ALL SELECT 2) p"""
 
 
+#: What numbers the rows in ROWS_SQL, for engines that do so in one place.
+_NUMBERED = "SELECT CAST(row_number() OVER (ORDER BY page_id) - 1 AS INT) AS i, CAST(count(*) OVER () AS INT) AS n FROM pages"
+
+
+def numbered(pages: DataFrame) -> DataFrame:
+    """(i, n): the rows' numbers in order of page_id and how many there are, without gathering them in a task.
+
+    Rows are dealt by range and sorted there; a part's numbers begin behind those of the parts before it.
+    """
+    spark = pages.sparkSession
+    dealt = pages.select("page_id").repartitionByRange("page_id").sortWithinPartitions("page_id")
+    placed = dealt.select(F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("at"))
+    placed = materialised(spark, placed, "numbered")
+    parts = placed.groupBy("part").agg(F.count("*").alias("held"))
+    order = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per part
+    begin = parts.select("part", F.coalesce(F.sum("held").over(order), F.lit(0)).alias("begin"), F.sum("held").over(Window.partitionBy()).alias("n"))
+    return placed.join(F.broadcast(begin), "part").select((F.col("begin") + F.col("at")).cast("int").alias("i"), F.col("n").cast("int").alias("n"))
+
+
 def demo_site(spark: SparkSession, pages: DataFrame) -> Site:
     """The derived site. Its crawl is parsed once and written, so that each check reads only its columns."""
-    pages.select("page_id").createOrReplaceTempView("pages")
-    rows = spark.sql(fetched_sql())
+    view = f"numbered_{uuid.uuid4().hex}"
+    numbered(pages).createOrReplaceTempView(view)
+    sql = lambda text: spark.sql(text.replace(_NUMBERED, f"SELECT i, n FROM {view}"))
+    rows = sql(fetched_sql())
     crawl = materialised(spark, crawl_table(rows).drop("i", "n", "t1", "t2", "t3", "ok"), "demo")
     ssl = (True, datetime(2024, 6, 11), False, False)
     context = (ROBOTS, "https://site.example/robots.txt", "https://site.example/sitemap.xml", False, True, False, ssl)
     context = spark.createDataFrame([(*context, "https://site.example/favicon.ico", 404, False, False)], SITE)
-    hreflang = spark.sql(SITEMAP_HREFLANG_SQL)
+    sitemap, hreflang = sql(SITEMAP_SQL), sql(SITEMAP_HREFLANG_SQL)
+    spark.catalog.dropTempView(view)
     return site(
         crawl,
         context,
-        spark.sql(SITEMAP_SQL),
+        sitemap,
         hreflang,
         spark.sql(LINK_PROBE_SQL),
         spark.createDataFrame([("https://site.example/img/a.webp", 404), ("https://site.example/img/a.PNG", 200)], "url string, status int"),

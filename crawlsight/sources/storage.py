@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -12,8 +13,10 @@ _KEY = "spark.checkpoint.dir"
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The session's checkpoint folder; without one (as in tests) a temporary folder is set."""
+    """The session's checkpoint folder. Only a session in one process (a test) may go without and gets a temporary one."""
     if not spark.conf.get(_KEY, None):
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise ValueError(f"set {_KEY} to a folder that the driver and all executors share")
         spark.conf.set(_KEY, "file://" + tempfile.mkdtemp(prefix="crawlsight-"))
     return spark.conf.get(_KEY).rstrip("/")
 

@@ -1,6 +1,13 @@
 """Sources, sinks and streams."""
 
+import http.server
+import threading
+import time
+import xml.etree.ElementTree as ET
+import zipfile
+
 import pandas as pd
+import pytest
 from conftest import SMALL
 
 from crawlsight.operators.tables import site
@@ -37,6 +44,60 @@ def test_crawl(spark):
     assert summary.overview(got).first().successful == 2
 
 
+def test_crawl_takes_pages_in_queue_order_and_waits(spark):
+    names = {"https://s.example/": ["z", "y", "a"], "https://s.example/z": ["m", "a"], "https://s.example/y": ["b"]}
+
+    def fetch(url):
+        html = "".join(f'<a href="/{n}">x</a>' for n in names.get(url, []))
+        return {"status": 200, "html": html}
+
+    taken = lambda n: {r.url.removeprefix("https://s.example/") for r in crawler.crawl_site(spark, "https://s.example/", fetch, n).collect()}
+    assert taken(3) == {"", "z", "y"} and taken(5) == {"", "z", "y", "a", "m"}
+    began = time.time()
+    assert crawler.crawl_site(spark, "https://s.example/", fetch, 1, delay=1.5).count() == 1 and time.time() - began > 1.5
+
+
+def test_fetch_over_http():
+    class Page(http.server.BaseHTTPRequestHandler):
+        def do_GET(self):
+            if self.path == "/slow":
+                time.sleep(2)
+            self.send_response(302 if self.path == "/moved" else 200)
+            self.send_header("Location", "/there")
+            self.send_header("Content-Type", "text/html; charset=latin-1")
+            self.end_headers()
+            self.wfile.write("<p>é".encode("latin-1"))
+
+        def log_message(self, *_):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Page)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        root, fetch = f"http://127.0.0.1:{server.server_port}", crawler.web_fetch(0.5)
+        assert fetch(f"{root}/moved")["status"] == 302 and fetch(f"{root}/moved")["location"] == "/there"
+        assert fetch(f"{root}/a?b=1")["html"] == "<p>é"
+        with pytest.raises(TimeoutError):
+            fetch(f"{root}/slow")
+    finally:
+        server.shutdown()
+
+
+def test_workbook_file(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(files, "SHEET_ROWS", 4)
+    rows = spark.createDataFrame([(i, f"<a & b>\x01 {i}", [i], None) for i in range(7)], "n int, t string, l array<int>, e string").coalesce(1)
+    path = f"{tmp_path}/report.xlsx"
+    assert files.write_workbook({"All: rows": rows, "None": rows.where("false"), "One": rows.limit(1)}, path) == ["All: rows", "One"]
+    main = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+    with zipfile.ZipFile(path) as book:
+        names = [e.get("name") for e in ET.fromstring(book.read("xl/workbook.xml")).iter(f"{main}sheet")]
+        sheets = [ET.fromstring(book.read(f"xl/worksheets/sheet{i + 1}.xml")) for i in range(len(names))]
+        assert all(ET.fromstring(book.read(n)) is not None for n in book.namelist())
+    assert names == ["All  rows", "All  rows 2", "All  rows 3", "One"]
+    texts = [["".join(c.itertext()) for c in row] for sheet in sheets for row in sheet.iter(f"{main}row")]
+    assert texts[:2] == [["n", "t", "l", "e"], ["0", "<a & b> 0", "[0]", ""]] and len(texts) == 7 + 1 + 4
+
+
 def test_sitemaps(spark):
     good = (
         '<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9" xmlns:x="http://www.w3.org/1999/xhtml">'
