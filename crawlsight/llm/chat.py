@@ -18,7 +18,8 @@ one output string is put together.
 
 Edge cases: null texts and roles are empty; ties of ``turn`` are ordered by role
 and text; null turns come first; repeated rows are turns of their own; an empty
-table gives an empty result; a null conv_id is a conversation like others.
+table gives an empty result; a null conv_id is a conversation like others; very long
+texts are escaped and formatted whole; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -25,7 +25,8 @@ n - ceil(percent * n) + 1 tokens, whatever total order all lines' tokens are in.
 Edge cases: null texts are empty; an empty text has one line without words; a line
 ends with the character 10; rows with the same doc_id are ordered by line number and,
 where that ties, both stay; rows without doc_id come last; an empty table gives an
-empty result; extra columns are ignored.
+empty result; a very long text, of any number of lines, is one chunk and judged as a
+whole; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -44,8 +45,10 @@ from .shingles import shingle_sets, words
 from .workspace import Workspace
 
 SLOTS = 1 << 17
-#: Most pairs whose names are broadcast (16 MB), and most verdicts (32 MB); beyond it rows are shuffled.
-BROADCAST_PAIRS, BROADCAST_VERDICTS = 500_000, 500_000
+#: Bytes that are broadcast at most, and bytes that a class's name or place takes; beyond it rows are shuffled.
+BROADCAST_BYTES, NAME_BYTES = 32 << 20, 64
+#: A class with more than one of so many rows is hot; so there are fewer hot classes than this.
+HOT_SHARE = 1000
 RESULT = "doc_id long, n_lines long, n_removed long, kept_sha256 string, removed_lines array<long>"
 _SHIFT = np.uint64(40)
 
@@ -222,7 +225,7 @@ def _may_match(n: Column, pos: Column, n_b: Column, pos_b: Column, percent: int)
 def _verified(pairs: DataFrame, classes: DataFrame, percent: int, space: Workspace, name: str) -> DataFrame:
     """The classes of written pairs (class, other) with a similar enough other."""
     some = pairs.select("class").union(pairs.select("other")).distinct()
-    if pairs.count() <= BROADCAST_PAIRS:
+    if 2 * NAME_BYTES * pairs.count() <= BROADCAST_BYTES:
         some = F.broadcast(some)
     tokens = space.write(classes.select("class", "tokens").join(some, "class", "left_semi"), f"{name}-tokens")
     other = tokens.select(F.col("class").alias("other"), F.col("tokens").alias("other_tokens"))
@@ -265,15 +268,21 @@ def removed_lines(documents: DataFrame, percent: int = 80) -> DataFrame:
     gone = gone.union(rest).withColumn("echo", F.lit(True))
     verdicts = classes.join(gone, "class", "left").select("class", "place", F.coalesce("echo", F.lit(False)).alias("echo"))
     first = (F.col("place.doc_id") == F.col("doc_id")) & (F.col("place.line") == F.col("line")) & (F.length("lines") == 4)
+    verdicts = space.write(verdicts, "verdicts")
+    # A line of very many chunks has a row in each: such classes meet their rows by a broadcast.
+    rows = found.count()
+    held = found.groupBy("class").agg(F.count("*").alias("held")).where(F.col("held") > max(1, rows // HOT_SHARE))
+    hot = F.broadcast(space.write(held.select("class"), "hot"))
     told = (
-        found.join(verdicts, "class")
+        found.join(F.broadcast(verdicts.join(hot, "class", "left_semi")), "class")
+        .unionByName(found.join(hot, "class", "left_anti").join(verdicts, "class"))
         .where(F.col("echo") | ~first)  # a line that comes first and alone stays
         .select("chunk", "lines", F.col("place.doc_id").alias("doc_id"), F.col("place.line").alias("line"), "echo")
     )
     told = told.groupBy("chunk").agg(F.collect_list(F.struct("lines", "doc_id", "line", "echo")).alias("verdicts"))
     told = space.write(told, "told")
-    size = told.agg(F.sum(F.size("verdicts"))).first()[0] or 0
-    if size <= BROADCAST_VERDICTS:
+    size = told.agg(F.sum(F.aggregate("verdicts", F.lit(0), lambda n, v: n + F.length(v["lines"]) + NAME_BYTES))).first()[0] or 0
+    if size <= BROADCAST_BYTES:
         told = F.broadcast(told)
 
     def cut(chunk: C.Chunk, row) -> Iterator[tuple]:

@@ -21,8 +21,10 @@
 Edge cases: null texts, empty texts and texts of white space have an empty set and
 link with nothing; texts with fewer than five words have one shingle, the whole
 sequence; rows with the same doc_id are one document with several texts and share
-their component; rows without doc_id link with nothing and are kept; an empty table
-gives an empty result; extra columns are ignored.
+their component; rows without doc_id link with nothing and are kept; very long texts
+enter with all their shingles; an empty table gives an empty result; extra columns are
+ignored by ``near_groups`` and returned as they are by ``drop_near_copies``, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -41,6 +43,7 @@ from . import chunks as C
 from .components import components
 from .packed_sets import BUCKET_KEYS, supports
 from .shingles import batches, mixed, text_shingles
+from .words import unused
 from .workspace import Workspace
 
 BITS, BLOCKS, WIDTH, ERRORS = 16, 10, 6, 1
@@ -291,10 +294,11 @@ def _full_sets(documents: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def drop_near_copies(documents: DataFrame, percent: int = 85) -> DataFrame:
     """The rows of ``documents`` that stay: one document of each group."""
+    (name,) = unused(documents.columns, "gone")
     groups = near_groups(documents.select("doc_id", "text"), percent)
     gone = Workspace(documents.sparkSession, "minhash-drop").write(
-        groups.where("NOT kept").select(F.col("doc_id").alias("gone")).distinct(), "gone"
+        groups.where("NOT kept").select(F.col("doc_id").alias(name)).distinct(), "gone"
     )
     if gone.count() <= BROADCAST_IDS:
         gone = F.broadcast(gone)
-    return documents.join(gone, documents["doc_id"] == gone["gone"], "left_anti").select(*documents.columns)
+    return documents.join(gone, F.col("doc_id") == F.col(name), "left_anti").select(*[f"`{c}`" for c in documents.columns])

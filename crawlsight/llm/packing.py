@@ -17,12 +17,15 @@
    documents where need be. What is left at a partition's end becomes sequences
    of powers of two, so nothing is padded.
 
-The number of sources is the one thing held by the driver, one row each.
-
-Edge cases: null and empty texts consist of the terminator; a null source is a
-source of its own; repeated rows are packed as documents of their own; an empty
-table gives an empty result; a weight of 0 or less is refused; extra columns are
-ignored.
+The number of sources is the one thing held by the driver, one row each. Ids are those
+of the vocabulary's tokenizer; they come from its ranks, in 16 bits where they fit and
+in 32 where they don't.
+
+Edge cases: null and empty texts consist of the terminator; a very long text is one
+row of its source's queue and is cut into sequences like others; a null source is a
+source of its own; repeated rows and rows without doc_id are packed as documents of
+their own; an empty table gives an empty result; a weight of 0 or less is refused;
+extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -50,6 +53,8 @@ SLICE = "part long, queue long, at long, body binary"
 PIECE = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string"
 )
+#: Bytes of queue places that are broadcast at most; beyond it the rows are shuffled.
+BROADCAST_BYTES = 16 << 20
 #: Sequences of one partition are numbered below this.
 PER_PART = 1 << 24
 END = "<|endoftext|>"
@@ -99,7 +104,12 @@ def _long_ids(text: str, own: tiktoken.Encoding) -> list[int]:
     return out
 
 
-def tokenised(documents: DataFrame, path: str, end_id: int) -> DataFrame:
+def id_kind(path: str, end_id: int) -> str:
+    """The numbers that hold every id of a vocabulary."""
+    return "u2" if max(encoder(path).n_vocab, end_id + 1) <= 1 << 16 else "u4"
+
+
+def tokenised(documents: DataFrame, path: str, end_id: int, kind: str) -> DataFrame:
     """Rows of (chunk, source, tokens, body): the ids of a source's documents in a chunk."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,7 +120,7 @@ def tokenised(documents: DataFrame, path: str, end_id: int) -> DataFrame:
             rows = []
             for source, (ids, ends, tokens) in queues.items():
                 sizes = np.diff(np.array([0, *ends], np.int64))
-                body = pack(np.array(ids, np.int64), sizes, np.array(tokens, np.uint16))
+                body = pack(np.array(ids, np.int64), sizes, np.array(tokens, np.dtype(kind)))
                 rows.append(((part << 32) + made, source, len(tokens), body))
             kinds = [pa.int64(), pa.string(), pa.int64(), pa.binary()]
             columns = [pa.array(c, k) for c, k in zip(zip(*rows), kinds)]
@@ -215,11 +225,11 @@ def sequence_cuts(total: int, length: int) -> np.ndarray:
     return np.array(ends, np.int64)
 
 
-def _packed(part: int, rows: list, schedule: Schedule, names: list, length: int, window: int, with_ids: bool) -> pd.DataFrame:
+def _packed(part: int, rows: list, schedule: Schedule, names: list, length: int, window: int, with_ids: bool, kind: str) -> pd.DataFrame:
     queues = sorted({int(r[0]) for r in rows})
     ids, first, held, sizes, tokens, base = {}, {}, {}, {}, {}, {}
     for queue in queues:
-        own = [unpack(body, "i8", "i8", "i8", "i8", "u2") for q, at, body in sorted(rows, key=lambda r: (r[0], r[1])) if q == queue]
+        own = [unpack(body, "i8", "i8", "i8", "i8", kind) for q, at, body in sorted(rows, key=lambda r: (r[0], r[1])) if q == queue]
         ids[queue], first[queue], sizes[queue], held[queue] = (np.concatenate([o[i] for o in own]) for i in range(4))
         tokens[queue] = np.concatenate([o[4] for o in own])
         base[queue] = np.concatenate(([0], np.cumsum(held[queue])))
@@ -266,6 +276,25 @@ def _packed(part: int, rows: list, schedule: Schedule, names: list, length: int,
     return frame.assign(doc_id=frame["doc_id"].astype("Int64").mask(frame["doc_id"] == NO_ID))
 
 
+def _places(rows: DataFrame) -> DataFrame:
+    """(chunk, source, at): the tokens of a source's queue before each of its rows.
+
+    Rows are added up within the task that made them, and tasks, one row each, within
+    a source: a source with a third of all rows is no hot window.
+    """
+    task = F.shiftright("chunk", 32)
+    before = lambda *key: Window.partitionBy(*key).rowsBetween(Window.unboundedPreceding, -1)
+    inner = rows.select(
+        "chunk", "source", task.alias("task"), F.coalesce(F.sum("tokens").over(before("source", task).orderBy("chunk")), F.lit(0)).alias("inner")
+    )
+    tasks = rows.groupBy("source", task.alias("of_task")).agg(F.sum("tokens").alias("held"))
+    tasks = tasks.select(
+        F.col("source").alias("of"), "of_task", F.coalesce(F.sum("held").over(before("source").orderBy("of_task")), F.lit(0)).alias("outer")
+    )
+    found = inner.join(tasks, (F.col("task") == F.col("of_task")) & F.col("source").eqNullSafe(F.col("of")))
+    return found.select("chunk", "source", (F.col("inner") + F.col("outer")).alias("at"))
+
+
 def pack_sequences(
     documents: DataFrame,
     length: int = 1024,
@@ -283,7 +312,8 @@ def pack_sequences(
     """
     path = ranks_path or public_tokenizers.path("byte_bpe_50k.tiktoken")
     space = Workspace(documents.sparkSession, "packing")
-    rows = space.write(tokenised(documents, path, end_id), "tokens", "none")
+    kind = id_kind(path, end_id)
+    rows = space.write(tokenised(documents, path, end_id, kind), "tokens", "none")
     held = {r["source"]: r["n"] for r in rows.groupBy("source").agg(F.sum("tokens").alias("n")).collect()}
     names = sorted(held, key=lambda s: (s is None, s or ""))
     if weights is not None and min(weights.values(), default=1) <= 0:
@@ -292,11 +322,10 @@ def pack_sequences(
         [held[s] for s in names], None if weights is None else [float(weights.get(s, 1)) for s in names], group_tokens
     )
     number = {s: i for i, s in enumerate(names)}
-    before = Window.partitionBy("source").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    place = rows.select("chunk", "source", F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("at"))
-    place = space.write(place, "places")
+    place = space.write(_places(rows), "places")
     same = (rows["chunk"] == place["chunk"]) & rows["source"].eqNullSafe(place["source"])
-    if place.count() <= 1_000_000:  # 24 bytes and a name each
+    taken = place.agg(F.sum(F.coalesce(F.octet_length("source"), F.lit(0)) + 64)).first()[0] or 0
+    if taken <= BROADCAST_BYTES:
         place = F.broadcast(place)
     queued = rows.join(place, same).select(rows["source"], place["at"], rows["body"])
 
@@ -304,7 +333,7 @@ def pack_sequences(
         for frame in frames:
             for source, at, body in zip(frame["source"], frame["at"], frame["body"]):
                 queue = number[None if pd.isna(source) else source]
-                ids, sizes, tokens = unpack(body, "i8", "i8", "u2")
+                ids, sizes, tokens = unpack(body, "i8", "i8", kind)
                 base = np.concatenate(([0], np.cumsum(sizes)))
                 begin, out = 0, []
                 while begin < len(tokens):
@@ -320,7 +349,7 @@ def pack_sequences(
 
     def packed(group: pd.DataFrame) -> pd.DataFrame:
         slices = list(zip(group["queue"], group["at"], group["body"]))
-        return _packed(int(group["part"].iloc[0]), slices, schedule, names, length, length * window_sequences, with_ids)
+        return _packed(int(group["part"].iloc[0]), slices, schedule, names, length, length * window_sequences, with_ids, kind)
 
     schema = PIECE + ", ids binary" * with_ids
     return queued.mapInPandas(split, SLICE).groupBy("part").applyInPandas(packed, schema)

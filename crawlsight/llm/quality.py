@@ -14,13 +14,17 @@ class scores is linear in the mean vector, so one float per bucket is enough.
 That table (1 MB) is what the executors get.
 
 Training takes at most ``max_train_docs`` labelled rows (those with the smallest
-hash of doc_id, whatever the table's size) with their whole texts; scoring covers
-all rows and whole texts. Labels, lang, source and doc_id are never inputs.
-
-Edge cases: null texts are empty; empty texts score by the bias alone; several
-labels of one doc_id count as their largest; null labels are ignored; with no
-labelled rows every score is 0.5, and with one class only the bias moves; an
-empty table gives an empty result; extra columns are ignored.
+hash of doc_id, whatever the table's size) with their whole texts, and of these as many
+as hold ``max_train_bytes``; a text of more than a hundredth of that is not learnt
+from. Scoring covers all rows and whole texts. Labels, lang, source and doc_id are
+never inputs.
+
+Edge cases: null texts are empty; empty texts score by the bias alone; very long texts
+are scored as a whole; several labels of one doc_id count as their largest; null labels
+are ignored; with no labelled rows every score is 0.5, and with one class only the bias
+moves; an empty table gives an empty result; repeated rows and rows without doc_id are
+scored like others; extra columns are returned as they are, but for one named ``score``,
+which ``score`` replaces.
 """
 
 from __future__ import annotations
@@ -30,7 +34,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
@@ -193,8 +197,8 @@ def score_texts(texts: list[bytes], table: np.ndarray, bias: float) -> np.ndarra
     return 1 / (1 + np.exp(-np.clip(out, -50, 50)))
 
 
-def train(documents: DataFrame, labels: DataFrame, max_train_docs: int = 5000) -> tuple[np.ndarray, float]:
-    """Fit on at most ``max_train_docs`` rows of ``labels`` (doc_id, quality), with whole texts."""
+def train(documents: DataFrame, labels: DataFrame, max_train_docs: int = 5000, max_train_bytes: int = 256 << 20) -> tuple[np.ndarray, float]:
+    """Fit on at most ``max_train_docs`` rows of ``labels`` (doc_id, quality), with whole texts of ``max_train_bytes`` in all."""
     chosen = (
         labels.where("doc_id IS NOT NULL AND quality IS NOT NULL")
         .groupBy("doc_id")
@@ -202,13 +206,17 @@ def train(documents: DataFrame, labels: DataFrame, max_train_docs: int = 5000) -
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(max_train_docs)
     )
+    place = (F.xxhash64("doc_id"), "doc_id", "text")
     rows = (
         documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
         .join(F.broadcast(chosen), "doc_id")
-        .orderBy(F.xxhash64("doc_id"), "doc_id", "text")
+        .where(F.octet_length("text") <= max_train_bytes // 100)
+        .orderBy(*place)
         .limit(max_train_docs)
-        .toArrow()
     )
+    # A window over max_train_docs rows, which the limit has gathered already.
+    held = F.sum(F.octet_length("text")).over(Window.orderBy(*place).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    rows = rows.withColumn("held", held).where(F.col("held") <= max_train_bytes).drop("held").toArrow()
     if not rows.num_rows:
         return np.zeros(BUCKETS, np.float32), 0.0
     texts = [t.encode() for t in rows["text"].to_pylist()]

@@ -10,7 +10,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 from conftest import MEDIUM, SMALL
-from helpers import WORD, frame, lowered
+from helpers import WORD, frame, lowered, slow_mix, slow_score, water_filled
 from tokenizers import Tokenizer
 
 from crawlsight.llm import chat, chunks, lm_scoring, mixing, packing, quality, topk
@@ -51,6 +51,34 @@ def test_scores_do_not_depend_on_batches():
     assert quality.score_texts(texts, table, 0.1) == pytest.approx(alone)
 
 
+def test_scores_against_a_slow_scorer(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    table, bias = quality.train(docs, spark.read.parquet(f"{SMALL}/labels.parquet"))
+    texts = [(r.text or "").encode() for r in docs.collect()]
+    texts += [b"", b" ", b"a", b"ab", b"x x x x y x", "Ünd &&& ÄÖ 12".encode(), b"SHOUT!! SHOUT!!\n\x0bx\0", b"\t word", b"word " * 3000]
+    want = [slow_score(t, table, bias) for t in texts]
+    assert max(want) - min(want) > 0.5
+    assert quality.score_texts(texts, table, bias) == pytest.approx(want, abs=1e-5)
+
+
+def test_training_sample_is_bounded(spark):
+    rows = [(i, "good words here " * 50 if i % 2 else "BAD!! " * 100) for i in range(40)] + [(100, "long " * 100_000)]
+    docs = spark.createDataFrame([(*r, "x", 0.1) for r in rows], "doc_id long, text string, score string, _score double")
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, quality int")
+    bag, seen = quality.Model.held, []
+    quality.Model.held = lambda self, t: seen.append(len(t)) or bag(self, t)
+    try:
+        for most, size in ((40, 1 << 20), (7, 1 << 20), (40, 80_000)):
+            seen.clear()
+            model = quality.train(docs, labels, most, size)
+            assert 0 < len(seen) <= most and sum(seen) <= size and max(seen) <= size // 100
+    finally:
+        quality.Model.held = bag
+    scored = quality.score(docs, model)
+    assert scored.columns == ["doc_id", "_score", "score"] and dict(scored.dtypes)["score"] == "double" and scored.count() == 41
+    assert quality.keep_good(docs, labels, 0.0).collect() == docs.collect()
+
+
 def test_training_rows_are_held_packed(spark):
     assert inspect.signature(quality.train).parameters["max_train_docs"].default == 5000
     texts = [r.text.encode() for r in spark.read.parquet(f"{SMALL}/documents.parquet").where("length(text) > 500").limit(50).collect()]
@@ -143,6 +171,41 @@ def test_packing_of_awkward_rows(spark, weights):
         packing.pack_sequences(docs, weights={"a": 0.0})
 
 
+def test_ids_of_every_document(spark):
+    """The ranks give the tokenizer's ids on all documents, and on hard Unicode."""
+    tokenizer, ranks = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), public_tokenizers.path("byte_bpe_50k.tiktoken")
+    texts = [r.text or "" for r in spark.read.parquet(f"{MEDIUM}/documents.parquet").collect()]
+    rng = np.random.default_rng(7)
+    points = [*range(0x20, 0x250), *range(0x300, 0x370), *range(0x590, 0x700), *range(0x900, 0xA00), *range(0x2000, 0x2070), *range(0x3040, 0x30A0)]
+    points += [*range(0x4E00, 0x4E50), *range(0xAC00, 0xAC40), *range(0xFE00, 0xFE10), 0xFEFF, 0xFFFD, 0xFFFF, *range(0x1F3F0, 0x1F640), 0xE0041, 0x10FFFF, 9, 10, 13]
+    texts += ["".join(chr(points[i]) for i in rng.integers(len(points), size=rng.integers(1, 60))) for _ in range(4000)]
+    texts += ["e\u0301" * 50, "👩‍👩‍👧‍👦" * 20, "ﷺ", "'S 'LL 'll ’s", "١٢٣ ½ Ⅷ 10²", "\u200d\u200b x", "it'S\u00a0ok\u3000\n\n\n x"]
+    for text in texts:
+        assert packing.token_ids(text, ranks) == tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_places_of_queues(spark, monkeypatch):
+    rows = [((t << 32) + c, s, 10 * t + c + 1) for t in range(5) for c in range(4) for s in ("a", None, "b") if (t + c) % 3 or s == "a"]
+    found = packing._places(spark.createDataFrame(rows, "chunk long, source string, tokens long").repartition(4)).collect()
+    for source in ("a", "b", None):
+        at = 0
+        for chunk, s, tokens in sorted(rows, key=lambda r: r[0]):
+            if s == source:
+                assert next(r["at"] for r in found if r.chunk == chunk and r.source == s) == at
+                at += tokens
+    assert len(found) == len(rows)
+
+
+def test_packing_with_wide_ids_and_long_texts(spark, monkeypatch):
+    rows = [(1, "many words in one text of some length " * 60_000, "a"), (2, "short", None), (2, "short", None), (None, "no id", "a")]
+    docs = spark.createDataFrame([(*r, 1, 2, "x") for r in rows], "doc_id long, text string, source string, `at` int, chunk int, body string")
+    narrow = packing.pack_sequences(docs).drop("source")
+    monkeypatch.setattr(packing, "id_kind", lambda *_: "u4")
+    assert sorted(map(str, narrow.collect())) == sorted(map(str, packing.pack_sequences(docs).drop("source").collect()))
+    short = narrow.where("doc_id = 2").collect()
+    assert sum(r.length for r in short) == 2 * short[0].doc_tokens and narrow.where("doc_id IS NULL").count() >= 1
+
+
 def test_packing_of_very_long_runs(spark):
     rows = [(1, "\n" * 3_000_000 + "x", "a"), (2, "a" + " " * 2_500_000, "a"), (3, "b" + " \n" * 700_000 + "<|endoftext|> c", "b")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
@@ -184,22 +247,6 @@ def test_schedule_carries_deficits():
 # --- mixing ------------------------------------------------------------------------------
 
 
-def water_filled(sizes, weights=(5, 2, 1), budget=1.5):
-    names = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
-    weight = {s: weights[i % 3] for i, s in enumerate(names)}
-    total, target, free = budget * sum(sizes.values()), {}, set(names)
-    while free:
-        rest = total - sum(target.values())
-        share = {s: rest * weight[s] / sum(weight[x] for x in free) for s in free}
-        over = [s for s in free if share[s] > 2 * sizes[s]]
-        if not over:
-            return target | share
-        for s in over:
-            target[s] = 2.0 * sizes[s]
-            free.discard(s)
-    return target
-
-
 def test_mixing_targets(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     rows = mixing.mix(docs).collect()
@@ -257,38 +304,6 @@ def test_mixed_documents_of_repeated_rows(spark):
     assert mixing.mixed_documents(docs.where("false")).count() == 0
 
 
-def slow_mix(rows, weights=(5, 2, 1), budget=1.5, cap=2, block=8, shard_tokens=65_536, seed=0):
-    """The mix by ranking all quotients and walking the streams word by word; rows of (doc_id, text, source)."""
-    seeded = lambda *parts: int(hashlib.md5("/".join(map(str, (seed, *parts))).encode()).hexdigest()[:15], 16)
-
-    def seats(votes, count, most, ties):
-        heads = [(-v / (2 * k + 1), ties[i], k, i) for i, v in votes.items() if v for k in range(min(most[i], count))]
-        return collections.Counter(h[3] for h in sorted(heads)[:count])
-
-    sizes = {i: len(WORD.findall(t or "")) for i, (_, t, _) in enumerate(rows)}
-    held = collections.Counter()
-    for i, (_, _, s) in enumerate(rows):
-        held[s] += sizes[i]
-    target = water_filled(held, weights, budget)
-    tie = {s: seeded("source", "" if s is None else "=" + s) for s in held}
-    quota = seats(target, round(sum(target.values()) / block), {s: cap * held[s] // block for s in held}, tie)
-    taken = {}
-    for s in held:
-        shards, streams = max(1, -(-held[s] // shard_tokens)), collections.defaultdict(list)
-        for i, (d, _, source) in enumerate(rows):
-            if source == s:
-                place = seeded("place", "" if d is None else d)
-                streams[place % shards].append((place >> 16, d is not None, d or 0, sizes[i], i))
-        volume = {n: sum(x[3] for x in stream) for n, stream in streams.items()}
-        own = {n: seeded("shard", tie[s], n) for n in streams}
-        blocks = seats(volume, quota[s], {n: cap * volume[n] // block for n in streams}, own)
-        for n, stream in streams.items():
-            flat = [x[4] for x in sorted(stream) for _ in range(x[3])]
-            start = seeded("start", own[n]) % max(1, -(-len(flat) // block)) * block
-            taken[s, n] = collections.Counter(flat[(start + k) % len(flat)] for k in range(blocks[n] * block)) if flat else {}
-    return [(rows[i][0], sizes[i], sum(t[i] for t in taken.values() if i in t)) for i in sizes]
-
-
 def test_mixing_against_a_slow_model(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text", "source").collect()
     rows = [tuple(r) for r in docs] + [(None, "w " * 37, None), (5000, None, None), (5001, "é " * 90_000, "long")]
