@@ -1,7 +1,16 @@
 """A training corpus from raw documents: quality, exact copies, near copies, mix, packing.
 
 Each stage takes (spark, documents, sf_dir) and works on all that its predecessor
-kept. All but the last return the columns of documents.
+kept. All but the last return the columns of documents, whatever their names and values.
+
+Null texts are empty, to every stage. An empty text scores by the classifier's bias, is a
+copy of other empty texts, has no near copies, takes no words in the mix (which leaves it
+out), and packs as the terminator alone. Repeated rows and rows that share a doc_id are
+rows of their own but for the copies that dedup drops; of rows with equal doc_id and text
+one stays. Rows without doc_id may stay, and go to near dedup as rows that link with
+nothing. Ties are settled by doc_id, then by a hash of all columns, so results don't depend
+on the partitioning (but for the order of packed sequences). A very long text is one row to
+every stage and is cut by packing only. An empty table gives an empty result.
 """
 
 from __future__ import annotations
