@@ -11,7 +11,8 @@ gives the score. Hash features need no vocabulary, so the model has a fixed size
 
 Scoring folds the softmax weights into the vectors: the difference of the two
 class scores is linear in the mean vector, so one float per bucket is enough.
-That table (1 MB) is what the executors get.
+That table (1 MB) is what the executors get. One task trains on the bounded sample, so
+the driver holds neither texts nor features.
 
 Training takes at most ``max_train_docs`` labelled rows (those with the smallest
 hash of doc_id, whatever the table's size) with their whole texts, and of these as many
@@ -216,12 +217,22 @@ def train(documents: DataFrame, labels: DataFrame, max_train_docs: int = 5000, m
     )
     # A window over max_train_docs rows, which the limit has gathered already.
     held = F.sum(F.octet_length("text")).over(Window.orderBy(*place).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    rows = rows.withColumn("held", held).where(F.col("held") <= max_train_bytes).drop("held").toArrow()
-    if not rows.num_rows:
+    rows = rows.withColumn("held", held).where(F.col("held") <= max_train_bytes).select("text", "quality")
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, known = [], []
+        for batch in batches:
+            texts += [t.encode() for t in batch.column("text").to_pylist()]
+            known += [int(q == 1) for q in batch.column("quality").to_pylist()]
+        if texts:
+            table, bias = Model().fit(texts, np.array(known)).table()
+            yield pa.RecordBatch.from_pydict({"weights": [pack(table)], "bias": [bias]})
+
+    # The window has left one partition, so one task has the whole sample; the driver gets the weights.
+    found = rows.mapInArrow(fit, "weights binary, bias double").first()
+    if found is None:
         return np.zeros(BUCKETS, np.float32), 0.0
-    texts = [t.encode() for t in rows["text"].to_pylist()]
-    known = np.array([int(q == 1) for q in rows["quality"].to_pylist()])
-    return Model().fit(texts, known).table()
+    return unpack(bytes(found["weights"]), "f4")[0], found["bias"]
 
 
 def score(documents: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:

@@ -29,6 +29,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 #: Bytes with A-Z lowered, and which bytes divide words.
 LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
+CODES = LOWER.astype(np.uint64) + np.uint64(1)
 SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
 
@@ -50,11 +51,31 @@ def hash_powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     return kept
 
 
+#: Bytes that are looked at together: their arrays stay in a core's cache.
+_BLOCK = 1 << 16
+
+
 def words(data: np.ndarray, starts: np.ndarray, extra: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(hash, begin) of each word of texts that lie end to end; no word crosses a start.
 
-    ``extra`` marks bytes that divide words beside white space.
+    ``extra`` marks bytes that divide words beside white space. The texts are taken in
+    blocks that end at white space, or go on until there is some.
     """
+    cuts = [0]
+    for at in range(_BLOCK, len(data), _BLOCK):
+        if at > cuts[-1]:
+            found = np.flatnonzero(SPACE[data[at : at + _BLOCK]])
+            if len(found):
+                cuts.append(at + int(found[0]))
+    inner = np.searchsorted(starts, [*cuts, len(data)])
+    out = [
+        _words(data[a:b], starts[low:high] - a, None if extra is None else extra[a:b])
+        for a, b, low, high in zip(cuts, [*cuts[1:], len(data)], inner[:-1], inner[1:])
+    ]
+    return np.concatenate([v for v, _ in out]), np.concatenate([begin + a for a, (_, begin) in zip(cuts, out)])
+
+
+def _words(data: np.ndarray, starts: np.ndarray, extra: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
     size = len(data)
     if not size:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
@@ -68,8 +89,8 @@ def words(data: np.ndarray, starts: np.ndarray, extra: np.ndarray | None = None)
     shuts[inner - 1] = solid[inner - 1]
     begin, end = np.flatnonzero(opens), np.flatnonzero(shuts) + 1
     powers, inverse = hash_powers(size)
-    codes = (LOWER[data].astype(np.uint64) + np.uint64(1)) * powers[:size]
-    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(codes, dtype=np.uint64)))
+    total = np.zeros(size + 1, np.uint64)
+    np.cumsum(CODES[data] * powers[:size], out=total[1:])
     value = (total[end] - total[begin]) * inverse[begin]
     return mixed(value ^ ((end - begin).astype(np.uint64) * _MIX)), begin
 

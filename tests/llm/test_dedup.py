@@ -197,6 +197,19 @@ def test_longer_prefixes_lose_nothing():
         assert ((shared > more[n - 1]) | (common > np.minimum(n, m))).all(), percent
 
 
+def test_words_do_not_depend_on_blocks(monkeypatch):
+    rng = np.random.default_rng(2)
+    data = rng.choice(np.frombuffer(b"abcABC\xc3 \n\t", np.uint8), 5000)
+    data[1000:1400] = 97
+    starts = np.unique(np.concatenate(([0, 5000], rng.integers(0, 5000, 300))))
+    whole = shingles.words(data, starts, data == 65)
+    for block in (1, 7, 64, 1000):
+        monkeypatch.setattr(shingles, "_BLOCK", block)
+        got = shingles.words(data, starts, data == 65)
+        assert (got[0] == whole[0]).all() and (got[1] == whole[1]).all()
+    assert len(shingles.words(data[:0], starts[:1])[0]) == 0
+
+
 def test_sets_of_very_many_texts():
     counts = np.ones((1 << 20) + 4, np.int64)
     word = np.random.default_rng(9).integers(1 << 63, size=len(counts)).astype(np.uint64)

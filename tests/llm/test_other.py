@@ -61,19 +61,24 @@ def test_scores_against_a_slow_scorer(spark):
     assert quality.score_texts(texts, table, bias) == pytest.approx(want, abs=1e-5)
 
 
-def test_training_sample_is_bounded(spark):
+def test_training_sample_is_bounded(spark, tmp_path, monkeypatch):
     rows = [(i, "good words here " * 50 if i % 2 else "BAD!! " * 100) for i in range(40)] + [(100, "long " * 100_000)]
     docs = spark.createDataFrame([(*r, "x", 0.1) for r in rows], "doc_id long, text string, score string, _score double")
     labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, quality int")
-    bag, seen = quality.Model.held, []
-    quality.Model.held = lambda self, t: seen.append(len(t)) or bag(self, t)
-    try:
-        for most, size in ((40, 1 << 20), (7, 1 << 20), (40, 80_000)):
-            seen.clear()
-            model = quality.train(docs, labels, most, size)
-            assert 0 < len(seen) <= most and sum(seen) <= size and max(seen) <= size // 100
-    finally:
-        quality.Model.held = bag
+    real, folder = quality.Model.fit, f"{tmp_path}/seen"
+
+    def spied(self, texts, known):
+        with open(folder, "w") as out:
+            out.write(" ".join(str(len(t)) for t in texts))
+        return real(self, texts, known)
+
+    monkeypatch.setattr(quality.Model, "fit", spied)
+    monkeypatch.setattr(quality, "Model", type("Model", (quality.Model,), {"fit": spied, "__module__": "__main__"}))
+    for most, size in ((40, 1 << 20), (7, 1 << 20), (40, 80_000)):
+        model = quality.train(docs, labels, most, size)
+        seen = [int(n) for n in open(folder).read().split()]
+        assert 0 < len(seen) <= most and sum(seen) <= size and max(seen) <= size // 100
+    assert quality.train(docs.where("false"), labels)[1] == quality.train(docs, labels.where("false"))[1] == 0.0
     scored = quality.score(docs, model)
     assert scored.columns == ["doc_id", "_score", "score"] and dict(scored.dtypes)["score"] == "double" and scored.count() == 41
     assert quality.keep_good(docs, labels, 0.0).collect() == docs.collect()
