@@ -15,8 +15,10 @@
    components. In the second, only members of a bucket that lie in different
    components are compared: a link within a component changes nothing. Sets whose
    own shingles rule out any link are left out of it, and pairs by what they can
-   share at most. So a group of n near copies takes about n comparisons, and no link
-   between components is lost.
+   share at most: what both share with their bucket's smallest member, as far as one of
+   them shares it, and what they have in common beyond that member. So a group of n
+   near copies takes about n comparisons, also where they are linked with nothing but
+   their origin's likeness, and no link between components is lost.
 
 Edge cases: null texts, empty texts and texts of white space have an empty set and
 link with nothing; texts with fewer than five words have one shingle, the whole
@@ -231,15 +233,19 @@ def near_groups(documents: DataFrame, percent: int = 85) -> DataFrame:
     # A set has at most as many keys as the index gives it.
     able = open_.groupBy("digest", "first", "n", "component").agg(F.collect_set("key").alias("keys")).join(able, "digest")
     able = space.write(able, "able")
-    one = able.withColumn("key", F.explode("keys"))
-    other = one.select("key", *[F.col(c).alias(f"{c}_b") for c in able.columns])
+    one = able.withColumn("key", F.explode("keys")).join(pivots.select("key", F.col("p.digest").alias("pivot")), "key")
+    one = space.write(one.join(_beyond(one, sets), ["digest", "pivot"], "left"), "one")
+    other = one.select("key", *[F.col(c).alias(f"{c}_b") for c in (*able.columns, "inner", "beyond")])
     most = F.least("support", "support_b")
+    common = F.least("inner", "inner_b") + F.size(F.array_intersect("beyond", "beyond_b"))
+    enough = F.isnull("beyond") | F.isnull("beyond_b") | (100 * common >= percent * (F.col("n") + F.col("n_b") - common))
     crossing = (
         one.join(other, "key")
         .where((F.col("digest") < F.col("digest_b")) & (F.col("component") != F.col("component_b")))
         .where(_similar(F.col("n"), F.col("n_b"), percent))
         .where(100 * most >= percent * (F.col("n") + F.col("n_b") - most))
         .where(F.array_min(F.array_intersect("keys", "keys_b")) == F.col("key"))  # a pair comes from one bucket only
+        .where(enough)
         .select(F.col("digest").alias("a"), F.col("first").alias("doc_a"), F.col("digest_b").alias("b"), F.col("first_b").alias("doc_b"))
     )
     found = space.write(_confirmed(crossing, sets, percent), "found")
@@ -258,6 +264,20 @@ def near_groups(documents: DataFrame, percent: int = 85) -> DataFrame:
     )
 
 
+def _beyond(one: DataFrame, sets: DataFrame) -> DataFrame:
+    """(digest, pivot, inner, beyond): what a set shares with its bucket's pivot, in number, and what it has beyond it.
+
+    ``beyond`` is null for sets that have more beyond the pivot than in it: for those
+    the pivot says little, and the rows stay small.
+    """
+    left = sets.select("digest", F.col("shingles").alias("own"))
+    right = sets.select(F.col("digest").alias("pivot"), F.col("shingles").alias("theirs"))
+    found = one.select("digest", "pivot").distinct().join(left, "digest").join(right, "pivot")
+    beyond = F.array_except("own", "theirs")
+    inner = F.size("own") - F.size(beyond)
+    return found.select("digest", "pivot", inner.alias("inner"), F.when(F.size(beyond) <= inner, beyond).alias("beyond"))
+
+
 def _copies(members: DataFrame) -> DataFrame:
     """Links between the classes that share a doc_id."""
     several = members.where("doc_id IS NOT NULL AND n_shingles > 0").groupBy("doc_id").agg(

@@ -145,6 +145,19 @@ def test_near_groups_of_a_crowd(spark):
     assert left.columns == frame(spark, rows).columns
 
 
+def test_near_groups_of_a_crowd_without_its_origin(spark):
+    """Copies too far from the origin to be linked with it, some of which are linked with each other."""
+    rng = random.Random(11)
+    base = words(rng, 200)
+    rows = [(0, base)] + [(1 + i, edited(rng, base, 9)) for i in range(150)]
+    rows += [(500 + i, edited(rng, rows[1 + i][1], rng.randint(1, 5))) for i in range(60)]
+    for percent in (80, 85):
+        got = minhash_dedup.near_groups(frame(spark, rows, extra=False), percent)
+        want = similar_groups(rows, percent)
+        assert by_id(got, "n_shingles", "component_id", "kept") == want
+        assert 20 < len({v[1] for v in want.values()}) < 200
+
+
 def test_index_guarantee():
     """Signatures that differ in as many values as the index allows share a key, wherever they differ."""
     import numpy as np
