@@ -142,7 +142,7 @@ def chunked(documents: DataFrame, space: Workspace, ask: Callable | None = None)
                 chunk = Chunk.of((part << 32) + made, ids[at:until], np.diff(ends[at : until + 1]), text)
                 asked = list(ask(chunk)) if ask else []
                 note = next((q for b, _, q in asked if b == NOTE), None)
-                body = zstandard.ZstdCompressor(level=3).compress(text)
+                body = zstandard.ZstdCompressor(level=2).compress(text)
                 sizes = np.diff(chunk.starts).tobytes()
                 rows = [(chunk.number, chunk.ids.tobytes(), sizes, body, None, note)]
                 rows += [(chunk.number, None, None, None, b, q) for b, _, q in asked if b != NOTE]
@@ -331,29 +331,39 @@ KEY_BITS = 30
 
 def repeat_questions(chunk: int, keys: np.ndarray, places: np.ndarray, buckets: int, bits: int = KEY_BITS):
     """One question per bucket: is a key in more than one place?"""
-    unique, bucket, _, many = repeat_keys(keys, places, buckets, bits)
+    unique, bucket, _, _, many = ranked_keys(keys, places, buckets, bits)
+    return key_questions(chunk, unique, bucket, many)
+
+
+def key_questions(chunk: int, unique: np.ndarray, bucket: np.ndarray, many: np.ndarray):
+    """As ``repeat_questions``, for keys that are ranked already."""
     for b, at in by_bucket(unique, bucket):
-        bits = np.packbits(many[at])
-        keys_ = pack_sorted(unique[at] & np.uint64(0xFFFFFFFF))
-        yield b, chunk, len(keys_).to_bytes(8, "little") + keys_ + zstandard.ZstdCompressor(level=1).compress(bits.tobytes())
+        keys = pack_sorted(unique[at] & np.uint64(0xFFFFFFFF))
+        yield b, chunk, len(keys).to_bytes(8, "little") + keys + zstandard.ZstdCompressor(level=1).compress(np.packbits(many[at]).tobytes())
 
 
-def repeat_keys(keys: np.ndarray, places: np.ndarray, buckets: int, bits: int = KEY_BITS):
-    """Unique keys cut to (bucket, some bits), their buckets, each key's index, and whether a chunk has it in two places."""
-    bucket = bucket_of(keys, buckets)
-    short = (bucket.astype(np.uint64) << np.uint64(32)) | (keys & np.uint64((1 << bits) - 1))
+def ranked_keys(keys: np.ndarray, places: np.ndarray, buckets: int, bits: int = KEY_BITS):
+    """Unique keys cut to (bucket, some bits), their buckets, the order of all keys, how many each is, and whether a chunk has it in two places."""
+    short = (bucket_of(keys, buckets).astype(np.uint64) << np.uint64(32)) | (keys & np.uint64((1 << bits) - 1))
     order = np.argsort(short)
     placed, ranked = places[order], short[order]
     new = np.ones(len(order), bool)
     new[1:] = ranked[1:] != ranked[:-1]
     first = np.flatnonzero(new)
-    number = np.cumsum(new) - 1
-    index = np.empty(len(order), np.int64)
-    index[order] = number
     differs = np.zeros(len(first), bool)
-    differs[number[placed != placed[first][number]]] = True
+    # Equal keys with more than one place have neighbours with different places.
+    other = np.flatnonzero(~new[1:] & (placed[1:] != placed[:-1])) + 1
+    differs[np.searchsorted(first, other, "right") - 1] = True
     unique = ranked[first]
-    return unique, (unique >> np.uint64(32)).astype(np.int64), index, differs
+    return unique, (unique >> np.uint64(32)).astype(np.int64), order, np.diff(first, append=len(order)), differs
+
+
+def repeat_keys(keys: np.ndarray, places: np.ndarray, buckets: int, bits: int = KEY_BITS):
+    """Unique keys cut to (bucket, some bits), their buckets, each key's index, and whether a chunk has it in two places."""
+    unique, bucket, order, held_by, differs = ranked_keys(keys, places, buckets, bits)
+    index = np.empty(len(order), np.int64)
+    index[order] = np.repeat(np.arange(len(unique)), held_by)
+    return unique, bucket, index, differs
 
 
 def repeat_answers(bodies: list[bytes]) -> list[bytes]:

@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from . import chunks as C
 from .packed_sets import BUCKET_KEYS, SetRow, each_row, key_flags, pack_sets, shared_keys
-from .shingles import shingle_sets, words
+from .shingles import shingle_sets, word_counts, words
 from .workspace import Workspace
 
 SLOTS = 1 << 17
@@ -83,13 +83,10 @@ def _longer(counts: np.ndarray, percent: int) -> np.ndarray:
     return counts // 10 if 23 <= percent <= 87 else np.zeros_like(counts)
 
 
-def tokens_of(data: np.ndarray, begin: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def tokens_of(data: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(tokens, number per line) of lines that begin at these places of ``data``, in order of hash."""
-    word, at = words(data, begin, breaks)
-    # Of lines that begin at one place only the last can hold words.
-    owner = np.searchsorted(begin, at, "right") - 1
-    counts = np.bincount(owner, minlength=len(begin)) if len(at) else np.zeros(len(begin), np.int64)
-    return shingle_sets(word, counts)
+    word, at = words(data, begin)
+    return shingle_sets(word, word_counts(at, begin))
 
 
 def _prefixes(tokens: np.ndarray, counts: np.ndarray, percent: int, longer: np.ndarray | int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -140,19 +137,18 @@ def _candidates(documents: DataFrame, percent: int, space: Workspace) -> tuple[D
 
     def ask(chunk: C.Chunk):
         begin, _, _ = line_bounds(chunk)
-        tokens, sizes = tokens_of(chunk.data, begin, chunk.data == 10)
+        tokens, sizes = tokens_of(chunk.data, begin)
         tokens, owner, _ = _prefixes(tokens, sizes, percent, _longer(sizes, percent))
-        yield from C.repeat_questions(chunk.number, tokens, owner, buckets)
-        unique, bucket, index, _ = C.repeat_keys(tokens, owner, buckets)
+        unique, bucket, order, held_by, many = C.ranked_keys(tokens, owner, buckets)
+        yield from C.key_questions(chunk.number, unique, bucket, many)
         if len(unique):
-            order = np.argsort(index, kind="stable").astype(np.int64)
             held = np.array([(b, at.stop - at.start) for b, at in C.by_bucket(unique, bucket)])
             yield (
                 C.NOTE,
                 chunk.number,
                 C.pack(
                     owner[order].astype(np.uint32),
-                    np.bincount(index).astype(np.uint32),
+                    held_by.astype(np.uint32),
                     held.astype(np.int64),
                     (_longer(sizes, percent) + 1).astype(np.uint32),
                 ),
@@ -176,7 +172,7 @@ def _candidates(documents: DataFrame, percent: int, space: Workspace) -> tuple[D
         size = end - begin
         at = np.cumsum(size) - size
         data = chunk.data[np.repeat(begin - at, size) + np.arange(int(size.sum()))]
-        tokens, counts = tokens_of(data, at, None)
+        tokens, counts = tokens_of(data, at)
         cut = np.cumsum(counts) - counts
         seen: dict[bytes, list] = {}
         for i, (line, first, n) in enumerate(zip(hit.tolist(), cut.tolist(), counts.tolist())):

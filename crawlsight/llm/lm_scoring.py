@@ -45,7 +45,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from . import chunks as C
-from .shingles import mixed, words
+from .shingles import mixed, word_counts, words
 from .workspace import Workspace
 
 BACKOFF = 0.4
@@ -59,8 +59,9 @@ class Grams:
 
     def __init__(self, chunk: C.Chunk):
         word, begin = words(chunk.data, chunk.starts)
-        self.text = np.searchsorted(chunk.starts, begin, "right") - 1
-        self.place = np.arange(len(self.text)) - np.searchsorted(self.text, self.text, "left")
+        counts = word_counts(begin, chunk.starts[:-1])
+        self.text = np.repeat(np.arange(len(counts)), counts)
+        self.place = np.arange(len(begin)) - np.repeat(np.cumsum(counts) - counts, counts)
         self.keys, running = [], word
         for order in (1, 2, 3):
             if order > 1:

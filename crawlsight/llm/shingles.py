@@ -27,11 +27,12 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-#: Bytes with A-Z lowered, and which bytes divide words.
-LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
-CODES = LOWER.astype(np.uint64) + np.uint64(1)
-SPACE = np.zeros(256, bool)
-SPACE[[32, 9, 10, 11, 12, 13]] = True
+_SPACES = b" \t\n\x0b\x0c\r"
+#: Per byte: whether it divides words, whether it doesn't, and its code, one more than the byte with A-Z lowered.
+#: Code 256 doesn't fit, so byte 255 (which no UTF-8 text has) takes the code that A-Z leave free.
+SPACE = np.array([b in _SPACES for b in range(256)])
+_SOLID = bytes(b not in _SPACES for b in range(256))
+_CODES = bytes(66 if b == 255 else b + 33 if 65 <= b <= 90 else b + 1 for b in range(256))
 
 
 _KEPT: dict[str, tuple[np.ndarray, np.ndarray]] = {}
@@ -64,9 +65,12 @@ def words(data: np.ndarray, starts: np.ndarray, extra: np.ndarray | None = None)
     cuts = [0]
     for at in range(_BLOCK, len(data), _BLOCK):
         if at > cuts[-1]:
-            found = np.flatnonzero(SPACE[data[at : at + _BLOCK]])
-            if len(found):
-                cuts.append(at + int(found[0]))
+            # White space is near as a rule.
+            for wide in (_BLOCK >> 8, _BLOCK):
+                found = np.flatnonzero(SPACE[data[at : at + wide]])
+                if len(found):
+                    cuts.append(at + int(found[0]))
+                    break
     inner = np.searchsorted(starts, [*cuts, len(data)])
     out = [
         _words(data[a:b], starts[low:high] - a, None if extra is None else extra[a:b])
@@ -79,38 +83,57 @@ def _words(data: np.ndarray, starts: np.ndarray, extra: np.ndarray | None) -> tu
     size = len(data)
     if not size:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    solid = ~SPACE[data] if extra is None else ~(SPACE[data] | extra)
-    opens = solid.copy()
-    opens[1:] &= ~solid[:-1]
+    raw = data.tobytes()
+    solid = np.frombuffer(raw.translate(_SOLID), bool)
+    if extra is not None:
+        solid = solid & ~extra
+    edges = np.flatnonzero(solid[1:] != solid[:-1]) + 1
+    edges = np.concatenate((np.zeros(int(solid[0]), np.int64), edges, np.full(int(solid[-1]), size)))
+    begin, end = edges[::2], edges[1::2]
     inner = starts[(starts > 0) & (starts < size)]
-    opens[inner] = solid[inner]
-    shuts = solid.copy()
-    shuts[:-1] &= ~solid[1:]
-    shuts[inner - 1] = solid[inner - 1]
-    begin, end = np.flatnonzero(opens), np.flatnonzero(shuts) + 1
+    split = np.unique(inner[solid[inner] & solid[inner - 1]])
+    if len(split):
+        begin, end = np.sort(np.concatenate((begin, split))), np.sort(np.concatenate((end, split)))
     powers, inverse = hash_powers(size)
     total = np.zeros(size + 1, np.uint64)
-    np.cumsum(CODES[data] * powers[:size], out=total[1:])
+    np.multiply(np.frombuffer(raw.translate(_CODES), np.uint8), powers[:size], out=total[1:])
+    np.cumsum(total, out=total)
     value = (total[end] - total[begin]) * inverse[begin]
     return mixed(value ^ ((end - begin).astype(np.uint64) * _MIX)), begin
 
 
+def word_counts(at: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """Words per text, by the places where words and texts begin; of texts that begin at one place the last has them."""
+    return np.diff(np.searchsorted(at, begin), append=len(at))
+
+
+def _chained(value: np.ndarray, word: np.ndarray) -> np.ndarray:
+    value = value * _MIX + word
+    value ^= value >> np.uint64(29)
+    return value
+
+
 def shingles(word: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(hash, text) of all shingles in order of their texts; ``counts`` holds the words per text."""
     texts = len(counts)
-    first = np.concatenate(([0], np.cumsum(counts)))
     made = np.where(counts >= SHINGLE, counts - SHINGLE + 1, np.minimum(counts, 1))
+    first, placed = np.cumsum(counts) - counts, np.cumsum(made) - made
     owner = np.repeat(np.arange(texts), made)
-    begin = first[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(made) - made, made)
-    size = np.minimum(counts, SHINGLE)[owner]
-    value = size.astype(np.uint64) * _MIX2
+    begin = np.arange(len(owner)) + np.repeat(first - placed, made)
+    # Five words in a row, wherever they begin; those that cross texts aren't taken.
+    whole = max(0, len(word) - SHINGLE + 1)
+    run = np.full(whole, SHINGLE * int(_MIX2) & 0xFFFFFFFFFFFFFFFF, np.uint64)
     for i in range(SHINGLE):
-        at = np.minimum(begin + i, max(0, len(word) - 1))
-        more = value * _MIX + word[at] if len(word) else value
-        more ^= more >> np.uint64(29)
-        value = np.where(i < size, more, value)
-    value = mixed(value)
-    return value, owner
+        run = _chained(run, word[i : i + whole])
+    value = run[np.minimum(begin, whole - 1)] if whole else np.zeros(len(owner), np.uint64)
+    few = np.flatnonzero((counts > 0) & (counts < SHINGLE))
+    size = counts[few]
+    short = size.astype(np.uint64) * _MIX2
+    for i in range(SHINGLE - 1):
+        more = size > i
+        short[more] = _chained(short[more], word[first[few[more]] + i])
+    value[placed[few]] = short
+    return mixed(value), owner
 
 
 def shingle_sets(word: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -136,8 +159,7 @@ def text_shingles(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     data = np.frombuffer(b"".join(texts), np.uint8)
     starts = np.concatenate(([0], np.cumsum([len(t) for t in texts]))).astype(np.int64)
     word, begin = words(data, starts)
-    counts = np.bincount(np.searchsorted(starts, begin, "right") - 1, minlength=len(texts)) if len(begin) else np.zeros(len(texts), np.int64)
-    return shingle_sets(word, counts[: len(texts)])
+    return shingle_sets(word, word_counts(begin, starts[:-1]))
 
 
 def batches(texts: list[bytes], limit: int = 1 << 20):
