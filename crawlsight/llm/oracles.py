@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .pii import IBAN_LENGTHS, SCHEMES
+
 _ESCAPED = "replace({}, '\\', '\\\\')"
 for _mark in ("<|", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>"):
     _ESCAPED = f"replace({_ESCAPED}, '{_mark}', '{_mark[0]}\\{_mark[1:]}')"
@@ -18,6 +20,62 @@ def _seeded(*parts: str) -> str:
     return f"('0x' || substr(md5('0/' || {" || '/' || ".join(parts)}), 1, 15))::BIGINT"
 
 
+#: CRC-32 of an ASCII text, bit by bit.
+_CRC32 = """xor(list_reduce([4294967295::BIGINT] || list_transform(range(1, length({0}) + 1), lambda i: ascii(substr({0}, i, 1))::BIGINT),
+  lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, z: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::BIGINT) ELSE x >> 1 END)), 4294967295::BIGINT)"""
+
+
+def _edited(path: str, cost: str, letter: str, said: str | None = None) -> str:
+    """A path of the repair with one more edit; null stays null."""
+    out = f"{path}.o" if said is None else f"list_append({path}.o, {said})"
+    return f"CASE WHEN {path} IS NOT NULL THEN {{'c': {path}.c + {cost}, 'a': {path}.a || '{letter}', 'o': {out}}} END"
+
+
+def _row_step(state: int) -> str:
+    """The least path to a state over one row: delete it, keep it, or give it the role that the grammar takes next."""
+    takes = {0: (), 1: ("x0",), 2: ("x0", "x1", "x3"), 3: ("x2",)}[state]
+    initial, role = {0: ("", ""), 1: ("s", ""), 2: ("u", "user"), 3: ("a", "assistant")}[state]
+    paths = [_edited(f"x{state}", "2", "D")]
+    for path in takes:
+        paths.append(f"CASE WHEN free AND initial = '{initial}' THEN {_edited(path, 'more', 'K', "role || ':' || text")} END")
+        if role:
+            paths.append(f"CASE WHEN free THEN {_edited(path, '(1 + more)', 'R', f"'{role}:' || text")} END")
+    return f"list_min([{', '.join(paths)}])"
+
+
+_INSERT_USER = ", ".join(_edited(f"y{i}", "5", "I", "'user:'") for i in (0, 1, 3))
+
+#: Matches of an expression in a text, with their places: pieces between matches and matches take turns.
+_MATCHES = """SELECT doc_id, {kind} AS k, {base} AS base, m[i] AS m,
+    (list_sum(list_transform(s[:i], lambda v: length(v))) + coalesce(list_sum(list_transform(m[:i - 1], lambda v: length(v))), 0))::BIGINT AS a
+  FROM (SELECT doc_id, regexp_extract_all(text, '{regex}') AS m, string_split_regex(text, '{regex}') AS s FROM d) x, LATERAL (SELECT unnest(range(1, len(m) + 1)) AS i) u"""
+_WIDE = "A-Za-z0-9\\x{C0}-\\x{D6}\\x{D8}-\\x{F6}\\x{F8}-\\x{24F}"
+_IBANS = "|".join(f"{c}[0-9]{{2}}(?: ?[A-Za-z0-9]){{{n - 4}}}" for c, n in IBAN_LENGTHS.items())
+_LOGIN = f"(?i:{'|'.join(SCHEMES)})://[A-Za-z0-9._~%!$&''()*+,;=:-]+@"
+_SPANS = " UNION ALL ".join(
+    _MATCHES.format(kind=kind, base=base, regex=regex)
+    for kind, base, regex in (
+        (0, "true", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
+        (1, "true", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
+        (2, "true", r"[0-9]([\x20-]?[0-9])+"),
+        (3, "true", r"\+[0-9][\x20().0-9-]+[0-9]"),
+        (0, "false", f"[{_WIDE}._%+-]+@[{_WIDE}-]+(\\.[{_WIDE}-]+)+"),
+        (4, "false", f"{_LOGIN}[A-Za-z0-9-]+(\\.[A-Za-z0-9-]+)*"),
+        (5, "false", f"(?i:iban[ :.#=-]{{0,4}}(?:{_IBANS}))\\b"),
+    )
+)
+#: Whether a match passes its kind's test; digits of a card by place from the right, an account's number in pieces.
+_PASSES = """CASE WHEN k = 1 THEN list_bool_and(list_transform(string_split(m, '.'), lambda v: length(ltrim(v, '0')) <= 3 AND coalesce(try_cast(ltrim(v, '0') AS INTEGER), 0) <= 255))
+  WHEN k = 2 THEN length(n) BETWEEN 16 AND 19 AND list_sum(list_transform(range(1, length(n) + 1),
+    lambda i: CASE WHEN i % 2 = 1 THEN substr(n, -i, 1)::INTEGER ELSE 2 * substr(n, -i, 1)::INTEGER - CASE WHEN substr(n, -i, 1) > '4' THEN 9 ELSE 0 END END)) % 10 = 0
+  WHEN k = 3 THEN length(n) BETWEEN 8 AND 15
+  WHEN k = 5 THEN list_reduce([0::BIGINT] || list_transform(range(1, length(v) + 1), lambda i: strpos('0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ', (v[5:] || v[:4])[i])::BIGINT - 1),
+    lambda r, x: (r * CASE WHEN x > 9 THEN 100 ELSE 10 END + x) % 97) = 1
+  ELSE true END"""
+
+#: A count's probability, in billionths.
+_P = "(1 + (1000000000::HUGEINT * ({} + 1)) // (total + v))"
+
 ORACLE_SQL: dict[str, str] = {
     "op1_suffix_dedup": """
 WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
@@ -160,5 +218,69 @@ SELECT query_id, (row_number() OVER w)::INTEGER AS rank, vec_id, score
 FROM scored
 WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id)
 QUALIFY row_number() OVER w <= 5
+""",
+    "op11_conversation_repair": f"""
+WITH RECURSIVE keyed AS (SELECT *, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key FROM conversations),
+faulty AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_CRC32.format('key')} % 20 AS f FROM keyed),
+hit AS (SELECT conv_id, turn, CASE WHEN f = 4 THEN 'user' ELSE role END AS role,
+  CASE WHEN f = 1 THEN '' WHEN f = 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+  unnest(range(0, CASE WHEN f = 0 THEN 0 WHEN f = 3 THEN 2 ELSE 1 END)) AS copy FROM faulty),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS n FROM hit),
+judged AS (SELECT conv_id, turn, role, text, n, substr(role, 1, 1) AS initial, NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') AS blank,
+  row_number() OVER (PARTITION BY conv_id, role, text ORDER BY n) > 1 AS seen,
+  NOT regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*$') AS cut FROM numbered),
+r AS (SELECT *, NOT blank AND NOT seen AS free, CASE WHEN cut THEN 5 ELSE 0 END AS more,
+  lag(initial) OVER (PARTITION BY conv_id ORDER BY n) || initial AS pair FROM judged),
+step AS (
+  SELECT conv_id, 0::BIGINT AS n, {{'c': 0, 'a': '', 'o': []::VARCHAR[]}} AS x0, NULL::STRUCT(c INTEGER, a VARCHAR, o VARCHAR[]) AS x1,
+    {{'c': 5, 'a': 'I', 'o': ['user:']}} AS x2, {{'c': 10, 'a': 'II', 'o': ['user:', 'assistant:']}} AS x3 FROM (SELECT DISTINCT conv_id FROM r) q
+  UNION ALL
+  SELECT conv_id, n, y0, y1, z2, list_min([y3, {_edited('z2', '5', 'I', "'assistant:'")}]) FROM (
+    SELECT *, list_min([y2, {_INSERT_USER}]) AS z2 FROM (
+      SELECT r.conv_id, r.n, {', '.join(f'{_row_step(i)} AS y{i}' for i in range(4))}
+      FROM step JOIN r ON r.conv_id IS NOT DISTINCT FROM step.conv_id AND r.n = step.n + 1) a) b
+),
+best AS (SELECT conv_id, arg_max(list_min([x0, x3]), n) AS x FROM step GROUP BY conv_id),
+told AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank,
+  count(*) FILTER (seen AND NOT blank) AS duplicate, count(*) FILTER (cut AND free) AS truncated,
+  count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM r GROUP BY conv_id)
+SELECT ids.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+  coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(x.c, 0)::BIGINT AS cost, coalesce(x.a, '') AS audit,
+  sha256(coalesce(array_to_string(x.o, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) ids LEFT JOIN told ON told.conv_id IS NOT DISTINCT FROM ids.conv_id
+  LEFT JOIN best ON best.conv_id IS NOT DISTINCT FROM ids.conv_id
+""",
+    "op12_pii": f"""
+WITH d AS (SELECT row_number() OVER () AS doc_id, doc_id AS id, coalesce(text, '') AS text FROM documents),
+raw AS ({_SPANS}),
+cut AS (SELECT *, CASE WHEN k = 4 THEN strpos(m, '://') + 2 WHEN k = 5 THEN length(regexp_extract(m, '^.{{4}}[ :.#=-]{{0,4}}')) ELSE 0 END AS skip FROM raw),
+span AS (SELECT doc_id, k, base, a + skip AS a, a + length(m) AS b, substr(m, skip + 1) AS m FROM cut),
+passed AS (SELECT DISTINCT ON (doc_id, k, a, b) doc_id, k, base, a, b FROM (
+  SELECT *, regexp_replace(m, '[^0-9]', '', 'g') AS n, upper(replace(m, ' ', '')) AS v FROM span) x WHERE {_PASSES} ORDER BY doc_id, k, a, b, base DESC),
+named AS (SELECT *, (['email', 'ip', 'card', 'phone', 'address', 'account'])[k + 1] || ':' || a || ':' || b AS s FROM passed)
+SELECT d.id AS doc_id, {', '.join(f"count(*) FILTER (base AND k = {i})::BIGINT AS n_{n}" for i, n in enumerate(('email', 'ip', 'card', 'phone')))},
+  sha256(coalesce(string_agg(s, ',' ORDER BY k, a, b) FILTER (base), '')) AS base_sha256, coalesce(string_agg(s, ',' ORDER BY k, a, b), '') AS spans
+FROM d LEFT JOIN named USING (doc_id) GROUP BY doc_id, d.id
+""",
+    "op13_source_divergence": f"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+  translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+w AS (SELECT r, lang, source, unnest(regexp_extract_all(text, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS c FROM w GROUP BY lang, term HAVING count(DISTINCT r) >= 3),
+language AS (SELECT lang, sum(c) AS total, count(*) AS v FROM kept GROUP BY lang),
+q AS (SELECT lang, term, {_P.format('c')} AS q FROM kept JOIN language USING (lang)),
+g AS (SELECT DISTINCT lang, source FROM d),
+n AS (SELECT lang, source, term, count(*) AS n FROM w JOIN kept USING (lang, term) GROUP BY lang, source, term),
+grid AS (SELECT g.lang, g.source, k.term, coalesce(n.n, 0) AS n FROM g JOIN kept k USING (lang) LEFT JOIN n ON n.lang = g.lang AND n.source = g.source AND n.term = k.term),
+p AS (SELECT lang, source, term, n, {_P.format('n')} AS p FROM (
+  SELECT *, sum(n) OVER (PARTITION BY lang, source) AS total, count(*) OVER (PARTITION BY lang, source) AS v FROM grid) x),
+pair AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3),
+part AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pair ON pair.lang = a.lang AND pair.source = a.source AND pair.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, ((p - q) * (p - q) // q)::BIGINT FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM part)
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= 200
 """,
 }
