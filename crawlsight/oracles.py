@@ -438,19 +438,43 @@ WITH q AS (SELECT page_id, url, p.html, {_URL_SQL['host']} AS host, {_URL_SQL['p
     len(list_distinct(list_transform(list_filter(string_split({_URL_SQL['query']}, '&'), lambda x: regexp_matches(x, '^[^=]*=.')), lambda x: split_part(x, '=', 1)))) AS keys
   FROM pages p JOIN (SELECT page_id, {_EXCERPT} AS html FROM pages) b USING (page_id))
 {" UNION ALL ".join(f"SELECT '{i}' AS check_id, url FROM q WHERE {c}" for i, c in _RAW.items())}"""
+_PATH_SQL = "regexp_replace(split_part(url, '#', 1), '^[a-z]+://[^/?]*', '')"
 ORACLE_SQL["page_robots_gate"] = f"""
 SELECT page_id, CASE WHEN contains(path, '?page=') THEN false WHEN regexp_matches(path, '[.]html$') THEN true WHEN starts_with(path, '/ab') THEN false
-  WHEN contains(path, '?') OR starts_with(path, '/a') THEN true ELSE false END AS blocked
-FROM (SELECT page_id, regexp_replace(split_part(url, '#', 1), '^[a-z]+://[^/?]*', '') AS path FROM pages) q"""
+  WHEN contains(path, '?') OR starts_with(path, '/a') OR starts_with(path, '/s') THEN true ELSE false END AS blocked
+FROM (SELECT page_id, {_PATH_SQL} AS path FROM pages) q"""
+ORACLE_SQL["page_robots_first_match"] = f"""
+SELECT page_id, starts_with(path, '/a') OR starts_with(path, '/s') AS blocked FROM (SELECT page_id, {_PATH_SQL} AS path FROM pages) q"""
 ORACLE_SQL["page_sitemap"] = """
 SELECT url, '' AS code, '' AS href FROM pages WHERE page_id % 7 <> 3 UNION ALL SELECT url, 'fr', url FROM pages WHERE page_id % 7 <> 3"""
+#: What FixedAnswers says to the URLs of a table ``asked`` (kind, url).
+_ANSWERS = """
+SELECT kind, url, CASE WHEN length(url) % 3 = 1 THEN 200 WHEN length(url) % 5 = 4 THEN NULL WHEN length(url) % 2 = 1 THEN 200 ELSE 410 END::INTEGER AS status,
+  CASE WHEN length(url) % 3 = 1 THEN contains(url, 'out') WHEN length(url) % 5 = 4 THEN false ELSE contains(url, 'e') END AS redirected,
+  CASE WHEN kind = 'link' THEN length(root) % 2 = 1 AND regexp_matches(substr(url, length(root) + 1), '^/[a0]') END AS robots_blocked
+FROM (SELECT kind, url, regexp_extract(url, '^[a-zA-Z]+:(//[^/?#]*)?') AS root FROM asked) q"""
+#: Links of the derived site that are external to its seed: of pages on another host also those without a host.
+_RELATIVE = " UNION ALL ".join(
+    f"SELECT split_part(url, '/', 1) || '//' || host || '{path}' FROM c WHERE host <> 'site.example' AND {_on(feature)}"
+    for feature, path in (("many_links", "/many"), ("nofollow_link", "/quiet"), ("generic", "/generic"), ("tracking", "/t?utm_source=a"))
+)
 ORACLE_SQL["crawl_probe_targets"] = f"""{SITE_SQL},
-targets AS (SELECT * FROM (SELECT DISTINCT url FROM (SELECT target AS url FROM l WHERE thost <> 'site.example' UNION ALL SELECT 'javascript:void(0)' FROM c WHERE {_on('script_link')} UNION ALL {_OUTER}) a ORDER BY url LIMIT 50) b)
-SELECT url, CASE WHEN length(url) % 2 = 1 THEN 404 END::INTEGER AS status, contains(url, 'out') AS redirected, contains(url, 'plain') AS robots_blocked FROM targets
-UNION ALL SELECT url, CASE WHEN length(url) % 2 = 1 THEN 404 END::INTEGER, NULL::BOOLEAN, NULL::BOOLEAN FROM (SELECT DISTINCT url FROM (
+links AS (SELECT * FROM (SELECT DISTINCT url FROM (SELECT target AS url FROM l WHERE thost <> 'site.example' UNION ALL SELECT 'javascript:void(0)' FROM c WHERE {_on('script_link')}
+  UNION ALL {_OUTER} UNION ALL {_RELATIVE}) a ORDER BY url LIMIT 50) b),
+images AS (SELECT DISTINCT url FROM (
   SELECT CASE WHEN {_F['image_out']} THEN 'https://cdn.example' ELSE split_part(url, '/', 1) || '//' || host || '/img' END || '/a' || CASE WHEN {_F['image_png']} THEN '.PNG' ELSE '.webp' END AS url
   FROM c WHERE {_on('image')} UNION ALL
-  SELECT split_part(url, '/', 1) || '//' || host || '/img/b.webp' FROM c WHERE {_on('image_second')}) a ORDER BY url LIMIT 30) b"""
+  SELECT split_part(url, '/', 1) || '//' || host || '/img/b.webp' FROM c WHERE {_on('image_second')}) a ORDER BY url LIMIT 30),
+icon AS (SELECT split_part(url, '/', 1) || '//' || host || '/favicon.ico' AS url FROM c WHERE {_on('icon')} ORDER BY url <> 'https://site.example/', url LIMIT 1),
+asked AS (SELECT 'link' AS kind, url FROM links UNION ALL SELECT 'image', url FROM images UNION ALL SELECT 'favicon', url FROM icon)
+{_ANSWERS}"""
+_PAGE_LINKS = f"""linked AS (SELECT DISTINCT regexp_extract(url, '^[a-z]+://[^/?#]*') || unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS url FROM pages)"""
+ORACLE_SQL["page_probes"] = f"""WITH {_PAGE_LINKS},
+asked AS (SELECT 'link' AS kind, url FROM linked UNION ALL SELECT 'favicon', 'https://seed.example/favicon.ico')
+{_ANSWERS}"""
+ORACLE_SQL["page_probe_flags"] = f"""WITH {_PAGE_LINKS}, asked AS (SELECT 'favicon' AS kind, 'https://seed.example/favicon.ico' AS url)
+SELECT a.url AS favicon_url, a.status AS favicon_status, n > 50 AS external_links_truncated, false AS images_truncated,
+  least(n, 50)::BIGINT AS links, 0::BIGINT AS images FROM (SELECT count(*) AS n FROM linked) q, ({_ANSWERS}) a"""
 ORACLE_SQL["audit_trend"] = """
 SELECT *, health_score - previous_score AS change FROM (
   SELECT user_id AS site, event_id, (event_id * 37 % 101)::INTEGER AS health_score,
@@ -575,7 +599,7 @@ FROM (SELECT page_id, url, (SELECT string_agg(p, ' ' ORDER BY k) FROM (SELECT tr
     replace(replace(replace(replace(s, '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&amp;', '&')) AS pieces FROM pages) q0) q"""
 ORACLE_SQL |= {
     "rel_semi_join": "SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')",
-    "rel_anti_join": "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)",
+    "rel_anti_join": "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000)",
     "rel_broadcast_dimension": """SELECT r_name, count(*)::BIGINT AS customers, round(avg(c_acctbal), 4) AS avg_balance FROM customer
       JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY r_name""",
     "rel_top_per_group": """SELECT p_brand, p_partkey, p_retailprice, place::INTEGER AS place FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) AS place FROM part) p WHERE place <= 3""",

@@ -12,7 +12,7 @@ from .functions import text as T
 from .operators import architecture, graph, international, links, on_page, tables
 from .operators.registry import CATEGORIES
 from .plans import health, keywords, organic, site_audit, summary
-from .sources import context
+from .sources import context, probes
 from .sources import pages as P
 from .sources.demo import demo_site
 from .sources.storage import materialised
@@ -235,13 +235,20 @@ def page_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return organic.corpus(_crawl(spark, sf_dir)).select("url", F.sha1("doc_text").alias("text_sha1"))
 
 
-#: Fixed rules of the gate query; the longest pattern that matches decides.
-GATE = "User-agent: *\nDisallow: /*?\nAllow: /*?page=\nDisallow: /a\nAllow: /ab\nDisallow: /*.html$\n"
+#: Fixed rules of the gate queries.
+GATE = "User-agent: *\nDisallow: /*?\nAllow: /*?page=\nDisallow: /a\nAllow: /ab\nDisallow: /%73\nDisallow: /*.html$\n"
 
 
 @query
 def page_robots_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which pages a robots.txt blocks."""
+    """Which pages a robots.txt blocks, as the standard reads it."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", F.lit(GATE).alias("robots"))
+    return pages.select("page_id", robots.blocked_paths("url", "robots", "longest").alias("blocked"))
+
+
+@query
+def page_robots_first_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which pages a robots.txt blocks where the first rule that matches decides."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url", F.lit(GATE).alias("robots"))
     return pages.select("page_id", robots.blocked_paths("url", "robots").alias("blocked"))
 
@@ -262,16 +269,45 @@ def page_sitemap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("url", F.lit("").alias("code"), F.lit("").alias("href")).union(links.select("url", "code", "href"))
 
 
+class FixedAnswers:
+    """Stands for the network: what hosts answer depends on the URL's letters alone."""
+
+    def head(self, url: str) -> tuple[int, bool]:
+        return (405 if len(url) % 3 == 0 else 200 if len(url) % 3 == 1 else 404), "out" in url
+
+    def get(self, url: str) -> tuple[int, bool]:
+        if len(url) % 5 == 4:
+            raise TimeoutError(url)
+        return (200 if len(url) % 2 else 410), "e" in url
+
+    def robots(self, root: str) -> str | None:
+        return "User-agent: *\nDisallow: /a\nDisallow: /0" if len(root) % 2 else None
+
+
 @query
 def crawl_probe_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The links and images of the derived site that are probed, with what a fixed rule answers."""
-    links, images = context.probe_targets(_site(spark, sf_dir).crawl, "https://site.example/")
-    status = lambda u: (404 if len(u) % 2 else None, "out" in u, "plain" in u)
-    probed = context.probe(links, status)
-    shown = context.probe(images, status, images=True)
-    return probed.select("url", "status", "redirected", "robots_blocked").union(
-        shown.select("url", "status", F.lit(None).cast("boolean"), F.lit(None).cast("boolean"))
-    )
+    """The links, images and icon of the derived site that a run of the model probes, with what a fixed rule answers."""
+    found = probes.targets(_site(spark, sf_dir).crawl, "https://site.example/")
+    return probes.probe(found.urls, FixedAnswers(), delay=0.0)
+
+
+@query
+def page_probes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every link of every raw page, probed by host, seen from a site of its own."""
+    crawl = materialised(spark, _crawl(spark, sf_dir).select("url", "links", "image_urls", "icon_urls"), "linked")
+    found = probes.targets(crawl, "https://seed.example/", most_links=None, most_images=None)
+    return probes.probe(found.urls, FixedAnswers(), delay=0.0)
+
+
+@query
+def page_probe_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The context of a site whose links are those of all raw pages: what a run's limits cut, and its favicon."""
+    crawl = materialised(spark, _crawl(spark, sf_dir).select("url", "links", "image_urls", "icon_urls"), "linked")
+    found = probes.targets(crawl, "https://seed.example/")
+    probed = materialised(spark, probes.probe(found.urls, FixedAnswers(), delay=0.0), "probed")
+    context_row = probes.with_probes(context.site_context(spark, "https://seed.example/"), found, probed)
+    asked = probed.agg(F.count_if(F.col("kind") == "link").alias("links"), F.count_if(F.col("kind") == "image").alias("images"))
+    return context_row.select("favicon_url", "favicon_status", "external_links_truncated", "images_truncated").join(F.broadcast(asked))
 
 
 @query
@@ -398,16 +434,19 @@ def rel_semi_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def rel_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers without a large order."""
     orders, customer = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
-    return customer.join(orders.select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey")
+    large = orders.where("o_totalprice > 400000").select(F.col("o_custkey").alias("c_custkey"))
+    return customer.join(large, "c_custkey", "left_anti").select("c_custkey")
 
 
 @query
 def rel_broadcast_dimension(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Balances by region; the optimiser broadcasts the places if their size allows it."""
     nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
     customer = table(spark, sf_dir, "customer")
     places = nation.join(region, nation["n_regionkey"] == region["r_regionkey"]).select("n_nationkey", "r_name")
-    joined = customer.join(F.broadcast(places), customer["c_nationkey"] == places["n_nationkey"])
+    joined = customer.join(places, customer["c_nationkey"] == places["n_nationkey"])
     return joined.groupBy("r_name").agg(F.count("*").alias("customers"), F.round(F.avg("c_acctbal"), 4).alias("avg_balance"))
 
 

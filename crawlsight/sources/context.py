@@ -1,4 +1,4 @@
-"""Site context: robots.txt, sitemaps, TLS facts and probes as tables."""
+"""Site context: robots.txt, sitemaps and TLS facts as tables. ``probes`` adds what hosts answer."""
 
 from __future__ import annotations
 
@@ -9,13 +9,8 @@ from urllib.parse import urlsplit
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from ..functions.urls import netloc
-from ..schemas import IMAGE_PROBE, LINK_PROBE, SITE
-
-#: How many links and images a probe run takes.
-MOST_LINKS, MOST_IMAGES = 50, 30
+from ..schemas import SITE
 
 
 def declared_sitemap(robots_txt: str | None) -> str | None:
@@ -71,7 +66,7 @@ def site_context(
     favicon_url: str | None = None,
     favicon_status: int | None = None,
 ) -> DataFrame:
-    """The one-row context of a site from texts that were fetched elsewhere."""
+    """The one-row context of a site from texts that were fetched elsewhere; ``probes.with_probes`` sets what a probe finds."""
     parts = urlsplit(base)
     root = f"{parts.scheme}://{parts.netloc}"
     declared = declared_sitemap(robots_txt)
@@ -96,24 +91,3 @@ def site_context(
         False,
     )
     return spark.createDataFrame([row], SITE)
-
-
-def probe_targets(crawl: DataFrame, seed: str) -> tuple[DataFrame, DataFrame]:
-    """(external links, images) to probe: distinct, in order, the first 50 and 30."""
-    host = urlsplit(seed).netloc.lower()
-    links = crawl.select(F.explode("links").alias("url")).where(netloc(F.col("url")) != host)
-    images = crawl.select(F.explode("image_urls").alias("url"))
-    return tuple(f.where("url <> ''").distinct().orderBy("url").limit(n) for f, n in ((links, MOST_LINKS), (images, MOST_IMAGES)))
-
-
-def probe(targets: DataFrame, fetch_status, images: bool = False) -> DataFrame:
-    """Probe results of target URLs. ``fetch_status(url)`` returns (status or None, redirected, robots_blocked)."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = [(u, *fetch_status(u)) for u in frame["url"]]
-            out = pd.DataFrame(rows, columns=["url", "status", "redirected", "robots_blocked"])
-            out["status"] = out["status"].astype("Int32")
-            yield out[["url", "status"]] if images else out
-
-    return targets.mapInPandas(run, IMAGE_PROBE if images else LINK_PROBE)

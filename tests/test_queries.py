@@ -1,4 +1,4 @@
-"""Every library query against its SQL on the smallest tables."""
+"""Every library query against its SQL."""
 
 import pytest
 from conftest import MEDIUM, SMALL
@@ -18,11 +18,6 @@ def test_names():
 
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_query(spark, name):
-    check(spark, QUERIES[name], ORACLE_SQL[name], SMALL)
-
-
-@pytest.mark.parametrize("name", ["checks_international", "checks_architecture", "organic_terms", "page_body_text", "page_checks", "page_corpus"])
-def test_query_on_more_rows(spark, name):
     check(spark, QUERIES[name], ORACLE_SQL[name], MEDIUM)
 
 

@@ -112,14 +112,6 @@ def test_sitemaps(spark):
     assert context.site_context(spark, "https://s.example/x").first().sitemap_url == "https://s.example/sitemap.xml"
 
 
-def test_probes(spark):
-    raw = spark.createDataFrame([("https://s.example/", '<a href="https://o.example/1">x</a><a href="/y">y</a><img src="/i">')], "url string, html string")
-    links, images = context.probe_targets(pages.crawl_table(raw), "https://s.example/")
-    assert [r.url for r in links.collect()] == ["https://o.example/1"] and [r.url for r in images.collect()] == ["https://s.example/i"]
-    assert context.probe(links, lambda u: (None, False, True)).first().robots_blocked
-    assert context.probe(images, lambda u: (404, False, False), images=True).first().status == 404
-
-
 def test_files(spark, tmp_path):
     frame = spark.createDataFrame([("a", [1, 2], 'x "y", z')], "k string, v array<int>, t string")
     files.write_csv(frame, str(tmp_path / "csv"))
