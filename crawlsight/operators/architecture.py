@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import urls
+from ..plans.quantiles import exact_quantiles
 from .crawlability import has_rel
 from .graph import click_depths
 from .redirects import links_to
@@ -125,8 +126,8 @@ def low_inlinks(site: Site) -> DataFrame:
 @checks.site("C077", "Navigation Link Count Anomaly", "Notice", "Site")
 def link_anomaly(site: Site) -> DataFrame:
     counts = site.crawl.select("url", F.size(own_links()).alias("n"))
-    usual = counts.agg(F.median("n").alias("usual"), F.count("*").alias("pages"))
-    usual = usual.where((F.col("pages") >= ANOMALY_PAGES) & (F.col("usual") > 0))
+    usual = exact_quantiles(counts, [], "n", name="usual")
+    usual = usual.where((F.col("n") >= ANOMALY_PAGES) & (F.col("usual") > 0)).select("usual")
     return counts.join(F.broadcast(usual)).where(F.col("n") < F.col("usual") * ANOMALY_SHARE)
 
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import urls
+from .amp import broken_rules
 from .crawlability import has_rel
 from .registry import Category
+from .tables import Site
 
 checks = Category("Markup & Structured Data")
 
@@ -72,6 +74,12 @@ def no_amphtml() -> Column:
     return F.col("is_amp") & ~F.col("has_amphtml")
 
 
+@checks.site("C115", "AMP Validation", "Warning", extra=True)
+def invalid_amp(site: Site) -> DataFrame:
+    """AMP pages that break one of the rules of ``amp``; they alone are parsed again, for their elements."""
+    return broken_rules(site.crawl.where("is_amp").select("url", "html")).select("url")
+
+
 @checks.page("C116", "Missing Favicon Link", "Notice")
 def no_icon() -> Column:
     return ~has_rel("(?i)icon")

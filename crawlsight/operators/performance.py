@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import urls
+from ..plans.quantiles import sketch_quantiles, sketches
 from .registry import Category
+from .tables import Site
 
 checks = Category("Site Performance")
 
@@ -61,6 +63,24 @@ def unlazy_image() -> Column:
     return F.exists(later, lambda i: F.lower(i["loading"]) != "lazy")
 
 
+#: Field measurements that are still good (largest paint and next paint in ms, layout shift).
+GOOD_VITALS = {"LCP": 2500.0, "INP": 200.0, "CLS": 0.1}
+
+
+def vitals(measured: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, metric, p75, n, good: field measurements (keys, metric, value) judged at their 75th percentile, from mergeable sketches."""
+    made = sketches(measured.where(F.col("metric").isin(*GOOD_VITALS)), [*keys, "metric"], "value")
+    found = sketch_quantiles(made, [*keys, "metric"], 0.75, "p75").where("n > 0")
+    limit = F.create_map(*[F.lit(x) for pair in GOOD_VITALS.items() for x in pair])[F.col("metric")]
+    return found.withColumn("good", F.col("p75") <= limit)
+
+
+@checks.site("C126", "Core Web Vitals", "Warning", extra=True)
+def poor_vitals(site: Site) -> DataFrame:
+    """Pages that visitors' measurements find slow or shifting."""
+    return site.crawl.select("url").join(vitals(site.vitals, ["url"]).where("NOT good").select("url"), "url", "left_semi")
+
+
 @checks.page("C127", "Excessive DOM Size", "Notice")
 def large_dom() -> Column:
     return F.col("h.n_tags") > MOST_TAGS

@@ -32,6 +32,7 @@ class Site:
     sitemap_hreflang: DataFrame
     link_probe: DataFrame
     image_probe: DataFrame
+    vitals: DataFrame
     as_of: datetime | None = None
     _made: dict[str, DataFrame] = field(default_factory=dict)
 
@@ -104,6 +105,7 @@ def site(
     link_probe: DataFrame | None = None,
     image_probe: DataFrame | None = None,
     as_of: datetime | None = None,
+    vitals: DataFrame | None = None,
 ) -> Site:
     """A Site; what is not given is empty. Without a context nothing is known about robots.txt, sitemap or TLS.
 
@@ -126,5 +128,6 @@ def site(
         empty(schemas.SITEMAP_HREFLANG) if sitemap_hreflang is None else sitemap_hreflang,
         empty(schemas.LINK_PROBE) if link_probe is None else link_probe,
         empty(schemas.IMAGE_PROBE) if image_probe is None else image_probe,
+        empty(schemas.VITALS) if vitals is None else vitals,
         as_of,
     )

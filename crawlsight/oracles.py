@@ -256,7 +256,11 @@ CHECK_SQL: dict[str, str] = {
     "C069": "i % 3 <> 1 AND url NOT IN (SELECT target FROM inner_ WHERE target <> url GROUP BY target HAVING count(DISTINCT url) >= 2)",
     "C080": _NONE,
     "C114": _NONE,
+    "C115": _NONE,
     "C120": _NONE,
+    "C126": "ok AND (" + " OR ".join(
+        f"list_sort(list_transform([0, 11, 22, 33], lambda x: ((i * 7 + x) % 40 * {step})))[3] > {limit}" for step, limit in ((100, 2500), (8, 200), (0.005, 0.1))
+    ) + ")",
     "C133": f"ok AND NOT {_has('viewport')}",
     "C135": "ok",
 }
@@ -475,6 +479,31 @@ asked AS (SELECT 'link' AS kind, url FROM linked UNION ALL SELECT 'favicon', 'ht
 ORACLE_SQL["page_probe_flags"] = f"""WITH {_PAGE_LINKS}, asked AS (SELECT 'favicon' AS kind, 'https://seed.example/favicon.ico' AS url)
 SELECT a.url AS favicon_url, a.status AS favicon_status, n > 50 AS external_links_truncated, false AS images_truncated,
   least(n, 50)::BIGINT AS links, 0::BIGINT AS images FROM (SELECT count(*) AS n FROM linked) q, ({_ANSWERS}) a"""
+ORACLE_SQL["sitemap_files"] = """
+WITH good AS (SELECT url FROM pages WHERE page_id % 23 NOT IN (SELECT page_id % 23 FROM pages WHERE page_id % 46 = 3) AND page_id % 23 % 10 <> 7)
+SELECT url, '' AS code, '' AS href FROM good UNION ALL SELECT url, 'fr', url FROM good"""
+ORACLE_SQL["audit_changes"] = f"""
+WITH words AS (SELECT page_id, CASE WHEN t = '' THEN 0 ELSE len(string_split(t, ' ')) END AS n FROM (SELECT page_id, {_TEXT_SQL} AS t FROM pages) q)
+SELECT url, CASE WHEN page_id % 5 = 0 THEN 'added' WHEN page_id % 4 = 1 THEN 'gone' WHEN page_id % 3 = 0 THEN 'changed' ELSE 'same' END AS change,
+  CASE WHEN page_id % 4 <> 1 THEN n + CASE WHEN page_id % 3 = 0 THEN 3 ELSE 0 END END::INTEGER AS word_count,
+  CASE WHEN page_id % 4 <> 1 THEN CASE WHEN page_id % 5 = 0 OR page_id % 3 = 0 THEN 2 ELSE 1 END END::INTEGER AS parsed_in
+FROM pages JOIN words USING (page_id) WHERE page_id % 5 <> 0 OR page_id % 4 <> 1"""
+_AMP = {
+    "viewport": ("page_id % 6 <> 1", "1"),
+    "runtime": ("page_id % 2 <> 0", "1"),
+    "canonical": ("page_id % 3 <> 0 AND page_id % 5 <> 0", "1"),
+    "boilerplate": ("page_id % 4 <> 1", "1"),
+    "no-img": ("page_id % 7 = 2", "2"),
+    "no-own-script": ("contains(html, '<script')", "len(regexp_extract_all(regexp_replace(html, '<!--.*?-->', '', 'gs'), '<script'))"),
+    "no-handler": ("page_id % 9 = 4", "1"),
+    "no-script-link": ("page_id % 10 = 5", "1"),
+    "one-canonical": ("page_id % 15 = 0", "1"),
+    "source-in-media": ("page_id % 8 = 3", "1"),
+    "option-in-select": ("page_id % 11 = 6", "1"),
+}
+ORACLE_SQL["amp_rules"] = " UNION ALL ".join(f"SELECT page_id, '{r}' AS rule, ({n})::BIGINT AS places FROM pages WHERE {c}" for r, (c, n) in _AMP.items())
+ORACLE_SQL["field_vitals"] = """
+SELECT event_type, user_id % 3 AS metric, count(*)::BIGINT AS n, true AS within_error FROM events WHERE value IS NOT NULL GROUP BY ALL"""
 ORACLE_SQL["audit_trend"] = """
 SELECT *, health_score - previous_score AS change FROM (
   SELECT user_id AS site, event_id, (event_id * 37 % 101)::INTEGER AS health_score,
@@ -566,6 +595,20 @@ ORACLE_SQL["keyword_clusters"] = f"""{_top(50).replace('WITH', 'WITH RECURSIVE',
 )
 SELECT leader, leader AS member, 0::INTEGER AS ord FROM g WHERE len(near) > 0 UNION ALL
 SELECT leader, unnest(near), generate_subscripts(near, 1)::INTEGER FROM g WHERE len(near) > 0"""
+ORACLE_SQL["keyword_clusters_all"] = f"""
+WITH RECURSIVE {_KEYWORDS}, counts AS (
+  SELECT keyword, list_sort({_LETTERS.format('keyword')}) AS letters, count(*) AS frequency, min(ROW(doc_id, pos)) AS seen FROM keywords GROUP BY keyword),
+alphabet AS (SELECT letter, row_number() OVER (ORDER BY letter) - 1 AS i FROM (SELECT DISTINCT unnest(letters) AS letter FROM counts) a),
+sets AS (SELECT letters, min(name) AS name, bit_or(1::HUGEINT << i::INTEGER) AS mask FROM (
+  SELECT letters, min(keyword) AS name, unnest(letters) AS letter FROM counts GROUP BY letters) a JOIN alphabet USING (letter) GROUP BY letters),
+g AS (
+  SELECT list({{'n': name, 'm': mask}} ORDER BY name) AS free, NULL::VARCHAR AS leader, []::VARCHAR[] AS near FROM sets UNION ALL
+  SELECT list_filter(free, lambda k: bit_count(k.m & first.m) < 0.5 * bit_count(k.m | first.m)), first.n,
+    list_transform(list_filter(free, lambda k: bit_count(k.m & first.m) >= 0.5 * bit_count(k.m | first.m)), lambda k: k.n)
+  FROM (SELECT free, free[1] AS first FROM g WHERE len(free) > 0) a),
+led AS (SELECT leader, keyword, frequency, seen FROM (SELECT leader, unnest(near) AS name FROM g WHERE leader IS NOT NULL) a JOIN sets USING (name) JOIN counts USING (letters))
+SELECT leader, keyword AS member, (row_number() OVER (PARTITION BY leader ORDER BY keyword <> leader, frequency DESC, seen) - 1)::INTEGER AS ord
+FROM led QUALIFY count(*) OVER (PARTITION BY leader) > 1"""
 ORACLE_SQL["keyword_difficulties"] = f"""{_top(50)}
 SELECT keyword, round(score, 1) AS difficulty_score, CASE WHEN score < 30 THEN 'Easy' WHEN score < 60 THEN 'Medium' ELSE 'Hard' END AS level,
   1 AS word_count, round(ratio, 4) AS frequency_ratio
@@ -605,6 +648,7 @@ ORACLE_SQL |= {
     "rel_top_per_group": """SELECT p_brand, p_partkey, p_retailprice, place::INTEGER AS place FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) AS place FROM part) p WHERE place <= 3""",
     "rel_weighted_average": """SELECT l_returnflag, l_linestatus, round(sum(l_extendedprice * l_quantity) / sum(l_quantity), 4) AS mean_price, count(*)::BIGINT AS lines FROM lineitem GROUP BY ALL""",
     "rel_median": """SELECT event_type, median(value) AS median_value, count(DISTINCT user_id)::BIGINT AS users, arg_max(event_id, ROW(value, event_id)) AS top_event FROM events GROUP BY event_type""",
+    "rel_quantiles": """SELECT o_orderpriority, o_orderstatus, quantile_cont(o_totalprice, 0.9) AS p90, count(*)::BIGINT AS n FROM orders GROUP BY ALL""",
     "rel_json": """SELECT event_type, sum(k)::BIGINT AS sum_k, min(k) AS min_k, max(k) AS max_k FROM (SELECT event_type, json_extract_string(props, '$.k')::BIGINT AS k FROM events) e GROUP BY event_type""",
     "rel_running": """SELECT o_orderkey, max(o_totalprice) OVER (w ROWS UNBOUNDED PRECEDING) AS highest, round(o_totalprice - lag(o_totalprice) OVER w, 2) AS change
       FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)""",

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..sources.storage import materialised
+from .clusters import clusters
 
 
 def extracted(documents: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -15,18 +15,22 @@ def extracted(documents: DataFrame, text: str = "text", key: str = "doc_id") ->
     return documents.select(key, F.posexplode(T.keywords(F.col(text))).alias("pos", "keyword"))
 
 
-def frequency(keywords: DataFrame, top: int = 20, first: list[str] | None = None) -> DataFrame:
-    """(keyword, frequency, percentage, place) of the most frequent keywords.
+def counted(keywords: DataFrame, first: list[str] | None = None) -> DataFrame:
+    """(keyword, frequency, seen) of all keywords, written: texts are tokenised once.
 
-    ``first`` names the columns whose order decides ties; counts and first places
-    are pre-aggregated, and only the top rows are sorted in one place.
+    ``first`` names the columns whose order decides ties; counts and first places are
+    pre-aggregated.
     """
     order = F.struct(*(first or ["pos"]))
-    counted = keywords.groupBy("keyword").agg(F.count("*").alias("frequency"), F.min(order).alias("seen"))
-    # Written, because the total is the sum of it: texts are tokenised once.
-    counted = materialised(keywords.sparkSession, counted, "keywords")
-    total = counted.agg(F.coalesce(F.sum("frequency"), F.lit(0)).alias("total"))
-    best = counted.orderBy(F.desc("frequency"), "seen").limit(top)
+    counts = keywords.groupBy("keyword").agg(F.count("*").alias("frequency"), F.min(order).alias("seen"))
+    return materialised(keywords.sparkSession, counts, "keywords")
+
+
+def frequency(keywords: DataFrame, top: int = 20, first: list[str] | None = None) -> DataFrame:
+    """(keyword, frequency, percentage, place) of the most frequent keywords; only they are sorted in one place."""
+    counts = counted(keywords, first)
+    total = counts.agg(F.coalesce(F.sum("frequency"), F.lit(0)).alias("total"))
+    best = counts.orderBy(F.desc("frequency"), "seen").limit(top)
     place = F.row_number().over(Window.orderBy(F.desc("frequency"), "seen"))
     return best.join(F.broadcast(total)).select(
         "keyword",
@@ -67,33 +71,6 @@ def difficulties(ranked: DataFrame) -> DataFrame:
     return ranked.select("keyword", *[c.alias(n) for n, c in columns.items()])
 
 
-def clusters(ranked: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """(leader, member, ord): greedy clusters by shared characters.
-
-    Leaders are taken in sorted order and members in order of rank, so the result
-    depends on the order; it is one task over the report's top keywords, whose
-    number is a parameter. Keywords that join no other are left out.
-    """
-
-    def group(frame: pd.DataFrame) -> pd.DataFrame:
-        listed = frame.sort_values("place")["keyword"].tolist()
-        free, out = dict.fromkeys(listed), []
-        letters = {k: set(k) for k in listed}
-        for leader in sorted(free):
-            if leader not in free:
-                continue
-            del free[leader]
-            own = letters[leader]
-            near = [k for k in free if own and len(own & letters[k]) >= threshold * len(own | letters[k])]
-            for member in near:
-                del free[member]
-            if near:
-                out += [(leader, m, i) for i, m in enumerate([leader, *near])]
-        return pd.DataFrame(out, columns=["leader", "member", "ord"])
-
-    return ranked.select("keyword", "place", F.lit(1).alias("all")).groupBy("all").applyInPandas(group, "leader string, member string, ord int")
-
-
 def variations(ranked: DataFrame) -> DataFrame:
     """(keyword, pos, variation)."""
     return ranked.select("keyword", F.posexplode(T.variations(F.col("keyword"))).alias("pos", "variation"))

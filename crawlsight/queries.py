@@ -9,13 +9,13 @@ from pyspark.sql import functions as F
 
 from .functions import robots, urls
 from .functions import text as T
-from .operators import architecture, graph, international, links, on_page, tables
+from .operators import amp, architecture, graph, international, links, on_page, tables
 from .operators.registry import CATEGORIES
-from .plans import health, keywords, organic, site_audit, summary
-from .sources import context, probes
+from .plans import health, keywords, organic, quantiles, site_audit, summary
+from .sources import audits, context, probes, sitemaps
 from .sources import pages as P
 from .sources.demo import demo_site
-from .sources.storage import materialised
+from .sources.storage import materialised, scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -310,6 +310,80 @@ def page_probe_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context_row.select("favicon_url", "favicon_status", "external_links_truncated", "images_truncated").join(F.broadcast(asked))
 
 
+@query
+def sitemap_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Locations and alternate links read from sitemap files that list the pages; some files are malformed."""
+    path = scratch(spark, "sitemaps")
+    address = F.replace(F.col("url"), F.lit("&"), F.lit("&amp;"))
+    site, broken = F.col("page_id") % 23, F.col("page_id") % 46 == 3
+    entry = F.concat(
+        F.lit("<x:url><x:loc>\n "), address, F.lit(' </x:loc><y:link rel="alternate" hreflang=" FR" href="'), address, F.lit('"/>'),
+        F.when(broken, F.lit("<open>")).otherwise(F.lit("")), F.lit("</x:url>"),
+    )
+    pages = table(spark, sf_dir, "pages").select(site.alias("site"), F.col("page_id").alias("ord"), entry.alias("value"))
+    root = '<?xml version="1.0"?><x:urlset xmlns:x="http://www.sitemaps.org/schemas/sitemap/0.9" xmlns:y="http://www.w3.org/1999/xhtml">'
+    frames = [(-1, F.lit(root)), (1 << 62, F.when(F.col("site") % 10 == 7, F.lit("<!-- no end -->")).otherwise(F.lit("</x:urlset>")))]
+    ends = [pages.select("site").distinct().select("site", F.lit(at).cast("long").alias("ord"), text.alias("value")) for at, text in frames]
+    lines = pages.unionByName(ends[0]).unionByName(ends[1]).repartition("site").sortWithinPartitions("site", "ord")
+    lines.select("site", "value").write.partitionBy("site").text(path)
+    _, found, links = sitemaps.read_sitemaps(spark, path)
+    return found.select("url", F.lit("").alias("code"), F.lit("").alias("href")).union(links.select("url", "code", "href"))
+
+
+@query
+def audit_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two stored crawls of the pages, the second with pages added, gone and edited: what changed, and whose parse the second uses."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    edited = F.when(F.col("page_id") % 3 == 0, F.concat("html", F.lit("<p>three new words</p>"))).otherwise(F.col("html"))
+    store = audits.AuditStore(spark, scratch(spark, "audits"))
+    first = store.add(pages.where("page_id % 5 <> 0").drop("page_id"))
+    second = store.add(pages.where("page_id % 4 <> 1").select("url", edited.alias("html")))
+    words = store.crawl(second).select("url", "word_count")
+    parse = store.index(second).select("url", "parsed_in")
+    return store.changes(first, second).join(words, "url", "left").join(parse, "url", "left")
+
+
+#: What the pages of the AMP query have more than those of the table, by page_id.
+AMP_PARTS = (
+    ("page_id % 2 = 0", '<script async src="https://cdn.ampproject.org/v0.js"></script>'),
+    ("page_id % 3 = 0", '<link rel="canonical" href="/x">'),
+    ("page_id % 5 = 0", '<link rel="alternate canonical" href="/y">'),
+    ("page_id % 4 = 1", "<style amp-boilerplate>body{}</style>"),
+    ("page_id % 6 = 1", '<meta name="viewport" content="width=device-width">'),
+)
+AMP_BODY = (
+    ("page_id % 7 = 1", '<noscript><img src="/i"></noscript>'),
+    ("page_id % 7 = 2", '<div><img src="/i"><img src="/j"></div>'),
+    ("page_id % 8 = 3", '<source src="/v"><amp-video><source src="/v"></amp-video>'),
+    ("page_id % 9 = 4", '<p onclick="go()">x</p>'),
+    ("page_id % 10 = 5", '<a href=" JavaScript:void(0)">x</a>'),
+    ("page_id % 11 = 6", "<option>a</option><select><optgroup><option>b</option></optgroup></select>"),
+)
+
+
+@query
+def amp_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The AMP rules that the raw pages break once they are given some of an AMP page's parts."""
+    pieces = lambda parts: F.concat(*[F.when(F.expr(c), F.lit(text)).otherwise(F.lit("")) for c, text in parts])
+    html = F.concat(F.lit("<html amp><head>"), pieces(AMP_PARTS), F.lit("</head><body>"), pieces(AMP_BODY), "html")
+    return amp.broken_rules(table(spark, sf_dir, "pages").select("page_id", html.alias("html")), "page_id")
+
+
+@query
+def field_vitals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """75th percentiles of measurements by sketches of each day, merged: how many there are, and whether the rank is as exact as promised."""
+    events = table(spark, sf_dir, "events").select("event_type", (F.col("user_id") % 3).alias("metric"), F.to_date("ts").alias("day"), "value")
+    keys = ["event_type", "metric"]
+    daily = quantiles.sketches(events, [*keys, "day"], "value")
+    found = materialised(spark, quantiles.sketch_quantiles(quantiles.merged_sketches(daily, keys), keys, 0.75, "p75"), "p75")
+    # A value's ranks are the shares below it and up to it.
+    ranked = events.join(found, keys).groupBy(*keys, "n").agg(
+        (F.count_if(F.col("value") < F.col("p75")) / F.first("n")).alias("below"), (F.count_if(F.col("value") <= F.col("p75")) / F.first("n")).alias("upto")
+    )
+    exact = (F.col("below") <= 0.75 + quantiles.RANK_ERROR) & (F.col("upto") >= 0.75 - quantiles.RANK_ERROR)
+    return ranked.select(*keys, "n", exact.alias("within_error"))
+
+
 @query
 def audit_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of past audits against the one before; events stand for audits, users for sites."""
@@ -401,6 +475,13 @@ def keyword_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keywords.clusters(_ranked(spark, sf_dir))
 
 
+@query
+def keyword_clusters_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Greedy clusters of all keywords of all documents."""
+    counts = keywords.counted(_keywords(spark, sf_dir), ["doc_id", "pos"])
+    return keywords.clusters(counts.select("keyword", "frequency", "seen"), order=[F.desc("frequency"), F.col("seen")])
+
+
 @query
 def organic_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TF-IDF terms of documents."""
@@ -466,10 +547,18 @@ def rel_weighted_average(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def rel_median(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact medians; users are counted after they are made distinct, which no group does in one task."""
     events = table(spark, sf_dir, "events")
-    return events.groupBy("event_type").agg(
-        F.median("value").alias("median_value"), F.countDistinct("user_id").alias("users"), F.max_by("event_id", F.struct("value", "event_id")).alias("top_event")
-    )
+    medians = quantiles.exact_quantiles(events, ["event_type"], "value", name="median_value").drop("n")
+    users = events.select("event_type", "user_id").distinct().groupBy("event_type").agg(F.count("user_id").alias("users"))
+    best = events.groupBy("event_type").agg(F.max_by("event_id", F.struct("value", "event_id")).alias("top_event"))
+    return best.join(users, "event_type").join(medians, "event_type", "left")
+
+
+@query
+def rel_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact 90th percentiles of prices in each priority and status."""
+    return quantiles.exact_quantiles(table(spark, sf_dir, "orders"), ["o_orderpriority", "o_orderstatus"], "o_totalprice", 0.9, "p90")
 
 
 @query

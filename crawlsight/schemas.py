@@ -54,3 +54,5 @@ SITEMAP_URLS = "url string"
 SITEMAP_HREFLANG = "url string, code string, href string"
 LINK_PROBE = "url string, status int, redirected boolean, robots_blocked boolean"
 IMAGE_PROBE = "url string, status int"
+#: Field measurements of pages.
+VITALS = "url string, metric string, value double"

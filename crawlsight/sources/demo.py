@@ -236,6 +236,13 @@ SELECT concat('https://out.example/', CAST(k AS STRING)) AS url, CASE WHEN k = 0
   k = 2 AS redirected, k = 0 AS robots_blocked FROM (SELECT 0 AS k UNION ALL SELECT 2) p"""
 
 
+#: Field measurements: four of each metric a page, in steps that depend on i.
+VITALS_SQL = f"""
+SELECT {url_sql("i")} AS url, m AS metric, CAST((i * 7 + k * 11) % 40 * step AS DOUBLE) AS value
+FROM ({ROWS_SQL}) r CROSS JOIN (SELECT 'LCP' AS m, 100.0 AS step UNION ALL SELECT 'INP', 8.0 UNION ALL SELECT 'CLS', 0.005) v
+CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3) t WHERE ok"""
+
+
 #: What numbers the rows in ROWS_SQL, for engines that do so in one place.
 _NUMBERED = "SELECT CAST(row_number() OVER (ORDER BY page_id) - 1 AS INT) AS i, CAST(count(*) OVER () AS INT) AS n FROM pages"
 
@@ -265,7 +272,7 @@ def demo_site(spark: SparkSession, pages: DataFrame) -> Site:
     ssl = (True, datetime(2024, 6, 11), False, False)
     context = (ROBOTS, "https://site.example/robots.txt", "https://site.example/sitemap.xml", False, True, False, ssl)
     context = spark.createDataFrame([(*context, "https://site.example/favicon.ico", 404, False, False)], SITE)
-    sitemap, hreflang = sql(SITEMAP_SQL), sql(SITEMAP_HREFLANG_SQL)
+    sitemap, hreflang, measured = sql(SITEMAP_SQL), sql(SITEMAP_HREFLANG_SQL), sql(VITALS_SQL)
     spark.catalog.dropTempView(view)
     return site(
         crawl,
@@ -275,6 +282,7 @@ def demo_site(spark: SparkSession, pages: DataFrame) -> Site:
         spark.sql(LINK_PROBE_SQL),
         spark.createDataFrame([("https://site.example/img/a.webp", 404), ("https://site.example/img/a.PNG", 200)], "url string, status int"),
         AS_OF,
+        measured,
     )
 
 

@@ -34,8 +34,7 @@ def materialised(spark: SparkSession, frame: DataFrame, name: str) -> DataFrame:
 
     The table goes when the application ends.
     """
-    path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
-    atexit.register(_remove, spark, path)
+    path = scratch(spark, name)
     frame.write.parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
 
@@ -46,3 +45,18 @@ def _remove(spark: SparkSession, path: str) -> None:
         return
     target = context._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder of any store that the session reads; none if there is no such folder."""
+    context = spark.sparkContext
+    target = context._jvm.org.apache.hadoop.fs.Path(path)
+    files = target.getFileSystem(context._jsc.hadoopConfiguration())
+    return [s.getPath().getName() for s in files.listStatus(target)] if files.exists(target) else []
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; what is there goes when the application ends."""
+    path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, path)
+    return path
