@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Words that carry no topic, for readability and for keyword lists.
@@ -82,6 +82,24 @@ def paragraphs(raw: Column) -> Column:
     return F.size(F.filter(F.split(F.coalesce(raw, F.lit("")), r"\n\s*\n"), lambda p: F.trim(p) != ""))
 
 
+def with_counts(frame: DataFrame, words: str, name: str) -> DataFrame:
+    """``frame`` with ``name``: the distinct words of an array as (word, n, seen), by word; seen is the first place, from 0.
+
+    A row's words are sorted and counted within the row, so nothing is shuffled. Explode the
+    result with ``explode_outer``: the filter that a plain explode implies is pushed below
+    the steps that make it, and makes them anew for every element.
+    """
+    placed = F.sort_array(F.transform(words, lambda w, i: F.struct(w.alias("word"), i.alias("seen"))))
+    at = lambda i: F.get("_sorted", i - 1)
+    begins = F.filter(F.sequence(F.lit(1), F.size("_sorted")), lambda i: (i == 1) | (at(i)["word"] != at(i - 1)["word"]))
+    ends = F.concat(F.slice("_begins", 2, F.size("_begins")), F.array(F.size("_sorted") + 1))
+    run = lambda a, b: F.struct(at(a)["word"].alias("word"), (b - a).cast("long").alias("n"), at(a)["seen"].alias("seen"))
+    none = F.array().cast("array<struct<word:string,n:bigint,seen:int>>")
+    # Steps of their own: an array that later steps look into often is made once.
+    some = frame.withColumn("_sorted", placed).withColumn("_begins", F.when(F.size("_sorted") > 0, begins))
+    return some.withColumn(name, F.when(F.size("_sorted") > 0, F.zip_with("_begins", ends, run)).otherwise(none)).drop("_sorted", "_begins")
+
+
 def keywords(text: Column, least_length: int = 2, stop_words: list[str] = KEYWORD_STOP_WORDS) -> Column:
     """Lower-cased (Unicode) words without stop words, in order."""
     found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"(?U)\b\w+\b"), F.lit(0))

@@ -11,7 +11,7 @@ from .crawlability import has_rel
 from .graph import click_depths
 from .redirects import links_to
 from .registry import Category
-from .tables import Site
+from .tables import On, Site
 
 checks = Category("Site Architecture & Internal Linking")
 
@@ -83,13 +83,13 @@ def many_links() -> Column:
 
 
 @checks.site("C071", "Broken Internal Link", "Error")
-def broken_link(site: Site) -> DataFrame:
-    return links_to(site, urls.broken(F.col("target_status")))
+def broken_link(site: Site) -> On:
+    return links_to(urls.broken(F.col("target_status")))
 
 
 @checks.site("C072", "Internal Link To Redirect", "Warning")
-def link_to_redirect(site: Site) -> DataFrame:
-    return links_to(site, urls.redirecting(F.col("target_status")))
+def link_to_redirect(site: Site) -> On:
+    return links_to(urls.redirecting(F.col("target_status")))
 
 
 @checks.page("C073", "Internal Link Nofollow", "Notice")

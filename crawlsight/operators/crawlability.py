@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import urls
 from ..functions.robots import blocked_paths
 from .registry import Category
-from .tables import Site
+from .tables import On, Site
 
 checks = Category("Crawlability & Indexability")
 
@@ -48,17 +48,17 @@ def _lines(text: Column) -> Column:
 
 
 @checks.site("C001", "Robots Txt Missing", "Warning", "Site")
-def robots_missing(site: Site) -> DataFrame:
+def robots_missing(site: Site) -> On:
     return site.everywhere(F.col("robots_txt").isNull())
 
 
 @checks.site("C002", "Robots Txt Invalid", "Warning", "Site")
-def robots_invalid(site: Site) -> DataFrame:
+def robots_invalid(site: Site) -> On:
     return site.everywhere(F.exists(_lines(F.col("robots_txt")), lambda x: ~x["directive"].isin(*DIRECTIVES)))
 
 
 @checks.site("C003", "Robots Txt Blocks Site", "Error", "Site")
-def robots_blocks_site(site: Site) -> DataFrame:
+def robots_blocks_site(site: Site) -> On:
     """Disallow: / while the latest user agent is exactly the wildcard; agent groups don't merge."""
     start = F.struct(F.lit("").alias("agent"), F.lit(False).alias("blocked"))
 
@@ -71,42 +71,42 @@ def robots_blocks_site(site: Site) -> DataFrame:
 
 
 @checks.site("C004", "Robots Txt Blocks Assets", "Warning", "Site")
-def robots_blocks_assets(site: Site) -> DataFrame:
+def robots_blocks_assets(site: Site) -> On:
     blocking = lambda x: (x["directive"] == "disallow") & x["value"].rlike(ASSETS)
     return site.everywhere(F.exists(_lines(F.col("robots_txt")), blocking))
 
 
 @checks.site("C005", "Sitemap Missing", "Warning", "Site")
-def sitemap_missing(site: Site) -> DataFrame:
+def sitemap_missing(site: Site) -> On:
     return site.everywhere(~F.coalesce("sitemap_found", F.lit(False)))
 
 
 @checks.site("C006", "Sitemap Invalid", "Error", "Site")
-def sitemap_invalid(site: Site) -> DataFrame:
+def sitemap_invalid(site: Site) -> On:
     return site.everywhere(F.col("sitemap_found") & (F.col("sitemap_valid") == False))  # noqa: E712
 
 
-def _in_sitemap(site: Site, condition: Column) -> DataFrame:
-    return site.crawl.where(condition).select("url").join(site.sitemap_urls.select("url"), "url", "left_semi")
+def _in_sitemap(condition: Column) -> On:
+    return On("sitemap", condition)
 
 
 @checks.site("C007", "Sitemap Contains Broken URLs", "Error", "Site")
-def sitemap_broken(site: Site) -> DataFrame:
-    return _in_sitemap(site, urls.broken(F.col("status")))
+def sitemap_broken(site: Site) -> On:
+    return _in_sitemap(urls.broken(F.col("status")))
 
 
 @checks.site("C008", "Sitemap Contains Redirected URLs", "Warning", "Site")
-def sitemap_redirected(site: Site) -> DataFrame:
-    return _in_sitemap(site, urls.redirecting(F.col("status")))
+def sitemap_redirected(site: Site) -> On:
+    return _in_sitemap(urls.redirecting(F.col("status")))
 
 
 @checks.site("C009", "Sitemap Contains Noindex URLs", "Warning", "Site")
-def sitemap_noindex(site: Site) -> DataFrame:
-    return _in_sitemap(site, robots_meta().contains("noindex"))
+def sitemap_noindex(site: Site) -> On:
+    return _in_sitemap(robots_meta().contains("noindex"))
 
 
 @checks.site("C010", "Sitemap Not In Robots", "Notice", "Site")
-def sitemap_undeclared(site: Site) -> DataFrame:
+def sitemap_undeclared(site: Site) -> On:
     return site.everywhere(F.col("sitemap_found") & ~F.coalesce("sitemap_declared_in_robots", F.lit(False)))
 
 

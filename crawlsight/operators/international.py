@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import urls
 from .registry import Category
-from .tables import Site
+from .tables import On, Site
 
 checks = Category("International SEO")
 
@@ -53,24 +53,20 @@ def no_return_link(site: Site) -> DataFrame:
     return crawled.join(back, ["url", "href"], "left_anti")
 
 
-def _points_to(site: Site, target: DataFrame) -> DataFrame:
-    return site.hreflang.select("url", F.col("href").alias("target")).join(target, "target", "left_semi")
-
-
 @checks.site("C098", "Hreflang Points To Non-Canonical", "Warning")
-def to_non_canonical(site: Site) -> DataFrame:
+def to_non_canonical(site: Site) -> On:
     own = F.trim(F.coalesce("canonical_url", F.lit("")))
-    return _points_to(site, site.crawl.where((own != "") & (own != F.col("url"))).select(F.col("url").alias("target")))
+    return On("hreflang", (own != "") & (own != F.col("url")))
 
 
 @checks.site("C099", "Hreflang Points To Redirect", "Warning")
-def to_redirect(site: Site) -> DataFrame:
-    return _points_to(site, site.status.where(urls.redirecting(F.col("target_status"))))
+def to_redirect(site: Site) -> On:
+    return On("hreflang", urls.redirecting(F.col("status")))
 
 
 @checks.site("C100", "Hreflang Points To Broken URL", "Error")
-def to_broken(site: Site) -> DataFrame:
-    return _points_to(site, site.status.where(urls.broken(F.col("target_status"))))
+def to_broken(site: Site) -> On:
+    return On("hreflang", urls.broken(F.col("status")))
 
 
 @checks.page("C101", "Multiple X-Default Hreflang", "Warning")

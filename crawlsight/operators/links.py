@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import urls
 from .crawlability import canonical
 from .registry import Category
-from .tables import Site
+from .tables import On, Site
 
 checks = Category("Links")
 
@@ -31,8 +31,8 @@ def _probed(site: Site, condition: Column) -> DataFrame:
 
 
 @checks.site("C081", "Broken External Link", "Warning")
-def broken_external(site: Site) -> DataFrame:
-    return _probed(site, F.col("status") >= 400)
+def broken_external(site: Site) -> On:
+    return On("external", F.col("status") >= 400)
 
 
 @checks.page("C082", "Insecure External Link", "Notice")
@@ -42,13 +42,13 @@ def insecure_external() -> Column:
 
 
 @checks.site("C083", "External Link Redirect Chain", "Notice")
-def redirected_external(site: Site) -> DataFrame:
-    return _probed(site, F.col("redirected"))
+def redirected_external(site: Site) -> On:
+    return On("external", F.col("redirected"))
 
 
 @checks.site("C084", "External Resource Blocked By Robots", "Notice")
-def blocked_external(site: Site) -> DataFrame:
-    return _probed(site, F.col("robots_blocked"))
+def blocked_external(site: Site) -> On:
+    return On("external", F.col("robots_blocked"))
 
 
 @checks.site("C085", "Broken Image Source", "Error")
@@ -65,7 +65,7 @@ def offsite_image() -> Column:
 
 
 @checks.site("C087", "Broken Favicon", "Notice", "Site")
-def broken_favicon(site: Site) -> DataFrame:
+def broken_favicon(site: Site) -> On:
     return site.everywhere(F.col("favicon_status") >= 400)
 
 

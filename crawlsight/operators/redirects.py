@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import urls
 from .graph import redirect_chains
 from .registry import Category
-from .tables import Site
+from .tables import On, Site
 
 checks = Category("Redirects")
 
@@ -29,14 +29,14 @@ def temporary_redirect() -> Column:
     return F.substring("status", 1, 3).isin("302", "307")
 
 
-def links_to(site: Site, condition: Column) -> DataFrame:
+def links_to(condition: Column) -> On:
     """Pages with an internal link to a crawled URL whose status meets a condition on target_status."""
-    return site.internal.select("url", "target").join(site.status.where(condition), "target", "left_semi")
+    return On("internal", condition)
 
 
 @checks.site("C034", "Internal Link To Redirect (Redirects Lens)", "Warning")
-def link_to_redirect(site: Site) -> DataFrame:
-    return links_to(site, urls.redirecting(F.col("target_status")))
+def link_to_redirect(site: Site) -> On:
+    return links_to(urls.redirecting(F.col("target_status")))
 
 
 @checks.site("C035", "Redirect To Broken Destination", "Error")

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 
-from .tables import Site
+from .tables import On, Site
 
 #: Severities with weights, categories with labels (each category weighs 10).
 SEVERITY_WEIGHTS = {"Error": 3, "Warning": 2, "Notice": 1}
@@ -38,7 +38,7 @@ class Check:
     category: str
     severity: str
     level: str
-    rule: Callable[[], Column] | Callable[[Site], DataFrame]
+    rule: Callable[[], Column] | Callable[[Site], DataFrame | On]
     per_page: bool
     extra: bool = False
 
@@ -68,5 +68,5 @@ class Category:
         return self._add(check_id, name, severity, level, True, extra)
 
     def site(self, check_id: str, name: str, severity: str, level: str = "Page", extra: bool = False):
-        """A function that returns a frame with the column url; repeats don't matter."""
+        """A function that returns a frame with the column url, whose repeats don't matter, or a rule on a table of links."""
         return self._add(check_id, name, severity, level, False, extra)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import urls
 from .registry import Category
-from .tables import Site
+from .tables import On, Site
 
 checks = Category("HTTPS & Security")
 
@@ -52,19 +52,19 @@ def no_hsts() -> Column:
 
 
 @checks.site("C026", "SSL Certificate Expired", "Error", "Site")
-def certificate_expired(site: Site) -> DataFrame:
+def certificate_expired(site: Site) -> On:
     ended = F.coalesce(F.col("ssl_info.not_after") < site.now(), F.lit(False))
     return site.everywhere(F.coalesce("ssl_info.expired", F.lit(False)) | ended)
 
 
 @checks.site("C027", "SSL Certificate Expiring Soon", "Warning", "Site")
-def certificate_expiring(site: Site) -> DataFrame:
+def certificate_expiring(site: Site) -> On:
     end, now = F.col("ssl_info.not_after"), site.now()
     return site.everywhere((now <= end) & (end < now + F.expr(f"INTERVAL {EXPIRY_DAYS} DAYS")))
 
 
 @checks.site("C028", "SSL Certificate Hostname Mismatch", "Error", "Site")
-def certificate_host(site: Site) -> DataFrame:
+def certificate_host(site: Site) -> On:
     return site.everywhere(F.col("ssl_info.checked") & (F.col("ssl_info.hostname_matches") == False))  # noqa: E712
 
 

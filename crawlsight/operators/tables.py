@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
@@ -16,6 +16,17 @@ from ..sources.storage import materialised
 SKIPPED = r"^(javascript:|mailto:|tel:|#)"
 
 
+@dataclass(frozen=True)
+class On:
+    """A rule about what links of a table lead to: a condition on the columns of the target's row.
+
+    Rules on one table are judged together, in one join: see ``Site.sides``.
+    """
+
+    table: str
+    condition: Column
+
+
 @dataclass
 class Site:
     """A crawl with its context.
@@ -88,10 +99,45 @@ class Site:
         moved = urls.redirecting(F.col("status")) & (F.coalesce("redirect_target", F.lit("")) != "")
         return self.crawl.where(moved).select("url", F.col("redirect_target").alias("target"))
 
-    def everywhere(self, condition) -> DataFrame:
-        """All URLs if the site context meets a condition: the context is one row, so broadcasting it is bounded."""
-        one = self.context.limit(1).where(F.coalesce(condition, F.lit(False))).select(F.lit(1).alias("_one"))
-        return self.crawl.select("url").join(F.broadcast(one))
+    def everywhere(self, condition: Column) -> On:
+        """All URLs if the site context meets a condition."""
+        return On("context", condition)
+
+    def sides(self, table: str) -> tuple[DataFrame, DataFrame]:
+        """(links with url and target, one row per target) of a table that rules can be ``On``."""
+        target = F.col("url").alias("target")
+        if table == "internal":
+            return self.internal.select("url", "target"), self.status
+        if table == "external":
+            return self.external.select("url", "target"), self.link_probe.withColumnRenamed("url", "target")
+        if table == "hreflang":
+            return self.hreflang.select("url", F.col("href").alias("target")), self.crawl.select(target, "url", "status", "canonical_url")
+        if table == "sitemap":
+            return self.sitemap_urls.select("url", target), self.crawl.withColumn("target", F.col("url"))
+        raise ValueError(f"no table {table}")
+
+    def hits(self, rule: On | DataFrame) -> DataFrame:
+        """The URLs that one rule affects."""
+        if isinstance(rule, DataFrame):
+            return rule.select("url")
+        return self.flags({"": rule}).select("url")
+
+    def flags(self, rules: dict[str, On]) -> DataFrame:
+        """(check_id, url) of rules on one table, given by id.
+
+        Conditions are judged on the targets' side, so only targets that fail a rule meet
+        the links. The context is one row, so broadcasting it is bounded; URLs of the crawl
+        are unique, so its rules need no distinct.
+        """
+        (table,) = {r.table for r in rules.values()}
+        failing = F.filter(F.array(*[F.when(r.condition, F.lit(i)) for i, r in rules.items()]), lambda x: x.isNotNull()).alias("failing")
+        some = F.size("failing") > 0
+        if table == "context":
+            one = self.context.limit(1).select(failing).where(some)
+            return self.crawl.select("url").join(F.broadcast(one)).select(F.explode("failing").alias("check_id"), "url")
+        links, targets = self.sides(table)
+        marked = targets.select("target", failing).where(some)
+        return links.join(marked, "target").select(F.explode("failing").alias("check_id"), "url").distinct()
 
     def now(self):
         return F.lit(self.as_of) if self.as_of else F.current_timestamp()

@@ -20,7 +20,7 @@ from ..operators import (  # noqa: F401  importing registers the checks
     security,
 )
 from ..operators.registry import CATEGORIES, CATEGORY_WEIGHT, CHECKS, SEVERITY_WEIGHTS, Check
-from ..operators.tables import Site
+from ..operators.tables import On, Site
 
 #: The order in which findings are listed; it decides ties among quick wins.
 EVALUATION_ORDER = (
@@ -59,10 +59,12 @@ def page_flags(crawl: DataFrame, wanted: list[Check]) -> DataFrame:
 def flags(site: Site, wanted: list[Check]) -> DataFrame:
     """(check_id, url) of all affected URLs, each once."""
     per_page = [c for c in wanted if c.per_page]
-    frames = [page_flags(site.crawl, per_page).distinct()] if per_page else []
-    frames += [
-        c.rule(site).select(F.lit(c.check_id).alias("check_id"), "url").distinct() for c in wanted if not c.per_page
-    ]
+    frames = [page_flags(site.crawl, per_page)] if per_page else []  # URLs of the crawl are unique
+    found = {c.check_id: c.rule(site) for c in wanted if not c.per_page}
+    on = {i: r for i, r in found.items() if isinstance(r, On)}
+    for table in sorted({r.table for r in on.values()}):
+        frames.append(site.flags({i: r for i, r in on.items() if r.table == table}))
+    frames += [r.select(F.lit(i).alias("check_id"), "url").distinct() for i, r in found.items() if i not in on]
     return reduce(DataFrame.unionByName, frames)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -41,11 +41,12 @@ def frequency(keywords: DataFrame, top: int = 20, first: list[str] | None = None
     )
 
 
-def per_document(keywords: DataFrame, key: str = "doc_id", top: int = 10) -> DataFrame:
-    """(key, keyword, frequency, place): each document's most frequent keywords."""
-    counted = keywords.groupBy(key, "keyword").agg(F.count("*").alias("frequency"), F.min("pos").alias("seen"))
-    place = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("frequency"), "seen"))
-    return counted.withColumn("place", place).where(F.col("place") <= top).drop("seen")
+def per_document(documents: DataFrame, words: Column, key: str = "doc_id", top: int = 10) -> DataFrame:
+    """(key, keyword, frequency, place): each document's most frequent words, the first seen of equal ones; nothing is shuffled."""
+    counted = T.with_counts(documents.select(key, words.alias("words")), "words", "counts")
+    ranked = F.sort_array(F.transform("counts", lambda c: F.struct((-c["n"]).alias("n"), c["seen"].alias("seen"), c["word"].alias("word"))))
+    best = counted.select(key, F.posexplode_outer(F.slice(ranked, 1, top)).alias("at", "c")).where("c IS NOT NULL")
+    return best.select(key, F.col("c.word").alias("keyword"), (-F.col("c.n")).alias("frequency"), (F.col("at") + 1).alias("place"))
 
 
 def intents(ranked: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ def corpus(crawl: DataFrame) -> DataFrame:
 
 
 def terms(documents: DataFrame, key: str, text: str, stop_words: list[str] = T.STOP_WORDS, words: int = 2) -> DataFrame:
-    """(key, term, tf): counts of runs of up to ``words`` words after stop words are gone."""
+    """(key, term, tf): counts of runs of up to ``words`` words after stop words are gone, made within each row; keys are unique."""
     found = F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(r"(?U)\b\w[\w\-]+\b"), F.lit(0))
     kept = documents.select(key, F.filter(found, lambda w: ~w.isin(stop_words)).alias("w"))
     grams = F.col("w")
@@ -27,7 +27,9 @@ def terms(documents: DataFrame, key: str, text: str, stop_words: list[str] = T.S
         starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - (n - 1)))
         run = F.transform(starts, _joined(n))
         grams = F.concat(grams, F.when(F.size("w") >= n, run).otherwise(F.array().cast("array<string>")))
-    return kept.select(key, F.explode(grams).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+    counted = T.with_counts(kept.select(key, grams.alias("grams")), "grams", "counts")
+    rows = counted.select(key, F.explode_outer("counts").alias("c")).where("c IS NOT NULL")
+    return rows.select(key, F.col("c.word").alias("term"), F.col("c.n").alias("tf"))
 
 
 def _joined(n: int):

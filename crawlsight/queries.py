@@ -413,8 +413,7 @@ def content_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def content_top_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's ten most frequent topic words."""
     docs = table(spark, sf_dir, "documents")
-    found = docs.select("doc_id", F.posexplode(T.topic_words(T.squeezed(F.col("text")))).alias("pos", "keyword"))
-    return keywords.per_document(found)
+    return keywords.per_document(docs, T.topic_words(T.squeezed(F.col("text"))))
 
 
 @query
