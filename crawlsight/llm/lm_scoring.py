@@ -7,11 +7,16 @@ word is
 
     count(w1 w2 w3) / count(w1 w2)       if w1 w2 w3 is seen, else
     BACKOFF * count(w2 w3) / count(w2)   if w2 w3 is seen, else
-    BACKOFF ** 2 * count(w3) / words
+    BACKOFF ** 2 * count(w3) / words     if w3 is seen, else
+    BACKOFF ** 3 / words
 
 where a text's first words start at a lower order without a penalty for the orders
 that they can't have. A text's score is the sum of the logarithms.
 
+Counts are those of the other texts (``others``): a text's own n-grams are taken off the
+tables' counts and its words off the number of words, so that no text is scored by itself
+and what only it says backs off. Without ``others`` counts are those of all texts.
+
 The plan is a join of exploded n-grams with hash-partitioned count tables, order by
 order:
 
@@ -70,6 +75,18 @@ class Grams:
             # A key's low bits hold its order.
             self.keys.append((mixed(running + np.uint64(order)) & ~np.uint64(3)) | np.uint64(order))
 
+    def own(self) -> list[np.ndarray]:
+        """How often each word's n-grams occur in its text, by order."""
+        out = []
+        for order, keys in enumerate(self.keys):
+            at = np.flatnonzero(self.place >= order)
+            together = mixed(keys[at] + mixed(self.text[at].astype(np.uint64)))
+            _, index, count = np.unique(together, return_inverse=True, return_counts=True)
+            found = np.zeros(len(self.place), np.int64)
+            found[at] = count[index]
+            out.append(found)
+        return out
+
     def low(self) -> Counted:
         """Words and pairs."""
         return Counted([(self.keys[0], np.arange(len(self.place))), (self.keys[1], np.flatnonzero(self.place >= 1))])
@@ -120,7 +137,12 @@ def count_table(questions: list[bytes]) -> tuple[list[bytes], int]:
     return [C.pack_counts(c) for c in joined], int(counts[(keys & np.uint64(3)) == 1].sum())
 
 
-def scores(documents: DataFrame, min_count: int = 1) -> DataFrame:
+def _own_before(own: np.ndarray, grams: Grams, order: int) -> np.ndarray:
+    """How often the n-gram that ends a word earlier occurs in the text, where there is one."""
+    return np.where(grams.place >= order, np.roll(own, 1), 0)
+
+
+def scores(documents: DataFrame, min_count: int = 1, others: bool = True) -> DataFrame:
     """doc_id, n_words, log_score: one row per input row."""
     space = Workspace(documents.sparkSession, "lm-scoring")
     buckets = C.bucket_count(documents)
@@ -143,10 +165,15 @@ def scores(documents: DataFrame, min_count: int = 1) -> DataFrame:
         one, two = grams.low().totals(row.low, size)
         # A triple that wasn't asked for occurs here and nowhere else.
         three = np.where(place >= 2, grams.triples(two).totals(row.triples, size, 1)[0], 0)
-        before, pair = np.roll(one, 1), np.roll(two, 1)
+        before, pair, elsewhere = np.roll(one, 1), np.roll(two, 1), np.full(size, total)
+        if others:
+            own = grams.own()
+            before, pair = before - _own_before(own[0], grams, 1), pair - _own_before(own[1], grams, 2)
+            one, two, three = one - own[0], two - own[1], three - own[2]
+            elsewhere = total - np.bincount(text, minlength=len(chunk.ids))[text]
         use3 = (place >= 2) & (three >= min_count)
         use2 = ~use3 & (place >= 1) & (two >= min_count)
-        value = BACKOFF ** np.minimum(place, 2) * one / max(1, total)
+        value = BACKOFF ** np.minimum(place, 2) * np.where(one > 0, one, BACKOFF) / np.maximum(1, elsewhere)
         value = np.where(use2, BACKOFF ** (np.minimum(place, 2) - 1.0) * two / np.maximum(before, 1), value)
         value = np.where(use3, three / np.maximum(pair, 1), value)
         texts = len(chunk.ids)

@@ -189,18 +189,18 @@ WITH words AS (
     LATERAL (SELECT unnest(d.ws) AS w, generate_subscripts(d.ws, 1) AS i) u
 ), grams AS (
   SELECT n, doc_id, i, w AS c, lag(w) OVER t AS b, lag(w, 2) OVER t AS a FROM words WINDOW t AS (PARTITION BY n ORDER BY i)
-), one AS (SELECT c, count(*) AS n1 FROM grams GROUP BY c),
-two AS (SELECT b, c, count(*) AS n2 FROM grams WHERE b IS NOT NULL GROUP BY b, c),
-three AS (SELECT a, b, c, count(*) AS n3 FROM grams WHERE a IS NOT NULL GROUP BY a, b, c),
-total AS (SELECT sum(n1)::DOUBLE AS words FROM one),
+), one AS (SELECT n, c, count(*) AS n1, sum(count(*)) OVER (PARTITION BY c) - count(*) AS r1 FROM grams GROUP BY n, c),
+two AS (SELECT n, b, c, sum(count(*)) OVER (PARTITION BY b, c) - count(*) AS r2 FROM grams WHERE b IS NOT NULL GROUP BY n, b, c),
+three AS (SELECT n, a, b, c, sum(count(*)) OVER (PARTITION BY a, b, c) - count(*) AS r3 FROM grams WHERE a IS NOT NULL GROUP BY n, a, b, c),
+total AS (SELECT n, sum(sum(n1)) OVER () - sum(n1) AS words FROM one GROUP BY n),
 scored AS (
-  SELECT g.n, CASE
-    WHEN g.a IS NOT NULL THEN ln(n3 / p.n2)
-    WHEN g.b IS NOT NULL THEN ln(q.n2 / o.n1)
-    ELSE ln(u.n1 / words) END AS s
-  FROM grams g JOIN one u ON u.c = g.c CROSS JOIN total
-    LEFT JOIN one o ON o.c = g.b LEFT JOIN two q ON q.b = g.b AND q.c = g.c
-    LEFT JOIN two p ON p.b = g.a AND p.c = g.b LEFT JOIN three t ON t.a = g.a AND t.b = g.b AND t.c = g.c
+  SELECT g.n, ln(CASE WHEN r3 > 0 THEN r3 / p.r2
+    WHEN q.r2 > 0 THEN CASE WHEN g.a IS NULL THEN 1 ELSE 0.4::DOUBLE END * q.r2 / o.r1
+    ELSE CASE WHEN g.b IS NULL THEN 1 WHEN g.a IS NULL THEN 0.4::DOUBLE ELSE 0.4::DOUBLE * 0.4 END
+      * CASE WHEN u.r1 > 0 THEN u.r1 ELSE 0.4::DOUBLE END / greatest(1, words) END) AS s
+  FROM grams g JOIN one u ON u.n = g.n AND u.c = g.c JOIN total ON total.n = g.n
+    LEFT JOIN one o ON o.n = g.n AND o.c = g.b LEFT JOIN two q ON q.n = g.n AND q.b = g.b AND q.c = g.c
+    LEFT JOIN two p ON p.n = g.n AND p.b = g.a AND p.c = g.b LEFT JOIN three t ON t.n = g.n AND t.a = g.a AND t.b = g.b AND t.c = g.c
 ), summed AS (SELECT n, count(*) AS k, sum(s) AS s FROM scored GROUP BY n)
 SELECT d.doc_id, coalesce(k, 0)::BIGINT AS n_words, round(coalesce(s, 0), 4) AS log_score
 FROM (SELECT row_number() OVER () AS n, doc_id FROM documents) d LEFT JOIN summed USING (n)

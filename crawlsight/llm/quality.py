@@ -199,7 +199,10 @@ def score_texts(texts: list[bytes], table: np.ndarray, bias: float) -> np.ndarra
 
 
 def train(documents: DataFrame, labels: DataFrame, max_train_docs: int = 5000, max_train_bytes: int = 256 << 20) -> tuple[np.ndarray, float]:
-    """Fit on at most ``max_train_docs`` rows of ``labels`` (doc_id, quality), with whole texts of ``max_train_bytes`` in all."""
+    """Fit on at most ``max_train_docs`` rows of ``labels`` (doc_id, quality), with whole texts of ``max_train_bytes`` in all.
+
+    Repeated rows are learnt from once. No task gathers texts beyond that size, however long the labelled ones are.
+    """
     chosen = (
         labels.where("doc_id IS NOT NULL AND quality IS NOT NULL")
         .groupBy("doc_id")
@@ -207,17 +210,15 @@ def train(documents: DataFrame, labels: DataFrame, max_train_docs: int = 5000, m
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(max_train_docs)
     )
-    place = (F.xxhash64("doc_id"), "doc_id", "text")
-    rows = (
-        documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-        .join(F.broadcast(chosen), "doc_id")
-        .where(F.octet_length("text") <= max_train_bytes // 100)
-        .orderBy(*place)
-        .limit(max_train_docs)
-    )
-    # A window over max_train_docs rows, which the limit has gathered already.
-    held = F.sum(F.octet_length("text")).over(Window.orderBy(*place).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    rows = rows.withColumn("held", held).where(F.col("held") <= max_train_bytes).select("text", "quality")
+    place = (F.xxhash64("doc_id"), "doc_id", "digest")
+    labelled = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    labelled = labelled.withColumns({"digest": F.sha2("text", 256), "size": F.octet_length("text").cast("long")})
+    # Sizes are bounded before any text is moved; the window is over max_train_docs narrow rows, which the limit has gathered already.
+    sizes = labelled.where(F.col("size") <= max_train_bytes // 100).select("doc_id", "digest", "size").distinct().orderBy(*place).limit(max_train_docs)
+    held = F.sum("size").over(Window.orderBy(*place).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    taken = sizes.withColumn("held", held).where(F.col("held") <= max_train_bytes).select("doc_id", "digest")
+    rows = labelled.join(F.broadcast(taken), ["doc_id", "digest"]).dropDuplicates(["doc_id", "digest"])
+    rows = rows.repartition(1).sortWithinPartitions(*place).select("text", "quality")
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts, known = [], []
@@ -228,7 +229,7 @@ def train(documents: DataFrame, labels: DataFrame, max_train_docs: int = 5000, m
             table, bias = Model().fit(texts, np.array(known)).table()
             yield pa.RecordBatch.from_pydict({"weights": [pack(table)], "bias": [bias]})
 
-    # The window has left one partition, so one task has the whole sample; the driver gets the weights.
+    # One task has the whole sample, which is bounded; the driver gets the weights.
     found = rows.mapInArrow(fit, "weights binary, bias double").first()
     if found is None:
         return np.zeros(BUCKETS, np.float32), 0.0

@@ -70,6 +70,7 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document by the counts of all others."""
     scored = lm_scoring.scores(_table(spark, sf_dir, "documents"))
     return scored.withColumn("log_score", F.round("log_score", 4))
 

@@ -28,8 +28,9 @@ no part; vectors of different length are compared as if padded with zeros; bound
 a margin where float64 sums aren't exact, and final scores are integers of any size: a
 score beyond a long ranks as what it is and is given as the nearest long; rows of equal
 score are ordered by vec_id; a row never meets rows with its own vec_id; rows without
-vec_id take no part; repeated rows (same vec_id and vector) count once; extra columns
-are ignored; an empty table gives an empty result.
+vec_id take no part; repeated rows (same vec_id and vector) count once; of several vectors
+with one vec_id each is a query with ranks of its own, and as candidates the best counts;
+extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -49,7 +50,7 @@ from .workspace import Workspace
 FIRST, GROWTH = 64, 1.5
 #: Sums of magnitudes up to which float64 holds every integer, and up to which a long does; beyond the last, bounds are of no use.
 EXACT, LONG, HUGE = 2.0**53, 2.0**63, 2.0**1000
-HIT = "query_id long, vec_id long, score long, place binary"
+HIT = "query_id long, vector long, vec_id long, score long, place binary"
 
 
 def scaled(embeddings: DataFrame) -> DataFrame:
@@ -121,13 +122,13 @@ def contenders(lists: Lists, query: np.ndarray, other: np.ndarray, need: int) ->
     return np.flatnonzero(other & (upper + margin >= kth - margin))
 
 
-def nra_block(lists: Lists, query_ids: np.ndarray, queries: np.ndarray, k: int) -> Iterator[tuple[int, int, int, bytes]]:
-    """The k best (query_id, vec_id, score, place in the order of scores) of one block of rows for each query."""
+def nra_block(lists: Lists, query_ids: list[tuple[int, int]], queries: np.ndarray, k: int) -> Iterator[tuple[int, int, int, int, bytes]]:
+    """The k best (query_id, its vector's number, vec_id, score, place in the order of scores) of one block of rows for each query."""
     width = max(lists.rows.shape[1], queries.shape[1])
     if lists.rows.shape[1] < width:
         lists = Lists(lists.ids, _wide(lists.rows, width))
     whole = _integers(lists.rows)
-    for query_id, query in zip(query_ids, _wide(queries, width)):
+    for (query_id, vector), query in zip(query_ids, _wide(queries, width)):
         other = lists.ids != query_id
         need = min(k, int(other.sum()))
         if not need:
@@ -147,7 +148,7 @@ def nra_block(lists: Lists, query_ids: np.ndarray, queries: np.ndarray, k: int)
             order = sorted(range(len(left)), key=lambda j: (-score[j], lists.ids[left[j]]))
         for j in order[:k]:
             exact = int(score[j])
-            yield int(query_id), int(lists.ids[left[j]]), max(-(2**63), min(2**63 - 1, exact)), ordered(exact)
+            yield int(query_id), int(vector), int(lists.ids[left[j]]), max(-(2**63), min(2**63 - 1, exact)), ordered(exact)
 
 
 def ordered(number: int) -> bytes:
@@ -175,29 +176,30 @@ def top_k(
 
     def gather(group: pd.DataFrame) -> pd.DataFrame:
         rows = _matrix(group["v"])
-        body = pack(np.array(rows.shape, np.int64), group["vec_id"].to_numpy(np.int64), rows)
+        body = pack(np.array(rows.shape, np.int64), group["vec_id"].to_numpy(np.int64), group["vector"].to_numpy(np.int64), rows)
         return pd.DataFrame({"query_block": group["query_block"].iloc[:1], "asks": [body]})
 
     lists = base.select("vec_id", "v", deal("block", blocks)).groupBy("block").applyInPandas(build, "block long, lists binary")
     lists = space.write(lists, "lists", "none")
-    asks = asked.select("vec_id", "v", deal("query_block", query_blocks)).groupBy("query_block")
+    numbered = asked.withColumn("vector", F.row_number().over(Window.partitionBy("vec_id").orderBy("v")).cast("long"))
+    asks = numbered.select("vec_id", "vector", "v", deal("query_block", query_blocks)).groupBy("query_block")
     asks = space.write(asks.applyInPandas(gather, "query_block long, asks binary"), "asks", "none")
 
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         hits: list = []
         if len(left) and len(right):
-            shape, ids, rows = unpack(right["asks"].iloc[0], "i8", "i8", "f8")
-            hits = list(nra_block(Lists.unpacked(left["lists"].iloc[0]), ids, rows.reshape(shape), k))
-        out = pd.DataFrame(hits, columns=["query_id", "vec_id", "score", "place"])
-        return out.astype({"query_id": "int64", "vec_id": "int64", "score": "int64"})
+            shape, ids, vectors, rows = unpack(right["asks"].iloc[0], "i8", "i8", "i8", "f8")
+            hits = list(nra_block(Lists.unpacked(left["lists"].iloc[0]), list(zip(ids, vectors)), rows.reshape(shape), k))
+        out = pd.DataFrame(hits, columns=["query_id", "vector", "vec_id", "score", "place"])
+        return out.astype({"query_id": "int64", "vector": "int64", "vec_id": "int64", "score": "int64"})
 
     keys = ["block", "query_block"]
     left = lists.select("block", spread("query_block", query_blocks), "lists")
     right = asks.select("query_block", spread("block", blocks), "asks")
     hits = left.groupBy(keys).cogroup(right.groupBy(keys)).applyInPandas(search, HIT)
-    order = Window.partitionBy("query_id").orderBy(F.col("best.place").desc(), "vec_id")
+    order = Window.partitionBy("query_id", "vector").orderBy(F.col("best.place").desc(), "vec_id")
     return (
-        hits.groupBy("query_id", "vec_id")
+        hits.groupBy("query_id", "vector", "vec_id")
         .agg(F.max(F.struct("place", "score")).alias("best"))
         .withColumn("rank", F.row_number().over(order))
         .where(F.col("rank") <= k)

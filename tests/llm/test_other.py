@@ -334,7 +334,7 @@ def test_apportionment_is_sainte_lague(spark):
 # --- scoring -----------------------------------------------------------------------------
 
 
-def backoff_scores(rows, seen):
+def backoff_scores(rows, seen, others=True):
     texts = [(d, WORD.findall(lowered(t))) for d, t in rows]
     count = collections.Counter()
     for _, w in texts:
@@ -342,15 +342,21 @@ def backoff_scores(rows, seen):
             count.update(tuple(w[i : i + n]) for i in range(len(w) - n + 1))
     total = sum(v for k, v in count.items() if len(k) == 1)
     out = []
+    everything, words = count, total
     for d, w in texts:
         score = 0.0
+        if others:
+            count = everything.copy()
+            for n in (1, 2, 3):
+                count.subtract(tuple(w[i : i + n]) for i in range(len(w) - n + 1))
+            total = max(1, words - len(w))
         for i in range(len(w)):
             if i >= 2 and count[tuple(w[i - 2 : i + 1])] >= seen:
                 score += math.log(count[tuple(w[i - 2 : i + 1])] / count[tuple(w[i - 2 : i])])
             elif i >= 1 and count[tuple(w[i - 1 : i + 1])] >= seen:
                 score += math.log(0.4 ** (min(i, 2) - 1) * count[tuple(w[i - 1 : i + 1])] / count[(w[i - 1],)])
             else:
-                score += math.log(0.4 ** min(i, 2) * count[(w[i],)] / total)
+                score += math.log(0.4 ** min(i, 2) * (count[(w[i],)] or 0.4) / total)
         out.append((d is None, d or 0, len(w), round(score, 6)))
     return sorted(out)
 
@@ -358,8 +364,9 @@ def backoff_scores(rows, seen):
 @pytest.mark.parametrize("seen", [1, 2, 3])
 def test_scores(spark, seen):
     rows = [(1, "a b c a b c d"), (2, "A b c"), (3, None), (4, ""), (5, "x"), (5, "x"), (None, "a b q"), (6, "d a b \t\n c " * 500)]
-    got = lm_scoring.scores(frame(spark, rows).repartition(3), seen).collect()
-    assert sorted((r.doc_id is None, r.doc_id or 0, r.n_words, round(r.log_score, 6)) for r in got) == backoff_scores(rows, seen)
+    for others in (True, False):
+        got = lm_scoring.scores(frame(spark, rows).repartition(3), seen, others).collect()
+        assert sorted((r.doc_id is None, r.doc_id or 0, r.n_words, round(r.log_score, 6)) for r in got) == backoff_scores(rows, seen, others)
     assert lm_scoring.scores(frame(spark, rows).where("false")).count() == 0
 
 
@@ -471,3 +478,38 @@ def test_digests_are_of_whole_texts(spark):
     text = "long " * 100_000
     row = chat.read_back(chat.format_conversations(spark.createDataFrame([(1, 0, "assistant", text)], "conv_id long, turn long, role string, text string"))).first()
     assert hashlib.sha256(row.loss_text.encode()).digest() == hashlib.sha256(text.encode()).digest()
+
+
+def test_each_vector_of_one_vec_id_is_a_query(spark):
+    """Two vectors of vec_id 50 are ranked apart; as candidates the better one counts."""
+    rows = [(50, [1.0, 0.0]), (50, [0.0, 1.0]), (50, [0.0, 1.0]), (1, [2.0, 0.0]), (2, [0.0, 3.0]), (3, [1.0, 1.0]), (100, [1.0, 2.0])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = topk.top_k(table, table.where("vec_id % 50 = 0"), 2).collect()
+    unit = 256 * 256
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in found) == [
+        (50, 1, 1, 2 * unit), (50, 1, 2, 3 * unit), (50, 2, 3, unit), (50, 2, 100, 2 * unit), (100, 1, 2, 6 * unit), (100, 2, 3, 3 * unit)
+    ]
+
+
+def test_words_back_off(spark):
+    """A text's own n-grams don't count: what others say decides, down to words that no other has."""
+    rows = [(1, "a b c"), (2, "a b c"), (3, "b c new"), (4, "alone")]
+    got = {r.doc_id: r.log_score for r in lm_scoring.scores(frame(spark, rows)).collect()}
+    # b of text 3 in 7 other words; then "b c", seen twice of two; then a word of no other text after a pair.
+    assert got[3] == pytest.approx(math.log(2 / 7) + math.log(2 / 2) + math.log(0.4**3 / 7))
+    assert got[4] == pytest.approx(math.log(0.4 / 9))
+
+
+def test_training_texts_are_bounded_before_they_are_gathered(spark):
+    """The byte bound holds over sizes; only texts within it reach the task that trains."""
+    docs = spark.range(60).selectExpr("id AS doc_id", "repeat(concat('word', id, ' '), 300) AS text")
+    docs = docs.union(docs.where("doc_id < 5"))
+    labels = spark.range(60).selectExpr("id AS doc_id", "CAST(id % 2 AS INT) AS quality")
+    one = 60 * 300 * 7
+    plain = quality.train(docs, labels)
+    same = quality.train(docs, labels, max_train_bytes=100 * one)
+    assert (plain[0] == same[0]).all() and plain[1] == same[1]
+    small = quality.train(docs, labels, max_train_bytes=100 * 2100)
+    assert (small[0] != plain[0]).any()
+    none = quality.train(docs, labels, max_train_bytes=100)
+    assert not none[0].any()
