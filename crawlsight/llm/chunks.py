@@ -8,8 +8,9 @@ into one binary value per bucket and dealt to the bucket's owner; the owner's
 answer, one value per question, returns to the chunk by a join.
 
 Keys are unique within a question, so a key that a third of all texts share
-reaches its owner once per chunk, never once per text. A bucket holds the keys of
-``BUCKET_BYTES`` of text, so an owner's memory doesn't grow with the input. In
+reaches its owner once per chunk, never once per text. A bucket holds the distinct keys of
+``BUCKET_BYTES`` of text on average; what an owner holds beyond them grows with the number
+of chunks that share a bucket's keys, a packed key and an entry per chunk. In
 ``exchanged``, an owner has a range of buckets and takes one at a time; a task's
 questions to a range travel as one row per ``BATCH_BYTES``, and ranges are as many
 as the session has shuffle partitions while they stay below ``RANGE_BYTES`` of text:
