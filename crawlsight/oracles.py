@@ -482,6 +482,20 @@ SELECT a.url AS favicon_url, a.status AS favicon_status, n > 50 AS external_link
 ORACLE_SQL["sitemap_files"] = """
 WITH good AS (SELECT url FROM pages WHERE page_id % 23 NOT IN (SELECT page_id % 23 FROM pages WHERE page_id % 46 = 3) AND page_id % 23 % 10 <> 7)
 SELECT url, '' AS code, '' AS href FROM good UNION ALL SELECT url, 'fr', url FROM good"""
+ORACLE_SQL["crawl_hosts"] = f"""
+WITH RECURSIVE hosts AS (SELECT DISTINCT {_URL_SQL['host']} AS host FROM pages),
+r AS (SELECT 0 AS k, 0 AS depth UNION ALL
+  SELECT t, depth + 1 FROM r, LATERAL (SELECT unnest(CASE WHEN k = 6 OR (k % 7 <> 3 AND k % 5 = 4) THEN [] WHEN k % 7 = 3 THEN [2 * k + 1]
+    ELSE list_filter([2 * k + 1, 2 * k + 2], lambda x: x < 40) END) AS t) q),
+taken AS (SELECT k, depth FROM r ORDER BY k LIMIT 12)
+SELECT 'https://' || host || '/0' AS site, 'https://' || host || '/' || k AS url, depth,
+  CASE WHEN k = 6 THEN 'Error' WHEN k % 7 = 3 THEN '301' WHEN k % 5 = 4 THEN '404' ELSE '200' END AS status,
+  CASE WHEN k = 6 THEN 'Blocked by robots.txt' WHEN k % 7 = 3 THEN 'Redirect' WHEN k % 5 = 4 THEN 'HTTP Error' ELSE 'Success' END AS crawl_status,
+  CASE WHEN k <> 6 AND k % 7 = 3 THEN 'https://' || host || '/' || (2 * k + 1) ELSE '' END AS redirect_target FROM hosts, taken"""
+ORACLE_SQL["csv_round_trip"] = "SELECT doc_id, sha1(text) AS text_sha1, length(text)::INTEGER AS chars, lang FROM documents"
+ORACLE_SQL["page_backfilled"] = """SELECT page_id, length(html)::INTEGER AS heading_count, 0::INTEGER AS image_count, 0.0::DOUBLE AS link_to_word_ratio,
+  '' AS canonical_url, '' AS og_title, '' AS og_description FROM pages"""
+ORACLE_SQL["organic_degenerate"] = "SELECT doc_id, 0::INTEGER AS terms, '' AS top_terms, 'unknown' AS top_term_intent FROM documents"
 ORACLE_SQL["audit_changes"] = f"""
 WITH words AS (SELECT page_id, CASE WHEN t = '' THEN 0 ELSE len(string_split(t, ' ')) END AS n FROM (SELECT page_id, {_TEXT_SQL} AS t FROM pages) q)
 SELECT url, CASE WHEN page_id % 5 = 0 THEN 'added' WHEN page_id % 4 = 1 THEN 'gone' WHEN page_id % 3 = 0 THEN 'changed' ELSE 'same' END AS change,

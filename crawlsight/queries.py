@@ -12,7 +12,7 @@ from .functions import text as T
 from .operators import amp, architecture, graph, international, links, on_page, tables
 from .operators.registry import CATEGORIES
 from .plans import health, keywords, organic, quantiles, site_audit, summary
-from .sources import audits, context, probes, sitemaps
+from .sources import audits, context, crawler, files, probes, sitemaps
 from .sources import pages as P
 from .sources.demo import demo_site
 from .sources.storage import materialised, scratch
@@ -330,6 +330,48 @@ def sitemap_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("url", F.lit("").alias("code"), F.lit("").alias("href")).union(links.select("url", "code", "href"))
 
 
+def fixed_site(url: str) -> dict:
+    """Stands for the network: a host's page k links to pages 2k + 1 and 2k + 2, is moved to the first of them, or is gone."""
+    k = int(url.rsplit("/", 1)[1] or 0)
+    if k % 7 == 3:
+        return {"status": 301, "location": f"/{2 * k + 1}"}
+    if k % 5 == 4:
+        return {"status": 404}
+    return {"status": 200, "html": "".join(f'<a href="/{t}">x</a>' for t in (2 * k + 1, 2 * k + 2) if t < 40)}
+
+
+@query
+def crawl_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A crawl of every host of the pages, twelve pages each, from a fixed rule: what is taken, at which depth, and how it went."""
+    host = urls.netloc(F.col("url"))
+    seeds = table(spark, sf_dir, "pages").select(F.concat(F.lit("https://"), host, F.lit("/0")).alias("url")).distinct()
+    found = crawler.crawl_sites(seeds, fixed_site, 12, "User-agent: *\nDisallow: /6", delay=0.0)
+    return found.select("site", "url", "depth", "status", "crawl_status", F.coalesce("redirect_target", F.lit("")).alias("redirect_target"))
+
+
+@query
+def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents through the CSV sink and back."""
+    path = scratch(spark, "csv")
+    files.write_csv(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), path)
+    back = files.read_csv(spark, path, "doc_id long, text string, lang string")
+    return back.select("doc_id", F.sha1("text").alias("text_sha1"), F.length("text").alias("chars"), "lang")
+
+
+@query
+def page_backfilled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Optional columns that a result table lacks; those that it has stay."""
+    return P.with_optional_columns(table(spark, sf_dir, "pages").select("page_id", F.length("html").alias("heading_count")))
+
+
+@query
+def organic_degenerate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold nothing but stop words, or nothing: no terms, and an unknown intent."""
+    text = F.when(F.col("doc_id") % 3 == 0, "The and OF the").when(F.col("doc_id") % 3 == 1, "")
+    docs = table(spark, sf_dir, "documents").select("doc_id", text.alias("text"))
+    return organic.candidates(docs, "doc_id", "text").select("doc_id", F.size("keywords").alias("terms"), "top_terms", "top_term_intent")
+
+
 @query
 def audit_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two stored crawls of the pages, the second with pages added, gone and edited: what changed, and whose parse the second uses."""
