@@ -114,7 +114,7 @@ def sitemap_undeclared(site: Site) -> On:
 def page_blocked(site: Site) -> DataFrame:
     """Pages whose path the wildcard group of robots.txt disallows; the longest matching rule wins."""
     rules = F.broadcast(site.context.limit(1).select(F.coalesce("robots_txt", F.lit("")).alias("robots_txt")))
-    return site.crawl.select("url").join(rules).where(blocked_paths("url", "robots_txt")).select("url")
+    return site.crawl.select("url").join(rules).where(blocked_paths("url", "robots_txt", "longest")).select("url")
 
 
 @checks.page("C012", "Noindex Directive", "Warning")

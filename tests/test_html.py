@@ -1,7 +1,7 @@
 """The parser on awkward markup."""
 
 from crawlsight.functions.html import excerpt, parse_page
-from crawlsight.functions.robots import allowed, rules_for
+from crawlsight.functions.robots import LongestRules, rules_for
 from crawlsight.schemas import EXCERPT_CHARS, TRUNCATED
 
 URL = "https://s.example/dir/page"
@@ -57,6 +57,8 @@ def test_empty_page():
 
 
 def test_robots_rules():
-    rules = rules_for("User-agent: a\nUser-agent: b\nDisallow: /x\n\nUser-agent: *\nDisallow:\nAllow: /", "b")
-    assert not allowed(rules, "/xy") and allowed(rules, "/y")
-    assert allowed(rules_for("", "b"), "/x")
+    text = "User-agent: a\nUser-agent: b\nDisallow: /x\n\nUser-agent: *\nDisallow:\nAllow: /"
+    assert rules_for(text, "b") == [("/x", False)] and rules_for(text) == [("/", True)]
+    rules = LongestRules(text, "b")
+    assert rules.blocks("https://s.example/xy") and not rules.blocks("https://s.example/y")
+    assert not LongestRules("", "b").blocks("https://s.example/x")
