@@ -35,6 +35,8 @@ from .politeness import DELAY, Pace, by_host
 from .storage import checkpointed
 
 _COLUMNS = [column.split()[0] for column in FETCHED.split(", ")]
+#: Pages that a task holds before it hands them on.
+HELD_PAGES = 64
 
 
 def _root(url: str) -> str:
@@ -125,7 +127,11 @@ def crawl_sites(
                 rows.append(fetched_row(url, fetch, rules, policy) | {"site": site})
                 if not rows[-1]["crawl_status"].startswith("Blocked"):
                     pace.done(host)
-            yield pd.DataFrame(rows, columns=[*_COLUMNS, "site"])
+                if len(rows) == HELD_PAGES:
+                    yield pd.DataFrame(rows, columns=[*_COLUMNS, "site"])
+                    rows = []
+            if rows:
+                yield pd.DataFrame(rows, columns=[*_COLUMNS, "site"])
 
     frontier = seeds.select(normalised(F.col("url")).alias("url")).distinct()
     frontier = checkpointed(spark, frontier.select("url", F.col("url").alias("site"), F.lit(1).alias("place")))
