@@ -19,8 +19,10 @@ this lets reach the k-th best lower bound get their final score resolved as an e
 integer sum.
 
 Candidates are taken in blocks of ``block_rows`` and queries in blocks of
-``query_rows``; each block pair is a task of bounded size, and each candidate
-block returns k rows per query.
+``query_rows``. A candidate block's lists are dealt once, and the query blocks follow
+them in order: a task holds the lists of one block and streams the queries past
+them, so the bytes of the lists that move don't depend on the number of queries. A
+candidate block returns k rows per query.
 
 Edge cases: components become floor(256 * x) with x as double; vectors that are
 null, empty, or hold a component that is null or non-finite, times 256 at least, take
@@ -50,6 +52,8 @@ from .workspace import Workspace
 FIRST, GROWTH = 64, 1.5
 #: Sums of magnitudes up to which float64 holds every integer, and up to which a long does; beyond the last, bounds are of no use.
 EXACT, LONG, HUGE = 2.0**53, 2.0**63, 2.0**1000
+#: Stands for a query block's number where a row holds a block's lists: they come before the queries.
+LISTS = -1
 HIT = "query_id long, vector long, vec_id long, score long, place binary"
 
 
@@ -168,7 +172,6 @@ def top_k(
     blocks = max(1, -(-embeddings.count() // block_rows))
     query_blocks = max(1, -(-queries.count() // query_rows))
     deal = lambda name, n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).alias(name)
-    spread = lambda name, n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias(name)
 
     def build(group: pd.DataFrame) -> pd.DataFrame:
         body = Lists(group["vec_id"].to_numpy(np.int64), _matrix(group["v"])).packed()
@@ -185,18 +188,23 @@ def top_k(
     asks = numbered.select("vec_id", "vector", "v", deal("query_block", query_blocks)).groupBy("query_block")
     asks = space.write(asks.applyInPandas(gather, "query_block long, asks binary"), "asks", "none")
 
-    def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        hits: list = []
-        if len(left) and len(right):
-            shape, ids, vectors, rows = unpack(right["asks"].iloc[0], "i8", "i8", "i8", "f8")
-            hits = list(nra_block(Lists.unpacked(left["lists"].iloc[0]), list(zip(ids, vectors)), rows.reshape(shape), k))
-        out = pd.DataFrame(hits, columns=["query_id", "vector", "vec_id", "score", "place"])
-        return out.astype({"query_id": "int64", "vector": "int64", "vec_id": "int64", "score": "int64"})
-
-    keys = ["block", "query_block"]
-    left = lists.select("block", spread("query_block", query_blocks), "lists")
-    right = asks.select("query_block", spread("block", blocks), "asks")
-    hits = left.groupBy(keys).cogroup(right.groupBy(keys)).applyInPandas(search, HIT)
+    def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, held = None, None
+        for frame in frames:
+            for block, query_block, body in zip(frame["block"], frame["query_block"], frame["body"]):
+                if query_block == LISTS:
+                    at, held = block, Lists.unpacked(body)
+                elif block == at:  # else a block that no candidate fell into
+                    shape, ids, vectors, rows = unpack(body, "i8", "i8", "i8", "f8")
+                    hits = list(nra_block(held, list(zip(ids, vectors)), rows.reshape(shape), k))
+                    out = pd.DataFrame(hits, columns=["query_id", "vector", "vec_id", "score", "place"])
+                    yield out.astype({"query_id": "int64", "vector": "int64", "vec_id": "int64", "score": "int64"})
+
+    number = F.lit(LISTS).cast("long").alias("query_block")
+    each = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block")
+    dealt = lists.select("block", number, F.col("lists").alias("body")).union(asks.select(each, "query_block", F.col("asks").alias("body")))
+    dealt = dealt.repartition("block").sortWithinPartitions("block", "query_block")
+    hits = dealt.mapInPandas(search, HIT)
     order = Window.partitionBy("query_id", "vector").orderBy(F.col("best.place").desc(), "vec_id")
     return (
         hits.groupBy("query_id", "vector", "vec_id")

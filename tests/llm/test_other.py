@@ -513,3 +513,26 @@ def test_training_texts_are_bounded_before_they_are_gathered(spark):
     assert (small[0] != plain[0]).any()
     none = quality.train(docs, labels, max_train_bytes=100)
     assert not none[0].any()
+
+
+def test_lists_move_once(spark, capfd):
+    """However many blocks of queries there are, a block's lists are one row of the exchange that meets them."""
+    rng = np.random.default_rng(4)
+    table = spark.createDataFrame([(i, [float(x) for x in rng.normal(0, 1, 4)]) for i in range(120)], "vec_id long, embedding array<double>")
+    seen = []
+    for query_rows in (1, 30, 500):
+        found = topk.top_k(table, table, 2, block_rows=30, query_rows=query_rows)
+        found.explain()
+        plan = capfd.readouterr().out
+        assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan and "FlatMapCoGroups" not in plan
+        seen.append(sorted(map(tuple, found.collect())))
+    assert seen[0] == seen[1] == seen[2] == best([(r.vec_id, r.embedding) for r in table.collect()], set(range(120)), 2)
+
+
+def test_ids_of_every_code_point():
+    """The ranks give the tokenizer's ids with every code point between letters, digits, marks and blanks."""
+    tokenizer, ranks = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), public_tokenizers.path("byte_bpe_50k.tiktoken")
+    points = [chr(i) for i in range(0x110000) if not 0xD800 <= i < 0xE000]
+    for at in range(0, len(points), 256):
+        text = "".join(f"a{c}1 {c}!{c}  {c}a" for c in points[at : at + 256])
+        assert packing.token_ids(text, ranks) == tokenizer.encode(text, add_special_tokens=False).ids
