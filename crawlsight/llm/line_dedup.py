@@ -24,7 +24,9 @@ n - ceil(percent * n) + 1 tokens, whatever total order all lines' tokens are in.
 
 Edge cases: null texts are empty; an empty text has one line without words; a line
 ends with the character 10; rows with the same doc_id are ordered by line number and,
-where that ties, both stay; rows without doc_id come last; an empty table gives an
+where that ties, both stay; rows without doc_id come last;
+the doc_id 2^63-1 stands for a missing one and
+comes back as null; an empty table gives an
 empty result; a very long text, of any number of lines, is one chunk and judged as a
 whole; extra columns are ignored.
 """

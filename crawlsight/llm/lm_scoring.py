@@ -37,7 +37,8 @@ moves grows with the corpus and no faster.
 
 N-grams are identified by their order and 62 bits of a hash. Edge cases: null and empty
 texts have no words and the score 0; repeated rows count as often as they occur; rows
-without doc_id are scored like others; a very long text is one chunk, scored as a whole;
+without doc_id are scored like others; the doc_id 2^63-1 stands for a missing one and
+comes back as null; a very long text is one chunk, scored as a whole;
 an empty table gives an empty result; extra columns are ignored.
 """
 

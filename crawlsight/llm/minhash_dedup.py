@@ -23,7 +23,9 @@
 Edge cases: null texts, empty texts and texts of white space have an empty set and
 link with nothing; texts with fewer than five words have one shingle, the whole
 sequence; rows with the same doc_id are one document with several texts and share
-their component; rows without doc_id link with nothing and are kept; very long texts
+their component; rows without doc_id link with nothing and are kept;
+the doc_id 2^63-1 stands for a missing one and
+comes back as null; very long texts
 enter with all their shingles; an empty table gives an empty result; extra columns are
 ignored by ``near_groups`` and returned as they are by ``drop_near_copies``, whatever
 their names.

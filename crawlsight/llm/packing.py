@@ -24,7 +24,8 @@ in 32 where they don't.
 Edge cases: null and empty texts consist of the terminator; a very long text is one
 row of its source's queue and is cut into sequences like others; a null source is a
 source of its own; repeated rows and rows without doc_id are packed as documents of
-their own; an empty table gives an empty result; a weight of 0 or less is refused;
+their own; the doc_id 2^63-1 stands for a missing one and
+comes back as null; an empty table gives an empty result; a weight of 0 or less is refused;
 extra columns are ignored, whatever their names.
 """
 

@@ -38,8 +38,9 @@ one bucket, ``chunks.BUCKET_BYTES`` of text, unpacked.
 Edge cases: null texts are empty; texts shorter than ``WIDTH`` bytes lose nothing;
 a very long text is one chunk and cut like any other; matches never cross documents,
 and a document's own repeats stay; rows with the same doc_id don't match each other;
-rows without doc_id come after all others and don't match each other; an empty table
-gives an empty result; extra columns are ignored.
+rows without doc_id come after all others and don't match each other; the doc_id 2^63-1 stands for a missing one and
+comes back as null;
+an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations

@@ -13,7 +13,7 @@ from conftest import MEDIUM, SMALL
 from helpers import WORD, frame, lowered, slow_mix, slow_score, water_filled
 from tokenizers import Tokenizer
 
-from crawlsight.llm import chat, chunks, lm_scoring, mixing, packing, quality, topk
+from crawlsight.llm import chat, chunks, line_dedup, lm_scoring, minhash_dedup, mixing, packing, quality, suffix_dedup, topk
 from crawlsight.llm.chunks import unpack
 from crawlsight.llm.queries import QUERIES
 
@@ -515,8 +515,8 @@ def test_training_texts_are_bounded_before_they_are_gathered(spark):
     assert not none[0].any()
 
 
-def test_lists_move_once(spark, capfd):
-    """However many blocks of queries there are, a block's lists are one row of the exchange that meets them."""
+def test_queries_stream_past_the_lists(spark, capfd):
+    """Results don't depend on the blocks of queries, and no join pairs them with blocks of candidates."""
     rng = np.random.default_rng(4)
     table = spark.createDataFrame([(i, [float(x) for x in rng.normal(0, 1, 4)]) for i in range(120)], "vec_id long, embedding array<double>")
     seen = []
@@ -536,3 +536,11 @@ def test_ids_of_every_code_point():
     for at in range(0, len(points), 256):
         text = "".join(f"a{c}1 {c}!{c}  {c}a" for c in points[at : at + 256])
         assert packing.token_ids(text, ranks) == tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_the_largest_doc_id_stands_for_a_missing_one(spark):
+    """Operators on chunks and packing give such a row back with a null id, with its result."""
+    docs = frame(spark, [(2**63 - 1, "a b c d e f g"), (1, "h i j k l m n")])
+    sourced = docs.selectExpr("doc_id", "text", "'s' AS source")
+    for found in (suffix_dedup.removals(docs), packing.pack_sequences(sourced), minhash_dedup.near_groups(docs), line_dedup.removed_lines(docs), lm_scoring.scores(docs)):
+        assert {r.doc_id for r in found.collect()} == {None, 1}
