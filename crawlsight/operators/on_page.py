@@ -16,15 +16,20 @@ TITLE_LENGTH, DESCRIPTION_LENGTH = (30, 60), (70, 160)
 THIN_WORDS, TEXT_SHARE, URL_LENGTH, URL_PARAMETERS = 300, 0.10, 115, 3
 
 
-def duplicates(pages: DataFrame, value: Column) -> DataFrame:
-    """(url, value) of rows whose non-blank value another row has too.
+def sharing(pages: DataFrame, value: Column) -> DataFrame:
+    """(url, value) of all rows whose non-blank value another row has too.
 
     Values are counted with partial aggregation and joined back, so that a value
     which most pages share is no hot window partition.
     """
     rows = pages.select("url", value.alias("value")).where(~urls.blank(F.col("value")))
     again = rows.groupBy("value").agg(F.count("*").alias("n")).where("n > 1").select("value")
-    return rows.join(again, "value", "left_semi").select("url", "value").distinct()
+    return rows.join(again, "value", "left_semi").select("url", "value")
+
+
+def duplicates(pages: DataFrame, value: Column) -> DataFrame:
+    """(url, value) of rows whose non-blank value another row has too, each once."""
+    return sharing(pages, value).distinct()
 
 
 def content_hash() -> Column:
@@ -48,9 +53,9 @@ def title_long() -> Column:
     return F.length("title") > TITLE_LENGTH[1]
 
 
-@checks.site("C044", "Duplicate Titles", "Error", "Site")
+@checks.site("C044", "Duplicate Titles", "Error", "Site", of_rows=True)
 def same_title(site: Site) -> DataFrame:
-    return duplicates(site.crawl, F.col("title"))
+    return sharing(site.crawl, F.col("title"))
 
 
 @checks.page("C045", "Missing Description", "Warning")
@@ -68,9 +73,9 @@ def description_long() -> Column:
     return F.length("description") > DESCRIPTION_LENGTH[1]
 
 
-@checks.site("C048", "Duplicate Meta Descriptions", "Warning", "Site")
+@checks.site("C048", "Duplicate Meta Descriptions", "Warning", "Site", of_rows=True)
 def same_description(site: Site) -> DataFrame:
-    return duplicates(site.crawl, F.col("description"))
+    return sharing(site.crawl, F.col("description"))
 
 
 @checks.page("C049", "Missing H1", "Error")
@@ -83,9 +88,9 @@ def several_h1() -> Column:
     return F.size(F.filter("h.levels", lambda x: x == 1)) > 1
 
 
-@checks.site("C051", "Duplicate H1 Tags", "Warning", "Site")
+@checks.site("C051", "Duplicate H1 Tags", "Warning", "Site", of_rows=True)
 def same_h1(site: Site) -> DataFrame:
-    return duplicates(site.crawl, F.col("h1"))
+    return sharing(site.crawl, F.col("h1"))
 
 
 @checks.page("C052", "H1 Duplicates Title", "Notice")
@@ -98,15 +103,15 @@ def thin() -> Column:
     return F.col("word_count") < THIN_WORDS
 
 
-@checks.site("C054", "Duplicate Body Content", "Error", "Site")
+@checks.site("C054", "Duplicate Body Content", "Error", "Site", of_rows=True)
 def same_body(site: Site) -> DataFrame:
-    return duplicates(site.crawl, content_hash())
+    return sharing(site.crawl, content_hash())
 
 
-@checks.site("C055", "Exact Duplicate Page", "Error", "Site", extra=True)
+@checks.site("C055", "Exact Duplicate Page", "Error", "Site", extra=True, of_rows=True)
 def same_html(site: Site) -> DataFrame:
     html = F.coalesce("html", F.lit(""))
-    return duplicates(site.crawl, F.when(html == "", F.lit("")).otherwise(F.sha1(html)))
+    return sharing(site.crawl, F.when(html == "", F.lit("")).otherwise(F.sha1(html)))
 
 
 @checks.page("C056", "Missing Canonical", "Warning")
@@ -114,7 +119,7 @@ def no_canonical() -> Column:
     return urls.blank(F.col("canonical_url"))
 
 
-@checks.site("C057", "Keyword Cannibalization", "Warning", "Site", extra=True)
+@checks.site("C057", "Keyword Cannibalization", "Warning", "Site", extra=True, of_rows=True)
 def cannibalization(site: Site) -> DataFrame:
     """Pages whose whole title and whole H1 name the same words as another page's, in any order."""
     words = F.array_sort(
@@ -125,7 +130,7 @@ def cannibalization(site: Site) -> DataFrame:
             )
         )
     )
-    return duplicates(site.crawl, F.array_join(words, " "))
+    return sharing(site.crawl, F.array_join(words, " "))
 
 
 @checks.page("C058", "Low Text-to-HTML Ratio", "Notice")
