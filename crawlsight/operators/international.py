@@ -126,29 +126,23 @@ def duplicate_code() -> Column:
 
 def detected_language(text: Column) -> Column:
     """struct(language, share): the language whose frequent words make up most of a text; null below 20 words."""
-    words = F.regexp_extract_all(F.lower(text), F.lit("[a-zà-ÿ]+"), F.lit(0))
+    found = F.regexp_extract_all(F.lower(text), F.lit("[a-zà-ÿ]+"), F.lit(0))
 
-    def share(language: str) -> Column:
-        known = F.lit(STOP_WORDS[language].split())
-        return F.size(F.filter(words, lambda w: F.array_contains(known, w))) / F.size(words)
+    def best(words: Column) -> Column:
+        def score(rank: int, language: str) -> Column:
+            share = F.size(F.filter(words, lambda w: w.isin(STOP_WORDS[language].split()))) / F.size(words)
+            return F.struct(share.alias("share"), F.lit(-rank).alias("rank"), F.lit(language).alias("language"))
 
-    scores = F.array(
-        *[
-            F.struct(share(language).alias("share"), F.lit(-rank).alias("rank"), F.lit(language).alias("language"))
-            for rank, language in enumerate(STOP_WORDS)
-        ]
-    )
-    best = F.array_max(scores)
-    return F.when(
-        (F.size(words) >= LEAST_WORDS) & (best["share"] > 0), F.struct(best["language"].alias("language"), best["share"].alias("share"))
-    )
+        scores = F.array(*[score(rank, language) for rank, language in enumerate(STOP_WORDS)])
+        return F.when(F.size(words) >= LEAST_WORDS, F.array_max(scores))
+
+    # Lambdas' variables stand for the words and for the best score, which are made once.
+    scored = F.transform(F.array(found), best)
+    told = F.transform(scored, lambda b: F.when(b["share"] > 0, F.struct(b["language"].alias("language"), b["share"].alias("share"))))
+    return F.get(told, F.lit(0))
 
 
 @checks.page("C107", "Content Language Mismatch", "Notice")
 def language_mismatch() -> Column:
-    found = detected_language(F.col("h.text"))
-    return (
-        primary(F.col("h.lang")).isin(*STOP_WORDS)
-        & (found["share"] >= LEAST_SHARE)
-        & (found["language"] != primary(F.col("h.lang")))
-    )
+    other = lambda found: (found["share"] >= LEAST_SHARE) & (found["language"] != primary(F.col("h.lang")))
+    return primary(F.col("h.lang")).isin(*STOP_WORDS) & F.exists(F.array(detected_language(F.col("h.text"))), other)
