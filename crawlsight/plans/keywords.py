@@ -26,6 +26,12 @@ def counted(keywords: DataFrame, first: list[str] | None = None) -> DataFrame:
     return materialised(keywords.sparkSession, counts, "keywords")
 
 
+def totals(keywords: DataFrame) -> DataFrame:
+    """One row: how many keywords there are, and how many different ones; texts are tokenised once and keywords counted before they move."""
+    counts = keywords.groupBy("keyword").agg(F.count("*").alias("n"))
+    return counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total_keywords"), F.count("*").alias("unique_keywords"))
+
+
 def frequency(keywords: DataFrame, top: int = 20, first: list[str] | None = None) -> DataFrame:
     """(keyword, frequency, percentage, place) of the most frequent keywords; only they are sorted in one place."""
     counts = counted(keywords, first)
@@ -82,7 +88,7 @@ def report(keywords: DataFrame, top: int = 50, first: list[str] | None = None) -
     ranked = frequency(keywords, top, first)
     best = opportunities(ranked)
     return {
-        "totals": keywords.agg(F.count("*").alias("total_keywords"), F.countDistinct("keyword").alias("unique_keywords")),
+        "totals": totals(keywords),
         "frequency": ranked,
         "intents": intents(ranked),
         "intent_summary": intent_summary(ranked),
