@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +15,8 @@ from ..sources.storage import materialised
 
 #: Terms of the vocabulary at most; those with the highest corpus frequency are kept.
 MAX_TERMS = 10_000
+#: Words of documents whose counts a task holds at once (of one document at least).
+LOT_WORDS = 200_000
 
 
 def corpus(crawl: DataFrame) -> DataFrame:
@@ -22,19 +29,34 @@ def terms(documents: DataFrame, key: str, text: str, stop_words: list[str] = T.S
     """(key, term, tf): counts of runs of up to ``words`` words after stop words are gone, made within each row; keys are unique."""
     found = F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(r"(?U)\b\w[\w\-]+\b"), F.lit(0))
     kept = documents.select(key, F.filter(found, lambda w: ~w.isin(stop_words)).alias("w"))
-    grams = F.col("w")
-    for n in range(2, words + 1):
-        starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - (n - 1)))
-        run = F.transform(starts, _joined(n))
-        grams = F.concat(grams, F.when(F.size("w") >= n, run).otherwise(F.array().cast("array<string>")))
-    counted = T.with_counts(kept.select(key, grams.alias("grams")), "grams", "counts")
-    rows = counted.select(key, F.explode_outer("counts").alias("c")).where("c IS NOT NULL")
-    return rows.select(key, F.col("c.word").alias("term"), F.col("c.n").alias("tf"))
-
-
-def _joined(n: int):
-    """A function from a place in w to the n words from there."""
-    return lambda i: F.array_join(F.slice(F.col("w"), i, n), " ")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lot in _lots(batch):
+                rows, found, counts = [], [], []
+                for row, w in enumerate(lot.column("w").to_pylist()):
+                    tf = Counter(w)
+                    for n in range(2, words + 1):
+                        tf.update(map(" ".join, zip(*(w[at:] for at in range(n)))))
+                    rows += [row] * len(tf)
+                    found += tf.keys()
+                    counts += tf.values()
+                keys = lot.column(key).take(pa.array(rows, pa.int32()))
+                yield pa.RecordBatch.from_arrays([keys, pa.array(found, pa.string()), pa.array(counts, pa.int64())], names=[key, "term", "tf"])
+
+    return kept.mapInArrow(run, f"`{key}` {documents.schema[key].dataType.simpleString()}, term string, tf long")
+
+
+def _lots(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in lots of bounded words."""
+    begin = held = 0
+    for at, size in enumerate(pc.list_value_length(batch.column("w")).to_pylist()):
+        if at > begin and held + size > LOT_WORDS:
+            yield batch.slice(begin, at - begin)
+            begin, held = at, 0
+        held += size
+    if begin < batch.num_rows:
+        yield batch.slice(begin)
 
 
 def tf_idf(documents: DataFrame, key: str = "url", text: str = "doc_text", top: int = 10, max_terms: int = MAX_TERMS, stop_words: list[str] = T.STOP_WORDS) -> DataFrame:
