@@ -135,8 +135,7 @@ def cannibalization(site: Site) -> DataFrame:
 
 @checks.page("C058", "Low Text-to-HTML Ratio", "Notice")
 def low_text_ratio() -> Column:
-    excerpt = F.when(F.length("html") > 12_000, F.lit(12_000 + 13)).otherwise(F.length("html"))
-    return (F.coalesce("html", F.lit("")) != "") & (F.length("h.body_text") / excerpt < TEXT_SHARE)
+    return (F.coalesce("html", F.lit("")) != "") & (F.length("h.body_text") / F.length("html") < TEXT_SHARE)
 
 
 @checks.page("C059", "Missing Language Declaration", "Notice")
